@@ -32,8 +32,9 @@ BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, *carried: str) -> DataFrame:
     return docs.select(
+        *carried,
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -72,28 +73,28 @@ def mix(sizes: DataFrame) -> DataFrame:
     rows = cut(
         sizes.withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
         .withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
-        .withColumn("_row", F.monotonically_increasing_id())
+        .withColumn("_place", F.monotonically_increasing_id())
     )
     targets = cut(source_targets(rows))
     totals = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_size"))
     ahead = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("source", "_bucket", F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_offset"))
     offsets = offsets.join(targets, offsets["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "_crc", "size", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "_crc", "size", "_place").rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.withColumn("_in", F.sum("size").over(inside))
     both = summed.join(offsets.withColumnsRenamed({"source": "_s", "_bucket": "_b"}), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).drop("_s", "_b")
     copies = both.select(
-        "_row",
+        "_place",
         "_key",
         "size",
         F.explode(F.sequence(F.lit(0), F.lit(MOST_PASSES - 1))).alias("_pass"),
         ((F.col("_pass") * F.col("source_size") + F.col("_offset") + F.col("_in")).cast("double") / F.col("weight")).alias("_finish"),
     )
-    queue = running_totals(copies, ["_finish", "_key", "_row", "_pass"], "size")
+    queue = running_totals(copies, ["_finish", "_key", "_place", "_pass"], "size")
     budget = F.col("total").cast("double") / MOST_PASSES
-    taken = queue.where(F.col("before") + F.col("size") <= budget).groupBy("_row").agg(F.count("*").cast("int").alias("passes"))
+    taken = queue.where(F.col("before") + F.col("size") <= budget).groupBy("_place").agg(F.count("*").cast("int").alias("passes"))
     kept = [c for c in sizes.columns if c not in ("passes", "taken", "source_size", "target")]
-    done = rows.join(taken, "_row", "left")
+    done = rows.join(taken, "_place", "left")
     of_source = targets.withColumnRenamed("source", "_s").drop("weight")
     if targets.count() <= BROADCAST_SOURCES:
         of_source = F.broadcast(of_source)

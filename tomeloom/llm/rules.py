@@ -61,7 +61,15 @@ class RuleEnsemble:
         self.intercept, self.rules = intercept, rules
 
     def column(self, stats: dict[str, Column]) -> Column:
-        """The score as an expression over columns of statistics."""
+        """The score as an expression over statistics, each of which is evaluated once.
+
+        The statistics become one struct that a lambda's variable stands for, so the optimizer
+        can't copy their expressions into every rule.
+        """
+        one = F.array(F.struct(*[c.alias(n) for n, c in stats.items()]))
+        return F.get(F.transform(one, lambda s: self._sum({n: s[n] for n in stats})), F.lit(0))
+
+    def _sum(self, stats: dict[str, Column]) -> Column:
         parts = [F.lit(float(self.intercept))]
         for weight, terms in self.rules:
             holds = None
@@ -180,10 +188,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> RuleEns
 
 def score(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     """docs with ``score`` and ``predicted`` (int)."""
-    stats = {n: f"_{n}" for n in statistics(F.col("text"))}
-    with_stats = docs.withColumns({stats[n]: c for n, c in statistics(F.col("text")).items()})
-    scored = with_stats.withColumn("score", model.column({n: F.col(c) for n, c in stats.items()}))
-    return scored.drop(*stats.values()).withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+    scored = docs.withColumn("score", model.column(statistics(F.col("text"))))
+    return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 
 def digest(docs: DataFrame, model: RuleEnsemble) -> DataFrame:

@@ -19,9 +19,10 @@ from .prefix import running_totals
 SHARDS = 16
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, *carried: str) -> DataFrame:
     """doc_id, size (UTF-8 bytes plus 1) and text_crc32: all that the cut needs of a text."""
     return docs.select(
+        *carried,
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
