@@ -10,10 +10,11 @@ the texts is its cell's count, less the cell's expected load, over the number of
 expected error of a share doesn't grow with the corpus, and shares below COMMON weigh alike, so
 the weights mean the same at every size.
 
-Equal texts are taken once. In a bucket every text is first compared with the least one; only
-where a bucket still holds texts of different classes are these compared with each other. So
-a group of n copies costs n comparisons, and no link between different texts that met is lost
-to the classes, which are the connected components.
+Equal texts are taken once. In a bucket every text is first compared with the least one; only a
+bucket that still holds texts of different classes has all its texts compared with each other,
+block by block inside tasks, which report the links that join them and no other pairs. So a
+group of n copies costs n comparisons, pairs are never rows, and no link between different texts
+that met is lost to the classes, which are the connected components.
 
 Defined results: null texts and texts without words form no group; a text of fewer than five
 words is one shingle; equal texts that have words are one class; rows with a null id are kept
@@ -42,9 +43,11 @@ CELLS, SEGMENTS = 1 << 20, 64
 #: Share of the texts up to which a shingle counts as rare.
 COMMON = 1e-3
 #: How much more a rare shingle weighs than one that every text holds.
-IDF_SPAN = 1.0
+IDF_SPAN = 0.25
 #: Members of a class that are compared with one text are dealt over so many tasks.
 SALTS = 64
+#: A bucket of several classes is compared in blocks of about so many texts and bytes.
+BUCKET_TEXTS, BUCKET_BYTES = 1000, 8 << 20
 
 _BLOCK = 1 << 15
 
@@ -172,7 +175,7 @@ def band_hashes(doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, docs:
 def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
     """doc_id, h1, h2 (of the text) and bands (array, null without words) for each row of docs (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # CELLS numbers
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(17), "text").alias("h2"), "text")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(17), "text").alias("h2"), F.octet_length("text").cast("long").alias("size"), "text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, idf = Tokenizer(NOT_ALNUM), shared.value
@@ -184,9 +187,9 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
                     present, found = band_hashes(doc, hashes, idf.of(hashes, times), j - i)
                     for d, row in zip(present, found, strict=True):
                         bands[i + d] = row
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h1", "h2")), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h1", "h2", "size")), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "size", "bands"])
 
-    return rows.mapInArrow(apply, "doc_id long, h1 long, h2 long, bands array<long>")
+    return rows.mapInArrow(apply, "doc_id long, h1 long, h2 long, size long, bands array<long>")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, weights: Weights) -> DataFrame:
@@ -228,27 +231,89 @@ def similar(pairs: DataFrame, docs: DataFrame, weights: Weights) -> DataFrame:
     return texts.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(compare, "a long, b long")
 
 
+def joined(hashes: list[np.ndarray], weights: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (i, j) of similar texts that join all texts whose similarity links are connected."""
+    n = len(hashes)
+    totals = np.array([w.sum() for w in weights], dtype=np.float64)
+    owner = np.repeat(np.arange(n), [len(h) for h in hashes])
+    every, weight = np.concatenate(hashes), np.concatenate(weights)
+    order = np.argsort(every, kind="stable")
+    every, owner, weight = every[order], owner[order], weight[order]
+    edges = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1], [True]]))
+    common = np.zeros((n, n), dtype=np.float32)
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        if j - i > 1:
+            at, w = owner[i:j], weight[i:j]
+            common[at[:, None], at] += np.minimum(w[:, None], w)
+    close = common >= SIMILARITY * (totals[:, None] + totals - common) * (1 - 1e-6)
+    root, links = np.arange(n), []
+    for i in range(n):
+        for j in np.flatnonzero(close[i, i + 1 :] & (root[i + 1 :] != root[i])) + i + 1:
+            if root[i] != root[j]:
+                links.append((i, int(j)))
+                root[root == root[j]] = root[i]
+    return links
+
+
+def within_buckets(members: DataFrame, docs: DataFrame, weights: Weights) -> DataFrame:
+    """Links (a, b) that join the similar texts of each bucket. members: bucket, b (id), size (bytes).
+
+    A large bucket is dealt into blocks, and each pair of its blocks is compared by itself.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    sizes = members.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BUCKET_TEXTS), F.ceil(F.sum("size") / BUCKET_BYTES)).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("bucket", F.col("b").alias("doc_id"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    blocks = dealt.select("bucket", "doc_id", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    texts = docs.select("doc_id", "text").join(blocks, "doc_id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, idf = Tokenizer(NOT_ALNUM), shared.value
+        key, ids, hashes, ws = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            found = joined(hashes, ws)
+            return pa.RecordBatch.from_arrays([pa.array([min(ids[i], ids[j]) for i, j in found], pa.int64()), pa.array([max(ids[i], ids[j]) for i, j in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "high")), strict=True))
+            names = batch.column("doc_id").to_pylist()
+            for i, j, data, offsets in text_runs(batch.column("text")):
+                doc, found, times = shingles(tokenizer(data, offsets))
+                w = idf.of(found, times)
+                edges = np.searchsorted(doc, np.arange(j - i + 1))
+                for k in range(i, j):
+                    if keys[k] != key:
+                        if len(ids) > 1:
+                            yield done()
+                        key, ids, hashes, ws = keys[k], [], [], []
+                    own = slice(edges[k - i], edges[k - i + 1])
+                    ids.append(names[k])
+                    hashes.append(found[own].copy())
+                    ws.append(w[own].copy())
+        if len(ids) > 1:
+            yield done()
+
+    return texts.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "doc_id").mapInArrow(compare, "a long, b long")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (least id of the class), for each row of docs (doc_id, text) with an id."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
     weights = document_frequencies(named)
     signed = cut(signatures(named, weights))
     worded = signed.where(F.col("bands").isNotNull())
-    texts = worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"))
-    buckets = cut(texts.select("rep", F.explode("bands").alias("bucket")))
+    texts = worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"), F.min("size").alias("size"))
+    buckets = cut(texts.select("rep", "size", F.explode("bands").alias("bucket")))
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("bucket", "a")
-    met = cut(buckets.join(shared, "bucket").select("bucket", "a", F.col("rep").alias("b")))
-    first = cut(met.where("a < b").select("a", "b").distinct())
-    links = cut(similar(first, named, weights))
+    met = cut(buckets.join(shared, "bucket").select("bucket", "a", F.col("rep").alias("b"), "size"))
+    links = cut(similar(met.where("a < b").select("a", "b").distinct(), named, weights))
     rooted = components(links)
-    placed = met.join(rooted.withColumnRenamed("node", "b"), "b", "left").select("bucket", "b", F.coalesce("root", "b").alias("class"))
-    split = placed.groupBy("bucket").agg(F.min("class").alias("_least"), F.max("class").alias("_most")).where("_least < _most").select("bucket")
+    placed = met.join(rooted.withColumnRenamed("node", "b"), "b", "left").select("bucket", "b", "size", F.coalesce("root", "b").alias("class"))
+    split = placed.groupBy("bucket").agg(F.min("class").alias("_least"), F.max("class").alias("_most"), F.count("*").alias("_n")).where("_least < _most and _n > 2").select("bucket")
     mixed = cut(placed.join(split, "bucket", "left_semi"))
-    other = mixed.select("bucket", F.col("b").alias("c"), F.col("class").alias("other"))
-    crossed = mixed.join(other, "bucket").where((F.col("b") < F.col("c")) & (F.col("class") != F.col("other"))).select(F.col("b").alias("a"), F.col("c").alias("b")).distinct()
-    second = cut(crossed.join(first, ["a", "b"], "left_anti"))
-    if second.limit(1).count():
-        more = cut(similar(second, named, weights))
+    if mixed.limit(1).count():
+        more = cut(within_buckets(mixed, named, weights))
         if more.limit(1).count():
             rooted = components(links.unionByName(more))
     of_text = texts.select("h1", "h2", "rep").join(rooted.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
