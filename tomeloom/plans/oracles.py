@@ -1,5 +1,174 @@
+"""DuckDB SQL with the rows of ``queries``."""
+
 from __future__ import annotations
 
+BOOKS = "books AS (SELECT doc_id AS book_id, source AS title, lang, coalesce(text, '') AS text FROM documents)"
+CONV = """books AS (SELECT conv_id AS book_id, string_agg(part, chr(10) ORDER BY turn, part) AS text FROM (
+  SELECT conv_id, turn, (CASE WHEN role = 'user' THEN '# ' ELSE '## ' END) || 'turn ' || turn || chr(10) || chr(10) || coalesce(text, '') || chr(10) AS part FROM conversations) GROUP BY conv_id)"""
+LINES = """lines AS (SELECT book_id, i - 1 AS line_no, line, size, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY book_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM (SELECT book_id, length(text) AS size, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM books))"""
+STRIPPED = r"regexp_replace(line, '^\s+|\s+$', '', 'g')"
+DUPS = f"""dups AS (SELECT book_id, {STRIPPED} AS line, count(*) AS n, min(line_no) AS first_line FROM lines WHERE length(line) >= 12 GROUP BY 1, 2 HAVING count(*) >= 3)"""
+REGIONS = """pieces AS (SELECT b.book_id, d.line, d.first_line, unnest(string_split(b.text, d.line)) AS piece, generate_subscripts(string_split(b.text, d.line), 1) - 1 AS k FROM books b JOIN dups d USING (book_id)),
+placed AS (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY book_id, line ORDER BY k ROWS UNBOUNDED PRECEDING) + k * length(line) AS BIGINT) AS start, lead(k) OVER (PARTITION BY book_id, line ORDER BY k) IS NULL AS ended FROM pieces),
+regions AS (SELECT book_id, first_line * 100000 + k + 3000000000 AS seq, start, start + length(line) AS stop, 'duplicate' AS reason, substring(line, 1, 30) AS label FROM placed WHERE NOT ended)"""
+HEADS = r"""heads AS (SELECT book_id, 1000000000 AS seq, 0 AS start, least(length(text), 5000) AS stop, 'copyright' AS reason, '' AS label FROM books
+  WHERE regexp_matches(substring(text, 1, 5000), '(?i)版权|版权所有|ISBN|Copyright|All rights reserved|出版发行|印刷|版次|CIP|翻印必究|定价[:：]'))"""
+MERGED = """islands AS (SELECT *, sum(fresh) OVER (PARTITION BY book_id ORDER BY start, stop, seq) AS island FROM (
+  SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY book_id ORDER BY start, stop, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM every)),
+merged AS (SELECT book_id, island, min(start) AS start, max(stop) AS stop, arg_min(reason, (start, stop, seq)) AS reason FROM islands GROUP BY book_id, island)"""
+PRUNED = f"""WITH {BOOKS}, {LINES}, {DUPS}, {REGIONS}, {HEADS},
+every AS (SELECT book_id, seq, start, stop, reason FROM regions UNION ALL SELECT book_id, seq, start, stop, reason FROM heads), {MERGED},
+gaps AS (SELECT book_id, island, coalesce(lag(stop) OVER (PARTITION BY book_id ORDER BY start), 0) AS a, start AS b FROM merged),
+tails AS (SELECT book_id, max(stop) AS a FROM merged GROUP BY book_id),
+kept AS (SELECT g.book_id, string_agg(substring(b.text, CAST(g.a + 1 AS INT), CAST(g.b - g.a AS INT)), '' ORDER BY g.a) AS head FROM gaps g JOIN books b USING (book_id) GROUP BY g.book_id),
+pruned AS (SELECT b.book_id, b.lang, length(b.text) AS original_chars, coalesce(m.removed, 0) AS removed_chars, coalesce(m.n, 0) AS n_regions,
+    CASE WHEN m.n IS NULL THEN b.text ELSE k.head || substring(b.text, CAST(t.a + 1 AS INT)) END AS pruned_text
+  FROM books b LEFT JOIN (SELECT book_id, count(*) AS n, CAST(sum(stop - start) AS BIGINT) AS removed FROM merged GROUP BY book_id) m USING (book_id) LEFT JOIN kept k USING (book_id) LEFT JOIN tails t USING (book_id))"""
+CHAPTERS = r"""chapters AS (SELECT book_id, row_number() OVER w - 1 AS chapter_ix, regexp_replace(line, '^#{1,6}\s+|\s+$', '', 'g') AS title, CAST(length(regexp_extract(line, '^(#{1,6})\s', 1)) AS INT) AS level,
+    start AS start_char, coalesce(lead(start) OVER w, size) AS end_char FROM lines WHERE regexp_matches(line, '^#{1,6}\s+\S') WINDOW w AS (PARTITION BY book_id ORDER BY start))"""
+UNITS = """top AS (SELECT c.*, min(level) OVER (PARTITION BY book_id) AS least_level FROM chapters c),
+units AS (SELECT book_id, row_number() OVER w - 1 AS unit_ix, title, start_char AS start, coalesce(lead(start_char) OVER w, size) AS stop, text
+  FROM top JOIN (SELECT book_id, text, length(text) AS size FROM books) USING (book_id) WHERE level = least_level WINDOW w AS (PARTITION BY book_id ORDER BY start_char)),
+texts AS (SELECT book_id, unit_ix, title, start, stop, substring(text, CAST(start + 1 AS INT), CAST(stop - start AS INT)) AS text FROM units)"""
+
+
+def chunk_fold(source: str, keys: str) -> str:
+    """Greedy chunks of ``source`` (keys, text) by recursion over pieces: 600 characters, 60 kept."""
+    on = " AND ".join(f"f.{k.strip()} = p.{k.strip()}" for k in keys.split(","))
+    f_keys = ", ".join(f"f.{k.strip()}" for k in keys.split(","))
+    return rf"""split AS (SELECT {keys}, string_split_regex(text, '\n\s*\n') AS ps, regexp_extract_all(text, '\n\s*\n') AS gs, length(text) AS size, text FROM {source}),
+sizes AS (SELECT {keys}, size, text, flatten(list_transform(range(len(ps)), lambda i: CASE WHEN i < len(gs) THEN [length(ps[i + 1]), length(gs[i + 1])] ELSE [length(ps[i + 1])] END)) AS ns FROM split),
+fold AS (
+  SELECT {keys}, 0 AS i, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS e, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM sizes WHERE size > 600
+  UNION ALL
+  SELECT {f_keys}, f.i + 1,
+    CASE WHEN f.e - f.s + p.ns[f.i + 1] > 600 AND f.e > f.s THEN CASE WHEN f.e - f.s > 60 THEN f.e - 60 ELSE f.e END ELSE f.s END, f.e + p.ns[f.i + 1],
+    CASE WHEN f.e - f.s + p.ns[f.i + 1] > 600 AND f.e > f.s THEN f.s END, CASE WHEN f.e - f.s + p.ns[f.i + 1] > 600 AND f.e > f.s THEN f.e END
+  FROM fold f JOIN sizes p ON {on} WHERE f.i < len(p.ns)),
+spans AS (
+  SELECT {keys}, CAST(0 AS BIGINT) AS start, CAST(size AS BIGINT) AS stop FROM sizes WHERE size <= 600
+  UNION ALL SELECT {keys}, a, b FROM fold WHERE a IS NOT NULL
+  UNION ALL SELECT {f_keys}, f.s, f.e FROM fold f JOIN sizes p ON {on} WHERE f.i = len(p.ns) AND regexp_matches(substring(p.text, CAST(f.s + 1 AS INT), CAST(f.e - f.s AS INT)), '\S')),
+chunked AS (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY start, stop) - 1 AS chunk_ix, start, stop FROM spans)"""
+
+
+CHUNKS = f"""WITH RECURSIVE {CONV}, {LINES}, {CHAPTERS}, {UNITS}, {chunk_fold("texts", "book_id, unit_ix")},
+sized AS (SELECT book_id, unit_ix, count(*) AS n FROM chunked GROUP BY ALL),
+chunks AS (SELECT c.book_id, c.unit_ix, c.chunk_ix, t.title, length(t.text) AS source_chars, greatest(CAST(floor(length(t.text) * (0.15::DOUBLE * 1.3::DOUBLE)) AS INT), 100) AS target_chars, s.n AS n_chunks,
+    format('unit_{{:05d}}_{{:03d}}', c.unit_ix, c.chunk_ix) AS unit_id, substring(t.text, CAST(c.start + 1 AS INT), CAST(c.stop - c.start AS INT)) AS chunk_text
+  FROM chunked c JOIN texts t USING (book_id, unit_ix) JOIN sized s USING (book_id, unit_ix)),
+planned AS (SELECT *, greatest(1, target_chars // n_chunks) AS chunk_target FROM chunks)"""
+KEYED = CHUNKS + r""",
+keyed AS (SELECT *, sha256('["' || book_id || '", "' || unit_id || '", "' || chunk_target || '", "' || replace(replace(chunk_text, '\', '\\'), '"', '\"') || '"]') AS cache_key FROM planned)"""
+TASKS = """tasks AS (SELECT o_orderkey AS task_id, o_custkey AS book_id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'running' ELSE ['done', 'error', 'cancelled'][CAST(o_orderkey % 3 AS INT) + 1] END AS status,
+  'queued' AS stage, o_orderkey AS queue_order, o_orderpriority = '1-URGENT' AS cancel_requested, o_orderpriority = '2-HIGH' AS delete_requested, o_orderdate AS created_at FROM orders)"""
+LEDGER_UNITS = """units AS (SELECT l_orderkey AS task_id, format('unit_{:05d}_000', l_linenumber) AS unit_id, CASE l_returnflag WHEN 'A' THEN 'done' WHEN 'R' THEN 'error' ELSE 'pending' END AS status,
+  l_partkey AS cache_key, 'out ' || CAST(floor(l_quantity) AS BIGINT) AS output, l_shipdate AS updated_at FROM lineitem)"""
+CACHE = "cache AS (SELECT p_partkey AS cache_key, CASE WHEN p_size > 25 THEN CAST(p_size AS BIGINT) END AS book_id, p_name AS output, CAST(0 AS BIGINT) AS hit_count FROM part)"
+TOKENS = r"(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(length(regexp_replace(text, '\s', '', 'g')) - length(regexp_replace(text, '[\s\x{3400}-\x{9fff}]', '', 'g')) + ceil(length(regexp_replace(text, '[\s\x{3400}-\x{9fff}]', '', 'g')) / 4.0::DOUBLE) AS BIGINT)) END)"
+CLEAN = r"""regexp_replace(regexp_replace(regexp_replace({0}, '</(p|div|h[1-6]|li|blockquote|tr)>', chr(10), 'gi'), '<(br|hr)[^>]*>', chr(10), 'gi'), '<[^>]+>', '', 'g')"""
+
+
+def decoded(x: str) -> str:
+    for name, value in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("apos", "''"), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{value}')"
+    return x
+
+
+HTML_TEXT = rf"""regexp_replace(regexp_replace(regexp_replace({decoded(CLEAN.format("coalesce(html, '')"))}, '[^\S\n]*\n[^\S\n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g'), '\n{{2,}}', chr(10) || chr(10), 'g')"""
+
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {
+        "doc_word_count": rf"WITH {BOOKS} SELECT book_id, CAST(length(regexp_replace(text, '\s', '', 'g')) AS BIGINT) AS word_count, regexp_matches(text, '\S') AS ok FROM books",
+        "doc_tokens": f"WITH {BOOKS} SELECT book_id, {TOKENS} AS tokens FROM books",
+        "cost_estimate": f"""WITH {BOOKS}, t AS (SELECT book_id, length(text) AS n, {TOKENS} AS tokens FROM books),
+          e AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE greatest(1, CAST(ceil(n / 12000.0::DOUBLE) AS BIGINT)) END AS calls FROM t),
+          f AS (SELECT *, CAST(ceil(tokens * 1.12::DOUBLE) AS BIGINT) + calls * 300 AS i, CAST(ceil(tokens * 0.15::DOUBLE) AS BIGINT) AS o FROM e)
+          SELECT book_id, n AS source_chars, calls AS api_calls, i AS input_tokens, o AS output_tokens, calls * 2 AS time_seconds_low, calls * 8 AS time_seconds_high,
+            (i * 2 + o * 200 + 50) // 100 / 1e6::DOUBLE AS cost_cny_low, (i + o * 2) / 1e6::DOUBLE AS cost_cny_high, '2026-08-05' AS pricing_version FROM f""",
+        "actual_costs": "SELECT l_orderkey, (CAST(sum(l_partkey) * 2 + sum(l_suppkey) * 100 + sum(CAST(floor(l_quantity) AS BIGINT)) * 200 AS BIGINT) + 50) // 100 / 1e6::DOUBLE AS cost_cny FROM lineitem GROUP BY l_orderkey",
+        "target_ratios": "SELECT doc_id, round((CASE source WHEN 'src1' THEN 0.25 WHEN 'src2' THEN 0.08 ELSE 0.15 END)::DOUBLE * (CASE lang WHEN 'fr' THEN 0.7 WHEN 'de' THEN 1.3 ELSE 1.0 END)::DOUBLE, 6) AS ratio FROM documents",
+        "line_spans": f"WITH {BOOKS}, {LINES} SELECT book_id, line_no, start, least(start + length(line) + 1, size) AS stop, line FROM lines",
+        "summaries": rf"WITH {BOOKS}, f AS (SELECT book_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM books) SELECT book_id, CASE WHEN length(t) > 30 THEN substring(t, 1, 30) || '…' ELSE t END AS label FROM f",
+        "blocks_from_lines": rf"""WITH {CONV}, {LINES}, marked AS (SELECT *, regexp_matches(line, '^[ \t]*$') AND start + length(line) < size AS blank FROM lines),
+          runs AS (SELECT *, sum(CAST(blank AS INT)) OVER (PARTITION BY book_id ORDER BY line_no) AS run FROM marked)
+          SELECT book_id, min(start) AS start, max(least(start + length(line) + 1, size)) AS stop FROM runs WHERE NOT blank GROUP BY book_id, run HAVING max(length({STRIPPED})) > 0""",
+        "atx_chapters": f"WITH {CONV}, {LINES}, {CHAPTERS} SELECT * FROM chapters",
+        "short_line_headings": rf"WITH {BOOKS}, {LINES}, h AS (SELECT book_id, start AS pos, regexp_replace(regexp_replace({STRIPPED}, '^#+', ''), '^\s+|\s+$', '', 'g') AS heading FROM lines) SELECT * FROM h WHERE regexp_matches(heading, '^[\pL\pM\pN_]+\.$')",
+        "html_clean": f"WITH t AS (SELECT page_id, {HTML_TEXT} AS t FROM pages) SELECT page_id, length(t) AS n_chars, md5(t) AS text_md5 FROM t",
+        "html_headings": rf"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<h1[^>]*>(.*?)</h1>', 1)) AS html, generate_subscripts(regexp_extract_all(coalesce(html, ''), '(?is)<h1[^>]*>(.*?)</h1>', 1), 1) - 1 AS n FROM pages)
+          SELECT page_id, n, 1 AS level, regexp_replace({HTML_TEXT}, '^\s+|\s+$', '', 'g') AS title FROM h""",
+        "html_modalities": r"""SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '(?i)<table\b')) AS "table", len(regexp_extract_all(coalesce(html, ''), '(?i)<(?:img|svg)\b')) AS image,
+          len(regexp_extract_all(coalesce(html, ''), '(?i)<(?:math|m:math)\b|class=["''][^"'']*(?:math|latex)')) AS formula, len(regexp_extract_all(coalesce(html, ''), '(?i)<(?:pre|code)\b')) AS code FROM pages""",
+        "merged_warnings": "SELECT user_id, event_type AS type, '正文' AS location, max(CAST(floor(value) AS BIGINT)) AS count, 'm' || min(event_id) AS message, min(event_id) AS seq FROM events GROUP BY user_id, event_type",
+        "dup_lines": f"WITH {BOOKS}, {LINES}, {DUPS} SELECT book_id, line, n FROM dups",
+        "dup_regions": f"WITH {BOOKS}, {LINES}, {DUPS}, {REGIONS} SELECT book_id, start, stop, label FROM regions",
+        "head_windows": f"WITH {BOOKS}, {LINES}, t AS (SELECT book_id, min(start) AS main_start FROM lines WHERE regexp_matches({STRIPPED}, '^#*\\s*(Chapter|CHAPTER)\\s+\\d+\\b') GROUP BY book_id) SELECT book_id, main_start, coalesce(main_start, least(length(text), 5000)) AS head_end FROM books LEFT JOIN t USING (book_id)",
+        "copyright_blocks": f"WITH {BOOKS}, {HEADS} SELECT book_id, start, stop, reason FROM heads",
+        "merged_regions": f"WITH {BOOKS}, {LINES}, {DUPS}, {REGIONS}, every AS (SELECT * FROM regions), {MERGED} SELECT book_id, start, stop, reason FROM merged",
+        "pruned_docs": PRUNED + " SELECT book_id, n_regions, original_chars, removed_chars, CASE WHEN original_chars > 0 THEN round((original_chars - removed_chars)::DOUBLE / original_chars, 4) ELSE 0.0 END AS kept_ratio, md5(pruned_text) AS pruned_md5 FROM pruned",
+        "kept_ratio_by_lang": PRUNED + " SELECT lang, count(*) AS n, CAST(sum(original_chars) AS BIGINT) AS original, CAST(sum(removed_chars) AS BIGINT) AS removed FROM pruned GROUP BY lang",
+        "subtracted_regions": f"""WITH {BOOKS}, {LINES}, {DUPS}, {REGIONS}
+          SELECT book_id, start, stop FROM regions WHERE 2000 <= start OR 100 >= stop
+          UNION ALL SELECT book_id, start, 100 FROM regions WHERE NOT (2000 <= start OR 100 >= stop) AND start < 100
+          UNION ALL SELECT book_id, 2000, stop FROM regions WHERE NOT (2000 <= start OR 100 >= stop) AND stop > 2000""",
+        "remapped_chapters": f"""WITH {CONV}, {LINES}, {CHAPTERS}, sized AS (SELECT book_id, length(text) AS n FROM books),
+          every AS (SELECT book_id, start_char AS seq, start_char + 15 AS start, least(start_char + 55, n) AS stop, 'duplicate' AS reason FROM chapters JOIN sized USING (book_id) WHERE start_char * 2 >= n), {MERGED},
+          moved AS (SELECT c.book_id, c.chapter_ix, c.start_char, c.end_char, s.n,
+              sum(greatest(0, least(m.stop, c.start_char) - m.start)) AS before, sum(greatest(0, least(m.stop, c.end_char) - m.start)) AS upto,
+              sum(greatest(0, least(m.stop, c.end_char) - greatest(m.start, c.start_char))) AS lost, bool_or(m.start <= c.start_char AND c.start_char < m.stop) AS inside, sum(m.stop - m.start) AS gone
+            FROM chapters c JOIN sized s USING (book_id) JOIN (SELECT book_id, start, stop FROM merged UNION ALL SELECT book_id, 0, 0 FROM sized) m USING (book_id) GROUP BY ALL)
+          SELECT book_id, chapter_ix, CAST(start_char - before AS BIGINT) AS start_char, CAST(end_char - upto AS BIGINT) AS end_char FROM moved
+          WHERE NOT inside AND NOT (end_char > start_char AND lost * 2 >= end_char - start_char) AND start_char - before < end_char - upto AND start_char - before < n - gone""",
+        "distill_units": rf"WITH {CONV}, {LINES}, {CHAPTERS}, {UNITS} SELECT book_id, unit_ix, title, start, stop FROM texts WHERE regexp_matches(text, '\S')",
+        "chunk_plan": f"WITH RECURSIVE {CONV}, {chunk_fold('books', 'book_id')} SELECT book_id, chunk_ix, start, stop FROM chunked",
+        "call_counts": CHUNKS + " SELECT book_id, count(*) AS calls, count(DISTINCT unit_ix) AS units FROM planned GROUP BY book_id",
+        "chunk_targets": CHUNKS + " SELECT book_id, unit_id, CAST(target_chars AS BIGINT) AS target_chars, CAST(chunk_target AS BIGINT) AS chunk_target, length(chunk_text) AS chunk_chars FROM planned",
+        "cache_keys": KEYED + " SELECT book_id, unit_id, cache_key FROM keyed",
+        "prompts": CHUNKS + " SELECT book_id, unit_id, md5('Part ' || (unit_ix + 1) || ' of 1: ' || title || chr(10) || 'Aim at about ' || chunk_target || ' characters.' || chr(10) || chr(10) || chunk_text) AS prompt_md5, length('Condense faithfully into Markdown. Keep definitions, steps, figures and limits. Strength: standard. Add nothing that the source doesn''t say.') AS system_chars FROM planned",
+        "checkpoint_reuse": KEYED + """, found AS (SELECT *, CASE WHEN book_id % 2 = 0 AND length(chunk_text) > 0 THEN least(length(chunk_text), chunk_target) WHEN book_id % 3 = 0 AND chunk_target // 2 > 0 THEN least(length(chunk_text), chunk_target // 2) END AS n FROM keyed)
+          SELECT book_id, unit_id, CASE WHEN n >= chunk_target * 0.75 AND NOT n > greatest(chunk_target * 2, chunk_target + 500) THEN CAST(n AS BIGINT) END AS reused_chars FROM found""",
+        "length_verdicts": CHUNKS + " SELECT book_id, unit_id, CASE WHEN length(chunk_text) > greatest(chunk_target * 2, chunk_target + 500) THEN 'long' WHEN length(chunk_text) < chunk_target * 0.75 THEN 'short' ELSE '' END AS issue FROM planned",
+        "merged_output": CHUNKS + r""", bad AS (SELECT book_id, unit_ix, min(chunk_ix) FILTER (WHERE length(chunk_text) % 97 = 0) AS b FROM planned GROUP BY ALL),
+          parts AS (SELECT p.book_id, p.unit_ix, string_agg(substring(chunk_text, 1, 40), chr(10) || chr(10) ORDER BY chunk_ix) FILTER (WHERE b IS NULL OR chunk_ix < b) AS t, max(CASE WHEN b IS NULL THEN 0 ELSE 1 END) AS failed FROM planned p JOIN bad USING (book_id, unit_ix) GROUP BY ALL)
+          SELECT book_id, md5(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY unit_ix) FILTER (WHERE regexp_matches(coalesce(t, ''), '\S')), '')) AS output_md5, count(*) AS n_units, CAST(sum(failed) AS BIGINT) AS n_errors FROM parts GROUP BY book_id""",
+        "result_totals": CHUNKS + " SELECT book_id, CAST(sum(source_chars) AS BIGINT) AS source_chars, CAST(sum(chunk_target) AS BIGINT) AS target_chars, count(*) AS api_calls FROM planned GROUP BY book_id",
+        "next_queue_orders": f"WITH {TASKS} SELECT task_id, (SELECT coalesce(max(queue_order), -1) FROM tasks WHERE task_id % 5 <> 0) + row_number() OVER (ORDER BY created_at, task_id) AS queue_order FROM tasks WHERE task_id % 5 = 0",
+        "claimable": f"WITH {TASKS} SELECT task_id, queue_order FROM tasks WHERE status = 'pending' AND NOT cancel_requested AND NOT delete_requested",
+        "claim_first": f"WITH {TASKS}, f AS (SELECT arg_min(task_id, queue_order) AS id FROM tasks WHERE status = 'pending' AND NOT cancel_requested AND NOT delete_requested) SELECT CASE WHEN task_id = id THEN 'running' ELSE status END AS status, count(*) AS n FROM tasks, f GROUP BY 1",
+        "cancel_states": f"""WITH {TASKS} SELECT CASE WHEN task_id % 7 = 0 AND status = 'pending' THEN 'cancelled' ELSE status END AS status, CASE WHEN task_id % 7 = 0 AND status = 'pending' THEN 'cancelled' ELSE stage END AS stage,
+          cancel_requested OR (task_id % 7 = 0 AND status = 'running') AS cancel_requested, count(*) AS n FROM tasks GROUP BY 1, 2, 3""",
+        "recovery_states": f"WITH {TASKS} SELECT task_id, CASE WHEN status = 'running' THEN CASE WHEN cancel_requested THEN 'cancelled' ELSE 'pending' END ELSE status END AS status, CASE WHEN status = 'running' AND cancel_requested THEN 'cancelled' ELSE stage END AS stage FROM tasks WHERE NOT delete_requested",
+        "upsert_latest": "SELECT l_partkey AS cache_key, max(l_shipdate) AS updated_at FROM lineitem GROUP BY 1",
+        "failed_reset": f"WITH {LEDGER_UNITS} SELECT CASE WHEN status = 'error' THEN 'pending' ELSE status END AS status, count(*) AS n, count(*) FILTER (WHERE status <> 'error') AS with_output FROM units GROUP BY 1",
+        "cache_puts": f"""WITH {CACHE}, new AS (SELECT s_suppkey AS cache_key, CASE WHEN s_nationkey > 12 THEN CAST(s_nationkey AS VARCHAR) ELSE '' END AS book, s_name AS o FROM supplier)
+          SELECT cache_key, CASE WHEN coalesce(book, '') <> '' THEN book ELSE coalesce(CAST(book_id AS VARCHAR), '') END AS book_id, coalesce(o, output) AS output, coalesce(hit_count, 0) AS hit_count FROM cache FULL JOIN new USING (cache_key)""",
+        "cache_hits": "SELECT p_partkey AS cache_key, count(l_partkey) AS hit_count FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY 1",
+        "cache_backfill": f"""WITH {TASKS}, {LEDGER_UNITS}, {CACHE}, used AS (SELECT u.cache_key, arg_min(CAST(t.book_id AS VARCHAR), (u.task_id, u.unit_id)) AS b FROM units u JOIN tasks t USING (task_id) GROUP BY 1)
+          SELECT c.cache_key, coalesce(CAST(c.book_id AS VARCHAR), b, '') AS book_id FROM cache c LEFT JOIN used USING (cache_key)""",
+        "delete_answers": f"WITH {TASKS}, asked AS (SELECT DISTINCT l_orderkey + 50 AS task_id FROM lineitem) SELECT task_id, CASE WHEN status IS NULL THEN 'absent' WHEN status = 'running' THEN 'deleting' ELSE 'deleted' END AS answer FROM asked LEFT JOIN tasks USING (task_id)",
+        "cascade_delete": f"WITH {TASKS} SELECT task_id, count(l_orderkey) AS n_units FROM tasks LEFT JOIN lineitem ON l_orderkey = task_id WHERE NOT delete_requested GROUP BY 1",
+        "book_purge": f"""WITH {TASKS}, {LEDGER_UNITS}, {CACHE}, books AS (SELECT c_custkey AS book_id FROM customer WHERE c_custkey % 50 = 1)
+          SELECT cache_key FROM cache WHERE coalesce(book_id NOT IN (SELECT book_id FROM books), true) AND cache_key NOT IN (SELECT cache_key FROM units WHERE task_id IN (SELECT task_id FROM tasks WHERE book_id IN (SELECT book_id FROM books)))""",
+        "deletion_previews": f"WITH {TASKS} SELECT book_id, count(*) AS n_tasks, count(*) FILTER (WHERE status IN ('pending', 'running')) AS n_active, coalesce(string_agg(CAST(task_id AS VARCHAR), ',' ORDER BY task_id) FILTER (WHERE status IN ('pending', 'running')), '') AS active_ids FROM tasks GROUP BY 1",
+        "moved_task": f"WITH {TASKS} SELECT task_id, row_number() OVER (ORDER BY queue_order, created_at, task_id) - 1 AS queue_order FROM tasks WHERE status = 'pending' AND NOT cancel_requested AND NOT delete_requested",
+        "deletion_states": "WITH r AS (SELECT CASE WHEN c_nationkey < 5 AND c_custkey % 4 <> 2 THEN 'staged' ELSE ['preparing', 'staged', 'completed', 'failed'][CAST(c_custkey % 4 AS INT) + 1] END AS state FROM customer) SELECT state, count(*) AS n FROM r WHERE state <> 'completed' GROUP BY 1",
+        "library_listing": r"""SELECT d.doc_id, coalesce(source, '') AS title, CASE WHEN quality = 1 THEN 'ok' WHEN quality = 0 THEN 'error' WHEN regexp_matches(coalesce(text, ''), '\S') THEN 'ok' ELSE 'pending' END AS extract_status, coalesce(n_chars, 0) AS word_count FROM documents d LEFT JOIN labels USING (doc_id)""",
+        "extraction_recovery": "SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.toxic IS NULL AND NOT n_chars > 1000",
+        "claim_candidates": r"""WITH l AS (SELECT item_id AS book_id, unnest(string_split(replace(text, '. ', '.; '), chr(10))) AS raw, generate_subscripts(string_split(replace(text, '. ', '.; '), chr(10)), 1) - 1 AS line_no FROM benchmark),
+          k AS (SELECT book_id, line_no, regexp_replace(regexp_replace(regexp_replace(raw, '^[#>*+\-\d.\s]+', ''), '^\s+|\s+$', '', 'g'), '[*_`]+', '', 'g') AS line FROM l),
+          s AS (SELECT book_id, line_no, unnest(regexp_extract_all(line, '[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]+$')) AS s FROM k WHERE length(line) >= 18 AND NOT ends_with(line, '：')),
+          c AS (SELECT book_id, line_no, regexp_replace(s, '^\s+|\s+$', '', 'g') AS claim FROM s) SELECT * FROM c WHERE length(claim) BETWEEN 18 AND 220""",
+        "bigram_windows": r"""WITH src AS (SELECT doc_id AS source_id, text FROM documents WHERE text <> '' AND doc_id IN (SELECT item_id FROM benchmark)),
+          w AS (SELECT source_id, i * 800 AS start, substring(text, CAST(i * 800 + 1 AS INT), 1600) AS win FROM (SELECT source_id, text, unnest(range(CAST(greatest(ceil((length(text) - 1600) / 800.0::DOUBLE), 0) AS BIGINT) + 1)) AS i FROM src)),
+          cw AS (SELECT source_id, start, regexp_replace(win, '\s+', '', 'g') AS c FROM w), gw AS (SELECT source_id, start, CASE WHEN length(c) < 2 THEN [] ELSE list_distinct(list_transform(range(1, length(c)), lambda i: substring(c, CAST(i AS INT), 2))) END AS g FROM cw),
+          cq AS (SELECT item_id AS claim_id, regexp_replace(text, '\s+', '', 'g') AS c FROM benchmark), gq AS (SELECT claim_id, CASE WHEN length(c) < 2 THEN [] ELSE list_distinct(list_transform(range(1, length(c)), lambda i: substring(c, CAST(i AS INT), 2))) END AS q FROM cq),
+          s AS (SELECT claim_id, start, len(list_intersect(q, g))::DOUBLE / greatest(1, len(q)) AS score FROM gq JOIN gw ON claim_id = source_id),
+          r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, start) AS rank FROM s) SELECT claim_id, rank, start, round(score, 6) AS score FROM r WHERE rank <= 5""",
+        "sample_per_group": f"""WITH {BOOKS}, {LINES}, n AS (SELECT book_id, max(line_no) + 1 AS n FROM lines GROUP BY 1) SELECT book_id, CAST(('0x' || substring(sha256('20260809:' || book_id), 1, 12)) AS BIGINT) % n AS line_no FROM n""",
+        "audit_rollup": "SELECT coalesce(bool_and(quality = 1), false) AS all_pass, count(*) FILTER (WHERE quality = 1) AS supported, count(*) AS total FROM labels",
+        "export_names": "SELECT o_orderkey, replace(o_orderpriority, '-', '') || '_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') || (CASE WHEN k > 0 THEN '_' || k ELSE '' END) || '.md' AS file_name FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_orderdate ORDER BY o_orderkey) - 1 AS k FROM orders)",
+        "latest_event_states": "SELECT date_trunc('day', ts) AS day, user_id, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    }

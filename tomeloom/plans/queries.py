@@ -1,5 +1,491 @@
+"""Queries over the standard tables, one for each operator; ``oracles`` has their SQL."""
+
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import audit, distill, export, ledger, modality, planning, prune, structure
+from ..sources.tables import conversation_books, document_books, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Chunks of conversation books are planned at this size, so that chunking has something to do.
+SMALL_CHUNK, SMALL_OVERLAP = 600, 60
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+# Measures of texts
+
+
+@query
+def doc_word_count(spark, d):
+    return document_books(spark, d).select("book_id", T.word_count(F.col("text")).cast("long").alias("word_count"), T.is_ok(F.col("text"), F.lit("")).alias("ok"))
+
+
+@query
+def doc_tokens(spark, d):
+    return document_books(spark, d).select("book_id", T.tokens(F.col("text")).alias("tokens"))
+
+
+@query
+def cost_estimate(spark, d):
+    return document_books(spark, d).select("book_id", *[c.alias(n) for n, c in T.estimate(F.col("text"), F.lit(0.15)).items()])
+
+
+@query
+def actual_costs(spark, d):
+    li = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
+    return li.groupBy("l_orderkey").agg(F.sum("l_partkey").alias("hit"), F.sum("l_suppkey").alias("miss"), F.sum(F.col("l_quantity").cast("long")).alias("output")).select("l_orderkey", T.actual_cost(F.col("hit"), F.col("miss"), F.col("output")).alias("cost_cny"))
+
+
+@query
+def target_ratios(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "lang", "source")
+    kind = F.when(F.col("lang") == "fr", "fiction").when(F.col("lang") == "de", "technical").otherwise("general")
+    strength = F.when(F.col("source") == "src1", "conservative").when(F.col("source") == "src2", "aggressive").when(F.col("source") == "src3", "other").otherwise("standard")
+    return docs.select("doc_id", F.round(T.ratio(strength, kind), 6).alias("ratio"))
+
+
+# Structure
+
+
+@query
+def line_spans(spark, d):
+    return structure.line_spans(document_books(spark, d))
+
+
+@query
+def summaries(spark, d):
+    return document_books(spark, d).select("book_id", T.summary(F.col("text")).alias("label"))
+
+
+@query
+def blocks_from_lines(spark, d):
+    return structure.blocks(conversation_books(spark, d))
+
+
+@query
+def atx_chapters(spark, d):
+    return structure.markdown_chapters(conversation_books(spark, d))
+
+
+@query
+def short_line_headings(spark, d):
+    """Structural headings by pattern: short lines that end in a stop stand in for titles in these tables."""
+    return structure.headings(structure.line_spans(document_books(spark, d)), r"(?U)^\w+\.$")
+
+
+@query
+def html_clean(spark, d):
+    pages = table(spark, d, "pages", "page_id", "html")
+    text = T.html_text(F.col("html"))
+    return pages.select("page_id", F.length(text).cast("long").alias("n_chars"), F.md5(text.cast("binary")).alias("text_md5"))
+
+
+@query
+def html_headings(spark, d):
+    pages = table(spark, d, "pages", "page_id", "html")
+    return pages.select("page_id", F.posexplode(structure.html_headings(F.coalesce("html", F.lit("")))).alias("n", "h")).select("page_id", F.col("n").cast("long").alias("n"), "h.level", "h.title")
+
+
+@query
+def html_modalities(spark, d):
+    pages = table(spark, d, "pages", "page_id", "html")
+    return pages.select("page_id", *[F.regexp_count(F.coalesce("html", F.lit("")), F.lit(p)).cast("long").alias(k) for k, p in modality.HTML_PATTERNS.items()])
+
+
+@query
+def text_modalities(spark, d):
+    return document_books(spark, d).select("book_id", F.explode(modality.text_modalities(F.col("text"))).alias("w")).select("book_id", "w.type", "w.count")
+
+
+@query
+def merged_warnings(spark, d):
+    """Events stand in for warnings: a user's errors and views by kind, the largest count first seen first."""
+    e = table(spark, d, "events", "event_id", "user_id", "event_type", "value")
+    w = e.select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("type"), F.lit("正文").alias("location"), F.floor("value").cast("long").alias("count"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message"))
+    return modality.merge_warnings(w, "user_id")
+
+
+# Pruning
+
+
+@query
+def dup_lines(spark, d):
+    return structure_lines(spark, d).transform(prune.duplicate_lines).select("book_id", "line", F.col("n").cast("long").alias("n"))
+
+
+def structure_lines(spark, d):
+    return structure.line_spans(document_books(spark, d))
+
+
+@query
+def dup_regions(spark, d):
+    books = document_books(spark, d)
+    return prune.duplicate_regions(books, structure.line_spans(books)).select("book_id", "start", "stop", "label")
+
+
+@query
+def head_windows(spark, d):
+    books = document_books(spark, d)
+    return prune.main_start(books, structure.line_spans(books))
+
+
+@query
+def copyright_blocks(spark, d):
+    books = document_books(spark, d)
+    starts = prune.main_start(books, structure.line_spans(books))
+    return prune.head_regions(books, starts).select("book_id", "start", "stop", "reason")
+
+
+@query
+def merged_regions(spark, d):
+    books = document_books(spark, d)
+    found = prune.collected(prune.duplicate_regions(books, structure.line_spans(books)))
+    return found.select("book_id", F.explode(prune.merged(F.col("regions"))).alias("r")).select("book_id", "r.start", "r.stop", "r.reason")
+
+
+@query
+def pruned_docs(spark, d):
+    """The flagship: all rules, merged, removed."""
+    out = prune.pruned(document_books(spark, d))
+    return out.select("book_id", F.size("regions").cast("long").alias("n_regions"), "original_chars", "removed_chars", "kept_ratio", F.md5(F.col("pruned_text").cast("binary")).alias("pruned_md5"))
+
+
+@query
+def kept_ratio_by_lang(spark, d):
+    out = prune.pruned(document_books(spark, d))
+    return out.groupBy("lang").agg(F.count("*").alias("n"), F.sum("original_chars").alias("original"), F.sum("removed_chars").alias("removed"))
+
+
+@query
+def subtracted_regions(spark, d):
+    """Duplicate regions less the first 2000 characters of each book, which a user restores."""
+    books = document_books(spark, d)
+    found = prune.collected(prune.duplicate_regions(books, structure.line_spans(books)))
+    restores = F.array(F.struct(F.lit(100).cast("long").alias("start"), F.lit(2000).cast("long").alias("stop")))
+    return found.select("book_id", F.explode(prune.excluded(F.col("regions"), restores)).alias("r")).select("book_id", "r.start", "r.stop")
+
+
+def _conversation_regions(spark, d):
+    """Every turn's first 40 characters of each book's second half are cut: regions with which chapters can be moved."""
+    books = conversation_books(spark, d)
+    chapters = structure.markdown_chapters(books)
+    size = books.select("book_id", F.length("text").cast("long").alias("original_chars"))
+    cuts = chapters.join(size, "book_id").where("start_char * 2 >= original_chars").select("book_id", "original_chars", (F.col("start_char") + 15).alias("start"), F.least(F.col("start_char") + 55, "original_chars").alias("stop"))
+    found = prune.collected(cuts.select("book_id", "start", "stop", F.col("start").alias("seq"), F.lit("duplicate").alias("reason"), F.lit("").alias("label")))
+    found = size.join(found, "book_id", "left").withColumn("regions", prune.merged(F.coalesce("regions", F.array().cast(prune.REGION))))
+    return chapters, found.withColumn("removed_chars", prune.removed_chars(F.col("regions")))
+
+
+@query
+def remapped_chapters(spark, d):
+    chapters, found = _conversation_regions(spark, d)
+    return prune.remapped(chapters, found).select("book_id", F.col("chapter_ix").cast("long").alias("chapter_ix"), "start_char", "end_char")
+
+
+# Planning
+
+
+@query
+def distill_units(spark, d):
+    books = conversation_books(spark, d)
+    return planning.units(books, structure.markdown_chapters(books)).select("book_id", F.col("unit_ix").cast("long").alias("unit_ix"), "title", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+
+
+def _chunks(spark, d):
+    books = conversation_books(spark, d)
+    units = planning.units(books, structure.markdown_chapters(books))
+    return planning.chunks(units, T.ratio(F.lit("standard"), F.lit("technical")), SMALL_CHUNK, SMALL_OVERLAP)
+
+
+@query
+def chunk_plan(spark, d):
+    return conversation_books(spark, d).select("book_id", F.posexplode(planning.chunk_spans(F.col("text"), SMALL_CHUNK, SMALL_OVERLAP)).alias("chunk_ix", "s")).select("book_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), F.col("s.start").cast("long").alias("start"), F.col("s.stop").cast("long").alias("stop"))
+
+
+@query
+def call_counts(spark, d):
+    c = _chunks(spark, d)
+    return c.groupBy("book_id").agg(F.count("*").alias("calls"), F.countDistinct("unit_ix").alias("units"))
+
+
+@query
+def chunk_targets(spark, d):
+    c = _chunks(spark, d)
+    return c.select("book_id", "unit_id", F.col("target_chars").cast("long").alias("target_chars"), F.col("chunk_target").cast("long").alias("chunk_target"), F.length("chunk_text").cast("long").alias("chunk_chars"))
+
+
+def _keyed(spark, d):
+    key = planning.cache_key(F.col("book_id"), F.col("unit_id"), F.col("chunk_target"), F.col("chunk_text"))
+    return _chunks(spark, d).withColumn("cache_key", key)
+
+
+@query
+def cache_keys(spark, d):
+    return _keyed(spark, d).select("book_id", "unit_id", "cache_key")
+
+
+@query
+def prompts(spark, d):
+    c = _chunks(spark, d)
+    prompt = planning.user_prompt(F.col("unit_ix") + 1, F.lit(1), F.col("title"), F.col("chunk_target"), F.col("chunk_text"))
+    return c.select("book_id", "unit_id", F.md5(prompt.cast("binary")).alias("prompt_md5"), F.length(planning.system_prompt(F.lit("technical"), F.lit("standard"))).cast("long").alias("system_chars"))
+
+
+@query
+def checkpoint_reuse(spark, d):
+    """Chunks of even books have a checkpoint, of every third a cached text; some no longer suit in length."""
+    c = _keyed(spark, d)
+    texts = F.substring("chunk_text", F.lit(1), F.col("chunk_target"))
+    done = c.where("book_id % 2 = 0").select("book_id", "unit_id", "cache_key", F.lit("done").alias("status"), texts.alias("text"))
+    held = c.where("book_id % 3 = 0").select("cache_key", F.substring("chunk_text", F.lit(1), F.expr("chunk_target div 2")).alias("text"))
+    return distill.reusable(c, done, held).select("book_id", "unit_id", F.length("reused").cast("long").alias("reused_chars"))
+
+
+@query
+def length_verdicts(spark, d):
+    c = _chunks(spark, d)
+    return c.select("book_id", "unit_id", T.length_issue(F.length("chunk_text"), F.col("chunk_target")).alias("issue"))
+
+
+@query
+def condensed_books(spark, d):
+    """The stub model over all chunks, results merged in order (no SQL: the model is Python)."""
+    return distill.merged(distill.condense(_keyed(spark, d)))
+
+
+@query
+def merged_output(spark, d):
+    """Chunk openings in place of a model's answers, merged in order."""
+    c = _chunks(spark, d).select("book_id", "unit_ix", "chunk_ix", F.substring("chunk_text", F.lit(1), F.lit(40)).alias("output"), F.when(F.expr("length(chunk_text) % 97 = 0"), "short").otherwise("").alias("error"))
+    out = distill.merged(c)
+    return out.select("book_id", F.md5(F.col("output").cast("binary")).alias("output_md5"), F.col("n_units").cast("long").alias("n_units"), F.col("n_errors").cast("long").alias("n_errors"))
+
+
+@query
+def result_totals(spark, d):
+    c = _chunks(spark, d)
+    return c.groupBy("book_id").agg(F.sum("source_chars").cast("long").alias("source_chars"), F.sum("chunk_target").cast("long").alias("target_chars"), F.count("*").alias("api_calls"))
+
+
+# Ledger: orders are tasks, line items their units, parts the cache
+
+
+def _tasks(spark, d):
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    ended = F.get(F.array(F.lit("done"), F.lit("error"), F.lit("cancelled")), F.pmod("o_orderkey", F.lit(3)).cast("int"))
+    return o.select(
+        F.col("o_orderkey").alias("task_id"),
+        F.col("o_custkey").alias("book_id"),
+        F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "running").otherwise(ended).alias("status"),
+        F.lit("queued").alias("stage"),
+        F.col("o_orderkey").alias("queue_order"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("cancel_requested"),
+        (F.col("o_orderpriority") == "2-HIGH").alias("delete_requested"),
+        F.col("o_orderdate").alias("created_at"),
+    )
+
+
+def _units(spark, d):
+    li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_shipdate", "l_quantity")
+    return li.select(
+        F.col("l_orderkey").alias("task_id"),
+        F.format_string("unit_%05d_%03d", "l_linenumber", F.lit(0)).alias("unit_id"),
+        F.when(F.col("l_returnflag") == "A", "done").when(F.col("l_returnflag") == "R", "error").otherwise("pending").alias("status"),
+        F.col("l_partkey").alias("cache_key"),
+        F.concat(F.lit("out "), F.col("l_quantity").cast("long").cast("string")).alias("output"),
+        F.col("l_shipdate").alias("updated_at"),
+    )
+
+
+def _cache(spark, d):
+    p = table(spark, d, "part", "p_partkey", "p_size", "p_name")
+    return p.select(F.col("p_partkey").alias("cache_key"), F.when(F.col("p_size") > 25, F.col("p_size").cast("long")).alias("book_id"), F.col("p_name").alias("output"), F.lit(0).cast("long").alias("hit_count"))
+
+
+@query
+def next_queue_orders(spark, d):
+    t = _tasks(spark, d)
+    known = t.where("task_id % 5 <> 0")
+    return ledger.next_orders(known, t.select("task_id", "created_at")).select("task_id", "queue_order")
+
+
+@query
+def claimable(spark, d):
+    return ledger.eligible(_tasks(spark, d)).select("task_id", "queue_order")
+
+
+@query
+def claim_first(spark, d):
+    t = _tasks(spark, d)
+    first = ledger.eligible(t).agg(F.min_by("task_id", "queue_order").alias("id"))
+    may = F.col("task_id") == F.col("id")
+    return t.join(F.broadcast(first)).withColumn("status", F.when(may, "running").otherwise(F.col("status"))).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query
+def cancel_states(spark, d):
+    t = _tasks(spark, d)
+    return ledger.cancelled(t, t.where("task_id % 7 = 0")).groupBy("status", "stage", "cancel_requested").agg(F.count("*").alias("n"))
+
+
+@query
+def recovery_states(spark, d):
+    return ledger.recovered(_tasks(spark, d)).select("task_id", "status", "stage")
+
+
+@query
+def upsert_latest(spark, d):
+    u = _units(spark, d).select("cache_key", "status", "updated_at", "task_id")
+    return ledger.upserted(u.where("task_id % 2 = 0"), u.where("task_id % 2 = 1"), ["cache_key"], tie="task_id").select("cache_key", F.col("updated_at").cast("timestamp").alias("updated_at"))
+
+
+@query
+def failed_reset(spark, d):
+    return ledger.reset_failed(_units(spark, d)).groupBy("status").agg(F.count("*").alias("n"), F.count("output").alias("with_output"))
+
+
+@query
+def cache_puts(spark, d):
+    new = table(spark, d, "supplier", "s_suppkey", "s_nationkey", "s_name").select(F.col("s_suppkey").alias("cache_key"), F.when(F.col("s_nationkey") > 12, F.col("s_nationkey").cast("string")).otherwise("").alias("book_id"), F.col("s_name").alias("output"))
+    old = _cache(spark, d).withColumn("book_id", F.coalesce(F.col("book_id").cast("string"), F.lit("")))
+    return ledger.put_cache(old, new)
+
+
+@query
+def cache_hits(spark, d):
+    return ledger.counted_hits(_cache(spark, d), _units(spark, d)).select("cache_key", "hit_count")
+
+
+@query
+def cache_backfill(spark, d):
+    out = ledger.backfilled(_cache(spark, d).withColumn("book_id", F.coalesce(F.col("book_id").cast("string"), F.lit(""))), _units(spark, d), _tasks(spark, d).withColumn("book_id", F.col("book_id").cast("string")))
+    return out.select("cache_key", "book_id")
+
+
+@query
+def delete_answers(spark, d):
+    asked = table(spark, d, "lineitem", "l_orderkey").select((F.col("l_orderkey") + 50).alias("task_id"))
+    return ledger.delete_requested(_tasks(spark, d), asked)
+
+
+@query
+def cascade_delete(spark, d):
+    t, u = _tasks(spark, d), _units(spark, d)
+    left, units = ledger.deleted(t, u, t.where("delete_requested").select("task_id"))
+    return left.join(units.groupBy("task_id").agg(F.count("*").alias("n_units")), "task_id", "left").select("task_id", F.coalesce("n_units", F.lit(0)).alias("n_units"))
+
+
+@query
+def book_purge(spark, d):
+    books = table(spark, d, "customer", "c_custkey").where("c_custkey % 50 = 1").select(F.col("c_custkey").alias("book_id"))
+    _, _, cache = ledger.purged(_tasks(spark, d), _units(spark, d), _cache(spark, d), books)
+    return cache.select("cache_key")
+
+
+@query
+def deletion_previews(spark, d):
+    return ledger.deletion_preview(_tasks(spark, d))
+
+
+@query
+def moved_task(spark, d):
+    return ledger.moved_before(ledger.eligible(_tasks(spark, d)), 0, 0).select("task_id", "queue_order")
+
+
+@query
+def deletion_states(spark, d):
+    c = table(spark, d, "customer", "c_custkey", "c_mktsegment", "c_nationkey")
+    state = F.get(F.array(F.lit("preparing"), F.lit("staged"), F.lit("completed"), F.lit("failed")), F.pmod("c_custkey", F.lit(4)).cast("int"))
+    rows = c.select(F.col("c_custkey").alias("book_id"), state.alias("state"), F.col("c_nationkey").alias("created_at"))
+    return ledger.incomplete(ledger.advanced(rows, "staged", rows.where("created_at < 5"))).groupBy("state").agg(F.count("*").alias("n"))
+
+
+# Library
+
+
+@query
+def library_listing(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "source", "n_chars", "text")
+    meta = table(spark, d, "labels", "doc_id", "quality")
+    status = F.when(F.col("quality") == 1, "ok").when(F.col("quality") == 0, "error").otherwise("pending")
+    shown = F.when((status == "pending") & (T.word_count(F.col("text")) > 0), "ok").otherwise(status)
+    return docs.join(meta, "doc_id", "left").select("doc_id", F.coalesce("source", F.lit("")).alias("title"), shown.alias("extract_status"), F.coalesce("n_chars", F.lit(0)).alias("word_count"))
+
+
+@query
+def extraction_recovery(spark, d):
+    docs, meta = table(spark, d, "documents", "doc_id", "n_chars"), table(spark, d, "labels", "doc_id", "toxic")
+    return docs.join(meta, "doc_id", "left").where("toxic is null and not n_chars > 1000").select("doc_id")
+
+
+# Audit and export
+
+
+@query
+def claim_candidates(spark, d):
+    return audit.claims(table(spark, d, "benchmark", "item_id", "text").select(F.col("item_id").alias("book_id"), F.regexp_replace("text", r"\. ", ".; ").alias("text"))).select("book_id", F.col("line_no").cast("long").alias("line_no"), "claim")
+
+
+@query
+def bigram_windows(spark, d):
+    """Each benchmark item against the windows of the document with its number."""
+    asked = table(spark, d, "benchmark", "item_id", "text").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"), F.col("item_id").alias("source_id"))
+    docs = table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("source_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return audit.best_windows(asked, docs).select("claim_id", F.col("rank").cast("long").alias("rank"), F.col("start").cast("long").alias("start"), F.round("score", 6).alias("score"))
+
+
+@query
+def evidence_matches(spark, d):
+    """The middle of every document, white space changed in every third, sought in it."""
+    docs = document_books(spark, d)
+    part = F.expr("substring(text, cast(length(text) / 2 as int), 60)")
+    quote = F.when(F.col("book_id") % 3 == 0, F.replace(part, F.lit(" "), F.lit("  "))).otherwise(part)
+    found = audit.evidence(F.col("text"), F.col("_quote"))
+    return docs.withColumn("_quote", quote).select("book_id", *[c.alias(n) for n, c in found.items()])
+
+
+@query
+def sample_per_group(spark, d):
+    lines = structure_lines(spark, d).select("book_id", "line_no")
+    return audit.seeded_pick(lines, "20260809", "book_id", "line_no").select("book_id", F.col("line_no").cast("long").alias("line_no"))
+
+
+@query
+def audit_rollup(spark, d):
+    return audit.rollup(table(spark, d, "labels", "quality").select((F.col("quality") == 1).alias("supported")))
+
+
+@query
+def export_markdown(spark, d):
+    docs = document_books(spark, d)
+    warnings = modality.text_modalities(F.col("text"))
+    size = F.length("text")
+    md = export.markdown(F.col("title"), F.lit(""), F.col("source_format"), F.lit("standard"), size, F.least(size, F.lit(200)), F.lit(1), F.col("book_id") % 3, warnings, F.expr("substring(text, 1, 200)"))
+    return docs.select("book_id", F.length(md).cast("long").alias("n_chars"), F.regexp_extract(md, r"(?m)^(原文约.*)$", 1).alias("size_line"))
+
+
+@query
+def export_names(spark, d):
+    o = table(spark, d, "orders", "o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority")
+    taken = F.row_number().over(Window.partitionBy("o_orderpriority", "o_orderdate").orderBy("o_orderkey")) - 1
+    return o.select("o_orderkey", export.file_name(F.translate("o_orderpriority", "-", "?"), F.col("o_orderdate"), taken).alias("file_name"))
+
 
-def queries():
-    return {}
+@query
+def latest_event_states(spark, d):
+    """The job-event log's last state of each user and day (the batch form of the stream in ``streaming``)."""
+    e = table(spark, d, "events", "user_id", "ts", "event_type", "event_id")
+    return e.groupBy(F.date_trunc("day", "ts").alias("day"), "user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.count("*").alias("n"))
