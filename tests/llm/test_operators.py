@@ -1,0 +1,360 @@
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tomeloom.llm import base, fmindex, icws, katz, langid, lattice, mainhtml, mixing, queries, rules, secrets, shards
+from tomeloom.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "the cat sat on the mat and the dog", "en", "s", 5), (3, " \n\t ", "fr", None, 4), (4, "x" * 200_000, "de", "s", 200_000), (5, "the of and to " * 9000, "en", "s", 1), (6, "same text here for all of them", "en", "s", 9), (6, "same text here for all of them", "en", "s", 9), (7, "same text here for all of them", "en", "t", 9)]
+
+
+def lower(s):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s or "")
+
+
+def read(spark, name, *columns):
+    return base.read(spark, SF, name, *columns)
+
+
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS)
+
+
+def test_tokenizer_equals_regex():
+    import pyarrow as pa
+
+    texts = ["Ab c", "", None, "d", " é x\ty ", "zz", "z" * 50, "a\nb"] * 3
+    for separators, pattern in ((base.WHITE, r"[^\x20\x09-\x0D]+"), (base.NOT_ALNUM, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")):
+        seen = {}
+        for limit in (1, 7, 1000):
+            got = []
+            for i, j, data, offsets in base.text_runs(pa.array(texts), limit):
+                t = base.Tokenizer(separators)(data, offsets)
+                got += [(i + int(d), bytes(data[s:e]).decode().lower()) for d, s, e in zip(t.doc, t.start, t.end, strict=True)]
+                for d, s, e, h in zip(t.doc, t.start, t.end, t.hash, strict=True):
+                    assert seen.setdefault(bytes(data[s:e]).lower(), h) == h
+            assert got == [(k, w) for k, x in enumerate(texts) for w in re.findall(pattern, lower(x))]
+
+
+def brute_spans(text):
+    kinds = [("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"[0-9a-f]+", 0, 16)]
+    found = [(m.start(), k, m.end(), name) for k, (name, p, g, least) in enumerate(kinds) for m in re.finditer(p, text or "") if len(m[g]) >= least]
+    return [f"{n}:{s}:{e}" for s, _, e, n in sorted(found)]
+
+
+def test_secret_scan_equals_brute_force(spark):
+    live = "ghp_" + "a1B2" * 9
+    copied = "ghp_" + "Z9y8" * 9
+    texts = ["é😀 token = \"" + "ab12" * 10 + "\" x", 'secret=short token="secret":"abcdefghijklmnop', "AKIA" + "B7" * 8 + " AKIAX", "deadbeef" * 4 + "xyz", f"key {live} end", None, "", "PASSWORD:'" + "Q" * 12 + "'" + " passwd: " + "z" * 11]
+    rows = [(i, t, f"o{i}") for i, t in enumerate(texts)] + [(100 + i, f"see {copied}", f"o{i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.digest(secrets.scan_owned(docs, F.col("source"), F.col("source"))).collect()}
+    for i, t, _ in rows:
+        b = brute_spans(t)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(b).encode()).hexdigest()
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(x.startswith(k) for x in b) for k in ("assign", "access", "hex")]
+    assert "vendor:4:44" in got[4].spans and (got[4].n_live, got[4].n_copied) == (1, 0)
+    assert got[100].spans == "" and (got[100].n_live, got[100].n_copied) == (0, 1)
+
+
+def test_shards_equal_prefix_sums(spark):
+    for docs in (read(spark, "documents"), odd(spark)):
+        rows = sorted(((r.doc_id, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 1) for r in docs.collect()), key=lambda x: (x[0] is not None, x))
+        total, at, expected, slots = sum(x[2] for x in rows), 0, [], Counter()
+        for i, c, n in rows:
+            s = min(15, (2 * at + n) * 16 // (2 * total))
+            expected.append((i, n, c, s, slots[s]))
+            slots[s] += 1
+            at += n
+        got = shards.digest(shards.shard(shards.sized(docs))).collect()
+        assert sorted(map(repr, expected)) == sorted(repr((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot)) for r in got)
+
+
+def test_mixing_near_targets(spark):
+    docs = read(spark, "documents").unionByName(odd(spark).where("doc_id <> 4"))
+    got = mixing.digest(mixing.mix(mixing.sized(docs))).collect()
+    assert len(got) == docs.count() and all(r.taken <= 3 * r["size"] for r in got)
+    size, target, taken = Counter(), {}, Counter()
+    for r in got:
+        size[r.source] += r["size"]
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    names = sorted(size, key=lambda s: (s is None, s))
+    weights = {s: 1 + i % 3 for i, s in enumerate(names)}
+    total, left, fixed = sum(size.values()), set(names), {}
+    while True:  # excess over three times a source's size is shared anew
+        spare = total - sum(fixed.values())
+        share = {s: spare * weights[s] / sum(weights[x] for x in left) for s in left}
+        over = [s for s in left if share[s] > 3 * size[s]]
+        if not over:
+            break
+        for s in over:
+            fixed[s] = 3 * size[s]
+            left.discard(s)
+    for s in names:
+        assert target[s] == pytest.approx(fixed.get(s, share.get(s)))
+        assert abs(taken[s] - target[s]) <= max(r["size"] for r in got if r.source == s) + 1000
+    again = mixing.digest(mixing.mix(mixing.sized(docs.repartition(3)))).collect()
+    assert sorted((repr(r.doc_id), r.taken) for r in got) == sorted((repr(r.doc_id), r.taken) for r in again)
+
+
+def test_language_on_held_out(spark):
+    docs = base.read(spark, "/root/testdata/sf0.01", "documents", "doc_id", "text", "lang")
+    net = langid.train(langid.sample_pieces(docs))
+    got = langid.predict(docs, net).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(got) and all(0 <= r.score <= 1 for r in got)
+    strange = {r.doc_id: r.lang_pred for r in langid.predict(odd(spark), net).collect()}
+    assert strange[1] == strange[2] == strange[3] == "und" and strange[5] == "en"
+    assert langid.predict(docs, None).select("lang_pred").distinct().collect()[0][0] == "und"
+
+
+def test_folded_tables_equal_the_convolution():
+    net = langid.ByteConvNet(["a", "b"])
+    x = np.random.default_rng(1).integers(0, 256, (3, langid.WINDOW)).astype(np.uint8)
+    e = net.embedding[x]
+    pooled = [sum(e[:, j : j + langid.WINDOW - w + 1] @ bank[j] for j in range(w)).max(1) + bias for w, bank, bias in zip(langid.WIDTHS, net.banks, net.biases, strict=True)]
+    direct = np.maximum(np.concatenate(pooled, 1), 0) @ net.dense + net.offset
+    assert np.allclose(direct, langid.window_logits(net, net.tables(), x), atol=1e-4)
+
+
+def weighted_classes(texts):
+    """Classes by plain brute force over all pairs that share a shingle, with the operator's tokens."""
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        sets[i] = Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(1, len(w)))))
+    return sets
+
+
+def test_near_text_finds_all_clear_pairs(spark):
+    docs = base.read(spark, "/root/testdata/sf0.01", "documents", "doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.class_id for r in icws.digest(docs).collect()}
+    sets, holders = weighted_classes(texts), defaultdict(set)
+    for i, s in sets.items():
+        for k in s:
+            holders[k].add(i)
+    shared = Counter((a, b) for v in holders.values() if len(v) < 300 for a in v for b in v if a < b)
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (a, b), n in shared.items():
+        sim = n / (len(sets[a]) + len(sets[b]) - n)
+        if sim >= 0.84:
+            assert got[a] == got[b], (a, b, sim)
+        if sim >= 0.74:
+            root[find(a)] = find(b)
+    assert all(find(i) == find(c) for i, c in got.items())
+    assert all(c <= i for i, c in got.items())
+
+
+def test_near_text_odd_rows_and_stage(spark):
+    got = {(r.doc_id, r.class_id, r.kept) for r in icws.digest(odd(spark)).collect()}
+    assert (None, None, True) in got and {(1, 1, True), (2, 2, True), (3, 3, True), (6, 6, True), (7, 6, False)} <= got
+    left = icws.drop_near_duplicates(odd(spark)).select("doc_id").collect()
+    assert sorted(r.doc_id or 0 for r in left) == [0, 1, 2, 3, 4, 5, 6]
+    assert icws.digest(odd(spark).where("false")).count() == 0
+
+
+def test_samples_agree_as_often_as_weighted_jaccard():
+    rng = np.random.default_rng(3)
+    hashes = base.mix(np.arange(600, dtype=np.uint64), 1)
+    w1, w2 = rng.uniform(0.5, 3, 600).astype(np.float32), rng.uniform(0.5, 3, 600).astype(np.float32)
+    w2[rng.random(600) < 0.6] = w1[: (rng.random(600) < 0.6).sum()].mean()
+    truth = np.minimum(w1, w2).sum() / np.maximum(w1, w2).sum()
+    hits = []
+    for trial in range(400):
+        h = base.mix(hashes, 100 + trial)
+        doc = np.repeat([0, 1], 600)
+        _, bands = icws.band_hashes(doc, np.concatenate([h, h]), np.concatenate([w1, w2]), 2)
+        hits.append((bands[0] == bands[1]).mean())
+    assert abs(np.mean(hits) - truth**icws.ROWS) < 0.03
+
+
+def test_katz_sums_to_one_and_base_score(spark):
+    docs = read(spark, "documents", "doc_id", "text").unionByName(odd(spark).select("doc_id", "text"))
+    words = {k: re.findall(r"[^\x20\x09-\x0D]+", lower(r.text)) for k, r in enumerate(docs.collect())}
+    ids = {k: r.doc_id for k, r in enumerate(docs.collect())}
+    held = {k: i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for k, i in ids.items()}
+    counts, ends = Counter(), 0
+    for k, w in words.items():
+        if not held[k]:
+            counts.update(w)
+            ends += 1
+    total, distinct = sum(counts.values()) + ends, len(counts) + 1
+    b = lambda c: math.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
+    expected = sorted((repr(ids[k]), len(w) + 1, sum(x in counts for x in w) + 1, total, round(sum(b(counts[x]) for x in w) + b(ends), 4)) for k, w in words.items())
+    got = katz.score(docs).collect()
+    assert expected == sorted((repr(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got)
+    known = [r for r in got if not r.held_out]
+    assert sum(r.score for r in known) > sum(r.base_score for r in known)
+    n = [0, 50, 20, 10, 7, 5, 4]
+    d = katz.good_turing(n)
+    assert sum((1 - d[r]) * r * n[r] for r in d) == pytest.approx(n[1])
+    rng = np.random.default_rng(0)
+    classes = katz.Classes(np.arange(1, 40, dtype=np.uint64), rng.integers(2, 90, 39), 3000, 50, 200, n)
+    pairs = np.unique(rng.integers(0, 42, (400, 2)), axis=0)
+    pairs = pairs[(pairs[:, 1] != katz.START) & (pairs[:, 0] != 20)]
+    keys = (pairs[:, 0].astype(np.uint64) << np.uint64(32)) | pairs[:, 1].astype(np.uint64)
+    counted = rng.integers(1, 12, len(keys))
+    hot = {}
+    for h in np.flatnonzero(katz._hot(classes)):
+        c = counted[pairs[:, 0] == h]
+        hot[int(h)] = ([int(c.sum()), len(c), *[int((c == r).sum()) for r in range(1, 6)], 0], float(classes.unigram[pairs[pairs[:, 0] == h, 1]].sum()))
+    model = katz.Backoff(np.sort(keys), counted[np.argsort(keys)], classes, d, hot)
+    every = np.array([c for c in range(42) if c != katz.START], dtype=np.uint64)
+    for h in range(42):
+        p = 10 ** model.log10((np.uint64(h) << np.uint64(32)) | every)
+        assert p.sum() == pytest.approx(1, abs=1e-9), h
+    rare = 10 ** classes.within_rare(np.array([0]))[0] + sum(n[r] * 10 ** classes.within_rare(np.array([r]))[0] for r in range(1, 6))
+    assert rare < 1 and classes.unseen > 0
+
+
+def test_rules_compile_to_the_same_scores(spark):
+    docs, labels = base.read(spark, "/root/testdata/sf0.01", "documents", "doc_id", "text"), base.read(spark, "/root/testdata/sf0.01", "labels")
+    model = rules.learn(docs, labels)
+    stats = rules.statistics(F.col("text"))
+    rows = rules.score(docs, model).select("doc_id", "score", *[c.alias(f"s_{n}") for n, c in stats.items()]).collect()
+    x = np.array([[r[f"s_{n}"] for n in stats] for r in rows])
+    assert np.allclose(model.predict(x, list(stats)), [r.score for r in rows])
+    judged = rules.digest(docs, model).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r.predicted == r.quality for r in judged) >= 0.9 * len(judged)
+    assert rules.digest(odd(spark), model).where("score is null or score < 0 or score > 1").count() == 0
+    assert rules.learn(docs.where("false"), labels).predict(np.zeros((1, len(stats))), list(stats))[0] == 0.5
+
+
+PAGE = """<html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site<nav><ul><li><a href=/>Home</a></ul></nav></header>
+<div class="cookie-notice">We use cookies</div><div class="wrap"><h1>Title &amp; more</h1><p>First  paragraph, of some
+length &lt;here&gt;, that goes on for a while.<p>Second <b>paragraph</b> with a <a href=x>link</a> in it and more words.<br></div>
+<aside>Side</aside><section id="comments"><p>I like this, it is a very long comment from a reader who writes on.</p></section><form><input></form><footer>&copy; x</footer></body></html>"""
+
+
+def test_main_text(spark):
+    expected = "Title & more\nFirst paragraph, of some length <here>, that goes on for a while.\nSecond paragraph with a link in it and more words."
+    rows = spark.createDataFrame([(1, "u", PAGE), (2, "u", None), (3, None, ""), (4, "u", "<div>" * 3000 + "deep text"), (5, "u", "<<< a href='x")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in mainhtml.extract(rows).collect()}
+    assert got[1].text == expected and got[1].n_chars == len(expected)
+    assert got[2].text == got[3].text == "" and got[4].text == "deep text"
+    for r in read(spark, "pages").collect():
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        assert mainhtml.main_text(r.html) == mainhtml.main_text(f"<body><div>{article}</div></body>")
+
+
+def test_e8_decoding_and_minimal_vectors():
+    v = lattice.minimal_vectors()
+    assert len(v) == 240 and np.allclose((v**2).sum(1), 2)
+    y = np.random.default_rng(0).normal(size=(500, 8)) * 2
+    p = lattice.decode(y)
+    assert ((y - p) ** 2).sum(1).max() <= 1 + 1e-9  # the covering radius
+    closer = ((y[:, None] - p[:, None] - v[None]) ** 2).sum(2).min(1)
+    assert (closer >= ((y - p) ** 2).sum(1) - 1e-9).all()
+
+
+def test_near_vectors_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    seeds = rng.normal(size=(150, 32))
+    x = np.concatenate([seeds, seeds[:60] + 0.02 * rng.normal(size=(60, 32)), seeds[:30] + 0.2 * rng.normal(size=(30, 32)), seeds[:20], seeds[:10] * 3])
+    labels = np.concatenate([np.arange(150) % 4, np.arange(60) % 4, np.arange(30) % 4, np.arange(20) % 4, np.arange(10) % 4])
+    rows = [(i, [float(c) for c in v.astype(np.float32)], int(k)) for i, (v, k) in enumerate(zip(x, labels, strict=True))]
+    odd_rows = [(1000, None, 1), (1001, [0.0] * 32, 1), (1002, [None] + [1.0] * 31, 1), (1003, [float("nan")] * 32, 1), (1004, rows[0][1], None), (1005, [], 1), (1006, [float("inf")] * 32, 1)]
+    df = spark.createDataFrame(rows + odd_rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in lattice.near_duplicates(df).collect()}
+    m = np.array([r[1] for r in rows], dtype=float)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    close = (m @ m.T >= 0.98) & (labels[:, None] == labels)
+    np.fill_diagonal(close, False)
+    found = sum(got[i].n_links for i in range(len(rows)))
+    assert found >= 0.98 * close.sum() and all(got[i].n_links <= close[i].sum() for i in range(len(rows)))
+    assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(1000, 1007))
+    assert got[210].component_id <= 60
+
+
+def test_components(spark):
+    rng = np.random.default_rng(1)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2)) if a != b] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000 + i) for i in range(1, 50)]
+    root = {}
+
+    def find(i):
+        root.setdefault(i, i)
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: find(i) for i in root}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def brute_hits(docs, items):
+    windows = defaultdict(set)
+    for i, t in items:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        for k in range(max(len(w) - 9, min(1, len(w)))):
+            windows[tuple(w[k : k + 10])].add(str(i))
+    out = []
+    for i, t in docs:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        hit, found = set(), set()
+        for n in {len(k) for k in windows}:
+            for k in range(len(w) - n + 1):
+                if own := windows.get(tuple(w[k : k + n])):
+                    found |= own
+                    hit |= set(range(k, k + n))
+        out.append((repr(i), len(w), len(hit), sorted(found)))
+    return sorted(out)
+
+
+def test_decontamination_equals_brute_force(spark, monkeypatch):
+    docs = read(spark, "documents", "doc_id", "text").unionByName(odd(spark).where("doc_id <> 4").select("doc_id", "text"))
+    items = read(spark, "benchmark").unionByName(spark.createDataFrame([(900, "the of and"), (901, None), (902, ""), (903, "the of and to the of and to the of and to the of and to"), (904, "cat")], "item_id long, text string"))
+    expected = brute_hits([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
+    for words in (1_000_000, 400):
+        monkeypatch.setattr(fmindex, "BLOCK_WORDS", words)
+        got = fmindex.scan(docs, items).collect()
+        assert expected == sorted((repr(r.doc_id), r.n_words, r.n_hit, sorted(r["items"])) for r in got)
+        clean = fmindex.remove(fmindex.scan(docs.withColumn("n_chars", F.length("text")), items))
+        assert fmindex.scan(clean, read(spark, "benchmark")).where("n_hit > 0").count() == 0
+    assert fmindex.digest(docs, items.where("false")).where("contaminated").count() == 0
+    assert fmindex.digest(docs.where("false"), items).count() == 0
+
+
+def test_fm_index_counts_and_locates():
+    rng = np.random.default_rng(5)
+    symbols = rng.integers(1, 4, 3000).astype(np.int32)
+    starts, lengths = np.array([0, 500, 1700]), np.array([500, 1200, 1300])
+    index = fmindex.FMIndex(symbols, starts, lengths, 3)
+    patterns = rng.integers(1, 4, (40, 5)).astype(np.int32)
+    low, high = index.search(patterns, np.full(40, 5))
+    for p, a, b in zip(patterns, low, high, strict=True):
+        true = [s + k for s, n in zip(starts, lengths, strict=True) for k in range(n - 4) if (symbols[s + k : s + k + 5] == p).all()]
+        assert sorted(index.locate(np.arange(a, b))) == true
+
+
+def test_every_query_on_odd_and_empty_tables(spark, tmp_path):
+    for name, rows in (("odd", odd(spark)), ("empty", odd(spark).where("false"))):
+        at = f"{tmp_path}/{name}"
+        rows.withColumns({"size": F.lit("x"), "score": F.lit(1), "h1": F.lit(2), "row": F.lit(0), "class": F.lit("c")}).write.parquet(f"{at}/documents.parquet")
+        keep = "true" if name == "odd" else "false"
+        for t in ("embeddings", "pages", "benchmark", "labels"):
+            read(spark, t).where(keep).write.parquet(f"{at}/{t}.parquet")
+        for query, f in queries.queries().items():
+            got = f(spark, at)
+            n = spark.read.parquet(f"{at}/{'embeddings' if 'op8' in query else 'pages' if 'op7' in query else 'documents'}.parquet").count()
+            assert got.count() == n, (name, query)
