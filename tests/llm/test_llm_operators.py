@@ -170,6 +170,17 @@ def test_near_text_odd_rows_and_stage(spark):
     assert icws.digest(odd(spark).where("false")).count() == 0
 
 
+def test_near_text_rows_with_repeated_and_null_ids(spark):
+    words = [f"w{i}" for i in range(400)]
+    a, b, c = (" ".join(words[k : k + 100]) for k in (0, 120, 240))
+    rows = [(1, a), (1, b), (2, b + " end"), (3, a + " more"), (None, c), (None, c), (None, c + " x"), (None, a), (4, None), (4, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.class_id, r.kept) for r in icws.digest(docs).collect())
+    assert got == Counter({(1, 1, True): 2, (2, 1, False): 1, (3, 1, False): 1, (None, None, False): 2, (None, None, True): 2, (None, 1, False): 1, (4, 4, True): 2})
+    left = Counter((r.doc_id, r.text) for r in icws.drop_near_duplicates(docs).collect())
+    assert left == Counter([(1, a), (1, b), (None, c + " x"), (4, None), (4, ""), (None, "")])
+
+
 def test_samples_agree_as_often_as_weighted_jaccard():
     rng = np.random.default_rng(3)
     hashes = base.mix(np.arange(600, dtype=np.uint64), 1)

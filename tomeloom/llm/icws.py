@@ -16,10 +16,14 @@ block by block inside tasks, which report the links that join them and no other
 group of n copies costs n comparisons, pairs are never rows, and no link between different texts
 that met is lost to the classes, which are the connected components.
 
-Defined results: null texts and texts without words form no group; a text of fewer than five
-words is one shingle; equal texts that have words are one class; rows with a null id are kept
-and have no class; rows of one id share a class and, if the id is its class's least, are all
-kept; an empty table gives an empty result.
+Rows are told apart by a number of their own, so ids may repeat or be null. A class is named
+by the least id of its rows (null if none has one), and one row of it is kept: that of the least
+id, of these the longest text.
+
+Defined results: null texts and texts without words form no group, so their rows are kept; a
+text of fewer than five words is one shingle; equal texts that have words are one class, with or
+without ids; rows that share an id but hold unlike texts are in different classes, which may then
+bear the same name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import NOT_ALNUM, Tokenizer, Tokens, cut, mix, text_runs
@@ -172,10 +176,15 @@ def band_hashes(doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, docs:
     return present, out
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs and _row, a number for each row; written once, as a second reading may number otherwise."""
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
-    """doc_id, h1, h2 (of the text) and bands (array, null without words) for each row of docs (doc_id, text)."""
+    """_row, doc_id, h1, h2 (of the text) and bands (array, null without words) for each row of docs (_row, doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # CELLS numbers
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(17), "text").alias("h2"), F.octet_length("text").cast("long").alias("size"), "text")
+    rows = docs.select("_row", "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(17), "text").alias("h2"), F.octet_length("text").cast("long").alias("size"), "text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, idf = Tokenizer(NOT_ALNUM), shared.value
@@ -187,21 +196,21 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
                     present, found = band_hashes(doc, hashes, idf.of(hashes, times), j - i)
                     for d, row in zip(present, found, strict=True):
                         bands[i + d] = row
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h1", "h2", "size")), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_row", "doc_id", "h1", "h2", "size")), pa.array(bands, pa.list_(pa.int64()))], ["_row", "doc_id", "h1", "h2", "size", "bands"])
 
-    return rows.mapInArrow(apply, "doc_id long, h1 long, h2 long, size long, bands array<long>")
+    return rows.mapInArrow(apply, "_row long, doc_id long, h1 long, h2 long, size long, bands array<long>")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, weights: Weights) -> DataFrame:
-    """The pairs (a, b) of ids whose texts in docs (doc_id, text) are similar.
+    """The pairs (a, b) of row numbers whose texts in docs (_row, text) are similar.
 
     Each text is sent once to every task where it is compared: b's texts are grouped under a,
     dealt over SALTS tasks at most, with a's own text in front.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     want = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
-    asked = want.select("a", "salt", "b", F.col("b").alias("doc_id")).unionByName(want.select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id")).distinct())
-    texts = docs.select("doc_id", "text").join(asked, "doc_id").select("a", "salt", "b", "text")
+    asked = want.select("a", "salt", "b", F.col("b").alias("_row")).unionByName(want.select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("a").alias("_row")).distinct())
+    texts = docs.select("_row", "text").join(asked, "_row").select("a", "salt", "b", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, idf = Tokenizer(NOT_ALNUM), shared.value
@@ -256,16 +265,16 @@ def joined(hashes: list[np.ndarray], weights: list[np.ndarray]) -> list[tuple[in
 
 
 def within_buckets(members: DataFrame, docs: DataFrame, weights: Weights) -> DataFrame:
-    """Links (a, b) that join the similar texts of each bucket. members: bucket, b (id), size (bytes).
+    """Links (a, b) that join the similar texts of each bucket. members: bucket, b (row number), size (bytes).
 
     A large bucket is dealt into blocks, and each pair of its blocks is compared by itself.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     sizes = members.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BUCKET_TEXTS), F.ceil(F.sum("size") / BUCKET_BYTES)).cast("int").alias("blocks"))
     dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("bucket", F.col("b").alias("doc_id"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    blocks = dealt.select("bucket", "doc_id", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    texts = docs.select("doc_id", "text").join(blocks, "doc_id")
+    dealt = dealt.select("bucket", F.col("b").alias("_row"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    blocks = dealt.select("bucket", "_row", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    texts = docs.select("_row", "text").join(blocks, "_row")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, idf = Tokenizer(NOT_ALNUM), shared.value
@@ -277,7 +286,7 @@ def within_buckets(members: DataFrame, docs: DataFrame, weights: Weights) -> Dat
 
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "high")), strict=True))
-            names = batch.column("doc_id").to_pylist()
+            names = batch.column("_row").to_pylist()
             for i, j, data, offsets in text_runs(batch.column("text")):
                 doc, found, times = shingles(tokenizer(data, offsets))
                 w = idf.of(found, times)
@@ -294,16 +303,18 @@ def within_buckets(members: DataFrame, docs: DataFrame, weights: Weights) -> Dat
         if len(ids) > 1:
             yield done()
 
-    return texts.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "doc_id").mapInArrow(compare, "a long, b long")
+    return texts.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "_row").mapInArrow(compare, "a long, b long")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (least id of the class), for each row of docs (doc_id, text) with an id."""
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
+def classes(rows: DataFrame) -> DataFrame:
+    """_row, doc_id, class_id (least id of the class) and kept (true for one row of a class), for each row of rows (_row, doc_id, text)."""
+    named = rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     weights = document_frequencies(named)
     signed = cut(signatures(named, weights))
     worded = signed.where(F.col("bands").isNotNull())
-    texts = worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"), F.min("size").alias("size"))
+    # Of a class the row that compares least is kept.
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", (-F.col("size")).alias("shorter"), "h1", "h2", "_row")
+    texts = worded.groupBy("h1", "h2").agg(F.min("_row").alias("rep"), F.min("bands").alias("bands"), F.min("size").alias("size"), F.min(place).alias("first"))
     buckets = cut(texts.select("rep", "size", F.explode("bands").alias("bucket")))
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("bucket", "a")
     met = cut(buckets.join(shared, "bucket").select("bucket", "a", F.col("rep").alias("b"), "size"))
@@ -316,24 +327,20 @@ def classes(docs: DataFrame) -> DataFrame:
         more = cut(within_buckets(mixed, named, weights))
         if more.limit(1).count():
             rooted = components(links.unionByName(more))
-    of_text = texts.select("h1", "h2", "rep").join(rooted.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
+    of_text = texts.select("h1", "h2", "rep", "first").join(rooted.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "first", F.coalesce("root", "rep").alias("root"))
     of_text = cut(of_text)
-    classed = worded.select("doc_id", "h1", "h2").join(of_text, ["h1", "h2"]).select("doc_id", F.col("root").alias("class_id"))
-    return classed.unionByName(signed.where(F.col("bands").isNull()).select("doc_id", F.col("doc_id").alias("class_id"))).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    firsts = of_text.groupBy("root").agg(F.min("first").alias("first")).select("root", F.col("first.doc_id").alias("class_id"), F.col("first._row").alias("keeper"))
+    of_class = cut(of_text.select("h1", "h2", "root").join(firsts, "root").drop("root"))
+    classed = worded.select("_row", "doc_id", "h1", "h2").join(of_class, ["h1", "h2"]).select("_row", "doc_id", "class_id", (F.col("_row") == F.col("keeper")).alias("kept"))
+    return classed.unionByName(signed.where(F.col("bands").isNull()).select("_row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept")))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, kept for each row of docs; a row without an id is kept and has no class."""
-    found = classes(docs)
-    rows = docs.select("doc_id").join(found, "doc_id", "left")
-    return rows.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    """doc_id, class_id, kept for each row of docs."""
+    return classes(numbered(docs.select("doc_id", "text"))).select("doc_id", "class_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: that of the class's least id, or one of them if ids repeat."""
-    found = classes(docs)
-    kept = found.where("doc_id = class_id").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.length("text").desc(), F.xxhash64("text"))
-    once = named.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return once.unionByName(docs.where(F.col("doc_id").isNull()))
+    """docs with one row of each class, and all rows without words."""
+    rows = numbered(docs)
+    return rows.join(classes(rows).where("kept").select("_row"), "_row", "left_semi").select(*docs.columns)
