@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +182,28 @@ def test_near_text_rows_with_repeated_and_null_ids(spark):
     assert left == Counter([(1, a), (1, b), (None, c + " x"), (4, None), (4, ""), (None, "")])
 
 
+def test_near_text_similarity_in_a_large_group(spark):
+    rng = np.random.default_rng(8)
+    base_words = [f"w{i}" for i in range(204)]
+    texts = {0: " ".join(base_words)}
+    for i in range(1, 60):  # four words changed far apart: 20 of 200 shingles, plain Jaccard 180 / 220
+        words = list(base_words)
+        for at in (20, 70, 120, 170):
+            words[at + int(rng.integers(0, 20))] = f"edit{i}x{at}"
+        texts[i] = " ".join(words)
+    for i in range(100, 200):
+        texts[i] = " ".join(f"other{i}x{k}" for k in range(200))
+    sets = weighted_classes(texts)
+    plain = {i: sum((sets[0] & sets[i]).values()) / sum((sets[0] | sets[i]).values()) for i in range(1, 60)}
+    assert all(0.8 <= x < 0.828 for x in plain.values())
+    got = {r.doc_id: r.class_id for r in icws.digest(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert sum(got[i] == 0 for i in range(60)) >= 58 and all(got[i] == i for i in range(100, 200))
+    one = icws.shingles(base.Tokenizer(base.NOT_ALNUM)(*[(d, o) for _, _, d, o in base.text_runs(pa.array([texts[0], texts[1]]))][0]))
+    parts = [one[0] == k for k in (0, 1)]
+    low = [np.where(np.isin(one[1][p], one[1][parts[1 - k]]), 1.0, 1.25) for k, p in enumerate(parts)]
+    assert icws.joined([one[1][p] for p in parts], low, [one[2][p] for p in parts]) == [(0, 1)]
+
+
 def test_samples_agree_as_often_as_weighted_jaccard():
     rng = np.random.default_rng(3)
     hashes = base.mix(np.arange(600, dtype=np.uint64), 1)

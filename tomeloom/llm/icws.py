@@ -3,7 +3,9 @@
 A text is a weighted set of its shingles of five words, each weighing its frequency in the text
 times a smoothed inverse document frequency. Consistent weighted samples of that set agree
 between two texts with the probability of their weighted Jaccard similarity; bands of samples
-are the buckets. Texts that meet in a bucket are compared exactly, by Σ min / Σ max.
+are the buckets. Texts that meet in a bucket are compared exactly, by Σ min / Σ max over the weights
+and over the bare frequencies, and are similar if either reaches SIMILARITY: so shingles that a
+large group of copies makes common can't make its own members look less alike.
 
 Document frequencies come from a count sketch of fixed size over all texts: a shingle's share of
 the texts is its cell's count, less the cell's expected load, over the number of texts. The
@@ -201,6 +203,11 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
     return rows.mapInArrow(apply, "_row long, doc_id long, h1 long, h2 long, size long, bands array<long>")
 
 
+def alike(common, left, right):
+    """Whether the Jaccard similarity of two sets reaches SIMILARITY: what they share and what each weighs, as numbers or arrays."""
+    return common >= SIMILARITY * (left + right - common) * (1 - 1e-6)
+
+
 def similar(pairs: DataFrame, docs: DataFrame, weights: Weights) -> DataFrame:
     """The pairs (a, b) of row numbers whose texts in docs (_row, text) are similar.
 
@@ -225,13 +232,11 @@ def similar(pairs: DataFrame, docs: DataFrame, weights: Weights) -> DataFrame:
                 for k in range(i, j):
                     own = slice(edges[k - i], edges[k - i + 1])
                     if b[k] is None:
-                        head, key = (hashes[own], w[own], float(w[own].sum())), (a[k], salt[k])
+                        head, key = (hashes[own], w[own], times[own]), (a[k], salt[k])
                     elif key == (a[k], salt[k]) and len(head[0]):
                         at = np.minimum(np.searchsorted(head[0], hashes[own]), len(head[0]) - 1)
                         both = head[0][at] == hashes[own]
-                        shared_weight = float(np.minimum(head[1][at], w[own])[both].sum())
-                        whole = head[2] + float(w[own].sum()) - shared_weight
-                        if shared_weight >= SIMILARITY * whole:
+                        if any(alike(float(np.minimum(x[at], y[own])[both].sum()), float(x.sum()), float(y[own].sum())) for x, y in ((head[1], w), (head[2], times))):
                             left.append(a[k])
                             right.append(b[k])
             if left:
@@ -240,21 +245,24 @@ def similar(pairs: DataFrame, docs: DataFrame, weights: Weights) -> DataFrame:
     return texts.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(compare, "a long, b long")
 
 
-def joined(hashes: list[np.ndarray], weights: list[np.ndarray]) -> list[tuple[int, int]]:
+def joined(hashes: list[np.ndarray], weights: list[np.ndarray], times: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links (i, j) of similar texts that join all texts whose similarity links are connected."""
     n = len(hashes)
-    totals = np.array([w.sum() for w in weights], dtype=np.float64)
     owner = np.repeat(np.arange(n), [len(h) for h in hashes])
-    every, weight = np.concatenate(hashes), np.concatenate(weights)
+    every = np.concatenate(hashes)
     order = np.argsort(every, kind="stable")
-    every, owner, weight = every[order], owner[order], weight[order]
+    every, owner = every[order], owner[order]
     edges = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1], [True]]))
-    common = np.zeros((n, n), dtype=np.float32)
-    for i, j in zip(edges[:-1], edges[1:], strict=True):
-        if j - i > 1:
-            at, w = owner[i:j], weight[i:j]
-            common[at[:, None], at] += np.minimum(w[:, None], w)
-    close = common >= SIMILARITY * (totals[:, None] + totals - common) * (1 - 1e-6)
+    runs = [(i, j) for i, j in zip(edges[:-1], edges[1:], strict=True) if j - i > 1]
+    close = np.zeros((n, n), dtype=bool)
+    for measure in (weights, times):
+        totals = np.array([m.sum() for m in measure], dtype=np.float64)
+        value = np.concatenate(measure)[order].astype(np.float32)
+        common = np.zeros((n, n), dtype=np.float32)
+        for i, j in runs:
+            at, m = owner[i:j], value[i:j]
+            common[at[:, None], at] += np.minimum(m[:, None], m)
+        close |= alike(common, totals[:, None], totals)
     root, links = np.arange(n), []
     for i in range(n):
         for j in np.flatnonzero(close[i, i + 1 :] & (root[i + 1 :] != root[i])) + i + 1:
@@ -278,10 +286,10 @@ def within_buckets(members: DataFrame, docs: DataFrame, weights: Weights) -> Dat
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, idf = Tokenizer(NOT_ALNUM), shared.value
-        key, ids, hashes, ws = None, [], [], []
+        key, ids, hashes, ws, counts = None, [], [], [], []
 
         def done() -> pa.RecordBatch:
-            found = joined(hashes, ws)
+            found = joined(hashes, ws, counts)
             return pa.RecordBatch.from_arrays([pa.array([min(ids[i], ids[j]) for i, j in found], pa.int64()), pa.array([max(ids[i], ids[j]) for i, j in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
@@ -295,11 +303,12 @@ def within_buckets(members: DataFrame, docs: DataFrame, weights: Weights) -> Dat
                     if keys[k] != key:
                         if len(ids) > 1:
                             yield done()
-                        key, ids, hashes, ws = keys[k], [], [], []
+                        key, ids, hashes, ws, counts = keys[k], [], [], [], []
                     own = slice(edges[k - i], edges[k - i + 1])
                     ids.append(names[k])
                     hashes.append(found[own].copy())
                     ws.append(w[own].copy())
+                    counts.append(times[own].copy())
         if len(ids) > 1:
             yield done()
 
