@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeloom.llm import fmindex, icws, mixing, rules, shards
-from tomeloom.llm.base import local_dir, read
+from tomeloom.llm.base import cut, local_dir, read
 
 #: Columns that the stages work on; all others are carried along.
 NAMED = ("doc_id", "text", "source", "n_chars")
@@ -29,8 +29,8 @@ def _restored(rows: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs, which are read from files, with a number for each row that a second reading repeats."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+    """docs with a number for each row; written once, as a second reading may pack and number the rows otherwise."""
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

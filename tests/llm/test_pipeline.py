@@ -3,9 +3,11 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tomeloom.llm import fmindex
+from tomeloom.llm import fmindex, mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,6 +35,21 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert len(size) == 16 and max(size.values()) - min(size.values()) <= 2 * max(len((r.text or "").encode()) + 1 for r in rows["shard"])
 
 
+def test_numbers_hold_when_a_second_reading_packs_rows_otherwise(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+
+    def anyhow(batches):
+        rng = np.random.default_rng()  # another order at each reading
+        for batch in batches:
+            yield batch.take(pa.array(rng.permutation(len(batch))))
+
+    unsteady = docs.mapInArrow(anyhow, docs.schema)
+    placed = corpus_pipeline.shard(spark, unsteady, SF).collect()
+    assert [r.doc_id for r in sorted(placed, key=lambda r: (r.shard, r.slot))] == sorted(r.doc_id for r in docs.collect())
+    passes = {r.doc_id: r.passes for r in mixing.digest(mixing.mix(mixing.sized(docs))).collect() if r.passes}
+    assert Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, unsteady, SF).collect()) == passes
+
+
 def test_stages_take_an_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
