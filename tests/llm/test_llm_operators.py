@@ -369,6 +369,24 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
     assert fmindex.digest(docs.where("false"), items).count() == 0
 
 
+def test_decontamination_counts_ids_once_at_any_block_size(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "nothing of these")], "doc_id long, text string")
+    texts = [" ".join(words[k : k + 15]) for k in (0, 20, 40)]
+    rows = [(7, texts[0]), (7, texts[0]), (7, texts[1]), (8, texts[1]), (None, texts[0]), (None, texts[2]), (None, None)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    built = []
+    whole = fmindex.Phrases.__init__
+    monkeypatch.setattr(fmindex.Phrases, "__init__", lambda self, ids, *a: (built.append(len(ids)), whole(self, ids, *a))[1])
+    for size in (1_000_000, 20):
+        monkeypatch.setattr(fmindex, "BLOCK_WORDS", size)
+        built.clear()
+        got = {r.doc_id: r for r in fmindex.digest(docs, items).collect()}
+        assert (got[1].n_items, got[1].n_hit) == (2, 45) and got[2].n_items == 0
+        assert got[1].items_sha256 == hashlib.sha256(b"7,8").hexdigest()
+        assert (len(built) == 1) == (size > 20) and sum(built) == 6
+
+
 def test_fm_index_counts_and_locates():
     rng = np.random.default_rng(5)
     symbols = rng.integers(1, 4, 3000).astype(np.int32)

@@ -11,8 +11,8 @@ occurrence can reach outside them; a separator stands for all that lies between.
 nothing out, and texts of other words cost little more than their tokens.
 
 Defined results: null texts and items have no words; an item of fewer words than a window is
-one window; an item without words never occurs; items with a null id are named ''; equal items
-all count; repeated rows get equal results; empty tables give empty results or no hits. A text
+one window; an item without words never occurs; rows of one id are one item, however the blocks
+fall; items with a null id hit, but aren't counted or listed; repeated rows get equal results; empty tables give empty results or no hits. A text
 longer than a shard is a shard by itself.
 """
 
@@ -23,7 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import NOT_ALNUM, Tokenizer, cut, ranges, text_runs
@@ -40,7 +41,7 @@ SAMPLE = 16
 class Phrases:
     """A block of the benchmark: sorted word hashes, distinct windows as symbols, the items of each."""
 
-    def __init__(self, ids: list[str], texts: pa.Array, window: int = WINDOW):
+    def __init__(self, ids: list[str | None], texts: pa.Array, window: int = WINDOW):
         tokenizer = Tokenizer(NOT_ALNUM)
         words: list[np.ndarray] = []
         for i, j, data, offsets in text_runs(texts):
@@ -48,11 +49,12 @@ class Phrases:
             words += [t.hash[a:b] for a, b in zip(np.searchsorted(t.doc, np.arange(j - i)), np.searchsorted(t.doc, np.arange(j - i), side="right"), strict=True)]
         self.vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, dtype=np.uint64)
         owners: dict[bytes, set[int]] = {}
-        self.ids = ids
-        for item, hashes in enumerate(words):
+        number = {name: k for k, name in enumerate(dict.fromkeys(ids))}  # rows of one id are one item
+        self.ids = list(number)
+        for name, hashes in zip(ids, words, strict=True):
             symbols = (np.searchsorted(self.vocabulary, hashes) + 1).astype(np.int32)
             for at in range(max(len(symbols) - window + 1, min(len(symbols), 1))):
-                owners.setdefault(symbols[at : at + window].tobytes(), set()).add(item)
+                owners.setdefault(symbols[at : at + window].tobytes(), set()).add(number[name])
         self.lengths = np.array([len(k) // 4 for k in owners], dtype=np.int64)
         self.symbols = np.zeros((len(owners), window), dtype=np.int32)
         for row, key in enumerate(owners):
@@ -213,19 +215,20 @@ def occurrences(symbols: np.ndarray, docs: np.ndarray, phrases: Phrases) -> tupl
     return index.locate(ranges(low, high - low)), window
 
 
-def blocks(benchmark: DataFrame, text_column: str = "text") -> Iterator[Phrases]:
-    """The benchmark in blocks of about BLOCK_WORDS words, chosen by a hash of the item."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
+def blocks(benchmark: DataFrame, text_column: str = "text") -> list[DataFrame]:
+    """The benchmark's distinct (id, text) in blocks of about BLOCK_WORDS words, chosen by a hash of the item; none is read yet."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.coalesce(text_column, F.lit("")).alias("text")).distinct()
     words = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))).alias("n")).first()["n"] or 0
     n = max(1, math.ceil(words / BLOCK_WORDS))
-    for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b)
-        table = part.toArrow()
-        yield Phrases(table["id"].to_pylist(), table["text"])
+    return [items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b) for b in range(n)]
 
 
-def _scan_block(docs: DataFrame, phrases: Phrases) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(phrases)  # a block, so of bounded size
+def _shared(spark: SparkSession, block: DataFrame) -> Broadcast:
+    table = block.toArrow()
+    return spark.sparkContext.broadcast(Phrases(table["id"].to_pylist(), table["text"]))  # a block, so of bounded size
+
+
+def _scan_block(docs: DataFrame, shared: Broadcast) -> DataFrame:
     names = docs.columns
     fields = docs.schema
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
@@ -256,7 +259,8 @@ def _scan_block(docs: DataFrame, phrases: Phrases) -> DataFrame:
                 many = np.diff(block.item_start)[w]
                 owners = np.unique(np.repeat(doc, many) * (len(block.ids) + 1) + block.items[ranges(block.item_start[w], many)])
                 for d, k in zip(*np.divmod(owners, len(block.ids) + 1), strict=True):
-                    items[i + d].append(block.ids[k])
+                    if block.ids[k] is not None:  # as in SQL, an item without an id hits, but isn't counted
+                        items[i + d].append(block.ids[k])
                 opens = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1] & (t.doc[1:] == t.doc[:-1])]))
                 closes = np.flatnonzero(hit & ~np.concatenate([hit[1:] & (t.doc[1:] == t.doc[:-1]), [False]]))
                 for a, b in zip(opens, closes, strict=True):
@@ -279,14 +283,21 @@ _MERGED = """aggregate(array_sort(flatten(collect_list(spans))), cast(array() as
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs (with a ``text``) and n_words, n_hit, items (array of ids) and spans (bytes of the text, merged).
 
-    With several blocks the counts of hit words come from the merged spans of all blocks.
+    With several blocks each is built, broadcast, scanned for and released before the next, and
+    the counts of hit words come from the merged spans of all blocks.
     """
-    every = list(blocks(benchmark))
+    spark = docs.sparkSession
+    every = blocks(benchmark)
     if len(every) == 1:
-        return _scan_block(docs, every[0])
+        return _scan_block(docs, _shared(spark, every[0]))
     names = docs.columns
     rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    parts = [_scan_block(rows.select("_row", "text"), p).drop("text") for p in every]
+    parts = []
+    for k, block in enumerate(every):
+        shared = _shared(spark, block)
+        part = _scan_block(rows.select("_row", "text"), shared).drop("text")
+        parts.append(cut(part if k == 0 else part.where("n_hit > 0")))  # the first has every row
+        shared.destroy()
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p)
