@@ -68,6 +68,20 @@ def test_secret_scan_equals_brute_force(spark):
     assert got[100].spans == "" and (got[100].n_live, got[100].n_copied) == (0, 1)
 
 
+def test_secret_ownership_judges_base_values(spark):
+    key, own, two, many = ("AKIA" + c * 16 for c in "WXYZ")
+    wide = "ghp_" + "Q1w2" * 9
+    held = [(key, "a", "r"), *[(own, "a", f"r{i}") for i in range(6)], (two, "a", "r"), (two, "b", "r"), (wide, "a", "r"), (wide, "b", "r"), *[(many, f"o{i}", "r") for i in range(4)]]
+    rows = [(i, f"number {i}: {v} end", o, r) for i, (v, o, r) in enumerate(held)] + [(90, "Authorization: Bearer " + "k" * 30, "a", "r"), (91, "aws_secret_access_key=" + "k" * 40, "a", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string")
+    got = {r.doc_id: r for r in secrets.digest(secrets.scan_owned(docs, F.col("owner"), F.concat_ws("/", "owner", "repo"))).collect()}
+    for i, (v, _, _) in enumerate(held):
+        verdict = (got[i].n_live, got[i].n_copied, got[i].n_base_live, got[i].n_base_copied)
+        assert verdict == ((1, 0, 0, 0) if v == wide else (0, 0, 0, 1) if v == many else (0, 0, 1, 0)), i
+        assert (got[i].copied_spans != "") == (v == many) and got[i].spans != ""
+    assert got[90].spans == "bearer:15:52" and got[91].spans == "named:11:62"
+
+
 def test_shards_equal_prefix_sums(spark):
     for docs in (read(spark, "documents"), odd(spark)):
         rows = sorted(((r.doc_id, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 1) for r in docs.collect()), key=lambda x: (x[0] is not None, x))

@@ -1,9 +1,10 @@
 """Secret scan with corpus-wide ownership frequency, in built-in expressions only.
 
-Each text is searched for credential shapes. The three base kinds (assign, access, hex) are
-always reported. The wider kinds below are candidates: the value of each is hashed and counted
-over the whole corpus by distinct owners and repositories. A value that one owner alone holds
-looks live and is reported; one that several owners hold is a copied example and isn't.
+Each text is searched for credential shapes. The value of every match is hashed and counted over
+the whole corpus by distinct owners and repositories. A value that more than MAX_OWNERS owners
+hold in more than MAX_REPOS repositories is a widely copied example; any other looks live. The
+spans of the three base kinds (assign, access, hex) are always reported, with their verdicts
+counted beside them; those of the wider kinds are reported if they look live.
 
 Defined results: a null text is the empty text and has no spans; a null owner counts as one
 owner named ''; repeated rows and rows with one id each get their own row back, and equal rows
@@ -29,11 +30,15 @@ MORE_KINDS = {
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, "eyJ"),
     "pem": (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1, "-----BEGIN "),
     "url": (r"[a-z][a-z0-9+.-]{1,20}://[^\x20\t\r\n/:@]{1,80}:([^\x20\t\r\n/:@]{3,200})@", 1, 3, "://"),
+    "bearer": (r"(?i:bearer)\x20+([A-Za-z0-9._~+/-]+=*)", 1, 20, None),
+    "named": (r"""(?i:access_?key|secret_?key|private_?key|auth_?key|encryption_?key|credentials?|pwd)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12, None),
 }
 KINDS = {**BASE_KINDS, **MORE_KINDS}
 
-#: A value that more owners than this hold is a widely copied example.
-MAX_OWNERS = 1
+#: A value that more owners than this hold, in more repositories than this, is a widely copied
+#: example: a key that one team keeps in two places, or in many repositories of its own, is not.
+MAX_OWNERS = 2
+MAX_REPOS = 3
 #: Rows of one value are dealt over so many salts; a bit mask of those in use fits a long.
 SALTS = 64
 
@@ -82,53 +87,58 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """One row per value hash: distinct owners, distinct repositories, rows, and salts in use.
+    """One row per value hash: distinct owners, distinct repositories, and salts in use.
 
     candidates: hash, owner, repo, salt. Every step groups what the step before has combined,
     so a value held by a third of all rows reaches each reducer as a few rows.
     """
-    by_repo = candidates.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"), F.expr("bit_or(shiftleft(1L, salt))").alias("salts"))
-    by_owner = by_repo.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"), F.expr("bit_or(salts)").alias("salts"))
-    return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n"), F.expr("bit_or(salts)").alias("salts"))
+    by_repo = candidates.groupBy("hash", "owner", "repo").agg(F.expr("bit_or(shiftleft(1L, salt))").alias("salts"))
+    by_owner = by_repo.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.expr("bit_or(salts)").alias("salts"))
+    return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.expr("bit_or(salts)").alias("salts"))
 
 
 def scan_owned(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
-    """Per row of docs (doc_id, text): base spans, spans that ownership keeps, and counts of both sorts.
+    """Per row of docs (doc_id, text): its spans by verdict, and counts of both verdicts.
 
-    Returns doc_id, base and live (arrays of spans), n_live and n_copied (long): the wider
-    kinds' values that one owner alone holds, and those that are copied between owners.
+    Returns doc_id, base, live (base and the wider kinds' live spans) and copied (copied spans of
+    all kinds), arrays of spans; n_live and n_copied (long) count the wider kinds' spans of either
+    verdict, n_base_live and n_base_copied those of the base kinds.
     """
     found = cut(
         scan(docs.select("doc_id", "text", F.coalesce(owner, F.lit("")).alias("owner"), F.coalesce(repo, F.lit("")).alias("repo")))
-        .withColumn("base", F.filter("spans", lambda s: s["kind"] < len(BASE_KINDS)))
-        .withColumn("more", F.filter("spans", lambda s: s["kind"] >= len(BASE_KINDS)))
-        .drop("spans")
         .withColumn("row", F.monotonically_increasing_id())
     )
     candidates = (
-        found.where(F.size("more") > 0)
-        .select("row", "owner", "repo", F.explode("more").alias("span"))
+        found.where(F.size("spans") > 0)
+        .select("row", "owner", "repo", F.explode("spans").alias("span"))
         .withColumn("hash", F.sha2(F.concat_ws(":", F.col("span.kind").cast("string"), F.col("span.value")), 256))
         .withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     )
     values = ownership(candidates)
     in_use = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.col("salts").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
     dealt = values.select("hash", "owners", "repos", F.explode(in_use).alias("salt"))
+    wide = F.col("span.kind") >= len(BASE_KINDS)
+    copied = (F.col("owners") > MAX_OWNERS) & (F.col("repos") > MAX_REPOS)
     judged = (
         candidates.join(dealt, ["hash", "salt"])
         .groupBy("row")
         .agg(
-            F.collect_list(F.when(F.col("owners") <= MAX_OWNERS, F.col("span"))).alias("live"),
-            F.count_if(F.col("owners") <= MAX_OWNERS).alias("n_live"),
-            F.count_if(F.col("owners") > MAX_OWNERS).alias("n_copied"),
+            F.collect_list(F.when(wide & ~copied, F.col("span"))).alias("live"),
+            F.collect_list(F.when(copied, F.col("span"))).alias("copied"),
+            F.count_if(wide & ~copied).alias("n_live"),
+            F.count_if(wide & copied).alias("n_copied"),
+            F.count_if(~wide & ~copied).alias("n_base_live"),
+            F.count_if(~wide & copied).alias("n_base_copied"),
         )
     )
+    nothing = F.array().cast(_SPAN)
+    base = F.filter("spans", lambda s: s["kind"] < len(BASE_KINDS))
     return found.join(judged, "row", "left").select(
         "doc_id",
-        "base",
-        F.array_sort(F.concat("base", F.coalesce("live", F.array().cast(_SPAN)))).alias("live"),
-        F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
-        F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
+        base.alias("base"),
+        F.array_sort(F.concat(base, F.coalesce("live", nothing))).alias("live"),
+        F.array_sort(F.coalesce("copied", nothing)).alias("copied"),
+        *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("n_live", "n_copied", "n_base_live", "n_base_copied")],
     )
 
 
@@ -146,4 +156,7 @@ def digest(scanned: DataFrame) -> DataFrame:
         _listed(F.col("live")).alias("spans"),
         "n_live",
         "n_copied",
+        "n_base_live",
+        "n_base_copied",
+        _listed(F.col("copied")).alias("copied_spans"),
     )
