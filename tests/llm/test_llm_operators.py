@@ -302,6 +302,15 @@ def test_main_text(spark):
         assert mainhtml.main_text(r.html) == mainhtml.main_text(f"<body><div>{article}</div></body>")
 
 
+def test_main_text_inside_wrappers():
+    inner = "<p>First paragraph, of some length, that goes on for a while.<p>Second paragraph with more words in it."
+    expected = inner[3:].replace("<p>", "\n")
+    controls = "<select><option>One</select><button>Send</button><label>Name <input></label>"
+    for tag in ("form", "fieldset", "object"):
+        assert mainhtml.main_text(f"<body><{tag}><div>{inner}</div>{controls}</{tag}></body>") == expected
+        assert mainhtml.main_text(f"<body><{tag}><article>{inner}</article></{tag}><{tag}>Search here {controls}</{tag}></body>") == expected
+
+
 def test_e8_decoding_and_minimal_vectors():
     v = lattice.minimal_vectors()
     assert len(v) == 240 and np.allclose((v**2).sum(1), 2)

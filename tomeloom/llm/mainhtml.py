@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 REMOVED = frozenset("head script style noscript template nav footer aside form button select textarea iframe svg canvas object dialog menu title input label fieldset".split())
+#: Of these, what may be wrapped around a page's article; such an element goes only if it isn't.
+WRAPPERS = frozenset("form fieldset label object".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 BLOCK_CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody")}
@@ -163,7 +165,7 @@ def _measure(order: list[Node]) -> None:
 
 
 def _remove_noise(root: Node) -> None:
-    """Drops noise subtrees, but none that a class alone condemns though it holds most of the page's text or an article."""
+    """Drops noise subtrees, but none that a class or a wrapper's name alone condemns though it holds most of the page's text or an article."""
     order = _preorder(root)
     _measure(order)
     holds = {id(n) for n in order if n.tag in ("article", "main")}
@@ -176,7 +178,7 @@ def _remove_noise(root: Node) -> None:
         kept = []
         for c in node.children:
             if isinstance(c, Node):
-                if c.noise and (c.tag in REMOVED or c.tag == "header" or not (id(c) in holds or c.chars > 0.6 * root.chars)):
+                if c.noise and (c.tag in REMOVED - WRAPPERS or c.tag == "header" or not (id(c) in holds or c.chars > 0.6 * root.chars)):
                     kept.append(" ")
                     continue
                 stack.append(c)
