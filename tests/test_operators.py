@@ -45,7 +45,7 @@ def test_markdown_and_plain_chapters(spark):
 
 def test_remap(spark):
     chapters = spark.createDataFrame([(0, 0, "a", 1, 0, 50), (0, 1, "b", 1, 50, 100)], "book_id long, chapter_ix int, title string, level int, start_char long, end_char long")
-    found = spark.sql("select 0L book_id, array(named_struct('start', 10L, 'stop', 20L, 'reason', 'duplicate', 'label', '')) regions, 100L original_chars, 10L removed_chars")
+    found = spark.sql("select 0L book_id, array(named_struct('start', 10L, 'stop', 20L, 'seq', 0L, 'reason', 'duplicate', 'label', '')) regions, 100L original_chars, 10L removed_chars")
     assert [(r.start_char, r.end_char) for r in prune.remapped(chapters, found).orderBy("chapter_ix").collect()] == [(0, 40), (40, 90)]
 
 
@@ -96,9 +96,18 @@ def test_rules_find_regions(spark):
 
 
 def test_merge_keeps_first_reason_and_longer_label(spark):
-    expr = "array(named_struct('start', 0L, 'stop', 5L, 'reason', 'a', 'label', 'x'), named_struct('start', 5L, 'stop', 9L, 'reason', 'b', 'label', 'long'), named_struct('start', 6L, 'stop', 7L, 'reason', 'c', 'label', 'longest'), named_struct('start', 20L, 'stop', 21L, 'reason', 'd', 'label', ''))"
-    got = spark.range(1).select(prune.merged(F.expr(expr)).alias("r")).first().r
-    assert [tuple(x) for x in got] == [(0, 9, "a", "long"), (20, 21, "d", "")]
+    rows = [(0, 5, 1, "a", "x"), (5, 9, 2, "b", "long"), (6, 7, 3, "c", "longest"), (20, 21, 4, "d", ""), (30, 40, 6, "copyright", "later"), (30, 40, 5, "frontmatter", "first")]
+    df = spark.createDataFrame([(rows,)], f"r {prune.REGION}")
+    got = df.select(prune.merged(F.col("r")).alias("r")).first().r
+    assert [(x.start, x.stop, x.reason, x.label) for x in got] == [(0, 9, "a", "long"), (20, 21, "d", ""), (30, 40, "frontmatter", "first")]
+
+
+def test_repeated_lines_are_counted_bare(spark):
+    text = "  a line that comes back\nshort\na line that comes back \nshort\nshort\nhere a line that comes back, longer\na line that comes back\n   padded   \n   padded   \n   padded   "
+    df = books(spark, text, "", "x")
+    assert [tuple(r) for r in prune.duplicate_lines(df).collect()] == [(0, "a line that comes back", 3, 0)]
+    found = [(r.start, r.stop) for r in prune.duplicate_regions(df).orderBy("start").collect()]
+    assert found == [(m.start(), m.end()) for m in re.finditer("a line that comes back", text)]
 
 
 def test_modalities(spark):

@@ -24,9 +24,18 @@ HIT_PRICE, MISS_PRICE, OUTPUT_PRICE = 0.02, 1.0, 2.0
 MAX_CHUNK, OVERLAP, MIN_TARGET = 12000, 500, 100
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value evaluated once however often ``use`` names it: a lambda's variable stands for it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: The characters of the Unicode property White_Space, as the class \s of the patterns has them.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def heading_text(line: Column) -> Column:
@@ -41,7 +50,7 @@ def summary(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Characters that aren't white space."""
-    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s", ""))
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", ""))
 
 
 def is_ok(text: Column, error: Column) -> Column:
@@ -51,10 +60,11 @@ def is_ok(text: Column, error: Column) -> Column:
 def tokens(text: Column) -> Column:
     """CJK characters, and a quarter of all others that aren't white space; at least 1 unless empty."""
     text = F.coalesce(text, F.lit(""))
-    plain = F.regexp_replace(text, r"(?U)\s", "")
-    other = F.length(F.regexp_replace(plain, CJK, ""))
-    count = F.length(plain) - other + F.ceil(other / F.lit(4.0))
-    return F.when(F.length(text) == 0, 0).otherwise(F.greatest(F.lit(1), count)).cast("long")
+
+    def count(plain: Column) -> Column:
+        return bound(F.length(F.regexp_replace(plain, CJK, "")), lambda other: F.length(plain) - other + F.ceil(other / F.lit(4.0)))
+
+    return F.when(F.length(text) == 0, 0).otherwise(F.greatest(F.lit(1), bound(F.regexp_replace(text, r"(?U)\s+", ""), count))).cast("long")
 
 
 def ratio(strength: Column, book_type: Column) -> Column:
@@ -72,26 +82,32 @@ def actual_cost(hit: Column, miss: Column, output: Column) -> Column:
 
 
 def estimate(text: Column, target_ratio: Column, calls: Column | None = None, max_chars: int = MAX_CHUNK) -> dict[str, Column]:
-    """Calls, tokens, seconds and money of one request, by name."""
+    """Calls, tokens, seconds and money of one request, by name; the text is measured once."""
     if max_chars <= 0:
         raise ValueError("max_chars must be positive")
     size = F.length(F.coalesce(text, F.lit("")))
     calls = F.when(size == 0, 0).otherwise(F.greatest(F.lit(1), F.ceil(size / F.lit(float(max_chars))))) if calls is None else F.greatest(F.lit(0), calls)
-    calls = calls.cast("long")
-    source = tokens(text)
-    tokens_in = (F.ceil(source * F.lit(1.12)) + calls * 300).cast("long")
-    tokens_out = F.ceil(source * target_ratio).cast("long")
-    return {
-        "source_chars": size.cast("long"),
-        "api_calls": calls,
-        "input_tokens": tokens_in,
-        "output_tokens": tokens_out,
-        "time_seconds_low": calls * 2,
-        "time_seconds_high": calls * 8,
-        "cost_cny_low": cost(tokens_in, tokens_out, HIT_PRICE),
-        "cost_cny_high": cost(tokens_in, tokens_out, MISS_PRICE),
-        "pricing_version": F.lit(PRICING_VERSION),
-    }
+    measured = F.struct(size.cast("long").alias("size"), calls.cast("long").alias("calls"), tokens(text).alias("tokens"))
+
+    def all_of(m: Column) -> Column:
+        tokens_in = (F.ceil(m["tokens"] * F.lit(1.12)) + m["calls"] * 300).cast("long")
+        tokens_out = F.ceil(m["tokens"] * target_ratio).cast("long")
+        found = {
+            "source_chars": m["size"],
+            "api_calls": m["calls"],
+            "input_tokens": tokens_in,
+            "output_tokens": tokens_out,
+            "time_seconds_low": m["calls"] * 2,
+            "time_seconds_high": m["calls"] * 8,
+            "cost_cny_low": cost(tokens_in, tokens_out, HIT_PRICE),
+            "cost_cny_high": cost(tokens_in, tokens_out, MISS_PRICE),
+            "pricing_version": F.lit(PRICING_VERSION),
+        }
+        return F.struct(*[c.alias(n) for n, c in found.items()])
+
+    whole = bound(measured, all_of)
+    names = "source_chars api_calls input_tokens output_tokens time_seconds_low time_seconds_high cost_cny_low cost_cny_high pricing_version".split()
+    return {n: whole[n] for n in names}
 
 
 def length_issue(actual: Column, target: Column) -> Column:

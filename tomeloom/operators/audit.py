@@ -7,16 +7,33 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# Window size and stride in characters (a window is two strides), windows kept.
 SIZE, STRIDE, BEST = 1600, 800, 5
 
 
+def _parts(df: DataFrame) -> int:
+    """A count of partitions to name: what follows costs far more than the bytes from which AQE would choose one."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def claims_of(text: Column) -> Column:
+    """array<struct<line_no, sentence_no, claim>>: sentences of 18 to 220 characters without list and emphasis marks."""
+    bare = lambda x: F.regexp_replace(T.strip(F.regexp_replace(x, r"(?U)^[#>*+\-\d.\s]+", "")), r"[*_`]+", "")
+
+    def sentences(line: Column, i: Column) -> Column:
+        said = F.transform(F.split(line, r"(?<=[。！？!?；;])", -1), lambda x, k: F.struct(i.alias("line_no"), k.alias("sentence_no"), T.strip(x).alias("claim")))
+        return F.filter(said, lambda s: F.length(s["claim"]).between(18, 220))
+
+    def of_line(line: Column, i: Column) -> Column:
+        whole = T.bound(bare(line), lambda x: F.when((F.length(x) >= 18) & ~F.endswith(x, F.lit("：")), sentences(x, i)))
+        return F.when(F.length(line) >= 18, whole)  # what is too short as it stands isn't cleaned
+
+    return F.flatten(F.filter(F.transform(F.split(text, r"\R", -1), of_line), lambda x: x.isNotNull()))
+
+
 def claims(digests: DataFrame) -> DataFrame:
-    """book_id, line_no, sentence_no, claim: sentences of 18 to 220 characters without list and emphasis marks."""
-    lines = digests.select("book_id", F.posexplode(F.split("text", r"\R", -1)).alias("line_no", "_raw"))
-    line = F.regexp_replace(T.strip(F.regexp_replace("_raw", r"(?U)^[#>*+\-\d.\s]+", "")), r"[*_`]+", "")
-    kept = lines.withColumn("_line", line).where((F.length("_line") >= 18) & ~F.col("_line").endswith("："))
-    said = kept.select("book_id", "line_no", F.posexplode(F.split("_line", r"(?<=[。！？!?；;])", -1)).alias("sentence_no", "_s")).withColumn("claim", T.strip(F.col("_s")))
-    return said.where(F.length("claim").between(18, 220)).select("book_id", "line_no", "sentence_no", "claim")
+    """book_id, line_no, sentence_no, claim of every digest (book_id, text)."""
+    return digests.select("book_id", F.inline(claims_of(F.col("text"))))
 
 
 def compact(text: Column) -> Column:
@@ -24,35 +41,101 @@ def compact(text: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    c = compact(text)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
-    return F.when(F.length(c) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs))
+    """The distinct pairs of neighbouring characters, white space left out."""
 
+    def pairs(c: Column) -> Column:
+        n = F.greatest(F.size(c) - 1, F.lit(0))
+        return F.array_distinct(F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), lambda a, b: F.concat(a, b)))
 
-def windows(sources: DataFrame) -> DataFrame:
-    """source_id, start, window: SIZE characters every STRIDE, none beyond the one that reaches the end."""
-    last = F.greatest(F.ceil((F.length("text") - SIZE) / F.lit(float(STRIDE))), F.lit(0)).cast("int")
-    at = sources.where("text <> ''").select("source_id", "text", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: i * STRIDE)).alias("start"))
-    return at.select("source_id", "start", F.expr(f"substring(text, start + 1, {SIZE})").alias("window"))
+    return T.bound(F.split(compact(text), ""), pairs)
+
+
+def windows(text: Column) -> Column:
+    """array<string>: SIZE characters every STRIDE, none beyond the one that reaches the end; none of an empty text."""
+
+    def joined(pieces: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(pieces) - 2, F.lit(0)))
+        return F.transform(at, lambda i: F.concat(F.get(pieces, i), F.coalesce(F.get(pieces, i + 1), F.lit(""))))
+
+    return F.when(text != "", T.bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRIDE}}}"), F.lit(0)), joined))
 
 
 def best_windows(asked: DataFrame, sources: DataFrame, best: int = BEST) -> DataFrame:
-    """asked (claim_id, claim, source_id) with the windows of that source that share most bigrams, best first."""
-    cut = windows(sources).withColumn("_w", bigrams(F.col("window")))
-    scored = asked.withColumn("_q", bigrams(F.col("claim"))).join(cut, "source_id").withColumn("score", F.size(F.array_intersect("_q", "_w")) / F.greatest(F.lit(1), F.size("_q")))
+    """asked (claim_id, claim, source_id) with the windows of that source that share most bigrams, best first.
+
+    Texts are shuffled once; windows are cut where the texts meet their claims, so a source that
+    nothing asks for costs nothing, and only scores go on from there. A window's own bigrams are
+    never listed: a bigram of the claim is among them if the window, bare of white space, holds it.
+    """
+    met = asked.withColumn("_q", bigrams(F.col("claim"))).join(sources.select("source_id", "text").repartition(_parts(sources), "source_id"), "source_id")
+    cut = met.select("claim_id", "source_id", "_q", F.posexplode(windows(F.col("text"))).alias("_k", "_window"))
+    shared = T.bound(compact(F.col("_window")), lambda w: F.size(F.filter("_q", lambda g: F.contains(w, g))))
+    scored = cut.select("claim_id", "source_id", (F.col("_k") * STRIDE).alias("start"), (shared / F.greatest(F.lit(1), F.size("_q"))).alias("score"))
     rank = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.col("score").desc(), "start"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= best).select("claim_id", "source_id", "rank", "start", "score")
 
 
 def evidence(text: Column, quote: Column) -> dict[str, Column]:
-    """match ('exact', 'whitespace_normalized', 'none') and offset (-1 if none) of a quote."""
+    """match ('exact', 'whitespace_normalized', 'none') and offset (-1 if none) of a quote.
+
+    An offset without white space is carried back by the lengths of the text's pieces between
+    runs of white space: the runs before it are what it lacks.
+    """
     q = F.regexp_replace(T.strip(quote), "^[\"'`“”]+|[\"'`“”]+$", "")
     exact = F.when(q == "", -1).otherwise(F.call_function("locate", q, text) - 1)
     loose = F.when(compact(q) == "", -1).otherwise(F.call_function("locate", compact(q), compact(text)) - 1)
-    chars = F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: ~F.substring(text, i, F.lit(1)).rlike(r"(?U)^\s$"))
-    back = F.get(chars, loose) - 1
-    match = F.when(exact >= 0, "exact").when(loose >= 0, "whitespace_normalized").otherwise("none")
-    return {"match": match, "offset": F.when(exact >= 0, exact).when(loose >= 0, back).otherwise(-1)}
+
+    def back(at: Column) -> Column:
+        gap = F.lit(r"(?U)\s+")
+        runs = F.arrays_zip(F.split(text, r"(?U)\s+", -1).alias("p"), F.regexp_extract_all(text, gap, F.lit(0)).alias("g"))
+        state = F.struct(F.lit(0).alias("left_out"), F.lit(0).alias("kept"))
+
+        def step(acc: Column, x: Column) -> Column:
+            kept = acc["kept"] + F.length(x["p"])
+            more = F.when(kept <= at, F.coalesce(F.length(x["g"]), F.lit(0))).otherwise(0)
+            return F.struct((acc["left_out"] + more).alias("left_out"), kept.alias("kept"))
+
+        return at + F.aggregate(runs, state, step, lambda acc: acc["left_out"])
+
+    def found(x: Column) -> Column:
+        match = F.when(x["exact"] >= 0, "exact").when(x["loose"] >= 0, "whitespace_normalized").otherwise("none")
+        offset = F.when(x["exact"] >= 0, x["exact"]).when(x["loose"] >= 0, back(x["loose"])).otherwise(-1)
+        return F.struct(match.alias("match"), offset.cast("int").alias("offset"))
+
+    pair = T.bound(F.struct(exact.cast("int").alias("exact"), loose.cast("int").alias("loose")), found)
+    return {"match": pair["match"], "offset": pair["offset"]}
+
+
+def picked(chapters: DataFrame, seed: str, samples: int = 5) -> DataFrame:
+    """Claims of each digest, spread over its chapters: book_id, sample (from 1), chapter_index, line_no, claim.
+
+    chapters: book_id, chapter_index, text. Sample k falls into the chapter at k / samples of those
+    that have claims; 48 bits of a hash of seed, book, chapter and sample choose among its claims,
+    and a claim that is taken already gives way to the next free one, round the end.
+    """
+    # Dealt by book before the claims are cut out, so that this shuffle also serves the windows.
+    dealt = chapters.repartition(_parts(chapters), "book_id")
+    listed = dealt.select("book_id", "chapter_index", claims_of(F.col("text")).alias("_claims")).where(F.size("_claims") > 0)
+    of_book = Window.partitionBy("book_id")
+    place, usable = F.row_number().over(of_book.orderBy("chapter_index")) - 1, F.count("*").over(of_book)
+    mine = lambda k: F.floor(k * F.col("_usable") / samples) == F.col("_place")
+    wanted = listed.withColumn("_place", place).withColumn("_usable", usable).withColumn("_samples", F.filter(F.sequence(F.lit(0), F.lit(samples - 1)), mine)).where(F.size("_samples") > 0)
+    taken = "array<struct<k:int,line_no:int,claim:string>>"
+
+    def bits(k: Column) -> Column:
+        text = F.concat_ws(":", F.lit(seed), F.col("book_id").cast("string"), F.col("chapter_index").cast("string"), k.cast("string"))
+        return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("long")
+
+    def step(acc: Column, k: Column) -> Column:
+        n = F.size("_claims")
+        first = F.pmod(bits(k), n).cast("int")
+        turned = F.concat(F.slice("_claims", first + 1, n), F.slice("_claims", F.lit(1), first))
+        free = F.filter(turned, lambda c: ~F.exists(acc, lambda t: (t["line_no"] == c["line_no"]) & (t["claim"] == c["claim"])))
+        one = F.coalesce(F.get(free, F.lit(0)), F.element_at(turned, -1))
+        return F.concat(acc, F.array(F.struct(k.alias("k"), one["line_no"].alias("line_no"), one["claim"].alias("claim")))).cast(taken)
+
+    picks = F.aggregate("_samples", F.array().cast(taken), step)
+    return wanted.select("book_id", "chapter_index", F.explode(picks).alias("_p")).select("book_id", (F.col("_p.k") + 1).alias("sample"), "chapter_index", "_p.line_no", "_p.claim")
 
 
 def seeded_pick(candidates: DataFrame, seed: str, group: str, order: str) -> DataFrame:

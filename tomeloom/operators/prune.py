@@ -12,13 +12,26 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import structure as S
 
-REGION = "array<struct<start:long,stop:long,reason:string,label:string>>"
+REGION = "array<struct<start:long,stop:long,seq:long,reason:string,label:string>>"
 HEAD = 5000
 
 
-def main_start(books: DataFrame, lines: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+def _lines_of(books: DataFrame, pattern: str, lines: DataFrame | None = None, plain: str = "text") -> DataFrame:
+    """The lines of the books of which a line, bare of heading marks, can match; the other books aren't cut up.
+
+    Headings are few: a search of the whole text costs one pass and no shuffle, and only what it
+    finds is exploded and given offsets.
+    """
+    if lines is not None:
+        return lines
+    flags, bare = pattern[: pattern.index(")") + 1], pattern[pattern.index(")") + 1 :]
+    anywhere = flags.replace(")", "m)") + bare.replace("^", r"^[\s#]*", 1).replace("$", r"\s*$")
+    return S.line_spans(books.where(F.col(plain).rlike(anywhere)))
+
+
+def main_start(books: DataFrame, lines: DataFrame | None = None, chapters: DataFrame | None = None) -> DataFrame:
     """book_id, main_start (null if unknown) and head_end of every book."""
-    titles = S.headings(lines, T.MAIN_TITLE).groupBy("book_id").agg(F.min("pos").alias("_title"))
+    titles = S.headings(_lines_of(books, T.MAIN_TITLE, lines), T.MAIN_TITLE).groupBy("book_id").agg(F.min("pos").alias("_title"))
     out = books.select("book_id", F.length("text").cast("long").alias("_size")).join(titles, "book_id", "left")
     found = F.col("_title")
     if chapters is not None:
@@ -30,13 +43,17 @@ def main_start(books: DataFrame, lines: DataFrame, chapters: DataFrame | None =
 
 def frontmatter_regions(books: DataFrame) -> DataFrame:
     block = F.regexp_extract("text", r"(?ms)\A(.*?)(?:^[ \t]*\n|\z)", 1)
-    found = books.select("book_id", block.alias("_b")).where((F.col("_b") != "") & S.is_frontmatter(F.col("_b")))
+    fenced = books.where(F.ltrim(F.col("text"), F.lit(T.WHITE)).startswith("---"))  # of all others not even the block is read
+    found = fenced.select("book_id", block.alias("_b")).where((F.col("_b") != "") & S.is_frontmatter(F.col("_b")))
     return found.select("book_id", F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("start"), F.length("_b").cast("long").alias("stop"), F.lit("frontmatter").alias("reason"), T.summary(F.col("_b")).alias("label"))
 
 
 def head_regions(books: DataFrame, starts: DataFrame) -> DataFrame:
     """Copyright pages and tables of contents among the blocks before the main text."""
     heads = books.join(starts, "book_id").select("book_id", F.expr("substring(text, 1, cast(head_end as int))").alias("text"), "head_end")
+    # Only heads in which a rule can fire are cut into lines and blocks.
+    marks = T.COPYRIGHT + "|" + r"(?imU)^[\s#]*(?:目录|目\s*录|CONTENTS|Table of Contents)\s*$"
+    heads = heads.where(F.col("text").rlike(marks) | (F.col("text").rlike(r"(?mU)[.．·•\s]{2}\d{1,4}\s*$") & (S.toc_entries(F.col("text")) >= 4)))
     lines = S.line_spans(heads)
     block = S.blocks(heads, lines)
     toc = S.headings(lines, T.TOC_HEADING).select("book_id", "pos").join(block.select("book_id", F.col("start").alias("_s"), F.col("stop").alias("_e")), "book_id", "left").where("_s is null or (_s <= pos and pos < _e)")
@@ -51,8 +68,9 @@ def head_regions(books: DataFrame, starts: DataFrame) -> DataFrame:
     return with_text.select("book_id", (F.col("start") + 1_000_000_000).alias("seq"), "start", "stop", reason.alias("reason"), T.summary(F.col("_b")).alias("label")).where("reason is not null")
 
 
-def backmatter_regions(books: DataFrame, lines: DataFrame, starts: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+def backmatter_regions(books: DataFrame, lines: DataFrame | None, starts: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
     """From each back-matter heading to the next chapter, structural heading or the end."""
+    lines = _lines_of(books, T.BACK_MATTER, lines)
     found = S.headings(lines, T.BACK_MATTER).join(starts, "book_id").where("main_start is null or pos >= main_start").withColumn("_from", F.col("pos") + F.length("heading"))
     bounds = S.headings(lines, T.STRUCTURE).select("book_id", F.col("pos").alias("_p"))
     structural = found.join(bounds, "book_id").where("_p >= _from").groupBy("book_id", "pos").agg(F.min("_p").alias("_structural"))
@@ -65,22 +83,48 @@ def backmatter_regions(books: DataFrame, lines: DataFrame, starts: DataFrame, ch
     return out.select("book_id", (F.col("pos") + 2_000_000_000).alias("seq"), F.col("pos").alias("start"), stop.alias("stop"), F.lit("backmatter").alias("reason"), F.col("heading").alias("label"))
 
 
-def duplicate_lines(lines: DataFrame) -> DataFrame:
-    """book_id, line, n and first position of stripped lines of 12 or more characters that occur 3 or more times."""
-    stripped = lines.select("book_id", T.strip(F.col("line")).alias("line"), "line_no").where(F.length("line") >= 12)
-    return stripped.groupBy("book_id", "line").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line")).where("n >= 3")
+def _repeated(text: Column) -> Column:
+    """array<struct<line, n, first_line>>: stripped lines of 12 or more characters that occur 3 or more times in a text.
+
+    Equal lines are neighbours once sorted, so a line that occurs three times equals the second
+    after it; all others are dropped before anything is counted.
+    """
+
+    def of_lines(lines: Column) -> Column:
+        numbered = F.transform(lines, lambda x, i: F.struct(F.when(F.length(x) >= 12, T.strip(x)).alias("line"), i.alias("i")))
+        ordered = F.array_sort(F.filter(numbered, lambda x: F.length(x["line"]) >= 12))
+
+        def of_ordered(o: Column) -> Column:
+            def at(i: Column) -> Column:
+                return F.get(o, i)["line"]
 
+            # Where a run of equal lines begins and where it ends, one place after the other.
+            edges = F.filter(F.sequence(F.lit(0), F.size(o)), lambda i: F.when((i == 0) | (i == F.size(o)), True).otherwise(at(i) != at(i - 1)))
+            runs = T.bound(edges, lambda e: F.zip_with(F.slice(e, F.lit(1), F.size(e) - 1), F.slice(e, F.lit(2), F.size(e) - 1), lambda a, b: F.struct(a.alias("a"), (b - a).alias("n"))))
+            return F.transform(F.filter(runs, lambda r: r["n"] >= 3), lambda r: F.struct(at(r["a"]).alias("line"), r["n"].alias("n"), F.get(o, r["a"])["i"].alias("first_line")))
 
-def duplicate_regions(books: DataFrame, lines: DataFrame) -> DataFrame:
+        return F.when(F.size(ordered) > 0, T.bound(ordered, of_ordered)).otherwise(F.array().cast("array<struct<line:string,n:int,first_line:int>>"))
+
+    return T.bound(F.split(text, "\n", -1), of_lines)
+
+
+def duplicate_lines(books: DataFrame) -> DataFrame:
+    """book_id, line, n and first_line of the lines that a book repeats; found inside each row, without a shuffle."""
+    return books.select("book_id", F.inline(_repeated(F.col("text"))))
+
+
+def duplicate_regions(books: DataFrame) -> DataFrame:
     """Every non-overlapping occurrence of a duplicate line, also inside longer lines.
 
-    The text is split at the line; piece lengths give the offsets.
+    The text is split at the line where it is read; only the lengths of the pieces go on, and
+    their running sums are the offsets.
     """
-    dup = duplicate_lines(lines)
+    dup = books.select("book_id", "text", F.inline(_repeated(F.col("text"))))
     literal = F.concat(F.lit("\\Q"), F.replace("line", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    pieces = books.select("book_id", "text").join(dup, "book_id").select("book_id", "line", "first_line", F.posexplode(F.split("text", literal, F.lit(-1))).alias("k", "piece"))
+    sizes = F.transform(F.split("text", literal, F.lit(-1)), F.length)
+    pieces = dup.select("book_id", "line", "first_line", F.posexplode(sizes).alias("k", "size"))
     order = Window.partitionBy("book_id", "line").orderBy("k")
-    start = F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("k") * F.length("line")
+    start = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("k") * F.length("line")
     last = F.lead("k").over(order).isNull()
     placed = pieces.withColumn("start", start.cast("long")).withColumn("_last", last).where("not _last")
     return placed.select("book_id", (F.col("first_line") * 100_000 + F.col("k") + 3_000_000_000).alias("seq"), "start", (F.col("start") + F.length("line")).cast("long").alias("stop"), F.lit("duplicate").alias("reason"), F.substring("line", 1, 30).alias("label"))
@@ -88,16 +132,14 @@ def duplicate_regions(books: DataFrame, lines: DataFrame) -> DataFrame:
 
 def regions(books: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
     """All rules together."""
-    lines = S.line_spans(books)
-    starts = main_start(books, lines, chapters)
-    return frontmatter_regions(books).unionByName(head_regions(books, starts)).unionByName(backmatter_regions(books, lines, starts, chapters)).unionByName(duplicate_regions(books, lines))
+    starts = main_start(books, None, chapters)
+    return frontmatter_regions(books).unionByName(head_regions(books, starts)).unionByName(backmatter_regions(books, None, starts, chapters)).unionByName(duplicate_regions(books))
 
 
 def collected(found: DataFrame) -> DataFrame:
-    """book_id, regions: an array by start, stop and seq."""
-    item = F.struct("start", "stop", "seq", "reason", "label")
-    ordered = F.array_sort(F.collect_list(item))
-    return found.groupBy("book_id").agg(F.transform(ordered, lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop"), r["reason"].alias("reason"), r["label"].alias("label"))).alias("regions"))
+    """book_id, regions: an array by start, stop and seq, the order in which the rules brought them up."""
+    item = F.struct("start", "stop", F.col("seq").cast("long").alias("seq"), "reason", "label")
+    return found.groupBy("book_id").agg(F.array_sort(F.collect_list(item)).alias("regions"))
 
 
 def excluded(found: Column, restores: Column) -> Column:
@@ -105,7 +147,7 @@ def excluded(found: Column, restores: Column) -> Column:
 
     def minus(acc: Column, x: Column) -> Column:
         def parts(r: Column) -> Column:
-            make = lambda a, b: F.struct(a.alias("start"), b.alias("stop"), r["reason"].alias("reason"), r["label"].alias("label"))
+            make = lambda a, b: F.struct(a.alias("start"), b.alias("stop"), r["seq"].alias("seq"), r["reason"].alias("reason"), r["label"].alias("label"))
             apart = (x["stop"] <= r["start"]) | (x["start"] >= r["stop"])
             both = F.array(make(r["start"], x["start"]), make(x["stop"], r["stop"]))
             return F.when(apart, F.array(make(r["start"], r["stop"]))).otherwise(F.filter(both, lambda p: p["start"] < p["stop"]))
@@ -116,12 +158,15 @@ def excluded(found: Column, restores: Column) -> Column:
 
 
 def merged(found: Column) -> Column:
-    """Touching and overlapping regions as one: the first's reason, the longer label where one extends the end."""
+    """Touching and overlapping regions as one: the first's reason, the longer label where one extends the end.
+
+    Regions are taken by start, stop and seq, so of two with one extent the rule that came first names it.
+    """
 
     def step(acc: Column, r: Column) -> Column:
         last = F.element_at(acc, -1)
         longer = (r["stop"] > last["stop"]) & (F.length(r["label"]) > F.length(last["label"]))
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["stop"], r["stop"]).alias("stop"), last["reason"].alias("reason"), F.when(longer, r["label"]).otherwise(last["label"]).alias("label"))
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["stop"], r["stop"]).alias("stop"), last["seq"].alias("seq"), last["reason"].alias("reason"), F.when(longer, r["label"]).otherwise(last["label"]).alias("label"))
         meets = (F.size(acc) > 0) & (r["start"] <= F.try_element_at(acc, F.lit(-1))["stop"])
         return F.when(meets, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(r))).cast(REGION)
 

@@ -8,7 +8,7 @@ CONV = """books AS (SELECT conv_id AS book_id, string_agg(part, chr(10) ORDER BY
 LINES = """lines AS (SELECT book_id, i - 1 AS line_no, line, size, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY book_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM (SELECT book_id, length(text) AS size, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM books))"""
 STRIPPED = r"regexp_replace(line, '^\s+|\s+$', '', 'g')"
-DUPS = f"""dups AS (SELECT book_id, {STRIPPED} AS line, count(*) AS n, min(line_no) AS first_line FROM lines WHERE length(line) >= 12 GROUP BY 1, 2 HAVING count(*) >= 3)"""
+DUPS = f"""dups AS (SELECT book_id, {STRIPPED} AS line, count(*) AS n, min(line_no) AS first_line FROM lines WHERE length({STRIPPED}) >= 12 GROUP BY 1, 2 HAVING count(*) >= 3)"""
 REGIONS = """pieces AS (SELECT b.book_id, d.line, d.first_line, unnest(string_split(b.text, d.line)) AS piece, generate_subscripts(string_split(b.text, d.line), 1) - 1 AS k FROM books b JOIN dups d USING (book_id)),
 placed AS (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY book_id, line ORDER BY k ROWS UNBOUNDED PRECEDING) + k * length(line) AS BIGINT) AS start, lead(k) OVER (PARTITION BY book_id, line ORDER BY k) IS NULL AS ended FROM pieces),
 regions AS (SELECT book_id, first_line * 100000 + k + 3000000000 AS seq, start, start + length(line) AS stop, 'duplicate' AS reason, substring(line, 1, 30) AS label FROM placed WHERE NOT ended)"""
@@ -79,6 +79,26 @@ def decoded(x: str) -> str:
 HTML_TEXT = rf"""regexp_replace(regexp_replace(regexp_replace({decoded(CLEAN.format("coalesce(html, '')"))}, '[^\S\n]*\n[^\S\n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g'), '\n{{2,}}', chr(10) || chr(10), 'g')"""
 
 
+def audit_picks(chapters: str) -> str:
+    """Five claims of each book of ``chapters`` (book_id, chapter_index, text) by recursion over the samples of a chapter: ``picks``."""
+    return rf"""WITH RECURSIVE chapters AS ({chapters}),
+l AS (SELECT book_id, chapter_index, unnest(string_split_regex(t, '\r\n|[\n\x0B\f\r]')) AS raw, generate_subscripts(string_split_regex(t, '\r\n|[\n\x0B\f\r]'), 1) - 1 AS line_no FROM (SELECT book_id, chapter_index, regexp_replace(text, '\.(\s)', '.;\1', 'g') AS t FROM chapters)),
+b AS (SELECT book_id, chapter_index, line_no, regexp_replace(regexp_replace(regexp_replace(raw, '^[#>*+\-\d.\s]+', ''), '^\s+|\s+$', '', 'g'), '[*_`]+', '', 'g') AS line FROM l),
+c AS (SELECT * FROM (SELECT book_id, chapter_index, line_no, i, regexp_replace(s, '^\s+|\s+$', '', 'g') AS claim FROM (
+  SELECT book_id, chapter_index, line_no, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM (SELECT *, regexp_extract_all(line, '[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]+$') AS ss FROM b WHERE length(line) >= 18 AND NOT ends_with(line, '：')))) WHERE length(claim) BETWEEN 18 AND 220),
+usable AS (SELECT book_id, chapter_index, list({{'line_no': line_no, 'claim': claim}} ORDER BY line_no, i) AS cs FROM c GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chapter_index) - 1 AS place, count(*) OVER (PARTITION BY book_id) AS n FROM usable),
+asked AS (SELECT book_id, chapter_index, cs, k, row_number() OVER (PARTITION BY book_id, chapter_index ORDER BY k) AS j,
+    CAST(('0x' || substring(sha256('20260809:' || book_id || ':' || chapter_index || ':' || k), 1, 12)) AS BIGINT) % len(cs) AS first FROM placed JOIN (SELECT unnest(range(5)) AS k) ON (k * n) // 5 = place),
+fold AS (
+  SELECT book_id, chapter_index, CAST(0 AS BIGINT) AS j, CAST(NULL AS BIGINT) AS k, NULL::STRUCT(line_no BIGINT, claim VARCHAR) AS pick, []::STRUCT(line_no BIGINT, claim VARCHAR)[] AS chosen FROM placed
+  UNION ALL
+  SELECT f.book_id, f.chapter_index, a.j, a.k, p, list_append(f.chosen, p) FROM fold f JOIN (
+    SELECT *, cs[first + 1:] || cs[1:first] AS turned FROM asked) a ON f.book_id = a.book_id AND f.chapter_index = a.chapter_index AND a.j = f.j + 1,
+    LATERAL (SELECT coalesce(list_filter(a.turned, lambda x: NOT list_contains(f.chosen, x))[1], a.turned[-1]) AS p)),
+picks AS (SELECT book_id, chapter_index, k, pick.line_no AS line_no, pick.claim AS claim FROM fold WHERE k IS NOT NULL)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "doc_word_count": rf"WITH {BOOKS} SELECT book_id, CAST(length(regexp_replace(text, '\s', '', 'g')) AS BIGINT) AS word_count, regexp_matches(text, '\S') AS ok FROM books",
@@ -161,12 +181,14 @@ def oracle_sql() -> dict[str, str]:
           k AS (SELECT book_id, line_no, regexp_replace(regexp_replace(regexp_replace(raw, '^[#>*+\-\d.\s]+', ''), '^\s+|\s+$', '', 'g'), '[*_`]+', '', 'g') AS line FROM l),
           s AS (SELECT book_id, line_no, unnest(regexp_extract_all(line, '[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]+$')) AS s FROM k WHERE length(line) >= 18 AND NOT ends_with(line, '：')),
           c AS (SELECT book_id, line_no, regexp_replace(s, '^\s+|\s+$', '', 'g') AS claim FROM s) SELECT * FROM c WHERE length(claim) BETWEEN 18 AND 220""",
-        "bigram_windows": r"""WITH src AS (SELECT doc_id AS source_id, text FROM documents WHERE text <> '' AND doc_id IN (SELECT item_id FROM benchmark)),
-          w AS (SELECT source_id, i * 800 AS start, substring(text, CAST(i * 800 + 1 AS INT), 1600) AS win FROM (SELECT source_id, text, unnest(range(CAST(greatest(ceil((length(text) - 1600) / 800.0::DOUBLE), 0) AS BIGINT) + 1)) AS i FROM src)),
-          cw AS (SELECT source_id, start, regexp_replace(win, '\s+', '', 'g') AS c FROM w), gw AS (SELECT source_id, start, CASE WHEN length(c) < 2 THEN [] ELSE list_distinct(list_transform(range(1, length(c)), lambda i: substring(c, CAST(i AS INT), 2))) END AS g FROM cw),
-          cq AS (SELECT item_id AS claim_id, regexp_replace(text, '\s+', '', 'g') AS c FROM benchmark), gq AS (SELECT claim_id, CASE WHEN length(c) < 2 THEN [] ELSE list_distinct(list_transform(range(1, length(c)), lambda i: substring(c, CAST(i AS INT), 2))) END AS q FROM cq),
-          s AS (SELECT claim_id, start, len(list_intersect(q, g))::DOUBLE / greatest(1, len(q)) AS score FROM gq JOIN gw ON claim_id = source_id),
-          r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, start) AS rank FROM s) SELECT claim_id, rank, start, round(score, 6) AS score FROM r WHERE rank <= 5""",
+        "audit_samples": audit_picks("SELECT conv_id AS book_id, turn AS chapter_index, coalesce(text, '') AS text FROM conversations") + " SELECT book_id, k + 1 AS sample, chapter_index, line_no, claim FROM picks",
+        "bigram_windows": audit_picks("SELECT doc_id AS book_id, 0 AS chapter_index, coalesce(text, '') AS text FROM documents") + r""",
+          src AS (SELECT doc_id AS book_id, text FROM documents WHERE text <> ''),
+          w AS (SELECT book_id, i * 800 AS start, substring(text, CAST(i * 800 + 1 AS INT), 1600) AS win FROM (SELECT book_id, text, unnest(range(CAST(greatest(ceil((length(text) - 1600) / 800.0::DOUBLE), 0) AS BIGINT) + 1)) AS i FROM src)),
+          gw AS (SELECT book_id, start, regexp_replace(win, '\s+', '', 'g') AS c FROM w),
+          q AS (SELECT book_id, k, unnest(list_distinct(list_transform(range(1, length(c)), lambda i: substring(c, CAST(i AS INT), 2)))) AS g FROM (SELECT book_id, k, regexp_replace(claim, '\s+', '', 'g') AS c FROM picks)),
+          s AS (SELECT book_id, k, start, sum(CAST(contains(c, g) AS INT))::DOUBLE / count(*) AS score FROM q JOIN gw USING (book_id) GROUP BY ALL),
+          r AS (SELECT *, row_number() OVER (PARTITION BY book_id, k ORDER BY score DESC, start) AS rank FROM s) SELECT book_id, k + 1 AS sample, rank, start, round(score, 6) AS score FROM r WHERE rank <= 5""",
         "sample_per_group": f"""WITH {BOOKS}, {LINES}, n AS (SELECT book_id, max(line_no) + 1 AS n FROM lines GROUP BY 1) SELECT book_id, CAST(('0x' || substring(sha256('20260809:' || book_id), 1, 12)) AS BIGINT) % n AS line_no FROM n""",
         "audit_rollup": "SELECT coalesce(bool_and(quality = 1), false) AS all_pass, count(*) FILTER (WHERE quality = 1) AS supported, count(*) AS total FROM labels",
         "export_names": "SELECT o_orderkey, replace(o_orderpriority, '-', '') || '_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') || (CASE WHEN k > 0 THEN '_' || k ELSE '' END) || '.md' AS file_name FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_orderdate ORDER BY o_orderkey) - 1 AS k FROM orders)",

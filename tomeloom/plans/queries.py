@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, distill, export, ledger, modality, planning, prune, structure
-from ..sources.tables import conversation_books, document_books, table
+from ..sources.tables import conversation_books, document_books, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Chunks of conversation books are planned at this size, so that chunking has something to do.
@@ -88,20 +88,20 @@ def short_line_headings(spark, d):
 
 @query
 def html_clean(spark, d):
-    pages = table(spark, d, "pages", "page_id", "html")
+    pages = spread(table(spark, d, "pages", "page_id", "html"))
     text = T.html_text(F.col("html"))
     return pages.select("page_id", F.length(text).cast("long").alias("n_chars"), F.md5(text.cast("binary")).alias("text_md5"))
 
 
 @query
 def html_headings(spark, d):
-    pages = table(spark, d, "pages", "page_id", "html")
+    pages = spread(table(spark, d, "pages", "page_id", "html"))
     return pages.select("page_id", F.posexplode(structure.html_headings(F.coalesce("html", F.lit("")))).alias("n", "h")).select("page_id", F.col("n").cast("long").alias("n"), "h.level", "h.title")
 
 
 @query
 def html_modalities(spark, d):
-    pages = table(spark, d, "pages", "page_id", "html")
+    pages = spread(table(spark, d, "pages", "page_id", "html"))
     return pages.select("page_id", *[F.regexp_count(F.coalesce("html", F.lit("")), F.lit(p)).cast("long").alias(k) for k, p in modality.HTML_PATTERNS.items()])
 
 
@@ -123,7 +123,7 @@ def merged_warnings(spark, d):
 
 @query
 def dup_lines(spark, d):
-    return structure_lines(spark, d).transform(prune.duplicate_lines).select("book_id", "line", F.col("n").cast("long").alias("n"))
+    return prune.duplicate_lines(document_books(spark, d)).select("book_id", "line", F.col("n").cast("long").alias("n"))
 
 
 def structure_lines(spark, d):
@@ -133,26 +133,26 @@ def structure_lines(spark, d):
 @query
 def dup_regions(spark, d):
     books = document_books(spark, d)
-    return prune.duplicate_regions(books, structure.line_spans(books)).select("book_id", "start", "stop", "label")
+    return prune.duplicate_regions(books).select("book_id", "start", "stop", "label")
 
 
 @query
 def head_windows(spark, d):
     books = document_books(spark, d)
-    return prune.main_start(books, structure.line_spans(books))
+    return prune.main_start(books)
 
 
 @query
 def copyright_blocks(spark, d):
     books = document_books(spark, d)
-    starts = prune.main_start(books, structure.line_spans(books))
+    starts = prune.main_start(books)
     return prune.head_regions(books, starts).select("book_id", "start", "stop", "reason")
 
 
 @query
 def merged_regions(spark, d):
     books = document_books(spark, d)
-    found = prune.collected(prune.duplicate_regions(books, structure.line_spans(books)))
+    found = prune.collected(prune.duplicate_regions(books))
     return found.select("book_id", F.explode(prune.merged(F.col("regions"))).alias("r")).select("book_id", "r.start", "r.stop", "r.reason")
 
 
@@ -173,7 +173,7 @@ def kept_ratio_by_lang(spark, d):
 def subtracted_regions(spark, d):
     """Duplicate regions less the first 2000 characters of each book, which a user restores."""
     books = document_books(spark, d)
-    found = prune.collected(prune.duplicate_regions(books, structure.line_spans(books)))
+    found = prune.collected(prune.duplicate_regions(books))
     restores = F.array(F.struct(F.lit(100).cast("long").alias("start"), F.lit(2000).cast("long").alias("stop")))
     return found.select("book_id", F.explode(prune.excluded(F.col("regions"), restores)).alias("r")).select("book_id", "r.start", "r.stop")
 
@@ -439,12 +439,29 @@ def claim_candidates(spark, d):
     return audit.claims(table(spark, d, "benchmark", "item_id", "text").select(F.col("item_id").alias("book_id"), F.regexp_replace("text", r"\. ", ".; ").alias("text"))).select("book_id", F.col("line_no").cast("long").alias("line_no"), "claim")
 
 
+def _document_claims(spark, d):
+    """Five claims of every document (one chapter each); full stops end sentences in these tables."""
+    docs = table(spark, d, "documents", "doc_id", "text")
+    chapters = docs.select(F.col("doc_id").alias("book_id"), F.lit(0).alias("chapter_index"), F.regexp_replace(F.coalesce("text", F.lit("")), r"\.(?=\s)", ".;").alias("text"))
+    return audit.picked(chapters, "20260809")
+
+
+@query
+def audit_samples(spark, d):
+    """Five claims of every conversation, spread over its turns."""
+    turns = table(spark, d, "conversations", "conv_id", "turn", "text")
+    chapters = turns.select(F.col("conv_id").alias("book_id"), F.col("turn").cast("int").alias("chapter_index"), F.regexp_replace(F.coalesce("text", F.lit("")), r"\.(?=\s)", ".;").alias("text"))
+    return audit.picked(chapters, "20260809").select("book_id", F.col("sample").cast("long").alias("sample"), F.col("chapter_index").cast("long").alias("chapter_index"), F.col("line_no").cast("long").alias("line_no"), "claim")
+
+
 @query
 def bigram_windows(spark, d):
-    """Each benchmark item against the windows of the document with its number."""
-    asked = table(spark, d, "benchmark", "item_id", "text").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"), F.col("item_id").alias("source_id"))
+    """Five claims of every document against that document's windows, the best five windows of each."""
+    claims = _document_claims(spark, d)
+    asked = claims.select(F.struct("book_id", "sample").alias("claim_id"), "claim", F.col("book_id").alias("source_id"))
     docs = table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("source_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return audit.best_windows(asked, docs).select("claim_id", F.col("rank").cast("long").alias("rank"), F.col("start").cast("long").alias("start"), F.round("score", 6).alias("score"))
+    found = audit.best_windows(asked, docs)
+    return found.select(F.col("claim_id.book_id").alias("book_id"), F.col("claim_id.sample").cast("long").alias("sample"), F.col("rank").cast("long").alias("rank"), F.col("start").cast("long").alias("start"), F.round("score", 6).alias("score"))
 
 
 @query

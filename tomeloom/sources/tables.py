@@ -20,9 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are fewer than these: a file of one row group is one task, however many cores wait."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def document_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book_id, title, source_format, text, lang: every document as a plain-text book."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
     return docs.select(F.col("doc_id").alias("book_id"), F.col("source").alias("title"), F.lit("txt").alias("source_format"), F.coalesce("text", F.lit("")).alias("text"), "lang")
 
 
