@@ -234,43 +234,66 @@ def test_samples_agree_as_often_as_weighted_jaccard():
     assert abs(np.mean(hits) - truth**icws.ROWS) < 0.03
 
 
-def test_katz_sums_to_one_and_base_score(spark):
-    docs = read(spark, "documents", "doc_id", "text").unionByName(odd(spark).select("doc_id", "text"))
-    words = {k: re.findall(r"[^\x20\x09-\x0D]+", lower(r.text)) for k, r in enumerate(docs.collect())}
-    ids = {k: r.doc_id for k, r in enumerate(docs.collect())}
-    held = {k: i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for k, i in ids.items()}
-    counts, ends = Counter(), 0
-    for k, w in words.items():
-        if not held[k]:
-            counts.update(w)
-            ends += 1
-    total, distinct = sum(counts.values()) + ends, len(counts) + 1
-    b = lambda c: math.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-    expected = sorted((repr(ids[k]), len(w) + 1, sum(x in counts for x in w) + 1, total, round(sum(b(counts[x]) for x in w) + b(ends), 4)) for k, w in words.items())
-    got = katz.score(docs).collect()
-    assert expected == sorted((repr(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got)
-    known = [r for r in got if not r.held_out]
-    assert sum(r.score for r in known) > sum(r.base_score for r in known)
+def direct_katz(rows):
+    """(held_out, n_tokens, n_known, base score, score) of each text, with plain dictionaries."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for _, t in rows]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
+    uni, bi = Counter(), Counter()
+    for w, h in zip(words, held, strict=True):
+        if not h:
+            uni.update([*w, "</s>"])
+            bi.update(zip(["<s>", *w], [*w, "</s>"], strict=True))
+    total = sum(uni.values())
+    n1, n2 = ([0, *[sum(v == r for v in c.values()) for r in range(1, 7)]] for c in (uni, bi))
+    d1, d2 = katz.good_turing(n1), katz.good_turing(n2)
+    unseen = sum((1 - d) * r * n1[r] for r, d in d1.items()) / total
+    p1 = lambda w: uni[w] * d1.get(uni[w], 1.0) / total if uni[w] else unseen
+    followers = defaultdict(dict)
+    for (h, w), c in bi.items():
+        followers[h][w] = c
+    level = {}
+    for h, f in followers.items():
+        t, kept = sum(f.values()), sum(c * d2.get(c, 1.0) for c in f.values())
+        scale = t / (t + 0.5) if t - kept < 1e-9 * t else 1.0
+        p = {w: c * d2.get(c, 1.0) * scale / t for w, c in f.items()}
+        alpha = (1 - kept * scale / t) / (1 - sum(p1(w) for w in f))
+        if len(level) < 40:  # a whole level
+            assert sum(p.values()) + alpha * (sum(p1(w) for w in uni if w not in p) + unseen) == pytest.approx(1, abs=1e-9)
+        level[h] = (p, alpha)
+    p2 = lambda h, w: p1(w) if h not in level else level[h][0].get(w) or level[h][1] * p1(w)
+    b = lambda c: math.log10((c + 0.5) / (total + 0.5 * (len(uni) + 1)))
+    return total, [
+        (h, len(w) + 1, sum(uni[x] > 0 for x in [*w, "</s>"]), sum(b(uni[x]) for x in [*w, "</s>"]), sum(math.log10(p2(*x)) for x in zip(["<s>", *w], [*w, "</s>"], strict=True)))
+        for w, h in zip(words, held, strict=True)
+    ]
+
+
+def test_katz_equals_a_direct_computation(spark, monkeypatch):
+    docs = read(spark, "documents", "doc_id", "text").where("length(text) < 3000").unionByName(odd(spark).select("doc_id", "text"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    total, expected = direct_katz(rows)
+    expected = sorted((repr(i), *e[:3], round(e[3], 4), round(e[4], 4)) for (i, _), e in zip(rows, expected, strict=True))
+    for share, size in ((1e-6, 24 << 20), (1e-3, 24 << 20), (0.02, 1 << 14)):  # all words, some and none broadcast; few and many buckets, some histories dealt over several
+        monkeypatch.setattr(katz, "RARE_SHARE", share)
+        monkeypatch.setattr(katz, "BUCKET_BYTES", size)
+        got = katz.score(docs).collect()
+        assert {r.train_tokens for r in got} == {total}
+        assert expected == sorted((repr(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 4), round(r.score, 4)) for r in got)
+        held = [r for r in got if r.held_out]
+        assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_katz_columns_and_discounts():
+    for arrays in ((), (np.array([3, 1], np.uint64), None, np.zeros(0, np.uint32), np.array([0.5, -2.0]))):
+        back = katz._unpack(katz._pack(*arrays))
+        assert len(back) == len(arrays) and all(a is b is None or (a.dtype == b.dtype and (a == b).all()) for a, b in zip(arrays, back, strict=True))
     n = [0, 50, 20, 10, 7, 5, 4]
     d = katz.good_turing(n)
     assert sum((1 - d[r]) * r * n[r] for r in d) == pytest.approx(n[1])
-    rng = np.random.default_rng(0)
-    classes = katz.Classes(np.arange(1, 40, dtype=np.uint64), rng.integers(2, 90, 39), 3000, 50, 200, n)
-    pairs = np.unique(rng.integers(0, 42, (400, 2)), axis=0)
-    pairs = pairs[(pairs[:, 1] != katz.START) & (pairs[:, 0] != 20)]
-    keys = (pairs[:, 0].astype(np.uint64) << np.uint64(32)) | pairs[:, 1].astype(np.uint64)
-    counted = rng.integers(1, 12, len(keys))
-    hot = {}
-    for h in np.flatnonzero(katz._hot(classes)):
-        c = counted[pairs[:, 0] == h]
-        hot[int(h)] = ([int(c.sum()), len(c), *[int((c == r).sum()) for r in range(1, 6)], 0], float(classes.unigram[pairs[pairs[:, 0] == h, 1]].sum()))
-    model = katz.Backoff(np.sort(keys), counted[np.argsort(keys)], classes, d, hot)
-    every = np.array([c for c in range(42) if c != katz.START], dtype=np.uint64)
-    for h in range(42):
-        p = 10 ** model.log10((np.uint64(h) << np.uint64(32)) | every)
-        assert p.sum() == pytest.approx(1, abs=1e-9), h
-    rare = 10 ** classes.within_rare(np.array([0]))[0] + sum(n[r] * 10 ** classes.within_rare(np.array([r]))[0] for r in range(1, 6))
-    assert rare < 1 and classes.unseen > 0
+    words = katz.Words(np.arange(9, dtype=np.uint64) | katz.TOP, np.full(9, 100), 1000, 100, 10, [0] * 7, 1000)
+    first = np.full(5000, katz.FIRST, dtype=np.uint64)
+    at = words.pair_bucket(first, katz.mix(np.arange(5000, dtype=np.uint64)))
+    assert len(words.hot) == 11 and len(np.unique(at)) == 200 and np.bincount(at).max() < 60
 
 
 def test_rules_compile_to_the_same_scores(spark):

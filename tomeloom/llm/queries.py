@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fmindex, icws, katz, langid, lattice, mainhtml, mixing, rules, secrets, shards
-from .base import read
+from .base import read, spread
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's source is its owner; a source's documents of one language are a repository."""
-    docs = read(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    docs = spread(read(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
     return secrets.digest(secrets.scan_owned(docs, F.col("source"), F.concat_ws("/", "source", "lang")))
 
 
@@ -22,25 +22,25 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    docs = spread(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
     return langid.predict(docs, langid.train(langid.sample_pieces(docs)))
 
 
 def op4_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return icws.digest(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return icws.digest(spread(read(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return katz.score(spread(read(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    docs = spread(read(spark, sf_dir, "documents", "doc_id", "text"))
     return rules.digest(docs, rules.learn(docs, read(spark, sf_dir, "labels", "doc_id", "quality")))
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mainhtml.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return mainhtml.extract(spread(read(spark, sf_dir, "pages", "page_id", "url", "html")))
 
 
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fmindex.digest(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+    return fmindex.digest(spread(read(spark, sf_dir, "documents", "doc_id", "text")), read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
