@@ -41,7 +41,7 @@ from .base import WHITE, Tokenizer, Tokens, cut, held_out, mix, ranges, task_cou
 
 FOLD = (5, 1)
 #: Words of at least this share of the tokens are broadcast.
-RARE_SHARE = 1e-6
+RARE_SHARE = 3e-7
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Bytes of text whose counts fall into one bucket, on average.
@@ -156,9 +156,11 @@ class Words:
     """The unigram level, and the names of words: broadcast words have small numbers from FIRST on."""
 
     def __init__(self, frequent: np.ndarray, counts: np.ndarray, total: int, ends: int, distinct: int, n: list[int], buckets: int):
-        order = np.argsort(frequent)
-        self.frequent, self.total, self.ends, self.distinct, self.buckets = frequent[order], total, ends, distinct, buckets
-        self.counts = np.concatenate([[0, ends, 0], counts[order]]).astype(np.int64)
+        by_count = np.argsort(-counts, kind="stable")  # the more frequent, the smaller the number, and the shorter what it compresses to
+        order = np.argsort(frequent[by_count])
+        self.frequent, self.number = frequent[by_count][order], (order + FIRST).astype(np.uint64)
+        self.total, self.ends, self.distinct, self.buckets = total, ends, distinct, buckets
+        self.counts = np.concatenate([[0, ends, 0], counts[by_count]]).astype(np.int64)
         self.discount = good_turing(n)
         self.unseen = sum((1 - d) * r * n[r] for r, d in self.discount.items()) / max(total, 1)
         self.scale = 1.0
@@ -176,7 +178,7 @@ class Words:
         if not len(self.frequent):
             return codes
         at = np.minimum(np.searchsorted(self.frequent, codes), len(self.frequent) - 1)
-        return np.where(self.frequent[at] == codes, (at + FIRST).astype(np.uint64), codes)
+        return np.where(self.frequent[at] == codes, self.number[at], codes)
 
     def p(self, counts: np.ndarray) -> np.ndarray:
         """Unigram probabilities of words that occur so often; of 0, of all unseen words together."""
