@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import html as entities
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -321,9 +323,51 @@ def test_main_text(spark):
     got = {r.page_id: r for r in mainhtml.extract(rows).collect()}
     assert got[1].text == expected and got[1].n_chars == len(expected)
     assert got[2].text == got[3].text == "" and got[4].text == "deep text"
-    for r in read(spark, "pages").collect():
-        article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
-        assert mainhtml.main_text(r.html) == mainhtml.main_text(f"<body><div>{article}</div></body>")
+    def changed(h):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(mainhtml, "article_of", lambda body: setattr(body, "marked", True) or 0.0)  # without the density step
+            return mainhtml.main_text(h)
+
+    pages = [r.html for r in base.read(spark, "/root/testdata/sf0.01", "pages", "html").collect()]
+    for page in pages:  # read plainly: these articles hold but headings and paragraphs
+        out = []
+        for part in re.split(r"</?(?:p|h1)[^>]*>", re.search(r"<article>(.*?)</article>", page, re.S)[1]):
+            text = " ".join(entities.unescape(re.sub(r"<[^>]+>", "", part.replace("<br>", " "))).split())
+            out += [text] if text else []
+        assert mainhtml.main_text(page) == "\n".join(out) != changed(page)
+
+
+LONG = "A paragraph of the article, long enough, with its commas and its stops. It goes on for another sentence, as such paragraphs do."
+PLAIN_PAGES = [  # nothing here names its role: links and density alone tell the parts apart
+    (
+        f"<body><div class=k1><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a><li><a href=4>Four</a></ul></div><div class=k2><h1>A title</h1><p>{LONG}</p><p>{LONG} With <a href=5>a link</a> in it.</p><p>{LONG}</p></div><div class=k3><a href=6>Next</a> <a href=7>Back</a> <a href=8>Up</a></div></body>",
+        f"A title\n{LONG}\n{LONG} With a link in it.\n{LONG}",
+    ),
+    (
+        f"<table><tr><td><a href=1>Home</a><br><a href=2>Map</a><br><a href=3>Help</a></td><td><div><p>{LONG}<p>{LONG}<ul><li>First point, of some length, with no link.<li>Second &lt;point&gt;.</ul><blockquote>{LONG}</blockquote></div></td></tr></table>",
+        f"{LONG}\n{LONG}\nFirst point, of some length, with no link.\nSecond <point>.\n{LONG}",
+    ),
+    (
+        f"<div><div><p>{LONG}</p><div><a href=1>Other text one</a><a href=2>Other text two</a><a href=3>Other text three</a></div><p>{LONG}</p><p>{LONG}</p></div></div>",
+        f"{LONG}\n{LONG}\n{LONG}",
+    ),
+]
+
+
+def test_main_text_of_pages_that_name_nothing():
+    for page, expected in PLAIN_PAGES:
+        assert mainhtml.main_text(page) == expected
+    named = f"<main><p>{LONG}</p><section class='reader-comments'><p>{LONG}</p><p>{LONG}</p></section><p>{LONG}</p><div id=promo>Buy</div></main>"
+    assert mainhtml.main_text(named) == f"{LONG}\n{LONG}"
+    assert mainhtml.main_text(f"<section class=section-header><h2>Heading</h2></section><article><header><h1>T</h1></header><p>{LONG}</p></article>") == f"T\n{LONG}"
+
+
+@pytest.mark.parametrize("unit", ["<div>x ", "<a ", "<div>y<p>", "<li>a<div>", "<b>x<p>", "<a '>t", "</p>", "<!-- ", "<", "<table><td><div>", "<p><span>s"])
+def test_main_text_of_long_broken_pages(unit):
+    began = time.time()
+    mainhtml.main_text(unit * (1_000_000 // len(unit)))
+    mainhtml.main_text("<p>x<table><tr><td>" + unit * (200_000 // len(unit)) + ">")
+    assert time.time() - began < 20
 
 
 def test_main_text_inside_wrappers():

@@ -1,16 +1,17 @@
 """Main text of web pages by composite text density over the DOM.
 
 A page becomes a tree of elements. Every node gets its characters, tags, link characters and
-link tags; its composite density is characters per tag, scaled down by the share of links. A
-node's density sum adds up its children. The node of the largest sum is the article; the least
-density on the path from it to the body is the threshold; every subtree above the threshold
-that has the largest sum below its root is kept. Menus, adverts, notices, comments and the like,
-known by element, role or class, are taken out before the densities are computed.
+link tags; its composite density is characters per tag, scaled down by the share of links. What
+the page itself names a menu, header, footer, sidebar, notice, advert, form or comment, by element,
+role or class, counts as link text, so its density is next to nothing. A node's density sum adds up
+its children. The node of the largest sum is the article; the least density on the path from it
+to the body is the threshold; every subtree above the threshold that has the largest sum below its
+root is kept, less the blocks inside it that links hold below the threshold.
 
 Defined results: null and empty html give an empty text; broken markup is closed as browsers
-close it; a page without any text outside the removed parts gives an empty text; repeated rows
-get equal results; an empty table gives an empty result. A page is one row and is handled by
-itself, however long.
+close it; a page of nothing but such parts gives an empty text; a part that holds an article or
+most of the page's text isn't one; repeated rows get equal results; an empty table gives an empty
+result. A page is one row and is handled by itself, however long, in time that grows with its length.
 """
 
 from __future__ import annotations
@@ -24,120 +25,134 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Element names of HTML, and words that name page furniture.
+# Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-REMOVED = frozenset("head script style noscript template nav footer aside form button select textarea iframe svg canvas object dialog menu title input label fieldset".split())
-#: Of these, what may be wrapped around a page's article; such an element goes only if it isn't.
-WRAPPERS = frozenset("form fieldset label object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements without text of the page: what isn't shown, and controls.
+UNSHOWN = frozenset("head script style noscript template select textarea iframe svg canvas title input button".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 BLOCK_CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody")}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",), "tbody": ("table",), "tfoot": ("table",)}
-NOISE_WORDS = frozenset(
-    """ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist
-    consent cookie cookies copyright disclaimer discussion disqus footer header login masthead menu modal nav navbar
-    navigation newsletter notice notices overlay pager pagination popup promo promotion recommended related replies
-    responses search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe toolbar widget""".split()
-)
-NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-NEVER_NOISE = frozenset("html body article main".split())
+# The parts that are not the article, as elements, roles and words in classes and ids.
+PARTS = frozenset("nav menu header footer aside form fieldset label object dialog".split())
+PART_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+PART_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner comment comments commentlist consent cookie cookies footer header masthead menu nav navbar navigation notice notices promo promotion replies sidebar sidebars sponsor sponsored".split())
+NEVER_PARTS = frozenset("html body article main".split())
+#: Share of its characters that links hold in a block that is a menu, and its least number of links.
+MENU_SHARE, MENU_LINKS = 0.8, 3
+#: A part with more of the page's characters than this isn't one.
+MOST = 0.6
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "noise", "parent", "children", "own", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "marked")
+    __slots__ = ("tag", "part", "parent", "children", "own", "chars", "tags", "link_chars", "link_tags", "links", "block", "density", "total", "best", "marked")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, part: bool = False):
+        self.tag, self.parent, self.part = tag, parent, part
         self.children: list[Node | str] = []
-        self.own = self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.own = self.chars = self.tags = self.link_chars = self.link_tags = self.links = 0
+        self.block = tag not in INLINE
         self.density = self.total = 0.0
         self.best: Node = self
         self.marked = False
 
 
-def _is_noise(tag: str, attributes: str, within_article: bool) -> bool:
-    if tag in REMOVED or tag == "header" and not within_article:
-        return True
-    if not attributes.strip() or tag in NEVER_NOISE:
+def _attributes(raw: str) -> Iterator[tuple[str, str]]:
+    for name, value in _ATTRIBUTE.findall(raw):
+        yield name.lower(), entities.unescape(value.strip("\"'"))
+
+
+def _is_hidden(raw: str) -> bool:
+    return any(n == "hidden" or n == "aria-hidden" and v.lower() == "true" or n == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I) for n, v in _attributes(raw))
+
+
+def _is_part(tag: str, raw: str, within_article: bool) -> bool:
+    """Whether the page names the element as one of the parts that are not the article."""
+    if tag in NEVER_PARTS:
         return False
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), entities.unescape(value.strip("\"'"))
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "role" and value.lower() in NOISE_ROLES:
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id") and any(w.lower() in NOISE_WORDS for w in _WORDS.findall(value)):
-            return True
-    return False
+    if tag in PARTS and not (tag == "header" and within_article):
+        return True
+    return any(n == "role" and v.lower() in PART_ROLES or n in ("class", "id") and any(w.lower() in PART_WORDS for w in _WORDS.findall(v)) for n, v in _attributes(raw))
+
+
+class _Path:
+    """The open elements from the root down, and the depths at which each tag is open."""
+
+    def __init__(self):
+        self.root = Node("#root", None)
+        self.nodes, self.depths = [self.root], {}
+
+    @property
+    def node(self) -> Node:
+        return self.nodes[-1]
+
+    def open(self, child: Node) -> None:
+        self.depths.setdefault(child.tag, []).append(len(self.nodes))
+        self.nodes.append(child)
+
+    def close(self, depth: int) -> None:
+        while len(self.nodes) > depth:
+            self.depths[self.nodes.pop().tag].pop()
+
+    def nearest(self, tags: tuple[str, ...], stop: tuple[str, ...] = ()) -> int:
+        """Depth of the innermost open element of these tags, 0 if there is none or a stop is further in."""
+        deepest = lambda names: max((d[-1] for t in names if (d := self.depths.get(t))), default=0)
+        found = deepest(tags)
+        return found if found > deepest(stop) else 0
+
+    def within(self, *tags: str) -> bool:
+        return any(self.depths.get(t) for t in tags)
 
 
 def parse(page: str) -> Node:
-    """The page's tree; text is decoded, comments and declarations are dropped."""
-    root = node = Node("#root", None)
-    articles = at = 0
+    """The page's tree; text is decoded, comments, declarations and what isn't shown are dropped."""
+    path, at, n, last = _Path(), 0, len(page), page.rfind(">")
 
     def text(raw: str) -> None:
         if raw:
             decoded = entities.unescape(raw)
-            node.children.append(decoded)
-            node.own += len(" ".join(decoded.split()))
-
-    def close(to: Node) -> None:
-        nonlocal node, articles
-        while True:
-            gone, node = node, node.parent or root
-            articles -= gone.tag in ("article", "main")
-            if gone is to:
-                return
-
-    def nearest(tags: tuple[str, ...], stop: tuple[str, ...]) -> Node | None:
-        n = node
-        while n is not root and n.tag not in stop:
-            if n.tag in tags:
-                return n
-            n = n.parent
-        return None
-
-    n = len(page)
+            path.node.children.append(decoded)
+            path.node.own += len(" ".join(decoded.split()))
+
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at) if at <= last else _COMMENT.search(page, at)  # beyond the last > no tag ends
         if m is None:
             text(page[at:])
             break
         text(page[at : m.start()])
         at = m.end()
-        if m[2] is None:
+        if not m.re.groups or m[2] is None:
             if m[0].startswith("<![CDATA["):
                 text(m[0][9:].removesuffix("]]>"))
             continue
         tag = m[2].lower()
         if m[1]:
-            if found := nearest((tag,), ()):
-                close(found)
+            if found := path.nearest((tag,)):
+                path.close(found)
             continue
-        if tag in BLOCK_CLOSES_P and (p := nearest(("p",), ("button", "td", "th", "table"))):
-            close(p)
+        if tag in BLOCK_CLOSES_P and (found := path.nearest(("p",), ("button", "td", "th", "table"))):
+            path.close(found)
         if tag in CLOSED_BY:
-            while open_one := nearest(CLOSED_BY[tag], SCOPES[tag]):
-                close(open_one)
-        child = Node(tag, node, _is_noise(tag, m[3], articles > 0))
-        node.children.append(child)
-        if tag in VOID or m[3].endswith("/"):
+            while found := path.nearest(CLOSED_BY[tag], SCOPES[tag]):
+                path.close(found)
+        attributes = m[3].strip()
+        child = Node(tag, path.node, _is_part(tag, attributes, path.within("article", "main")))
+        shown = not (tag in UNSHOWN or attributes and _is_hidden(attributes))
+        path.node.children.append(child if shown else " ")  # opened and closed like any other, but hung nowhere
+        if tag in VOID or attributes.endswith("/"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        node = child
-        articles += tag in ("article", "main")
-    return root
+        path.open(child)
+    return path.root
 
 
 def _preorder(root: Node) -> list[Node]:
@@ -150,40 +165,27 @@ def _preorder(root: Node) -> list[Node]:
 
 
 def _measure(order: list[Node]) -> None:
-    for node in order:
-        node.chars = node.tags = node.link_chars = node.link_tags = 0
+    """Counts of each subtree; the text of parts counts as link text, that of a link once."""
+    holds = {id(n) for n in order if n.tag in ("article", "main")}
     for node in reversed(order):
         node.chars += node.own
-        if node.tag == "a":
-            node.link_chars = node.chars
         if node.parent is not None:
             up = node.parent
             up.chars += node.chars
             up.tags += node.tags + 1
+            up.block |= node.block  # marks around blocks are a block, too
+            if id(node) in holds:
+                holds.add(id(up))
+    most = MOST * order[0].chars
+    for node in reversed(order):
+        node.part = node.part and not (id(node) in holds or node.chars > most)
+        if node.tag == "a" or node.part:
+            node.link_chars, node.link_tags = node.chars, max(node.link_tags, node.tags)
+        if node.parent is not None:
+            up = node.parent
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags + (node.tag == "a")
-
-
-def _remove_noise(root: Node) -> None:
-    """Drops noise subtrees, but none that a class or a wrapper's name alone condemns though it holds most of the page's text or an article."""
-    order = _preorder(root)
-    _measure(order)
-    holds = {id(n) for n in order if n.tag in ("article", "main")}
-    for node in reversed(order):
-        if id(node) in holds and node.parent is not None:
-            holds.add(id(node.parent))
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        kept = []
-        for c in node.children:
-            if isinstance(c, Node):
-                if c.noise and (c.tag in REMOVED - WRAPPERS or c.tag == "header" or not (id(c) in holds or c.chars > 0.6 * root.chars)):
-                    kept.append(" ")
-                    continue
-                stack.append(c)
-            kept.append(c)
-        node.children = kept
+            up.links += node.links + (node.tag == "a")
 
 
 def _densities(order: list[Node], body: Node) -> None:
@@ -196,7 +198,7 @@ def _densities(order: list[Node], body: Node) -> None:
             node.density = node.chars / max(node.tags, 1) * math.log(max(odds, 1.0)) / math.log(max(base, math.e))
         # A block of text is a leaf: marks such as <b> inside it don't make it a container.
         node.best, node.total = node, 0.0
-        blocks = [c for c in node.children if isinstance(c, Node) and c.tag not in INLINE]
+        blocks = [c for c in node.children if isinstance(c, Node) and c.block]
         for c in blocks:
             node.total += c.density
         for c in blocks:
@@ -204,7 +206,15 @@ def _densities(order: list[Node], body: Node) -> None:
                 node.best = c.best
 
 
-def _blocks(body: Node) -> list[str]:
+def _left_out(node: Node, threshold: float) -> bool:
+    """Whether links, or what counts as such, hold a block below the threshold: a named part, or a run of links."""
+    if node.part:
+        return node.density < threshold
+    many = node.links >= MENU_LINKS and node.tag not in INLINE and node.tag != "p"
+    return many and node.link_chars >= MENU_SHARE * node.chars and node.density < threshold
+
+
+def _blocks(body: Node, threshold: float) -> list[str]:
     """Texts of the marked subtrees, block by block in page order."""
     out, parts = [], []
 
@@ -222,6 +232,10 @@ def _blocks(body: Node) -> list[str]:
         elif isinstance(item, str):
             if marked:
                 parts.append(item)
+        elif _left_out(item, threshold):
+            parts.append(" ")
+            if item.tag not in INLINE:
+                flush()
         else:
             marked = marked or item.marked
             if item.tag == "br":
@@ -235,34 +249,39 @@ def _blocks(body: Node) -> list[str]:
     return out
 
 
+def article_of(body: Node) -> float:
+    """Marks the subtrees that are kept and returns the threshold: the least density from the largest sum up to the body."""
+    article = body.best
+    threshold, node = article.density, article
+    while node is not body:
+        node = node.parent
+        threshold = min(threshold, node.density)
+    stack = [body]
+    while stack:
+        node = stack.pop()
+        if node.density >= threshold:
+            best = node.best
+            best.marked = True
+            stack.extend(c for c in node.children if isinstance(c, Node) and c is not best)
+    return threshold
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, one per line; empty if the page has none."""
     if not page:
         return ""
     root = parse(page)
-    _remove_noise(root)
     order = _preorder(root)
     body = next((n for n in order if n.tag == "body"), root)
     if any(n.tag in ("p", "div", "article", "main") for n in order if n.parent is root):
         body = root  # content beside or without the body element
+    body.parent = None
     order = _preorder(body)
     _measure(order)
-    if not body.chars:
+    if body.link_chars >= body.chars:  # nothing at all, or nothing but parts and links
         return ""
     _densities(order, body)
-    article = body.best
-    threshold, node = article.density, article
-    while node is not body:
-        node = node.parent
-        threshold = min(threshold, node.density)
-    stack = [body]
-    while stack:
-        node = stack.pop()
-        if node.density >= threshold:
-            best = node.best
-            best.marked = True
-            stack.extend(c for c in node.children if isinstance(c, Node) and c is not best)
-    return "\n".join(_blocks(body))
+    return "\n".join(_blocks(body, article_of(body)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
