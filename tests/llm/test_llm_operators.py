@@ -389,6 +389,28 @@ def test_e8_decoding_and_minimal_vectors():
     assert (closer >= ((y - p) ** 2).sum(1) - 1e-9).all()
 
 
+def test_cells_grow_with_the_vectors_and_still_meet():
+    assert lattice.stretches(0) == lattice.stretches(lattice.ENOUGH) == [1.0]
+    few, many = lattice.stretches(10 * lattice.ENOUGH), lattice.stretches(lattice.CELLS * 10 * lattice.ENOUGH)
+    assert len(few) == 2 and 0 < few[1] < 1 and len(many) == 3 and many[1] == 1.0
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(1500, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    off = rng.normal(size=a.shape)
+    off -= (off * a).sum(1)[:, None] * a
+    b = 0.981 * a + math.sqrt(1 - 0.981**2) * off / np.linalg.norm(off, axis=1)[:, None]
+    strangers = {}
+    for blocks in ([1.0], few, [1.0, 1.0]):
+        met, others = np.zeros(len(a), bool), 0
+        for _, home, around in lattice.cells(np.concatenate([a, b]), blocks):
+            x, y, near = home[: len(a)], home[len(a) :], around[: len(a)]
+            met |= (x == y) | (near == y[:, None]).any(1) | (around[len(a) :] == x[:, None]).any(1)
+            others += sum((np.roll(y, k)[:, None] == near).sum() for k in range(1, 40))
+        strangers[len(blocks), blocks[-1]] = others
+        assert met.mean() >= 0.95
+    assert strangers[1, 1.0] > 2 * strangers[2, few[1]] and strangers[2, 1.0] <= strangers[2, few[1]]
+
+
 def test_near_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     seeds = rng.normal(size=(150, 32))
