@@ -86,7 +86,7 @@ def test_secret_ownership_judges_base_values(spark):
 
 def test_shards_equal_prefix_sums(spark):
     for docs in (read(spark, "documents"), odd(spark)):
-        rows = sorted(((r.doc_id, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 1) for r in docs.collect()), key=lambda x: (x[0] is not None, x))
+        rows = sorted(((r.doc_id, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 1) for r in docs.collect()), key=lambda x: (x[1], x[2], x[0] is not None, x[0] or 0))
         total, at, expected, slots = sum(x[2] for x in rows), 0, [], Counter()
         for i, c, n in rows:
             s = min(15, (2 * at + n) * 16 // (2 * total))
@@ -379,6 +379,24 @@ def test_main_text_inside_wrappers():
         assert mainhtml.main_text(f"<body><{tag}><article>{inner}</article></{tag}><{tag}>Search here {controls}</{tag}></body>") == expected
 
 
+def test_quality_sample_is_the_same_at_each_run(spark):
+    docs, labels = read(spark, "documents", "doc_id", "text"), read(spark, "labels")
+    twice = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" more"))))
+    models = [rules.learn(d, labels) for d in (twice.repartition(3), twice.repartition(2))]
+    assert models[0].rules == models[1].rules and models[0].intercept == models[1].intercept
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark):
+    class Session:
+        conf = spark.conf
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        assert base.shared_folder(spark).startswith("/")
+        with pytest.raises(RuntimeError):
+            base.shared_folder(Session)
+
+
 def test_e8_decoding_and_minimal_vectors():
     v = lattice.minimal_vectors()
     assert len(v) == 240 and np.allclose((v**2).sum(1), 2)
@@ -476,12 +494,27 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
         monkeypatch.setattr(fmindex, "BLOCK_WORDS", words)
         got = fmindex.scan(docs, items).collect()
         assert expected == sorted((repr(r.doc_id), r.n_words, r.n_hit, sorted(r["items"])) for r in got)
-        clean = fmindex.remove(fmindex.scan(docs.withColumn("n_chars", F.length("text")), items))
-        assert fmindex.scan(clean, read(spark, "benchmark")).where("n_hit > 0").count() == 0
+        clean = fmindex.remove(docs.withColumn("n_chars", F.length("text")), items)
+        assert fmindex.scan(clean, items).where("n_hit > 0").count() == 0 and clean.where("n_chars <> length(text)").count() == 0
+        texts = {(repr(r.doc_id), r.text) for r in docs.collect()}
+        untouched = {e[0] for e in expected if e[2] == 0} - {e[0] for e in expected if e[2]}
+        assert {x for x in texts if x[0] in untouched} <= {(repr(r.doc_id), r.text) for r in clean.collect()}
     assert fmindex.digest(docs, items.where("false")).where("contaminated").count() == 0
     assert fmindex.digest(docs.where("false"), items).count() == 0
 
 
+def test_decontamination_looks_again_where_a_cut_joins_words(spark, monkeypatch):
+    w = [f"w{i}" for i in range(40)]
+    inner, outer = w[20:32], w[:10]
+    docs = spark.createDataFrame([(1, "before " + " ".join(w[:5] + inner + w[5:10]) + " after", 9), (2, " ".join(inner), 9), (3, "Nothing, of these.", None), (4, None, None)], "doc_id long, text string, n_chars long")
+    items = spark.createDataFrame([(1, " ".join(outer)), (2, " ".join(inner))], "item_id long, text string")
+    for size in (1_000_000, 12):
+        monkeypatch.setattr(fmindex, "BLOCK_WORDS", size)
+        got = {r.doc_id: (r.text, r.n_chars) for r in fmindex.remove(docs, items).collect()}
+        assert set(got) == {1, 3, 4} and got[3] == ("Nothing, of these.", None) and got[4] == (None, None)
+        assert got[1][0].split() == ["before", "after"] and got[1][1] == len(got[1][0])
+
+
 def test_decontamination_counts_ids_once_at_any_block_size(spark, monkeypatch):
     words = [f"w{i}" for i in range(60)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, "nothing of these")], "doc_id long, text string")

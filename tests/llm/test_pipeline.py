@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import corpus_pipeline
@@ -45,7 +46,7 @@ def test_numbers_hold_when_a_second_reading_packs_rows_otherwise(spark):
 
     unsteady = docs.mapInArrow(anyhow, docs.schema)
     placed = corpus_pipeline.shard(spark, unsteady, SF).collect()
-    assert [r.doc_id for r in sorted(placed, key=lambda r: (r.shard, r.slot))] == sorted(r.doc_id for r in docs.collect())
+    assert [r.doc_id for r in sorted(placed, key=lambda r: (r.shard, r.slot))] == [r.doc_id for r in sorted(docs.collect(), key=lambda r: (zlib.crc32((r.text or '').encode()), len((r.text or '').encode()), r.doc_id))]
     passes = {r.doc_id: r.passes for r in mixing.digest(mixing.mix(mixing.sized(docs))).collect() if r.passes}
     assert Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, unsteady, SF).collect()) == passes
 
@@ -56,3 +57,27 @@ def test_stages_take_an_empty_table(spark, tmp_path):
         stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
     assert docs.count() == 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, repeated rows, a very long text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plain = docs.where("length(text) between 500 and 900").orderBy("doc_id").limit(6).collect()
+    rows = [tuple(r) for r in plain] + [tuple(plain[0])] + [(None, plain[1].text, "en", None, 1), (plain[2].doc_id, plain[3].text + " and more of it", "en", "s", 1)]
+    odd = [(9001, None, None, None, None), (None, None, None, None, None), (9002, "", "en", "s", 0), (9002, " \n\t", "en", "s", 3), (9003, "word " * 300_000, "en", "t", 1_500_000)]
+    kept = spark.createDataFrame(rows + odd, docs.schema)
+    count = {}
+    for name in ("near_duplicates", "decontaminate", "mix_sources", "shard"):
+        stage = dict(corpus_pipeline.STAGES)[name]
+        stage(spark, kept, SF).write.parquet(f"{tmp_path}/{name}")
+        kept = spark.read.parquet(f"{tmp_path}/{name}")
+        count[name] = Counter((r.doc_id, None if r.text is None else len(r.text)) for r in kept.collect())
+    near = count["near_duplicates"]
+    assert near[9001, None] == near[None, None] == near[9002, 0] == near[9002, 3] == 1
+    assert sum(near.values()) == 6 + 5  # a copy, one under no id, and one with a few words more go
+    assert count["decontaminate"] == near
+    mixed = count["mix_sources"]
+    assert all(n is not None and n > 3 for _, n in mixed) and max(mixed.values()) <= 3
+    assert count["shard"] == mixed
+    scored = corpus_pipeline.quality(spark, spark.createDataFrame(rows + odd, docs.schema), SF).collect()
+    assert len({r.doc_id in (9001, None) or r.text == "" for r in scored if not (r.text or "").strip()}) <= 1

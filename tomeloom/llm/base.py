@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -36,16 +36,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that lost executors don't undo it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in
-    local tests, a folder of this machine is used.
+    Where it names none, a session in one process gets a folder of this machine; on a cluster
+    there is no such folder that all executors see, so that is an error.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, so that lost executors don't undo it."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -157,8 +166,3 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     at = np.cumsum(lengths)[:-1]
     out[at] = starts[1:] - (starts[:-1] + lengths[:-1] - 1)
     return np.cumsum(out)
-
-
-def local_dir(prefix: str) -> str:
-    """A new folder for tests and local runs."""
-    return tempfile.mkdtemp(prefix=prefix, dir=os.environ.get("TMPDIR") or None)

@@ -312,34 +312,78 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return rows.join(merged, "_row").select(*names, "n_words", counted.alias("n_hit"), "items", "spans")
 
 
-def remove(scanned: DataFrame, n_chars: str | None = "n_chars") -> DataFrame:
-    """The scanned rows with every span cut out of the text (a line break stays in its place).
-
-    A text of which no word is left is dropped; texts without hits are kept as they are.
-    """
-    names = [c for c in scanned.columns if c not in ("n_words", "n_hit", "items", "spans")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scanned.schema if f.name in names)
+def _without(raw: bytes, block: Phrases, tokenizer: Tokenizer) -> bytes:
+    """A text without any occurrence of a window of the block: what is left is searched again, since a cut makes its two sides neighbours."""
+    while True:
+        data = np.frombuffer(raw, dtype=np.uint8)
+        t = tokenizer(data, np.array([0, len(raw)]))
+        if not len(t.hash) or not len(block.vocabulary):
+            return raw
+        at = np.minimum(np.searchsorted(block.vocabulary, t.hash), len(block.vocabulary) - 1)
+        place, window = occurrences(np.where(block.vocabulary[at] == t.hash, at + 1, 0).astype(np.int32), t.doc, block)
+        if not len(place):
+            return raw
+        edge = np.zeros(len(t.hash) + 1, dtype=np.int64)
+        np.add.at(edge, place, 1)
+        np.add.at(edge, place + block.lengths[window], -1)
+        hit = np.cumsum(edge[:-1]) > 0
+        opens, closes = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1]])), np.flatnonzero(hit & ~np.concatenate([hit[1:], [False]]))
+        kept = zip([0, *t.end[closes]], [*t.start[opens], len(raw)], strict=True)
+        raw = b"\n".join(raw[a:b] for a, b in kept)
+
+
+def _cut_block(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """docs with the block's windows cut out of ``text``; ``_cut`` says whether there were any, ``_left`` whether words are left."""
+    names = docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("_cut", "_left"))
+    names = [c for c in names if c not in ("_cut", "_left")]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, tokenizer = shared.value, Tokenizer(NOT_ALNUM)
         for batch in batches:
             text = batch.column("text")
-            spans = batch.column("spans")
-            hit = np.flatnonzero(pa.compute.list_value_length(spans).to_numpy(zero_copy_only=False) > 0)
-            if len(hit):
+            hit, left = np.zeros(len(batch), dtype=bool), np.ones(len(batch), dtype=bool)
+            for i, _, data, offsets in text_runs(text, SHARD_BYTES):
+                t = tokenizer(data, offsets)
+                if not len(block.vocabulary):
+                    continue
+                at = np.minimum(np.searchsorted(block.vocabulary, t.hash), len(block.vocabulary) - 1)
+                place, _ = occurrences(np.where(block.vocabulary[at] == t.hash, at + 1, 0).astype(np.int32), t.doc, block)
+                hit[i + np.unique(t.doc[place])] = True
+            if hit.any():
                 texts = text.to_pylist()
-                for k in hit:
-                    raw, at, kept = texts[k].encode(), 0, []
-                    for s in spans[k].as_py():
-                        kept.append(raw[at : s["start"]])
-                        at = s["stop"]
-                    kept.append(raw[at:])
-                    texts[k] = b"\n".join(kept).decode()
+                for k in np.flatnonzero(hit):
+                    raw = _without(texts[k].encode(), block, tokenizer)
+                    texts[k] = raw.decode()
+                    left[k] = len(tokenizer(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)])).hash) > 0
                 text = pa.array(texts, text.type)
-            yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in names], names)
+            yield pa.RecordBatch.from_arrays([*(text if c == "text" else batch.column(c) for c in names), pa.array(hit), pa.array(left)], [*names, "_cut", "_left"])
+
+    return docs.mapInArrow(apply, f"{schema}, _cut boolean, _left boolean")
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, n_chars: str | None = "n_chars") -> DataFrame:
+    """docs with every occurrence of a window cut out of the text (a line break stays in its place), until none is left.
 
-    kept = scanned.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words"))).select(*names, "spans")
-    out = kept.mapInArrow(apply, schema)
-    return out.withColumn(n_chars, F.length("text").cast(scanned.schema[n_chars].dataType)) if n_chars in names else out
+    A text of which no word is left is dropped; texts without hits are kept as they are. With
+    several blocks, the blocks are gone through again until a whole round cuts nothing.
+    """
+    spark, names = docs.sparkSession, docs.columns
+    every = blocks(benchmark)
+    kind = docs.schema[n_chars].dataType if n_chars in names else None
+    resized = lambda df: df.withColumn(n_chars, F.when(F.col("_cut"), F.length("text").cast(kind)).otherwise(F.col(n_chars))) if kind else df
+    if len(every) == 1:
+        return resized(_cut_block(docs, _shared(spark, every[0]))).where("_left").select(*names)
+    while True:
+        cuts = 0
+        for block in every:
+            shared = _shared(spark, block)
+            docs = cut(resized(_cut_block(docs, shared)).where("_left"))
+            shared.destroy()
+            cuts += docs.where("_cut").count()
+            docs = docs.select(*names)
+        if not cuts:
+            return docs
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

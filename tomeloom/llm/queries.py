@@ -14,7 +14,7 @@ from .base import read, spread
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's source is its owner; a source's documents of one language are a repository."""
     docs = spread(read(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
-    return secrets.digest(secrets.scan_owned(docs, F.col("source"), F.concat_ws("/", "source", "lang")))
+    return secrets.digest(secrets.scan_owned(docs, F.col("source"), F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")))))
 
 
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

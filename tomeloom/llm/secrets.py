@@ -27,7 +27,7 @@ BASE_KINDS = {
 }
 MORE_KINDS = {
     "vendor": (r"(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,})", 0, 1, None),
-    "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, "eyJ"),
+    "jwt": (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, "eyJ"),
     "pem": (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1, "-----BEGIN "),
     "url": (r"[a-z][a-z0-9+.-]{1,20}://[^\x20\t\r\n/:@]{1,80}:([^\x20\t\r\n/:@]{3,200})@", 1, 3, "://"),
     "bearer": (r"(?i:bearer)\x20+([A-Za-z0-9._~+/-]+=*)", 1, 20, None),

@@ -1,11 +1,12 @@
 """Contiguous shards of equal bytes, by global prefix sums cut at equal targets.
 
-Law: ``bytes``. The rows are put in one global order (id, then the text's checksum and size),
-their sizes are summed ahead of each row, and row i goes to the shard that holds the middle of
+Law: ``bytes``. The rows are put in one global order (the text's checksum and size, then id), in
+which equal texts are neighbours, so a group of them falls into one shard, or, if it is too large
+for one or lies across a cut, into shards that follow each other. Their sizes are summed ahead of each row, and row i goes to the shard that holds the middle of
 its bytes: floor(shards * (before + size / 2) / total). So shards are contiguous in the order,
 and each differs from total / shards by less than the largest row.
 
-Defined results: a null text has size 1; null ids come first; repeated rows are neighbours and
+Defined results: a null text has size 1; of equal texts null ids come first; repeated rows are neighbours and
 may be told apart by slot only; an empty table gives an empty result.
 """
 
@@ -29,7 +30,7 @@ def sized(docs: DataFrame, *carried: str) -> DataFrame:
     )
 
 
-def shard(rows: DataFrame, shards: int = SHARDS, order: tuple[str, ...] = ("doc_id", "text_crc32", "size"), size: str = "size") -> DataFrame:
+def shard(rows: DataFrame, shards: int = SHARDS, order: tuple[str, ...] = ("text_crc32", "size", "doc_id"), size: str = "size") -> DataFrame:
     """rows with shard (int), slot (long, gapless from 0) and law."""
     summed = running_totals(rows, list(order), size)
     number = F.least(F.lit(shards - 1), F.expr(f"((2 * before + `{size}`) * {shards}) div (2 * total)")).cast("int")
