@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's docs. All but the last return the columns of docs.
+
+Defined results, for every stage: a null text counts as the empty one and stays null where the row
+stays; null and repeated ids are rows like any other; columns that a stage doesn't know are carried
+along under whatever name; texts of any length are read whole; an empty table gives an empty one.
+quality scores empty and null texts by their statistics, all 0, and so rejects or keeps them all;
+near_duplicates keeps every row without words, and of repeated rows one; decontaminate keeps them,
+too, and drops only texts that consist of benchmark passages; mix_sources drops rows without words,
+which it takes nothing of, and repeats others as rows; shard places every row, repeated ones by slot.
 """
 
 from __future__ import annotations
@@ -12,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeloom.llm import fmindex, icws, mixing, rules, shards
-from tomeloom.llm.base import cut, local_dir, read
+from tomeloom.llm.base import cut, read, shared_folder
 
 #: Columns that the stages work on; all others are carried along.
 NAMED = ("doc_id", "text", "source", "n_chars")
@@ -46,7 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark passages out of the texts; a text of nothing else goes."""
-    return _restored(fmindex.remove(fmindex.scan(_shielded(docs), read(spark, sf_dir, "benchmark", "item_id", "text"))), docs)
+    return _restored(fmindex.remove(_shielded(docs), read(spark, sf_dir, "benchmark", "item_id", "text")), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds shard and slot."""
     rows = _numbered(_shielded(docs))
-    placed = shards.shard(shards.sized(rows, "_row"), order=("doc_id", "text_crc32", "size", "_row")).select("_row", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    placed = shards.shard(shards.sized(rows, "_row"), order=("text_crc32", "size", "doc_id", "_row")).select("_row", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
     joined = rows.join(placed, "_row")
     out = _restored(joined, docs, "_shard", "_slot")
     names = [c for c in docs.columns if c not in ("shard", "slot")]
@@ -82,8 +90,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's result is written to the shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or local_dir("pipeline-")
-    at = f"{folder.rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
