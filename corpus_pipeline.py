@@ -8,8 +8,8 @@ stays; null and repeated ids are rows like any other; columns that a stage doesn
 along under whatever name; texts of any length are read whole; an empty table gives an empty one.
 quality scores empty and null texts by their statistics, all 0, and so rejects or keeps them all;
 near_duplicates keeps every row without words, and of repeated rows one; decontaminate keeps them,
-too, and drops only texts that consist of benchmark passages; mix_sources drops rows without words,
-which it takes nothing of, and repeats others as rows; shard places every row, repeated ones by slot.
+too, and drops only texts that consist of benchmark passages; mix_sources treats a row without
+words as one of size 0, taken with those beside it in the queue, and repeats rows as rows; shard places every row, repeated ones by slot.
 """
 
 from __future__ import annotations
