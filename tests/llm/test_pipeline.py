@@ -79,5 +79,7 @@ def test_stages_on_odd_rows(spark, tmp_path):
     mixed = count["mix_sources"]
     assert set(mixed) <= set(near) and max(mixed.values()) <= 3 and (9003, 1_500_000) in near
     assert count["shard"] == mixed
-    scored = corpus_pipeline.quality(spark, spark.createDataFrame(rows + odd, docs.schema), SF).collect()
-    assert len({r.doc_id in (9001, None) or r.text == "" for r in scored if not (r.text or "").strip()}) <= 1
+    given = spark.createDataFrame(rows + odd, docs.schema)
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.quality(spark, given, SF).collect())
+    empty = [kept[r.doc_id, r.text] for r in given.where("coalesce(text, '') = ''").collect()]
+    assert len(set(empty)) == 1 and not kept - Counter((r.doc_id, r.text) for r in given.collect())

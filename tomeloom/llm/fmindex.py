@@ -312,50 +312,59 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return rows.join(merged, "_row").select(*names, "n_words", counted.alias("n_hit"), "items", "spans")
 
 
-def _without(raw: bytes, block: Phrases, tokenizer: Tokenizer) -> bytes:
-    """A text without any occurrence of a window of the block: what is left is searched again, since a cut makes its two sides neighbours."""
-    while True:
-        data = np.frombuffer(raw, dtype=np.uint8)
-        t = tokenizer(data, np.array([0, len(raw)]))
-        if not len(t.hash) or not len(block.vocabulary):
-            return raw
-        at = np.minimum(np.searchsorted(block.vocabulary, t.hash), len(block.vocabulary) - 1)
-        place, window = occurrences(np.where(block.vocabulary[at] == t.hash, at + 1, 0).astype(np.int32), t.doc, block)
-        if not len(place):
-            return raw
-        edge = np.zeros(len(t.hash) + 1, dtype=np.int64)
-        np.add.at(edge, place, 1)
-        np.add.at(edge, place + block.lengths[window], -1)
-        hit = np.cumsum(edge[:-1]) > 0
-        opens, closes = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1]])), np.flatnonzero(hit & ~np.concatenate([hit[1:], [False]]))
-        kept = zip([0, *t.end[closes]], [*t.start[opens], len(raw)], strict=True)
-        raw = b"\n".join(raw[a:b] for a, b in kept)
+def _spans(data: np.ndarray, offsets: np.ndarray, block: Phrases, tokenizer: Tokenizer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first byte, byte after the last) of each merged span of windows, in order, and the words of each text."""
+    t = tokenizer(data, offsets)
+    known = np.minimum(np.searchsorted(block.vocabulary, t.hash), max(len(block.vocabulary) - 1, 0))
+    symbols = np.where(block.vocabulary[known] == t.hash, known + 1, 0).astype(np.int32) if len(block.vocabulary) else np.zeros(len(t.hash), dtype=np.int32)
+    place, window = occurrences(symbols, t.doc, block)
+    edge = np.zeros(len(symbols) + 1, dtype=np.int64)
+    np.add.at(edge, place, 1)
+    np.add.at(edge, place + block.lengths[window], -1)
+    hit = np.cumsum(edge[:-1]) > 0
+    joined = hit[:-1] & hit[1:] & (t.doc[1:] == t.doc[:-1])
+    opens, closes = np.flatnonzero(hit & ~np.append(False, joined)[: len(hit)]), np.flatnonzero(hit & ~np.append(joined, False)[: len(hit)])
+    return t.doc[opens], t.start[opens] - offsets[t.doc[opens]], t.end[closes] - offsets[t.doc[closes]], np.bincount(t.doc, minlength=len(offsets) - 1)
+
+
+def _cut_out(data: np.ndarray, offsets: np.ndarray, block: Phrases, tokenizer: Tokenizer) -> dict[int, tuple[bytes, bool]]:
+    """The texts of a run that have windows, by place, without them, and whether words are left.
+
+    What is left is searched again, since a cut makes its two sides neighbours.
+    """
+    done: dict[int, tuple[bytes, bool]] = {}
+    places = np.arange(len(offsets) - 1)
+    doc, start, stop, _ = _spans(data, offsets, block, tokenizer)
+    while len(doc):
+        hit, raws = np.unique(doc), []
+        for k in hit:
+            raw, own = data[offsets[k] : offsets[k + 1]].tobytes(), slice(*np.searchsorted(doc, [k, k + 1]))
+            raws.append(b"\n".join(raw[i:j] for i, j in zip([0, *stop[own]], [*start[own], len(raw)], strict=True)))
+        places = places[hit]
+        data, offsets = np.frombuffer(b"".join(raws), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64)
+        doc, start, stop, words = _spans(data, offsets, block, tokenizer)
+        done |= {int(place): (raw, bool(n)) for place, raw, n in zip(places, raws, words, strict=True)}
+    return done
 
 
 def _cut_block(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """docs with the block's windows cut out of ``text``; ``_cut`` says whether there were any, ``_left`` whether words are left."""
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("_cut", "_left"))
-    names = [c for c in names if c not in ("_cut", "_left")]
+    names = [c for c in docs.columns if c not in ("_cut", "_left")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, tokenizer = shared.value, Tokenizer(NOT_ALNUM)
         for batch in batches:
             text = batch.column("text")
             hit, left = np.zeros(len(batch), dtype=bool), np.ones(len(batch), dtype=bool)
+            new: dict[int, str] = {}
             for i, _, data, offsets in text_runs(text, SHARD_BYTES):
-                t = tokenizer(data, offsets)
-                if not len(block.vocabulary):
-                    continue
-                at = np.minimum(np.searchsorted(block.vocabulary, t.hash), len(block.vocabulary) - 1)
-                place, _ = occurrences(np.where(block.vocabulary[at] == t.hash, at + 1, 0).astype(np.int32), t.doc, block)
-                hit[i + np.unique(t.doc[place])] = True
-            if hit.any():
+                for k, (raw, words) in _cut_out(data, offsets, block, tokenizer).items():
+                    hit[i + k], left[i + k], new[i + k] = True, words, raw.decode()
+            if new:
                 texts = text.to_pylist()
-                for k in np.flatnonzero(hit):
-                    raw = _without(texts[k].encode(), block, tokenizer)
-                    texts[k] = raw.decode()
-                    left[k] = len(tokenizer(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)])).hash) > 0
+                for k, x in new.items():
+                    texts[k] = x
                 text = pa.array(texts, text.type)
             yield pa.RecordBatch.from_arrays([*(text if c == "text" else batch.column(c) for c in names), pa.array(hit), pa.array(left)], [*names, "_cut", "_left"])
 
