@@ -153,8 +153,8 @@ def test_ledger_states(spark):
     tasks = spark.createDataFrame(rows, "task_id string, book_id string, status string, stage string, queue_order long, cancel_requested boolean, delete_requested boolean, created_at long")
     assert {r.task_id: r.status for r in ledger.recovered(tasks).collect()} == {"t1": "pending", "t2": "cancelled", "t3": "pending"}
     assert ledger.claimed(tasks, "t1").where("task_id = 't1'").first().status == "running"
-    assert [r.task_id for r in ledger.moved_before(tasks, "t3", "t1").orderBy("queue_order").collect()] == ["t3", "t1", "t2", "t4"]
-    assert [r.task_id for r in ledger.moved_before(tasks, "t1", "t1").orderBy("queue_order").collect()] == ["t1", "t2", "t3", "t4"]
+    assert [r.task_id for r in ledger.moved_before(tasks, spark.createDataFrame([("t3", "t1")], "moved string, before string")).orderBy("queue_order").collect()] == ["t3", "t1", "t2", "t4"]
+    assert [r.task_id for r in ledger.moved_before(tasks, spark.createDataFrame([("t1", "t1")], "moved string, before string")).orderBy("queue_order").collect()] == ["t1", "t2", "t3", "t4"]
     asked = spark.createDataFrame([("t3",), ("t4",), ("t9",)], "task_id string")
     assert {r.task_id: r.answer for r in ledger.delete_requested(tasks, asked).collect()} == {"t3": "deleting", "t4": "deleted", "t9": "absent"}
     units = spark.createDataFrame([("t1", "U1", "done", "c1", "x"), ("t1", "U2", "error", "c2", "y"), ("t3", "U1", "done", "c3", "z")], "task_id string, unit_id string, status string, cache_key string, output string")
@@ -221,3 +221,33 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = run_to_end(latest_states(table_stream(spark, path), "user_id", "ts"), "latest_states", str(tmp_path / "cp"))
     batch = QUERIES["latest_event_states"](spark, "/root/testdata/sf0.001")
     assert {(str(r.day), r.user_id, r.n) for r in stream.collect()} == {(str(r.day), r.user_id, r.n) for r in batch.collect()}
+
+
+def test_charsets(spark):
+    from tomeloom.sources.tables import with_text
+
+    text = "第一章 起点\r\n正文甲，乙。\r第二章"
+    raw = [text.encode(c) for c in ("utf-8", "utf-8-sig", "gb18030", "utf-16")] + ["naïve café\n".encode("cp1252"), b""]
+    got = [r.text for r in with_text(spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(raw)], "i int, content binary")).orderBy("i").collect()]
+    folded = text.replace("\r\n", "\n").replace("\r", "\n")
+    assert got[:4] == [folded] * 4 and got[4:6] == ["naïve café\n", ""]
+
+
+def test_epub_chapters_follow_a_moving_cursor(spark):
+    from tomeloom.sources.tables import epub_chapters
+
+    docs = ["<body><h1>第一章</h1><p>见第一节。</p><h2>第一节</h2><p>正文 第一节</p><h3> </h3></body>", "<p> </p>", "<body><p>x</p><h2>A &amp; B</h2><p>tail</p></body>"]
+    text = "第一章\n见第一节。\n第一节\n正文 第一节\n\nx\nA & B\ntail"
+    got = spark.createDataFrame([(docs,)], "html array<string>").select(F.explode(epub_chapters(F.col("html"))).alias("c")).select("c.*").collect()
+    assert [(r.title, r.level) for r in got] == [("第一章", 1), ("第一节", 2), ("A & B", 2)]
+    assert [text[r.start_char : r.start_char + len(r.title)] for r in got] == [r.title for r in got]
+    assert [r.end_char for r in got] == [got[1].start_char, got[2].start_char, len(text)]
+
+
+def test_update_allows_known_columns_only(spark):
+    tasks = spark.createDataFrame([("t1", "pending", "queued"), ("t2", "done", "end")], "task_id string, status string, stage string")
+    changes = spark.createDataFrame([("t1", "error", None), ("t9", "error", "x")], "task_id string, status string, stage string")
+    assert sorted(tuple(r) for r in ledger.updated(tasks, changes).collect()) == [("t1", "error", "queued"), ("t2", "done", "end")]
+    assert [r.task_id for r in ledger.missing(tasks, changes).collect()] == ["t9"]
+    with pytest.raises(ValueError):
+        ledger.updated(tasks, changes.withColumn("book_id", F.lit("b")))

@@ -20,6 +20,16 @@ def stub_model(title: str, text: str, target: int) -> str:
     return out + " ·" * max(0, (target * 4 // 5 - len(out) + 1) // 2)
 
 
+def inputs(books: DataFrame, chapters: DataFrame, pruned: DataFrame, moved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(books, chapters) to condense: the pruned text (book_id, pruned_text) where there is one, with the chapters
+    as they stand after pruning if any is left, else the plain text; a book without pruned text keeps its own chapters."""
+    stored = pruned.select("book_id", F.col("pruned_text").alias("_pruned"))
+    texts = books.join(stored, "book_id", "left").withColumn("text", F.coalesce("_pruned", "text")).drop("_pruned")
+    left = moved.select("book_id").distinct()
+    own = chapters.join(left, "book_id", "left_anti")
+    return texts, moved.unionByName(own.select(*moved.columns))
+
+
 def reusable(chunks: DataFrame, ledger: DataFrame, cache: DataFrame) -> DataFrame:
     """chunks with ``reused``: the checkpoint's text, else the cache's, if its length suits; null where a call is due.
 

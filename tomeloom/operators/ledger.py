@@ -8,16 +8,33 @@ book_id, output, hit_count.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Queue places that one window numbers by itself.
+RUN = 100_000
+
+
+def numbered(rows: DataFrame, run: Column, *order: str | Column) -> DataFrame:
+    """rows with ``_n``, their places from 1 by ``run``, then ``order``.
+
+    Each run is numbered in a window of its own; only the counts of the runs, a row each, meet in
+    one place. ``run`` must not fall as the order rises.
+    """
+    named = rows.withColumn("_run", run)
+    counts = named.groupBy("_run").agg(F.count("*").alias("_count"))
+    ahead = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(F.col("_run").alias("_r"), F.coalesce(F.sum("_count").over(ahead), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_run").orderBy(*order))
+    return named.withColumn("_in", inside).join(first, F.col("_run").eqNullSafe(F.col("_r"))).withColumn("_n", F.col("_before") + F.col("_in")).drop("_run", "_r", "_in", "_before")
+
+
 def next_orders(tasks: DataFrame, new: DataFrame) -> DataFrame:
-    """new (task_id, created_at) that aren't known yet, with queue orders after the largest."""
+    """new (task_id, created_at) that aren't known yet, with queue orders after the largest; numbered day by day."""
     top = tasks.agg(F.coalesce(F.max("queue_order"), F.lit(-1)).alias("_top"))
-    fresh = new.join(tasks, "task_id", "left_anti")
-    place = F.row_number().over(Window.orderBy("created_at", "task_id"))
-    return fresh.withColumn("_n", place).join(F.broadcast(top)).withColumn("queue_order", (F.col("_top") + F.col("_n")).cast("long")).drop("_n", "_top")
+    fresh = numbered(new.join(tasks, "task_id", "left_anti"), F.to_date("created_at"), "created_at", "task_id")
+    return fresh.join(F.broadcast(top)).withColumn("queue_order", (F.col("_top") + F.col("_n")).cast("long")).drop("_n", "_top")  # one row
 
 
 def queued(tasks: DataFrame) -> DataFrame:
@@ -111,11 +128,83 @@ def deletion_preview(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("book_id").agg(F.count("*").alias("n_tasks"), F.count_if(active).alias("n_active"), F.array_join(F.array_sort(F.collect_list(F.when(active, F.col("task_id")))), ",").alias("active_ids"))
 
 
-def moved_before(tasks: DataFrame, moved, before) -> DataFrame:
-    """tasks renumbered densely with one of them put before another."""
-    at = tasks.where(F.col("task_id") == F.lit(before)).agg(F.max("queue_order").alias("_at"))
-    key = F.when(F.col("task_id") == F.lit(moved), F.col("_at") - 0.5).otherwise(F.col("queue_order"))
-    return tasks.join(F.broadcast(at)).withColumn("queue_order", (F.row_number().over(Window.orderBy(key, "created_at", "task_id")) - 1).cast("long")).drop("_at")
+def moved_before(tasks: DataFrame, asked: DataFrame) -> DataFrame:
+    """tasks renumbered densely with one of them put before another.
+
+    asked: one row, moved and before. Nothing moves if they are one task or if either isn't there.
+    """
+    ids = tasks.select("task_id", "queue_order")
+    at = asked.join(ids.withColumnRenamed("task_id", "moved"), "moved").drop("queue_order").join(ids.select(F.col("task_id").alias("before"), F.col("queue_order").alias("_at")), "before").where("moved <> before")
+    key = F.when(F.col("task_id") == F.col("moved"), F.col("_at") - 0.5).otherwise(F.col("queue_order").cast("double"))
+    placed = tasks.join(F.broadcast(at), how="left").withColumn("_key", key)  # at most one row
+    return numbered(placed, F.floor(F.col("_key") / RUN), "_key", "created_at", "task_id").withColumn("queue_order", F.col("_n") - 1).drop("_n", "_key", "moved", "before", "_at")
+
+
+def updated(tasks: DataFrame, changes: DataFrame, allowed: tuple[str, ...] = ("status", "stage", "queue_order", "cancel_requested", "delete_requested")) -> DataFrame:
+    """tasks with the columns that changes (task_id and some of the allowed ones) name; a null changes nothing.
+
+    An unknown column is an error here; an unknown task gets a row in :func:`missing`.
+    """
+    named = [c for c in changes.columns if c != "task_id"]
+    if unknown := [c for c in named if c not in allowed]:
+        raise ValueError(f"unsupported task columns: {unknown}")
+    new = changes.select("task_id", *[F.col(c).alias(f"_{c}") for c in named])
+    return tasks.join(new, "task_id", "left").select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in named else F.col(c) for c in tasks.columns])
+
+
+def missing(tasks: DataFrame, changes: DataFrame) -> DataFrame:
+    """The changes that name no task."""
+    return changes.join(tasks, "task_id", "left_anti")
+
+
+def units_in_order(units: DataFrame) -> DataFrame:
+    """units with ``place``, their order within a task."""
+    return units.withColumn("place", F.row_number().over(Window.partitionBy("task_id").orderBy("unit_id")).cast("long"))
+
+
+def tasks_of_books(tasks: DataFrame) -> DataFrame:
+    """tasks with ``place``, their order within a book: by queue, then age."""
+    return tasks.withColumn("place", F.row_number().over(Window.partitionBy("book_id").orderBy("queue_order", "created_at", "task_id")).cast("long"))
+
+
+def prepared_deletions(tasks: DataFrame, deletions: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (book_id) with state and blocking: the state there is wins; else active tasks block, named in queue order; else 'preparing'."""
+    active = tasks.where("status in ('pending', 'running')").groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("queue_order", "created_at", "task_id"))).alias("_active"))
+    known = asked.select("book_id").distinct().join(deletions.select("book_id", F.col("state").alias("_state")), "book_id", "left").join(active, "book_id", "left")
+    names = F.array_join(F.transform("_active", lambda t: t["task_id"].cast("string")), ",")
+    blocked = F.col("_state").isNull() & F.col("_active").isNotNull()
+    return known.select("book_id", F.coalesce("_state", F.when(blocked, "blocked").otherwise("preparing")).alias("state"), F.when(blocked, names).otherwise("").alias("blocking"))
+
+
+def decoded_row(raw: Column, fields: str) -> Column:
+    """A JSON column as a struct of ``fields`` (DDL); empty, null or damaged JSON gives nulls inside, not a null."""
+    return F.from_json(F.coalesce(F.when(F.trim(raw) != "", raw), F.lit("{}")), fields, {"mode": "PERMISSIVE"})
+
+
+def is_resource_id(value: Column) -> Column:
+    """A letter or digit, then at most 127 letters, digits, underscores and hyphens."""
+    return F.coalesce(value.rlike(r"\A[A-Za-z0-9][A-Za-z0-9_-]{0,127}\z"), F.lit(False))
+
+
+def managed_files(files: DataFrame, books: DataFrame) -> DataFrame:
+    """files (name, folder) of exactly the books (book_id): in 'books' <id>.txt, <id>.meta.json and <id>_*, in 'intermediate' <id>.*; hidden ones are nobody's.
+
+    An id may hold underscores, so every prefix of a name that ends before one is a candidate, and
+    an equality join tells which of them are books.
+    """
+    cuts = F.regexp_extract_all("name", F.lit("_"), F.lit(0))
+    parts = F.split("name", "_")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(cuts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "_"))
+    in_books = F.array_union(F.when(F.size(cuts) > 0, prefixes).otherwise(F.array().cast("array<string>")), F.array(F.regexp_extract("name", r"^(.*?)\.(?:txt|meta\.json)$", 1)))
+    owners = F.when(F.col("folder") == "books", in_books).otherwise(F.array(F.regexp_extract("name", r"^([^.]*)\.", 1)))
+    named = files.where("name not like '.%'").withColumn("book_id", F.explode(owners)).where(is_resource_id(F.col("book_id")))
+    return named.join(books.select("book_id").distinct(), "book_id", "left_semi").select("book_id", "folder", "name").distinct()
+
+
+def fingerprint(known: Column, content: Column) -> Column:
+    """The known fingerprint if it is 64 hex digits, else SHA-256 of the content."""
+    tidy = F.lower(F.trim(known))
+    return F.when(tidy.rlike(r"\A[0-9a-f]{64}\z"), tidy).otherwise(F.sha2(content, 256))
 
 
 def shown_status(tasks: DataFrame) -> DataFrame:

@@ -79,6 +79,21 @@ def decoded(x: str) -> str:
 HTML_TEXT = rf"""regexp_replace(regexp_replace(regexp_replace({decoded(CLEAN.format("coalesce(html, '')"))}, '[^\S\n]*\n[^\S\n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g'), '\n{{2,}}', chr(10) || chr(10), 'g')"""
 
 
+COMPOSED = """parts AS (SELECT doc_id AS book_id, coalesce(text, '') AS body, CAST(doc_id AS VARCHAR) AS n, doc_id % 3 = 0 AS rights,
+    '---' || chr(10) || 'title: ' || coalesce(source, '') || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'rights: Copyright ' || coalesce(source, '') || chr(10) ELSE '' END || '---' || chr(10) AS p0,
+    'Copyright ' || coalesce(source, '') || chr(10) || 'ISBN ' || doc_id || chr(10) AS p1, 'CONTENTS' || chr(10) AS p2,
+    'Part one .... 1' || chr(10) || 'Part two .... 2' || chr(10) || 'Part three .... 3' || chr(10) || 'Part four .... 4' || chr(10) AS p3,
+    'Chapter 1' || chr(10) || coalesce(text, '') || chr(10) || chr(10) AS p4, 'Chapter 2' || chr(10) || 'The end of ' || doc_id || '.' || chr(10) || chr(10) AS p5, 'References' || chr(10) || 'Smith, ' || doc_id || chr(10) AS p6 FROM documents),
+books AS (SELECT book_id, p0 || chr(10) || p1 || chr(10) || p2 || chr(10) || p3 || chr(10) || p4 || p5 || p6 AS text, NULL AS lang FROM parts),
+places AS (SELECT *, length(p0) + 1 AS a1, length(p0) + length(p1) + 2 AS a2, length(p0) + length(p1) + length(p2) + 3 AS a3, length(p0) + length(p1) + length(p2) + length(p3) + 4 AS a4, length(p0) + length(p1) + length(p2) + length(p3) + length(p4) + 4 AS a5,
+    length(p0) + length(p1) + length(p2) + length(p3) + length(p4) + length(p5) + 4 AS a6, length(p0) + length(p1) + length(p2) + length(p3) + length(p4) + length(p5) + length(p6) + 4 AS size FROM parts)"""
+FIXED = """heads AS (SELECT book_id, 0 AS seq, 0 AS start, length(p0) AS stop, 'frontmatter' AS reason FROM places UNION ALL SELECT book_id, 1000000000, 0, length(p0), 'copyright' FROM places WHERE rights
+  UNION ALL SELECT book_id, 1000000000 + a1, a1, a1 + length(p1), 'copyright' FROM places UNION ALL SELECT book_id, 1000000000 + a2, a2, a2 + length(p2), 'toc' FROM places
+  UNION ALL SELECT book_id, 1000000000 + a3, a3, a3 + length(p3), 'toc' FROM places UNION ALL SELECT book_id, 2000000000 + a6, a6, size, 'backmatter' FROM places)"""
+COMPOSED_PRUNED = PRUNED.replace(BOOKS, COMPOSED).replace(HEADS, FIXED)
+COMPOSED_CHAPTERS = "chapters AS (SELECT book_id, 0 AS chapter_ix, 'Chapter 1' AS title, 1 AS level, a4 AS start_char, a5 AS end_char FROM places UNION ALL SELECT book_id, 1, 'Chapter 2', 1, a5, size FROM places)"
+
+
 def audit_picks(chapters: str) -> str:
     """Five claims of each book of ``chapters`` (book_id, chapter_index, text) by recursion over the samples of a chapter: ``picks``."""
     return rf"""WITH RECURSIVE chapters AS ({chapters}),
@@ -152,7 +167,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT book_id, unit_id, CASE WHEN n >= chunk_target * 0.75 AND NOT n > greatest(chunk_target * 2, chunk_target + 500) THEN CAST(n AS BIGINT) END AS reused_chars FROM found""",
         "length_verdicts": CHUNKS + " SELECT book_id, unit_id, CASE WHEN length(chunk_text) > greatest(chunk_target * 2, chunk_target + 500) THEN 'long' WHEN length(chunk_text) < chunk_target * 0.75 THEN 'short' ELSE '' END AS issue FROM planned",
         "merged_output": CHUNKS + r""", bad AS (SELECT book_id, unit_ix, min(chunk_ix) FILTER (WHERE length(chunk_text) % 97 = 0) AS b FROM planned GROUP BY ALL),
-          parts AS (SELECT p.book_id, p.unit_ix, string_agg(substring(chunk_text, 1, 40), chr(10) || chr(10) ORDER BY chunk_ix) FILTER (WHERE b IS NULL OR chunk_ix < b) AS t, max(CASE WHEN b IS NULL THEN 0 ELSE 1 END) AS failed FROM planned p JOIN bad USING (book_id, unit_ix) GROUP BY ALL)
+          parts AS (SELECT p.book_id, p.unit_ix, string_agg(chunk_text, chr(10) || chr(10) ORDER BY chunk_ix) FILTER (WHERE b IS NULL OR chunk_ix < b) AS t, max(CASE WHEN b IS NULL THEN 0 ELSE 1 END) AS failed FROM planned p JOIN bad USING (book_id, unit_ix) GROUP BY ALL)
           SELECT book_id, md5(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY unit_ix) FILTER (WHERE regexp_matches(coalesce(t, ''), '\S')), '')) AS output_md5, count(*) AS n_units, CAST(sum(failed) AS BIGINT) AS n_errors FROM parts GROUP BY book_id""",
         "result_totals": CHUNKS + " SELECT book_id, CAST(sum(source_chars) AS BIGINT) AS source_chars, CAST(sum(chunk_target) AS BIGINT) AS target_chars, count(*) AS api_calls FROM planned GROUP BY book_id",
         "next_queue_orders": f"WITH {TASKS} SELECT task_id, (SELECT coalesce(max(queue_order), -1) FROM tasks WHERE task_id % 5 <> 0) + row_number() OVER (ORDER BY created_at, task_id) AS queue_order FROM tasks WHERE task_id % 5 = 0",
@@ -173,7 +188,9 @@ def oracle_sql() -> dict[str, str]:
         "book_purge": f"""WITH {TASKS}, {LEDGER_UNITS}, {CACHE}, books AS (SELECT c_custkey AS book_id FROM customer WHERE c_custkey % 50 = 1)
           SELECT cache_key FROM cache WHERE coalesce(book_id NOT IN (SELECT book_id FROM books), true) AND cache_key NOT IN (SELECT cache_key FROM units WHERE task_id IN (SELECT task_id FROM tasks WHERE book_id IN (SELECT book_id FROM books)))""",
         "deletion_previews": f"WITH {TASKS} SELECT book_id, count(*) AS n_tasks, count(*) FILTER (WHERE status IN ('pending', 'running')) AS n_active, coalesce(string_agg(CAST(task_id AS VARCHAR), ',' ORDER BY task_id) FILTER (WHERE status IN ('pending', 'running')), '') AS active_ids FROM tasks GROUP BY 1",
-        "moved_task": f"WITH {TASKS} SELECT task_id, row_number() OVER (ORDER BY queue_order, created_at, task_id) - 1 AS queue_order FROM tasks WHERE status = 'pending' AND NOT cancel_requested AND NOT delete_requested",
+        "moved_task": f"""WITH {TASKS}, w AS (SELECT * FROM tasks WHERE status = 'pending' AND NOT cancel_requested AND NOT delete_requested),
+          a AS (SELECT max(task_id) AS moved, min(task_id) FILTER (WHERE task_id % 7 = 0) AS b FROM w)
+          SELECT task_id, row_number() OVER (ORDER BY CASE WHEN task_id = moved AND moved <> b THEN b - 0.5 ELSE queue_order END, created_at, task_id) - 1 AS queue_order FROM w, a""",
         "deletion_states": "WITH r AS (SELECT CASE WHEN c_nationkey < 5 AND c_custkey % 4 <> 2 THEN 'staged' ELSE ['preparing', 'staged', 'completed', 'failed'][CAST(c_custkey % 4 AS INT) + 1] END AS state FROM customer) SELECT state, count(*) AS n FROM r WHERE state <> 'completed' GROUP BY 1",
         "library_listing": r"""SELECT d.doc_id, coalesce(source, '') AS title, CASE WHEN quality = 1 THEN 'ok' WHEN quality = 0 THEN 'error' WHEN regexp_matches(coalesce(text, ''), '\S') THEN 'ok' ELSE 'pending' END AS extract_status, coalesce(n_chars, 0) AS word_count FROM documents d LEFT JOIN labels USING (doc_id)""",
         "extraction_recovery": "SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.toxic IS NULL AND NOT n_chars > 1000",
@@ -193,4 +210,44 @@ def oracle_sql() -> dict[str, str]:
         "audit_rollup": "SELECT coalesce(bool_and(quality = 1), false) AS all_pass, count(*) FILTER (WHERE quality = 1) AS supported, count(*) AS total FROM labels",
         "export_names": "SELECT o_orderkey, replace(o_orderpriority, '-', '') || '_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') || (CASE WHEN k > 0 THEN '_' || k ELSE '' END) || '.md' AS file_name FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_orderdate ORDER BY o_orderkey) - 1 AS k FROM orders)",
         "latest_event_states": "SELECT date_trunc('day', ts) AS day, user_id, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS n FROM events GROUP BY 1, 2",
+            "rule_regions": f"WITH {COMPOSED}, {LINES}, {DUPS}, {REGIONS}, {FIXED} SELECT book_id, start, stop, reason FROM heads UNION ALL SELECT book_id, start, stop, reason FROM regions",
+        "rule_removal": COMPOSED_PRUNED + " SELECT p.book_id, r.reasons, original_chars, removed_chars, md5(pruned_text) AS pruned_md5 FROM pruned p JOIN (SELECT book_id, string_agg(reason, ',' ORDER BY start) AS reasons FROM merged GROUP BY 1) r USING (book_id)",
+        "composed_chapters": f"WITH {COMPOSED}, {COMPOSED_CHAPTERS} SELECT * FROM chapters",
+        "distill_inputs": COMPOSED_PRUNED + f""", {COMPOSED_CHAPTERS},
+          shifted AS (SELECT c.book_id, c.chapter_ix, c.start_char, c.end_char, p.original_chars AS n, sum(greatest(0, least(m.stop, c.start_char) - m.start)) AS before, sum(greatest(0, least(m.stop, c.end_char) - m.start)) AS upto,
+              sum(greatest(0, least(m.stop, c.end_char) - greatest(m.start, c.start_char))) AS lost, bool_or(m.start <= c.start_char AND c.start_char < m.stop) AS inside, sum(m.stop - m.start) AS gone
+            FROM chapters c JOIN pruned p USING (book_id) JOIN merged m USING (book_id) WHERE c.book_id % 2 = 0 GROUP BY ALL),
+          moved AS (SELECT book_id, CAST(start_char - before AS BIGINT) AS start_char FROM shifted WHERE NOT inside AND NOT (end_char > start_char AND lost * 2 >= end_char - start_char) AND start_char - before < end_char - upto AND start_char - before < n - gone),
+          chosen AS (SELECT * FROM moved UNION ALL SELECT book_id, start_char FROM chapters WHERE book_id NOT IN (SELECT book_id FROM moved)),
+          counted AS (SELECT book_id, count(*) AS n_chapters, min(start_char) AS first_char FROM chosen GROUP BY 1)
+          SELECT p.book_id, CASE WHEN p.book_id % 2 = 0 THEN length(pruned_text) ELSE original_chars END AS n_chars, coalesce(n_chapters, 0) AS n_chapters, first_char FROM pruned p LEFT JOIN counted USING (book_id)""",
+        "plan_estimate": CHUNKS + f""", t AS (SELECT book_id, length(text) AS n, {TOKENS} AS tokens FROM books), c AS (SELECT book_id, count(*) AS calls FROM planned GROUP BY 1),
+          e AS (SELECT t.*, coalesce(calls, 0) AS calls FROM t LEFT JOIN c USING (book_id)),
+          f AS (SELECT *, CAST(ceil(tokens * 1.12::DOUBLE) AS BIGINT) + calls * 300 AS i, CAST(ceil(tokens * (0.15::DOUBLE * 1.3::DOUBLE)) AS BIGINT) AS o FROM e)
+          SELECT book_id, n AS source_chars, calls AS api_calls, i AS input_tokens, o AS output_tokens, calls * 2 AS time_seconds_low, calls * 8 AS time_seconds_high,
+            (i * 2 + o * 200 + 50) // 100 / 1e6::DOUBLE AS cost_cny_low, (i + o * 2) / 1e6::DOUBLE AS cost_cny_high, '2026-08-05' AS pricing_version FROM f""",
+        "task_updates": f"WITH {TASKS} SELECT CASE WHEN task_id % 3 = 0 THEN 'error' ELSE status END AS status, CASE WHEN task_id % 6 = 0 THEN 'late' ELSE stage END AS stage, count(*) AS n FROM tasks GROUP BY 1, 2",
+        "unknown_updates": "SELECT DISTINCT l_orderkey + 50 AS task_id FROM lineitem WHERE l_orderkey + 50 NOT IN (SELECT o_orderkey FROM orders)",
+        "ordered_units": f"WITH {LEDGER_UNITS} SELECT task_id, unit_id, row_number() OVER (PARTITION BY task_id ORDER BY unit_id) AS place FROM units",
+        "book_tasks": f"WITH {TASKS} SELECT book_id, task_id, row_number() OVER (PARTITION BY book_id ORDER BY queue_order, created_at, task_id) AS place FROM tasks",
+        "deletion_guards": f"""WITH {TASKS}, d AS (SELECT c_custkey AS book_id, CASE WHEN c_nationkey < 10 THEN 'staged' ELSE 'failed' END AS state FROM customer WHERE c_custkey % 4 = 0),
+          a AS (SELECT book_id, string_agg(CAST(task_id AS VARCHAR), ',' ORDER BY queue_order, created_at) AS ids FROM tasks WHERE status IN ('pending', 'running') GROUP BY 1)
+          SELECT c_custkey AS book_id, CASE WHEN d.state IS NOT NULL THEN d.state WHEN ids IS NOT NULL THEN 'blocked' ELSE 'preparing' END AS state, CASE WHEN d.state IS NULL THEN coalesce(ids, '') ELSE '' END AS blocking
+          FROM customer LEFT JOIN d ON d.book_id = c_custkey LEFT JOIN a ON a.book_id = c_custkey WHERE c_custkey % 3 <> 1""",
+        "event_props": "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0 ELSE coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) END AS k, '' AS note FROM events",
+        "resource_ids": "SELECT p_partkey, regexp_full_match(p_name, '[A-Za-z0-9][A-Za-z0-9_-]{0,127}') AS as_it_is, regexp_full_match(translate(p_name, ' #', '_-'), '[A-Za-z0-9][A-Za-z0-9_-]{0,127}') AS joined FROM part",
+        "book_files": "SELECT 'b' || s_suppkey AS book_id, folder, 'b' || s_suppkey || ending AS name FROM supplier, (VALUES ('books', '.txt'), ('books', '.meta.json'), ('books', '_0.epub'), ('intermediate', '.prune.json')) f(folder, ending) WHERE s_suppkey % 3 = 1",
+        "source_fingerprints": "SELECT doc_id, CASE WHEN doc_id % 4 <> 0 AND doc_id % 2 = 0 THEN sha256(CAST(doc_id AS VARCHAR)) ELSE sha256(coalesce(text, '')) END AS fingerprint FROM documents",
+        "export_markdown": r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS title, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+          m AS (SELECT doc_id, '---' || chr(10) || '书名: ' || title || chr(10) || '作者: 未知' || chr(10) || '原格式: txt' || chr(10) || '压缩强度: 标准（约 15%）' || chr(10) || '保留比例: ' || CASE WHEN n > 0 THEN '100.0%' ELSE '0.0%' END || chr(10)
+            || '原文约 ' || n || ' 字 → 精华 ' || n || ' 字' || chr(10) || 'API 调用: 1 次' || chr(10) || CASE WHEN doc_id % 3 > 0 THEN '提示: ' || doc_id % 3 || ' 处章节有告警（详见拆解结果）' || chr(10) ELSE '' END || '---' || chr(10) || chr(10)
+            || CASE WHEN doc_id % 3 = 0 THEN '## 内容处理告警' || chr(10) || chr(10) || '- body：check（' || doc_id % 5 || ' 处）' || chr(10) || chr(10) ELSE '' END || regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) AS md FROM d)
+          SELECT doc_id AS book_id, length(md) AS n_chars, md5(md) AS markdown_md5 FROM m""",
+        "evidence_matches": r"""WITH d AS (SELECT doc_id AS book_id, coalesce(text, '') AS text FROM documents),
+          p AS (SELECT *, substring(text, length(text) // 2, 60) AS part FROM d),
+          q AS (SELECT *, regexp_replace(regexp_replace(CASE WHEN book_id % 3 = 0 THEN replace(part, ' ', '  ') ELSE part END, '^\s+|\s+$', '', 'g'), '^["''`“”]+|["''`“”]+$', '', 'g') AS quote FROM p),
+          c AS (SELECT *, regexp_replace(text, '\s+', '', 'g') AS loose_text, regexp_replace(quote, '\s+', '', 'g') AS loose_quote FROM q),
+          f AS (SELECT *, CASE WHEN quote = '' THEN -1 ELSE instr(text, quote) - 1 END AS exact, CASE WHEN loose_quote = '' THEN -1 ELSE instr(loose_text, loose_quote) - 1 END AS loose FROM c)
+          SELECT book_id, CASE WHEN exact >= 0 THEN 'exact' WHEN loose >= 0 THEN 'whitespace_normalized' ELSE 'none' END AS match,
+            CASE WHEN exact >= 0 THEN exact WHEN loose >= 0 THEN CAST(list_filter(range(length(text)), lambda i: NOT regexp_matches(text[i + 1], '^\s$'))[loose + 1] AS BIGINT) ELSE -1 END AS "offset" FROM f""",
     }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, distill, export, ledger, modality, planning, prune, structure
-from ..sources.tables import conversation_books, document_books, spread, table
+from ..sources.tables import composed_books, conversation_books, document_books, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Chunks of conversation books are planned at this size, so that chunking has something to do.
@@ -268,8 +268,8 @@ def condensed_books(spark, d):
 
 @query
 def merged_output(spark, d):
-    """Chunk openings in place of a model's answers, merged in order."""
-    c = _chunks(spark, d).select("book_id", "unit_ix", "chunk_ix", F.substring("chunk_text", F.lit(1), F.lit(40)).alias("output"), F.when(F.expr("length(chunk_text) % 97 = 0"), "short").otherwise("").alias("error"))
+    """Whole chunks in place of a model's answers, merged in order."""
+    c = _chunks(spark, d).select("book_id", "unit_ix", "chunk_ix", F.col("chunk_text").alias("output"), F.when(F.expr("length(chunk_text) % 97 = 0"), "short").otherwise("").alias("error"))
     out = distill.merged(c)
     return out.select("book_id", F.md5(F.col("output").cast("binary")).alias("output_md5"), F.col("n_units").cast("long").alias("n_units"), F.col("n_errors").cast("long").alias("n_errors"))
 
@@ -402,7 +402,10 @@ def deletion_previews(spark, d):
 
 @query
 def moved_task(spark, d):
-    return ledger.moved_before(ledger.eligible(_tasks(spark, d)), 0, 0).select("task_id", "queue_order")
+    """The last eligible task is put before the first that can be divided by seven."""
+    waiting = ledger.eligible(_tasks(spark, d))
+    asked = waiting.agg(F.max("task_id").alias("moved"), F.min(F.when(F.col("task_id") % 7 == 0, F.col("task_id"))).alias("before"))
+    return ledger.moved_before(waiting, asked).select("task_id", "queue_order")
 
 
 @query
@@ -487,11 +490,13 @@ def audit_rollup(spark, d):
 
 @query
 def export_markdown(spark, d):
+    """Every document exported whole, every third with a warning."""
     docs = document_books(spark, d)
-    warnings = modality.text_modalities(F.col("text"))
+    warned = F.array(F.struct(F.lit("body").alias("location"), F.lit("check").alias("message"), (F.col("book_id") % 5).cast("long").alias("count")))
+    warnings = F.when(F.col("book_id") % 3 == 0, warned).otherwise(F.slice(warned, 1, 0))
     size = F.length("text")
-    md = export.markdown(F.col("title"), F.lit(""), F.col("source_format"), F.lit("standard"), size, F.least(size, F.lit(200)), F.lit(1), F.col("book_id") % 3, warnings, F.expr("substring(text, 1, 200)"))
-    return docs.select("book_id", F.length(md).cast("long").alias("n_chars"), F.regexp_extract(md, r"(?m)^(原文约.*)$", 1).alias("size_line"))
+    md = export.markdown(F.coalesce("title", F.lit("")), F.lit(""), F.col("source_format"), F.lit("standard"), size, size, F.lit(1), F.col("book_id") % 3, warnings, F.col("text"))
+    return docs.select("book_id", F.length(md).cast("long").alias("n_chars"), F.md5(md.cast("binary")).alias("markdown_md5"))
 
 
 @query
@@ -506,3 +511,114 @@ def latest_event_states(spark, d):
     """The job-event log's last state of each user and day (the batch form of the stream in ``streaming``)."""
     e = table(spark, d, "events", "user_id", "ts", "event_type", "event_id")
     return e.groupBy(F.date_trunc("day", "ts").alias("day"), "user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.count("*").alias("n"))
+
+
+# Books composed of documents, in which every rule has something to find
+
+
+@query
+def rule_regions(spark, d):
+    """What each rule finds, before anything is merged."""
+    found = prune.regions(composed_books(spark, d))
+    return found.select("book_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "reason")
+
+
+@query
+def rule_removal(spark, d):
+    """All rules merged and removed; a front matter that names a copyright stays front matter."""
+    out = prune.pruned(composed_books(spark, d))
+    reasons = F.array_join(F.transform("regions", lambda r: r["reason"]), ",")
+    return out.select("book_id", reasons.alias("reasons"), "original_chars", "removed_chars", F.md5(F.col("pruned_text").cast("binary")).alias("pruned_md5"))
+
+
+@query
+def composed_chapters(spark, d):
+    chapters = structure.plain_chapters(composed_books(spark, d))
+    return chapters.select("book_id", F.col("chapter_ix").cast("long").alias("chapter_ix"), "title", F.col("level").cast("long").alias("level"), F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"))
+
+
+@query
+def distill_inputs(spark, d):
+    """Books of even number have a pruned text and its chapters, the others their own."""
+    books = composed_books(spark, d)
+    chapters = structure.plain_chapters(books)
+    done = prune.pruned(books.where("book_id % 2 = 0"), chapters)
+    texts, chosen = distill.inputs(books, chapters, done, prune.remapped(chapters, done))
+    n = chosen.groupBy("book_id").agg(F.count("*").alias("n_chapters"), F.min("start_char").cast("long").alias("first_char"))
+    return texts.join(n, "book_id", "left").select("book_id", F.length("text").cast("long").alias("n_chars"), F.coalesce("n_chapters", F.lit(0)).alias("n_chapters"), "first_char")
+
+
+@query
+def plan_estimate(spark, d):
+    """The estimate of every conversation over its real plan of calls."""
+    books = conversation_books(spark, d)
+    calls = _chunks(spark, d).groupBy("book_id").agg(F.count("*").alias("calls"))
+    every = books.join(calls, "book_id", "left").withColumn("calls", F.coalesce("calls", F.lit(0)))
+    return every.select("book_id", *[c.alias(n) for n, c in T.estimate(F.col("text"), T.ratio(F.lit("standard"), F.lit("technical")), F.col("calls")).items()])
+
+
+# More of the ledger and the library
+
+
+@query
+def task_updates(spark, d):
+    t = _tasks(spark, d)
+    changes = t.where("task_id % 3 = 0").select("task_id", F.lit("error").alias("status"), F.when(F.col("task_id") % 2 == 0, "late").alias("stage"))
+    return ledger.updated(t, changes).groupBy("status", "stage").agg(F.count("*").alias("n"))
+
+
+@query
+def unknown_updates(spark, d):
+    asked = table(spark, d, "lineitem", "l_orderkey").select((F.col("l_orderkey") + 50).alias("task_id")).distinct()
+    return ledger.missing(_tasks(spark, d), asked)
+
+
+@query
+def ordered_units(spark, d):
+    return ledger.units_in_order(_units(spark, d).select("task_id", "unit_id")).select("task_id", "unit_id", "place")
+
+
+@query
+def book_tasks(spark, d):
+    return ledger.tasks_of_books(_tasks(spark, d)).select("book_id", "task_id", "place")
+
+
+@query
+def deletion_guards(spark, d):
+    c = table(spark, d, "customer", "c_custkey", "c_nationkey")
+    deletions = c.where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("book_id"), F.when(F.col("c_nationkey") < 10, "staged").otherwise("failed").alias("state"))
+    return ledger.prepared_deletions(_tasks(spark, d), deletions, c.where("c_custkey % 3 <> 1").select(F.col("c_custkey").alias("book_id")))
+
+
+@query
+def event_props(spark, d):
+    """The events' JSON with defaults; every seventh is damaged on purpose."""
+    e = table(spark, d, "events", "event_id", "props")
+    raw = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("{"), F.col("props"))).otherwise(F.col("props"))
+    row = ledger.decoded_row(raw, "k long, note string")
+    return e.select("event_id", F.coalesce(row["k"], F.lit(0)).alias("k"), F.coalesce(row["note"], F.lit("")).alias("note"))
+
+
+@query
+def resource_ids(spark, d):
+    p = table(spark, d, "part", "p_partkey", "p_name")
+    return p.select("p_partkey", ledger.is_resource_id(F.col("p_name")).alias("as_it_is"), ledger.is_resource_id(F.translate("p_name", " #", "_-")).alias("joined"))
+
+
+@query
+def book_files(spark, d):
+    """Files named by suppliers, of the books that are every third supplier: book 1 isn't book 10."""
+    k = F.col("s_suppkey").cast("string")
+    s = table(spark, d, "supplier", "s_suppkey")
+    names = F.array(*[F.struct(F.lit(folder).alias("folder"), F.concat(F.lit("b"), k, F.lit(end)).alias("name")) for folder, end in (("books", ".txt"), ("books", ".meta.json"), ("books", "_0.epub"), ("books", ".pdf"), ("intermediate", ".prune.json"), ("intermediate", "_x"))])
+    files = s.select(F.explode(names).alias("f")).select("f.*")
+    return ledger.managed_files(files, s.where("s_suppkey % 3 = 1").select(F.concat(F.lit("b"), k).alias("book_id")))
+
+
+@query
+def source_fingerprints(spark, d):
+    """Every second document knows its fingerprint, every fourth a damaged one."""
+    docs = spread(table(spark, d, "documents", "doc_id", "text"))
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    known = F.when(F.col("doc_id") % 4 == 0, "not a digest").when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.upper(F.sha2(F.col("doc_id").cast("string"), 256))))
+    return docs.select("doc_id", ledger.fingerprint(known, content).alias("fingerprint"))
