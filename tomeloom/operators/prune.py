@@ -16,29 +16,38 @@ REGION = "array<struct<start:long,stop:long,seq:long,reason:string,label:string>
 HEAD = 5000
 
 
-def _lines_of(books: DataFrame, pattern: str, lines: DataFrame | None = None, plain: str = "text") -> DataFrame:
-    """The lines of the books of which a line, bare of heading marks, can match; the other books aren't cut up.
+def _with_line(books: DataFrame, pattern: str) -> DataFrame:
+    """The books of which a line, bare of heading marks, can match.
 
     Headings are few: a search of the whole text costs one pass and no shuffle, and only what it
-    finds is exploded and given offsets.
+    finds is cut into lines and given offsets.
     """
-    if lines is not None:
-        return lines
     flags, bare = pattern[: pattern.index(")") + 1], pattern[pattern.index(")") + 1 :]
     anywhere = flags.replace(")", "m)") + bare.replace("^", r"^[\s#]*", 1).replace("$", r"\s*$")
-    return S.line_spans(books.where(F.col(plain).rlike(anywhere)))
+    return books.where(F.col("text").rlike(anywhere))
 
 
-def main_start(books: DataFrame, lines: DataFrame | None = None, chapters: DataFrame | None = None) -> DataFrame:
-    """book_id, main_start (null if unknown) and head_end of every book."""
-    titles = S.headings(_lines_of(books, T.MAIN_TITLE, lines), T.MAIN_TITLE).groupBy("book_id").agg(F.min("pos").alias("_title"))
-    out = books.select("book_id", F.length("text").cast("long").alias("_size")).join(titles, "book_id", "left")
-    found = F.col("_title")
+def placed(books: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+    """books with main_start (null if unknown) and head_end.
+
+    The first title is found where the text is read: what stands before the pattern's first match
+    in the text is as long as the title's offset. Only chapters, where given, are joined.
+    """
+    line = T.MAIN_TITLE.removeprefix("(?U)^").replace(r"\s", r"[^\S\n]")
+    before = F.split("text", rf"(?Umd)^[^\S\n]*#*[^\S\n]*{line}", 2)
+    title = T.bound(before, lambda p: F.when(F.size(p) == 2, F.length(F.get(p, F.lit(0))).cast("long")))
+    out, found = books, title
     if chapters is not None:
-        first = chapters.where("level <= 2 and start_char > 0").groupBy("book_id").agg(F.min_by("start_char", "chapter_ix").alias("_chapter"))
-        out = out.join(first, "book_id", "left")
-        found = F.coalesce("_chapter", "_title")
-    return out.select("book_id", found.alias("main_start"), F.coalesce(found, F.least("_size", F.lit(HEAD))).alias("head_end"))
+        first = chapters.where("level <= 2 and start_char > 0").groupBy("book_id").agg(F.min_by("start_char", "chapter_ix").cast("long").alias("_chapter"))
+        out = books.join(first, "book_id", "left")
+        found = F.coalesce("_chapter", title)
+    out = out.withColumn("main_start", found)
+    return out.withColumn("head_end", F.coalesce("main_start", F.least(F.length("text"), F.lit(HEAD)).cast("long"))).select(*books.columns, "main_start", "head_end")
+
+
+def main_start(books: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+    """book_id, main_start (null if unknown) and head_end of every book."""
+    return placed(books, chapters).select("book_id", "main_start", "head_end")
 
 
 def frontmatter_regions(books: DataFrame) -> DataFrame:
@@ -48,9 +57,9 @@ def frontmatter_regions(books: DataFrame) -> DataFrame:
     return found.select("book_id", F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("start"), F.length("_b").cast("long").alias("stop"), F.lit("frontmatter").alias("reason"), T.summary(F.col("_b")).alias("label"))
 
 
-def head_regions(books: DataFrame, starts: DataFrame) -> DataFrame:
-    """Copyright pages and tables of contents among the blocks before the main text."""
-    heads = books.join(starts, "book_id").select("book_id", F.expr("substring(text, 1, cast(head_end as int))").alias("text"), "head_end")
+def head_regions(books: DataFrame) -> DataFrame:
+    """Copyright pages and tables of contents among the blocks before the main text. books: as :func:`placed` gives them."""
+    heads = books.select("book_id", F.expr("substring(text, 1, cast(head_end as int))").alias("text"), "head_end")
     # Only heads in which a rule can fire are cut into lines and blocks.
     marks = T.COPYRIGHT + "|" + r"(?imU)^[\s#]*(?:目录|目\s*录|CONTENTS|Table of Contents)\s*$"
     heads = heads.where(F.col("text").rlike(marks) | (F.col("text").rlike(r"(?mU)[.．·•\s]{2}\d{1,4}\s*$") & (S.toc_entries(F.col("text")) >= 4)))
@@ -68,10 +77,11 @@ def head_regions(books: DataFrame, starts: DataFrame) -> DataFrame:
     return with_text.select("book_id", (F.col("start") + 1_000_000_000).alias("seq"), "start", "stop", reason.alias("reason"), T.summary(F.col("_b")).alias("label")).where("reason is not null")
 
 
-def backmatter_regions(books: DataFrame, lines: DataFrame | None, starts: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
-    """From each back-matter heading to the next chapter, structural heading or the end."""
-    lines = _lines_of(books, T.BACK_MATTER, lines)
-    found = S.headings(lines, T.BACK_MATTER).join(starts, "book_id").where("main_start is null or pos >= main_start").withColumn("_from", F.col("pos") + F.length("heading"))
+def backmatter_regions(books: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+    """From each back-matter heading to the next chapter, structural heading or the end. books: as :func:`placed` gives them."""
+    ending = _with_line(books, T.BACK_MATTER)
+    lines, books = S.line_spans(ending), ending.select("book_id", "text", "main_start")
+    found = S.headings(lines, T.BACK_MATTER).join(books.select("book_id", "main_start"), "book_id").where("main_start is null or pos >= main_start").withColumn("_from", F.col("pos") + F.length("heading"))
     bounds = S.headings(lines, T.STRUCTURE).select("book_id", F.col("pos").alias("_p"))
     structural = found.join(bounds, "book_id").where("_p >= _from").groupBy("book_id", "pos").agg(F.min("_p").alias("_structural"))
     out = found.join(structural, ["book_id", "pos"], "left").join(books.select("book_id", F.length("text").cast("long").alias("_size")), "book_id")
@@ -132,8 +142,8 @@ def duplicate_regions(books: DataFrame) -> DataFrame:
 
 def regions(books: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
     """All rules together."""
-    starts = main_start(books, None, chapters)
-    return frontmatter_regions(books).unionByName(head_regions(books, starts)).unionByName(backmatter_regions(books, None, starts, chapters)).unionByName(duplicate_regions(books))
+    ready = placed(books.select("book_id", "text"), chapters)
+    return frontmatter_regions(books).unionByName(head_regions(ready)).unionByName(backmatter_regions(ready, chapters)).unionByName(duplicate_regions(books))
 
 
 def collected(found: DataFrame) -> DataFrame:

@@ -145,8 +145,7 @@ def head_windows(spark, d):
 @query
 def copyright_blocks(spark, d):
     books = document_books(spark, d)
-    starts = prune.main_start(books)
-    return prune.head_regions(books, starts).select("book_id", "start", "stop", "reason")
+    return prune.head_regions(prune.placed(books)).select("book_id", "start", "stop", "reason")
 
 
 @query
