@@ -67,8 +67,20 @@ def _found(text: Column, kind: str) -> Column:
         return F.struct(stop.alias("at"), F.when(kept, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
     nothing = F.array().cast(_SPAN)
-    first = F.coalesce(empty, F.struct(F.lit(0).alias("at"), nothing.alias("out")))
-    spans = F.aggregate(steps, first, step, lambda acc: acc["out"])
+
+    def at(start: Column) -> Column:
+        return F.coalesce(empty, F.struct(start.alias("at"), nothing.alias("out")))
+
+    def block(acc: Column, some: Column) -> Column:
+        return F.aggregate(some, at(acc["at"]), step, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], r["out"]).alias("out")))
+
+    def folded(s: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(s))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / width).cast("int")), lambda b: F.slice(s, b * width + 1, width))
+        return F.aggregate(blocks, at(F.lit(0)), block, lambda acc: acc["out"])
+
+    # Spans are appended to those of a block, blocks to each other: n matches cost n * sqrt(n), not n squared.
+    spans = F.transform(F.array(steps), folded)[0]  # bound once, as a lambda's outer expressions are evaluated at each element
     maybe = text.rlike(pattern) if literal is None else text.contains(literal) & text.rlike(pattern)
     return F.when(maybe, spans).otherwise(nothing)
 
