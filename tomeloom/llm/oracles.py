@@ -69,5 +69,116 @@ FROM docs d LEFT JOIN hits h USING (doc_id) LEFT JOIN owners o USING (doc_id)
 """
 
 
+def _either(words: str) -> str:
+    """The words with each letter in either case, in ASCII alone: (?i) would fold more."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+#: Kind, pattern, group of the value, its least length. The texts searched start with a space, so
+#: that a kind which must not follow certain characters can match the character before it.
+_SECRET_KINDS = [
+    ("assign", f"(?:{_either('password|passwd|secret|token|api_?key')})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 1, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("vendor", "(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,})", 0, 1),
+    ("jwt", "[^A-Za-z0-9_-](eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,})", 1, 1),
+    ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+    ("url", "[a-z][a-z0-9+.-]{1,20}://[^\\x20\\t\\r\\n/:@]{1,80}:([^\\x20\\t\\r\\n/:@]{3,200})@", 1, 3),
+    ("bearer", f"{_either('bearer')}\\x20+([A-Za-z0-9._~+/-]+=*)", 1, 20),
+    ("named", f"(?:{_either('access_?key|secret_?key|private_?key|auth_?key|encryption_?key|credentials?|pwd')})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 1, 12),
+]
+
+
+def _searched(kind: int) -> str:
+    name, pattern, group, least = _SECRET_KINDS[kind]
+    return f"""SELECT r, {kind} AS kind, '{name}' AS name, {1 if name == 'jwt' else 0} AS skipped, {least} AS least,
+    string_split_regex(padded, '{pattern}') AS p, regexp_extract_all(padded, '{pattern}') AS w, regexp_extract_all(padded, '{pattern}', {group}) AS v FROM docs"""
+
+
+# A jwt's match holds the character before it, and every offset counts the space before the text.
+SECRETS = f"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, ' ' || coalesce(text, '') AS padded,
+    coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repo
+  FROM documents),
+searched AS ({' UNION ALL '.join(_searched(k) for k in range(len(_SECRET_KINDS)))}),
+steps AS (
+  SELECT r, kind, name, skipped, least, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w, unnest(v) AS v, unnest(p[1 : len(w)]) AS p
+  FROM searched WHERE len(w) > 0),
+spans AS (
+  SELECT r, kind, name, v, least,
+    sum(length(p) + length(w)) OVER so_far - length(w) + skipped - 1 AS start,
+    sum(length(p) + length(w)) OVER so_far - 1 AS stop
+  FROM steps WINDOW so_far AS (PARTITION BY r, kind ORDER BY i ROWS UNBOUNDED PRECEDING)),
+kept AS (
+  SELECT r, kind, v, start, name || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span
+  FROM spans WHERE length(v) >= least),
+held AS (
+  SELECT kind, v, count(DISTINCT owner) > 2 AND count(DISTINCT (owner, repo)) > 3 AS copied
+  FROM kept JOIN docs USING (r) GROUP BY kind, v),
+listed AS (
+  SELECT r,
+    count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
+    string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3 OR NOT copied) AS spans,
+    string_agg(span, ',' ORDER BY start, kind) FILTER (copied) AS copied_spans,
+    count(*) FILTER (kind > 2 AND NOT copied) AS n_live, count(*) FILTER (kind > 2 AND copied) AS n_copied,
+    count(*) FILTER (kind < 3 AND NOT copied) AS n_base_live, count(*) FILTER (kind < 3 AND copied) AS n_base_copied
+  FROM kept JOIN held USING (kind, v) GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+  coalesce(n_base_live, 0) AS n_base_live, coalesce(n_base_copied, 0) AS n_base_copied,
+  coalesce(copied_spans, '') AS copied_spans
+FROM docs LEFT JOIN listed USING (r)
+"""
+
+# DuckDB has no crc32: each text's bytes are folded through the table of the reversed polynomial.
+SHARDS = """
+WITH crc_table AS MATERIALIZED (
+  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS t
+  FROM range(256) AS b(n)),
+hexed AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, coalesce(strlen(text), 0) + 1 AS size
+  FROM documents),
+bytes AS (
+  SELECT r, doc_id, size,
+    list_transform(range(1, size), lambda k: CAST('0x' || substr(h, 2 * k - 1, 2) AS BIGINT)) AS b
+  FROM hexed),
+sized AS MATERIALIZED (
+  SELECT r, doc_id, size,
+    xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32
+  FROM bytes, crc_table),
+summed AS (
+  SELECT *, sum(size) OVER (ORDER BY text_crc32, size, doc_id NULLS FIRST, r ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total
+  FROM sized),
+placed AS (SELECT *, CAST(least(15, (2 * before + size) * 16 // (2 * total)) AS INTEGER) AS shard FROM summed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY before) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed
+"""
+
+# Every pair of vectors of one label, and components as what each vector reaches.
+NEAR_VECTORS = """
+WITH RECURSIVE usable AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM usable a JOIN usable b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reached AS (
+  SELECT a, b FROM links
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+roots AS (SELECT a, min(b) AS root FROM reached GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, root) AS component_id, vec_id <= coalesce(root, vec_id) AS kept
+FROM embeddings LEFT JOIN roots ON roots.a = vec_id LEFT JOIN counted ON counted.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": DECONTAMINATE, "op10_mixing": MIXING}
+    return {"op1_secrets": SECRETS, "op2_shards": SHARDS, "op8_near_vectors": NEAR_VECTORS, "op9_decontaminate": DECONTAMINATE, "op10_mixing": MIXING}
