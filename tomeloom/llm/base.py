@@ -111,8 +111,8 @@ class Tokenizer:
                 steps[0] = 1
                 setattr(self, name, np.multiply.accumulate(steps))
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> Tokens:
-        """data: UTF-8 bytes of all texts; offsets: where each begins, then the end (relative to data)."""
+    def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and text of each word; data: UTF-8 bytes of all texts; offsets: where each begins, then the end (relative to data)."""
         n, docs = len(data), len(offsets) - 1
         word = np.zeros(n + 1, dtype=bool)
         word[:n] = self.is_word[data]
@@ -123,16 +123,23 @@ class Tokenizer:
         start = np.flatnonzero(begin)
         if not len(start):
             none = np.zeros(0, dtype=np.int64)
-            return Tokens(none, none, none, none.astype(np.uint64), docs)
+            return none, none, none
         stop = np.zeros(n + 1, dtype=bool)
         stop[1:] = word[:-1] & ~word[1:]
         stop[inner] |= word[inner - 1] & (inner > 0)
         end = np.flatnonzero(stop)
+        return start, end, np.repeat(np.arange(docs), np.diff(np.searchsorted(start, offsets)))
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> Tokens:
+        """The words of the texts, as :meth:`spans` finds them, with their hashes."""
+        n, docs = len(data), len(offsets) - 1
+        start, end, doc = self.spans(data, offsets)
+        if not len(start):
+            return Tokens(start, end, doc, start.astype(np.uint64), docs)
         self._grow(n + 1)
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(self.value[data] * self.power[:n], out=sums[1:])
         hashes = mix((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
-        doc = np.repeat(np.arange(docs), np.diff(np.searchsorted(start, offsets)))
         return Tokens(start, end, doc, hashes, docs)
 
 

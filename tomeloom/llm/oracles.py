@@ -180,5 +180,49 @@ FROM embeddings LEFT JOIN roots ON roots.a = vec_id LEFT JOIN counted ON counted
 """
 
 
+# Words are hashed once each; what a table's words share is joined.
+RESAMPLING = r"""
+WITH crc_table AS MATERIALIZED (
+  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS t
+  FROM range(256) AS b(n)),
+docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+target AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM benchmark),
+in_doc AS MATERIALIZED (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(w) AS w FROM docs) GROUP BY r, w),
+hashed AS (
+  SELECT w, list_transform(range(1, strlen(w) + 1), lambda k: CAST('0x' || substr(hex(encode(w)), 2 * k - 1, 2) AS BIGINT)) AS b
+  FROM (SELECT w FROM in_doc UNION SELECT w FROM target)),
+buckets AS MATERIALIZED (
+  SELECT w, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM hashed, crc_table),
+corpus_counts AS (SELECT bucket, sum(n) AS s FROM in_doc JOIN buckets USING (w) GROUP BY bucket),
+target_counts AS (SELECT bucket, count(*) AS t FROM target JOIN buckets USING (w) GROUP BY bucket),
+gains AS MATERIALIZED (
+  SELECT bucket, CAST(floor(1000 * ln(
+      (coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM corpus_counts) + 10000)::DOUBLE
+      / ((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(t), 0) FROM target_counts) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT DISTINCT bucket FROM buckets) LEFT JOIN corpus_counts USING (bucket) LEFT JOIN target_counts USING (bucket)),
+weights AS (
+  SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total
+  FROM in_doc JOIN buckets USING (w) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, coalesce(n_features, 0) AS n_features,
+    CASE WHEN n_features > 0 THEN CAST((total - ((total % n_features) + n_features) % n_features) // n_features AS BIGINT) ELSE 0 END AS weight,
+    CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM docs LEFT JOIN weights USING (r)),
+placed AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM scored),
+drawn AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, r) AS place, count(*) OVER () AS n
+  FROM placed WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM placed LEFT JOIN drawn USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": SECRETS, "op2_shards": SHARDS, "op8_near_vectors": NEAR_VECTORS, "op9_decontaminate": DECONTAMINATE, "op10_mixing": MIXING}
+    return {"op1_secrets": SECRETS, "op2_shards": SHARDS, "op8_near_vectors": NEAR_VECTORS, "op9_decontaminate": DECONTAMINATE, "op10_mixing": MIXING, "op11_resampling": RESAMPLING}

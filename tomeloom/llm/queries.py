@@ -1,4 +1,4 @@
-"""The ten operators over the standard tables, with production parameters and whole tables."""
+"""The operators over the standard tables, with production parameters and whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, icws, katz, langid, lattice, mainhtml, mixing, rules, secrets, shards
+from . import fmindex, icws, katz, langid, lattice, mainhtml, mixing, resampling, rules, secrets, shards
 from .base import read, spread
 
 
@@ -55,8 +55,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(mixing.sized(read(spark, sf_dir, "documents", "doc_id", "text", "source"))))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return resampling.digest(resampling.resample(docs, read(spark, sf_dir, "benchmark", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_secrets, op2_shards, op3_language, op4_near_text, op5_katz, op6_quality, op7_main_text, op8_near_vectors, op9_decontaminate, op10_mixing)
+        for f in (op1_secrets, op2_shards, op3_language, op4_near_text, op5_katz, op6_quality, op7_main_text, op8_near_vectors, op9_decontaminate, op10_mixing, op11_resampling)
     }
