@@ -62,10 +62,11 @@ def brute(rows, encoders):
 def test_alignment_equals_brute_force(spark, encoders, monkeypatch):
     docs = base.read(spark, SF, "documents", "doc_id", "text").unionByName(spark.createDataFrame(ODD, "doc_id long, text string")).repartition(3)
     expected = brute([tuple(r) for r in docs.collect()], encoders)
-    for share, piece, held in ((1e-6, 1 << 16, 1 << 20), (1e-2, 97, 500), (2.0, 5000, 1 << 20)):  # all pairs, some and none broadcast; few and many pieces
+    for share, piece, held, links in ((1e-6, 1 << 16, 1 << 20, 1 << 19), (1e-2, 97, 500, 700), (2.0, 5000, 1 << 20, 1)):  # all pairs, some and none broadcast; few and many pieces
         monkeypatch.setattr(alignment, "SHARE", share)
         monkeypatch.setattr(alignment, "PIECE", piece)
         monkeypatch.setattr(alignment, "HELD_PAIRS", held)
+        monkeypatch.setattr(alignment, "RUN_LINKS", links)
         assert sorted(map(repr, map(tuple, alignment.digest(docs).collect()))) == expected
 
 
@@ -87,6 +88,17 @@ def test_pieces_find_all_shared_ends(a, b, piece):
     assert list(at_a) == [sum(side == 0 for _, side in merged[:d]) for d in steps] and list(at_a + at_b) == steps
 
 
+def test_encoding_by_ranks_equals_the_tokenizer(encoders):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(f"{alignment.FOLDER}/{alignment.BYTE_LEVEL}")
+    tokenizer.encode_special_tokens = True
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(1, 0x3000)] + list(" \n\t\u3000\u00a0's1") * 200
+    texts = [t for _, t in ODD if t] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(2000)]
+    assert encoders[0].encode(texts) == [e.ids for e in tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+
+
 def test_pieces_are_equal_work_however_long_a_text(encoders):
     rng = random.Random(3)
     texts = ["".join(rng.choice("abc de\n é") for _ in range(n)) for n in (0, 3, 50_000, 1, 7)]
