@@ -132,15 +132,19 @@ class Tokenizer:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> Tokens:
         """The words of the texts, as :meth:`spans` finds them, with their hashes."""
-        n, docs = len(data), len(offsets) - 1
+        docs = len(offsets) - 1
         start, end, doc = self.spans(data, offsets)
+        return Tokens(start, end, doc, self.hashed(data, start, end)[0], docs)
+
+    def hashed(self, data: np.ndarray, start: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+        """The hashes of the bytes from each start to each of its ends."""
+        n = len(data)
         if not len(start):
-            return Tokens(start, end, doc, start.astype(np.uint64), docs)
+            return [start.astype(np.uint64) for _ in ends]
         self._grow(n + 1)
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(self.value[data] * self.power[:n], out=sums[1:])
-        hashes = mix((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
-        return Tokens(start, end, doc, hashes, docs)
+        return [mix((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64)) for end in ends]
 
 
 def text_runs(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, fmindex, icws, katz, langid, lattice, mainhtml, mixing, resampling, rules, secrets, shards
+from . import alignment, fmindex, icws, katz, langid, lattice, mainhtml, mixing, resampling, rules, secrets, shards, toxicity
 from .base import read, spread
 
 
@@ -60,6 +60,11 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.digest(resampling.resample(docs, read(spark, sf_dir, "benchmark", "text")))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digest(spread(read(spark, sf_dir, "documents", "doc_id", "text")))
 
@@ -67,5 +72,5 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_secrets, op2_shards, op3_language, op4_near_text, op5_katz, op6_quality, op7_main_text, op8_near_vectors, op9_decontaminate, op10_mixing, op11_resampling, op13_alignment)
+        for f in (op1_secrets, op2_shards, op3_language, op4_near_text, op5_katz, op6_quality, op7_main_text, op8_near_vectors, op9_decontaminate, op10_mixing, op11_resampling, op12_toxicity, op13_alignment)
     }
