@@ -97,8 +97,8 @@ def test_rules_find_regions(spark):
 
 def test_merge_keeps_first_reason_and_longer_label(spark):
     rows = [(0, 5, 1, "a", "x"), (5, 9, 2, "b", "long"), (6, 7, 3, "c", "longest"), (20, 21, 4, "d", ""), (30, 40, 6, "copyright", "later"), (30, 40, 5, "frontmatter", "first")]
-    df = spark.createDataFrame([(rows,)], f"r {prune.REGION}")
-    got = df.select(prune.merged(F.col("r")).alias("r")).first().r
+    df = spark.createDataFrame([(1, *r) for r in rows], "book_id long, start long, stop long, seq long, reason string, label string")
+    got = prune.merged(df).orderBy("start").collect()
     assert [(x.start, x.stop, x.reason, x.label) for x in got] == [(0, 9, "a", "long"), (20, 21, "d", ""), (30, 40, "frontmatter", "first")]
 
 

@@ -16,17 +16,6 @@ REGION = "array<struct<start:long,stop:long,seq:long,reason:string,label:string>
 HEAD = 5000
 
 
-def _with_line(books: DataFrame, pattern: str) -> DataFrame:
-    """The books of which a line, bare of heading marks, can match.
-
-    Headings are few: a search of the whole text costs one pass and no shuffle, and only what it
-    finds is cut into lines and given offsets.
-    """
-    flags, bare = pattern[: pattern.index(")") + 1], pattern[pattern.index(")") + 1 :]
-    anywhere = flags.replace(")", "m)") + bare.replace("^", r"^[\s#]*", 1).replace("$", r"\s*$")
-    return books.where(F.col("text").rlike(anywhere))
-
-
 def placed(books: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
     """books with main_start (null if unknown) and head_end.
 
@@ -50,47 +39,135 @@ def main_start(books: DataFrame, chapters: DataFrame | None = None) -> DataFrame
     return placed(books, chapters).select("book_id", "main_start", "head_end")
 
 
-def frontmatter_regions(books: DataFrame) -> DataFrame:
-    block = F.regexp_extract("text", r"(?ms)\A(.*?)(?:^[ \t]*\n|\z)", 1)
-    fenced = books.where(F.ltrim(F.col("text"), F.lit(T.WHITE)).startswith("---"))  # of all others not even the block is read
-    found = fenced.select("book_id", block.alias("_b")).where((F.col("_b") != "") & S.is_frontmatter(F.col("_b")))
-    return found.select("book_id", F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("start"), F.length("_b").cast("long").alias("stop"), F.lit("frontmatter").alias("reason"), T.summary(F.col("_b")).alias("label"))
+#: What the rules bring up, in this order; a region's seq begins at its rule's number of thousand millions.
+RULES = ("frontmatter", "head", "backmatter", "duplicate")
+_ITEM = "array<struct<rule:int,part:string,k:int,before:int,size:int,label:string,n:int,a:boolean,b:boolean,c:boolean>>"
+
+_BARE = r"(?Umd)^[^\S\n]*#*[^\S\n]*"
+_BACK = rf"(?-U:(?i:{T.BACK_MATTER.removeprefix('(?i)^').removesuffix('$')}))[^\S\n]*$"
+_BLANK = r"(?md)^[ \t]*\n"
+
 
+def _items(rule: str, part, k, before, size, label, n=0, a=False, b=False, c=False) -> Column:
+    """An item of a text: where it stands among those of its rule and part, the characters before and in it, and what the rule asks of it."""
+    values = dict(part=part, k=k, before=before, size=size, label=label, n=n, a=a, b=b, c=c)
+    return F.struct(F.lit(RULES.index(rule)).alias("rule"), *[(F.lit(v) if not isinstance(v, Column) else v).alias(name) for name, v in values.items()])
 
-def head_regions(books: DataFrame) -> DataFrame:
-    """Copyright pages and tables of contents among the blocks before the main text. books: as :func:`placed` gives them."""
-    heads = books.select("book_id", F.expr("substring(text, 1, cast(head_end as int))").alias("text"), "head_end")
-    # Only heads in which a rule can fire are cut into lines and blocks.
+
+def _front(text: Column) -> Column:
+    block = F.regexp_extract(text, r"(?ms)\A(.*?)(?:^[ \t]*\n|\z)", 1)
+    one = lambda b: F.when((b != "") & S.is_frontmatter(b), F.array(_items("frontmatter", "", 0, 0, F.length(b), T.summary(b))))
+    return F.when(F.ltrim(text, F.lit(T.WHITE)).startswith("---"), T.bound(block, one))  # of all others not even the block is read
+
+
+def _head(text: Column, head_end: Column) -> Column:
+    """Blocks between blank lines before the main text, of heads in which a rule can fire; n: contents entries,
+    a: names a copyright, b: begins with a contents heading, c: holds one."""
+    is_toc = lambda line: T.heading_text(line).rlike(T.TOC_HEADING)
     marks = T.COPYRIGHT + "|" + r"(?imU)^[\s#]*(?:目录|目\s*录|CONTENTS|Table of Contents)\s*$"
-    heads = heads.where(F.col("text").rlike(marks) | (F.col("text").rlike(r"(?mU)[.．·•\s]{2}\d{1,4}\s*$") & (S.toc_entries(F.col("text")) >= 4)))
-    lines = S.line_spans(heads)
-    block = S.blocks(heads, lines)
-    toc = S.headings(lines, T.TOC_HEADING).select("book_id", "pos").join(block.select("book_id", F.col("start").alias("_s"), F.col("stop").alias("_e")), "book_id", "left").where("_s is null or (_s <= pos and pos < _e)")
-    toc = toc.join(heads, "book_id")
-    after = F.expr("substring(text, cast(_e + 1 as int))")
-    ranges = toc.select("book_id", F.struct(F.col("pos").alias("lo"), F.when(F.col("_e").isNotNull() & (S.toc_entries(after) < 4), F.col("_e")).otherwise(F.col("head_end")).alias("hi")).alias("r"))
-    ranges = ranges.groupBy("book_id").agg(F.collect_list("r").alias("_ranges"))
-    with_text = block.join(heads.select("book_id", "text"), "book_id").join(ranges, "book_id", "left").withColumn("_b", F.expr("substring(text, cast(start + 1 as int), cast(stop - start as int))"))
-    in_range = F.coalesce(F.exists("_ranges", lambda r: (r["lo"] <= F.col("start")) & (F.col("start") < r["hi"])), F.lit(False))
-    dense = (F.length("_b") < 3000) & (S.toc_entries(F.col("_b")) >= 4)
-    reason = F.when(F.col("_b").rlike(T.COPYRIGHT), "copyright").when(in_range | dense, "toc")
-    return with_text.select("book_id", (F.col("start") + 1_000_000_000).alias("seq"), "start", "stop", reason.alias("reason"), T.summary(F.col("_b")).alias("label")).where("reason is not null")
 
+    def blocks(head: Column) -> Column:
+        def block(x: Column, k: Column) -> Column:
+            b, lines = x["b"], F.split(x["b"], "\n", -1)
+            before = F.when(k > 0, F.length(x["gap"])).otherwise(0)
+            return _items("head", "", k, before, F.length(b), T.summary(b), S.toc_entries(b), b.rlike(T.COPYRIGHT), is_toc(F.get(lines, F.lit(0))), F.exists(lines, is_toc))
 
-def backmatter_regions(books: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
-    """From each back-matter heading to the next chapter, structural heading or the end. books: as :func:`placed` gives them."""
-    ending = _with_line(books, T.BACK_MATTER)
-    lines, books = S.line_spans(ending), ending.select("book_id", "text", "main_start")
-    found = S.headings(lines, T.BACK_MATTER).join(books.select("book_id", "main_start"), "book_id").where("main_start is null or pos >= main_start").withColumn("_from", F.col("pos") + F.length("heading"))
-    bounds = S.headings(lines, T.STRUCTURE).select("book_id", F.col("pos").alias("_p"))
-    structural = found.join(bounds, "book_id").where("_p >= _from").groupBy("book_id", "pos").agg(F.min("_p").alias("_structural"))
-    out = found.join(structural, ["book_id", "pos"], "left").join(books.select("book_id", F.length("text").cast("long").alias("_size")), "book_id")
-    stop = F.coalesce("_structural", "_size")
+        gaps = F.concat(F.array(F.lit("")), F.regexp_extract_all(head, F.lit(_BLANK), F.lit(0)))
+        fires = head.rlike(marks) | (head.rlike(r"(?mU)[.．·•\s]{2}\d{1,4}\s*$") & (S.toc_entries(head) >= 4))
+        return F.when(fires, F.transform(F.arrays_zip(F.split(head, _BLANK, -1).alias("b"), gaps.alias("gap")), block))
+
+    return T.bound(F.substring(text, F.lit(1), head_end.cast("int")), blocks)
+
+
+def _back(text: Column) -> Column:
+    """Lines that are back-matter headings (a) or structural ones (b), of texts that have one of the former; n: characters of the bare heading."""
+    structure = T.STRUCTURE.removeprefix("(?U)^").replace(r"\s", r"[^\S\n]")
+    line = rf"{_BARE}(?:{_BACK}|{structure}[^\n]*)"
+    found = F.regexp_extract_all(text, F.lit(line), F.lit(0))
+
+    def one(x: Column, k: Column) -> Column:
+        return T.bound(T.heading_text(x["line"]), lambda h: _items("backmatter", "", k, F.length(x["before"]), F.length(x["line"]), h, F.length(h), h.rlike(T.BACK_MATTER), h.rlike(T.STRUCTURE)))
+
+    both = F.filter(F.arrays_zip(F.split(text, line, -1).alias("before"), found.alias("line")), lambda x: x["line"].isNotNull())
+    return F.when(text.rlike(_BARE + _BACK), F.transform(both, one))
+
+
+def _duplicates(text: Column) -> Column:
+    """Every non-overlapping occurrence of each repeated line, also inside longer lines; n: the first line that it is."""
+
+    def occurrences(r: Column) -> Column:
+        literal = F.concat(F.lit("\\Q"), F.replace(r["line"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        between = F.transform(F.split(text, literal, F.lit(-1)), F.length)
+        found = lambda s: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda before, k: _items("duplicate", r["line"], k, before, F.length(r["line"]), F.substring(r["line"], 1, 30), r["first_line"]))
+        return T.bound(between, found)
+
+    return F.flatten(F.transform(_repeated(text), occurrences))
+
+
+def _next_chapter(rows: DataFrame, chapters: DataFrame) -> DataFrame:
+    """rows (back matter: book_id, start, n) with ``_chapter``, the next chapter's start beyond the heading: one sorted union, one window."""
+    headings = rows.withColumn("_key", (F.col("start") + F.col("n")) * 2 + 1).withColumn("_at", F.lit(None).cast("long"))
+    starts = chapters.select("book_id", (F.col("start_char") * 2).cast("long").alias("_key"), F.col("start_char").cast("long").alias("_at"))
+    ahead = Window.partitionBy("book_id").orderBy(F.col("_key").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    both = headings.unionByName(starts, allowMissingColumns=True).withColumn("_chapter", F.min("_at").over(ahead))
+    return both.where("rule is not null").drop("_key", "_at")
+
+
+def regions(books: DataFrame, chapters: DataFrame | None = None, rules: tuple[str, ...] = RULES) -> DataFrame:
+    """book_id, seq, start, stop, reason and label of what the rules find in books (book_id, text).
+
+    Each text is read once, and its items are listed inside the row; only their sizes go on. One
+    shuffle by book serves the running sums that give the offsets, the boundaries (the next
+    structural heading by a running minimum from the end) and what follows by book.
+    """
+    text = F.col("text")
+    makers = {"frontmatter": lambda: _front(text), "head": lambda: _head(text, F.col("head_end")), "backmatter": lambda: _back(text), "duplicate": lambda: _duplicates(text)}
+    ready = placed(books.select("book_id", "text"), chapters)
+    nothing = F.array().cast(_ITEM)
+    listed = F.concat(*[F.coalesce(makers[r]().cast(_ITEM), nothing) for r in RULES if r in rules])
+    sized = ready.select("book_id", "text", "main_start", "head_end", F.length("text").cast("long").alias("_size"))  # beneath the generator, so once a text
+    rows = sized.select("book_id", "main_start", "_size", F.inline(listed)).repartition("book_id")
+    of = Window.partitionBy("book_id", "rule", "part")
+    up, down = of.orderBy("k"), of.orderBy(F.col("k").desc())
+    so_far = up.rowsBetween(Window.unboundedPreceding, 0)
+    earlier, later = up.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", (F.sum(F.col("before") + F.col("size")).over(so_far) - F.col("size")).cast("long"))
+    rows = rows.withColumn("_following", F.sum("n").over(of) - F.sum("n").over(so_far))
+    rows = rows.withColumn("_listing", F.coalesce(F.max(F.col("c") & (F.col("_following") >= 4)).over(earlier), F.lit(False)))
+    rows = rows.withColumn("_structural", F.min(F.when(F.col("b"), F.col("start"))).over(later))
+    is_head, is_back = F.col("rule") == RULES.index("head"), F.col("rule") == RULES.index("backmatter")
+    bound = F.coalesce("_structural", "_size")
     if chapters is not None:
-        nearest = found.join(chapters.select("book_id", "start_char"), "book_id").where("start_char > _from").groupBy("book_id", "pos").agg(F.min("start_char").alias("_chapter"))
-        out = out.join(nearest, ["book_id", "pos"], "left")
-        stop = F.coalesce("_chapter", "_structural", "_size")
-    return out.select("book_id", (F.col("pos") + 2_000_000_000).alias("seq"), F.col("pos").alias("start"), stop.alias("stop"), F.lit("backmatter").alias("reason"), F.col("heading").alias("label"))
+        heading = is_back & F.col("a")
+        rows = rows.where(~heading).withColumn("_chapter", F.lit(None).cast("long")).unionByName(_next_chapter(rows.where(heading), chapters))
+        bound = F.coalesce("_chapter", "_structural", "_size")
+    toc = F.col("_listing") | F.col("b") | ((F.col("size") < 3000) & (F.col("n") >= 4))
+    head_reason = F.when(F.col("label") == "", None).when(F.col("a"), "copyright").when(toc, "toc")
+    back_reason = F.when(F.col("a") & (F.col("main_start").isNull() | (F.col("start") >= F.col("main_start"))), "backmatter")
+    named = F.get(F.array(*[F.lit(r) for r in RULES]), F.col("rule"))
+    reason = F.when(is_head, head_reason).when(is_back, back_reason).otherwise(named)
+    place = F.when(F.col("rule") == RULES.index("duplicate"), F.col("n").cast("long") * 100_000 + F.col("k")).otherwise(F.col("start"))
+    stop = F.when(is_back, bound).otherwise(F.col("start") + F.col("size")).cast("long")
+    found = rows.select("book_id", (F.col("rule").cast("long") * 1_000_000_000 + place).alias("seq"), "start", stop.alias("stop"), reason.alias("reason"), "label")
+    return found.where("reason is not null")
+
+
+def frontmatter_regions(books: DataFrame) -> DataFrame:
+    return regions(books, rules=("frontmatter",))
+
+
+def head_regions(books: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+    """Copyright pages and tables of contents among the blocks before the main text."""
+    return regions(books, chapters, ("head",))
+
+
+def backmatter_regions(books: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+    """From each back-matter heading to the next chapter, structural heading or the end."""
+    return regions(books, chapters, ("backmatter",))
+
+
+def duplicate_regions(books: DataFrame) -> DataFrame:
+    return regions(books, rules=("duplicate",))
 
 
 def _repeated(text: Column) -> Column:
@@ -123,29 +200,6 @@ def duplicate_lines(books: DataFrame) -> DataFrame:
     return books.select("book_id", F.inline(_repeated(F.col("text"))))
 
 
-def duplicate_regions(books: DataFrame) -> DataFrame:
-    """Every non-overlapping occurrence of a duplicate line, also inside longer lines.
-
-    The text is split at the line where it is read; only the lengths of the pieces go on, and
-    their running sums are the offsets.
-    """
-    dup = books.select("book_id", "text", F.inline(_repeated(F.col("text"))))
-    literal = F.concat(F.lit("\\Q"), F.replace("line", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    sizes = F.transform(F.split("text", literal, F.lit(-1)), F.length)
-    pieces = dup.select("book_id", "line", "first_line", F.posexplode(sizes).alias("k", "size"))
-    order = Window.partitionBy("book_id", "line").orderBy("k")
-    start = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("k") * F.length("line")
-    last = F.lead("k").over(order).isNull()
-    placed = pieces.withColumn("start", start.cast("long")).withColumn("_last", last).where("not _last")
-    return placed.select("book_id", (F.col("first_line") * 100_000 + F.col("k") + 3_000_000_000).alias("seq"), "start", (F.col("start") + F.length("line")).cast("long").alias("stop"), F.lit("duplicate").alias("reason"), F.substring("line", 1, 30).alias("label"))
-
-
-def regions(books: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
-    """All rules together."""
-    ready = placed(books.select("book_id", "text"), chapters)
-    return frontmatter_regions(books).unionByName(head_regions(ready)).unionByName(backmatter_regions(ready, chapters)).unionByName(duplicate_regions(books))
-
-
 def collected(found: DataFrame) -> DataFrame:
     """book_id, regions: an array by start, stop and seq, the order in which the rules brought them up."""
     item = F.struct("start", "stop", F.col("seq").cast("long").alias("seq"), "reason", "label")
@@ -167,32 +221,54 @@ def excluded(found: Column, restores: Column) -> Column:
     return F.aggregate(restores, found.cast(REGION), lambda acc, x: minus(acc, x).cast(REGION))
 
 
-def merged(found: Column) -> Column:
-    """Touching and overlapping regions as one: the first's reason, the longer label where one extends the end.
+def merged(found: DataFrame) -> DataFrame:
+    """Touching and overlapping regions of a book as one: the first's reason, the longer label where one extends the end.
 
-    Regions are taken by start, stop and seq, so of two with one extent the rule that came first names it.
+    Regions are taken by start, stop and seq, so of two with one extent the rule that came first
+    names it. A region begins a new one if it starts beyond all ends before it; of those that
+    push the end on, the first of the longest label gives the label.
     """
-
-    def step(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = (r["stop"] > last["stop"]) & (F.length(r["label"]) > F.length(last["label"]))
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["stop"], r["stop"]).alias("stop"), last["seq"].alias("seq"), last["reason"].alias("reason"), F.when(longer, r["label"]).otherwise(last["label"]).alias("label"))
-        meets = (F.size(acc) > 0) & (r["start"] <= F.try_element_at(acc, F.lit(-1))["stop"])
-        return F.when(meets, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(r))).cast(REGION)
-
-    return F.aggregate(F.array_sort(found).cast(REGION), F.array().cast(REGION), step)
+    order = Window.partitionBy("book_id").orderBy("start", "stop", "seq")
+    ended = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = found.withColumn("_ended", ended).withColumn("_fresh", F.col("_ended").isNull() | (F.col("start") > F.col("_ended")))
+    rows = rows.withColumn("_run", F.sum(F.col("_fresh").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    pushes = F.col("_fresh") | (F.col("stop") > F.col("_ended"))
+    first = F.min(F.struct("start", "stop", "seq", "reason"))
+    label = F.min(F.when(pushes, F.struct((-F.length("label")).alias("size"), "start", "stop", "seq", "label")))
+    whole = rows.groupBy("book_id", "_run").agg(first.alias("_f"), F.max("stop").alias("stop"), label.alias("_l"))
+    return whole.select("book_id", F.col("_f.seq").alias("seq"), F.col("_f.start").alias("start"), "stop", F.col("_f.reason").alias("reason"), F.col("_l.label").alias("label"))
 
 
 def removed_chars(found: Column) -> Column:
     return F.aggregate(found, F.lit(0).cast("long"), lambda acc, r: acc + r["stop"] - r["start"])
 
 
+#: Characters of the pieces that a text is cut into before parts of it are taken.
+PIECE = 4096
+
+
 def applied(text: Column, found: Column) -> Column:
-    """The text without the (merged) regions."""
+    """The text without the (merged) regions.
+
+    A part of a string is found from the string's start, so the text is cut into pieces once, and
+    each part is taken from the pieces that it touches.
+    """
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(found, lambda r: r["stop"]))
     starts = F.concat(F.transform(found, lambda r: r["start"]), F.array(F.length(text).cast("long")))
-    kept = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda g: F.substring(text, (g["a"] + 1).cast("int"), F.greatest(g["b"] - g["a"], F.lit(0)).cast("int")))
-    return F.array_join(kept, "")
+    gaps = F.filter(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda g: g["a"] < g["b"])
+
+    def parts(pieces: Column) -> Column:
+        def part(g: Column) -> Column:
+            i, j = (g["a"] / PIECE).cast("int"), ((g["b"] - 1) / PIECE).cast("int")
+            lead, tail = (g["a"] - i * PIECE).cast("int"), (g["b"] - j * PIECE).cast("int")
+            inner = F.array_join(F.slice(pieces, i + 2, j - i - 1), "")
+            across = F.concat(F.substring(F.get(pieces, i), lead + 1, F.lit(PIECE)), inner, F.substring(F.get(pieces, j), F.lit(1), tail))
+            return F.when(i == j, F.substring(F.get(pieces, i), lead + 1, tail - lead)).otherwise(across)
+
+        return F.array_join(F.transform(gaps, part), "")
+
+    cut_up = T.bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), parts)
+    return F.when(F.size(found) == 0, text).otherwise(cut_up)
 
 
 def mapped_offset(found: Column, position: Column) -> Column:
@@ -201,14 +277,20 @@ def mapped_offset(found: Column, position: Column) -> Column:
     return position - F.aggregate(found, F.lit(0).cast("long"), cut)
 
 
+def restored(found: DataFrame, restores: DataFrame) -> DataFrame:
+    """found less the intervals that restores (book_id, start, stop) give back."""
+    asked = restores.groupBy("book_id").agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))).alias("_restores"))
+    one = F.array(F.struct("start", "stop", "seq", "reason", "label"))
+    left = F.when(F.col("_restores").isNull(), one.cast(REGION)).otherwise(excluded(one, F.col("_restores")))
+    return found.join(asked, "book_id", "left").select("book_id", F.explode(left).alias("r")).select("book_id", "r.seq", "r.start", "r.stop", "r.reason", "r.label")
+
+
 def pruned(books: DataFrame, chapters: DataFrame | None = None, restores: DataFrame | None = None) -> DataFrame:
     """books with regions, pruned_text, original_chars, removed_chars and kept_ratio."""
-    found = collected(regions(books, chapters))
-    all_of = books.join(found, "book_id", "left").withColumn("regions", F.coalesce("regions", F.array().cast(REGION)))
+    found = regions(books, chapters)
     if restores is not None:
-        asked = restores.groupBy("book_id").agg(F.collect_list(F.struct("start", "stop")).alias("_restores"))
-        all_of = all_of.join(asked, "book_id", "left").withColumn("regions", F.when(F.col("_restores").isNotNull(), excluded(F.col("regions"), F.col("_restores"))).otherwise(F.col("regions"))).drop("_restores")
-    out = all_of.withColumn("regions", merged(F.col("regions")))
+        found = restored(found, restores)
+    out = books.join(collected(merged(found)), "book_id", "left").withColumn("regions", F.coalesce("regions", F.array().cast(REGION)))
     size = F.length("text").cast("long")
     out = out.withColumn("pruned_text", applied(F.col("text"), F.col("regions"))).withColumn("original_chars", size).withColumn("removed_chars", removed_chars(F.col("regions")))
     return out.withColumn("kept_ratio", F.when(size > 0, F.round((size - F.col("removed_chars")).cast("double") / size, 4)).otherwise(0.0))

@@ -145,14 +145,13 @@ def head_windows(spark, d):
 @query
 def copyright_blocks(spark, d):
     books = document_books(spark, d)
-    return prune.head_regions(prune.placed(books)).select("book_id", "start", "stop", "reason")
+    return prune.head_regions(books).select("book_id", "start", "stop", "reason")
 
 
 @query
 def merged_regions(spark, d):
     books = document_books(spark, d)
-    found = prune.collected(prune.duplicate_regions(books))
-    return found.select("book_id", F.explode(prune.merged(F.col("regions"))).alias("r")).select("book_id", "r.start", "r.stop", "r.reason")
+    return prune.merged(prune.duplicate_regions(books)).select("book_id", "start", "stop", "reason")
 
 
 @query
@@ -183,8 +182,8 @@ def _conversation_regions(spark, d):
     chapters = structure.markdown_chapters(books)
     size = books.select("book_id", F.length("text").cast("long").alias("original_chars"))
     cuts = chapters.join(size, "book_id").where("start_char * 2 >= original_chars").select("book_id", "original_chars", (F.col("start_char") + 15).alias("start"), F.least(F.col("start_char") + 55, "original_chars").alias("stop"))
-    found = prune.collected(cuts.select("book_id", "start", "stop", F.col("start").alias("seq"), F.lit("duplicate").alias("reason"), F.lit("").alias("label")))
-    found = size.join(found, "book_id", "left").withColumn("regions", prune.merged(F.coalesce("regions", F.array().cast(prune.REGION))))
+    found = prune.collected(prune.merged(cuts.select("book_id", "start", "stop", F.col("start").alias("seq"), F.lit("duplicate").alias("reason"), F.lit("").alias("label"))))
+    found = size.join(found, "book_id", "left").withColumn("regions", F.coalesce("regions", F.array().cast(prune.REGION)))
     return chapters, found.withColumn("removed_chars", prune.removed_chars(F.col("regions")))
 
 
