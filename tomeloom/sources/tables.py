@@ -21,10 +21,39 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+#: Bytes for each core from which a table's own splits are enough: row groups are about as large at most.
+SPLIT_BYTES = 64 << 20
+
+
+def row_groups(spark: SparkSession, files: list[str]) -> int:
+    """How many row groups the Parquet files hold, by their footers."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    count = 0
+    for name in files:
+        source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name)), conf)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+        count += reader.getRowGroups().size()
+        reader.close()
+    return count
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files are fewer than these: a file of one row group is one task, however many cores wait."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    """df over all cores where its scan has fewer parts with rows than these; a large table is never shuffled.
+
+    A row group is read by one task, whichever splits it reaches into. A table of SPLIT_BYTES or
+    more for each core has as many row groups as it needs, so neither its files are listed nor are
+    its rows moved. Of a smaller one with fewer files than cores the footers tell.
+    """
+    spark = df.sparkSession
+    cores, plan = spark.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) >= cores * SPLIT_BYTES:
+        return df
+    parts = plan.toRdd().getNumPartitions()
+    if parts >= cores:
+        files = df.inputFiles()
+        if len(files) >= cores or row_groups(spark, files) >= cores:
+            return df
+    return df.repartition(cores)
 
 
 def document_books(spark: SparkSession, sf_dir: str) -> DataFrame:
