@@ -114,6 +114,49 @@ fold AS (
 picks AS (SELECT book_id, chapter_index, k, pick.line_no AS line_no, pick.claim AS claim FROM fold WHERE k IS NOT NULL)"""
 
 
+def _task_states() -> str:
+    """A fold over each task's events; before each stands an element that lets a lease run out."""
+    state = lambda at, status, stage, cancel, gone: f"{{'t': {at}, 'kind': '', 'name': '', 'status': {status}, 'stage': {stage}, 'cancel': {cancel}, 'del': {gone}}}"
+    absent = lambda at: state(at, "'absent'", "''", "false", "false")
+    restarted = lambda at, rest: f"WHEN s.del THEN {absent(at)} WHEN s.status = 'running' AND s.cancel THEN {state(at, chr(39) + 'cancelled' + chr(39), chr(39) + 'cancelled' + chr(39), 'true', 'false')} WHEN s.status = 'running' THEN {state(at, chr(39) + 'pending' + chr(39), chr(39) + 'resume' + chr(39), 'false', 'false')} ELSE {rest} END"
+    same, end = state("e.t", "s.status", "s.stage", "s.cancel", "s.del"), "(s.t + 172800000000)"
+    return f"""WITH log AS (
+      SELECT user_id, epoch_us(ts) AS t, event_id, event_type, ['create', 'claim', 'stage', 'done', 'retry', 'create', 'claim', 'error', 'cancel', 'recover', 'claim', 'delete'][CAST(event_id % 12 AS INT) + 1] AS kind FROM events),
+    marks AS (
+      SELECT user_id, t, event_id, 0 AS part, 'lapse' AS kind, '' AS name FROM log
+      UNION ALL SELECT user_id, t, event_id, 1, kind, event_type FROM log),
+    lists AS (
+      SELECT user_id, list_prepend({absent("CAST(NULL AS BIGINT)")},
+        list({{'t': t, 'kind': kind, 'name': name, 'status': '', 'stage': '', 'cancel': false, 'del': false}} ORDER BY t, event_id, part)) AS l
+      FROM marks GROUP BY user_id),
+    folded AS (
+      SELECT user_id, list_reduce(l, lambda s, e: CASE
+        WHEN e.kind = 'lapse' THEN CASE WHEN NOT (s.status = 'running' AND s.t <= e.t - 172800000000) THEN s {restarted(end, "s")}
+        WHEN s.status = 'absent' THEN CASE WHEN e.kind = 'create' THEN {state("e.t", "'pending'", "'queued'", "false", "false")} ELSE {same} END
+        WHEN e.kind = 'claim' AND s.status = 'pending' AND NOT s.cancel AND NOT s.del THEN {state("e.t", "'running'", "'prune'", "false", "false")}
+        WHEN e.kind = 'stage' AND s.status = 'running' AND NOT s.del THEN {state("e.t", "s.status", "e.name", "s.cancel", "s.del")}
+        WHEN e.kind = 'cancel' AND s.status = 'pending' THEN {state("e.t", "'cancelled'", "'cancelled'", "true", "s.del")}
+        WHEN e.kind = 'cancel' THEN {state("e.t", "s.status", "s.stage", "true", "s.del")}
+        WHEN e.kind = 'delete' AND s.status = 'running' THEN {state("e.t", "s.status", "'deleting'", "true", "true")}
+        WHEN e.kind = 'delete' THEN {absent("e.t")}
+        WHEN e.kind IN ('done', 'error') AND s.status = 'running' THEN CASE WHEN s.del THEN {absent("e.t")} WHEN s.cancel THEN {state("e.t", "'cancelled'", "'cancelled'", "true", "false")} ELSE {state("e.t", "e.kind", "e.kind", "false", "false")} END
+        WHEN e.kind = 'retry' AND s.status IN ('error', 'cancelled') THEN {state("e.t", "'pending'", "'queued'", "false", "false")}
+        WHEN e.kind = 'recover' THEN CASE {restarted("e.t", same)}
+        ELSE {same} END) AS s
+      FROM lists)
+    SELECT user_id AS task_id, s.t AS "at", s.status AS status, s.stage AS stage, s.cancel AS cancel_requested, s.del AS delete_requested FROM folded WHERE s.status <> 'absent'"""
+
+
+def later() -> dict[str, str]:
+    """SQL of the queries over logs and stored results."""
+    return {
+        "task_states": _task_states(),
+        "requests_once": """SELECT event_id, user_id, event_type FROM (
+          SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS gap FROM events)
+          WHERE gap IS NULL OR gap > 21600000000""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "doc_word_count": rf"WITH {BOOKS} SELECT book_id, CAST(length(regexp_replace(text, '\s', '', 'g')) AS BIGINT) AS word_count, regexp_matches(text, '\S') AS ok FROM books",
@@ -250,4 +293,4 @@ def oracle_sql() -> dict[str, str]:
           f AS (SELECT *, CASE WHEN quote = '' THEN -1 ELSE instr(text, quote) - 1 END AS exact, CASE WHEN loose_quote = '' THEN -1 ELSE instr(loose_text, loose_quote) - 1 END AS loose FROM c)
           SELECT book_id, CASE WHEN exact >= 0 THEN 'exact' WHEN loose >= 0 THEN 'whitespace_normalized' ELSE 'none' END AS match,
             CASE WHEN exact >= 0 THEN exact WHEN loose >= 0 THEN CAST(list_filter(range(length(text)), lambda i: NOT regexp_matches(text[i + 1], '^\s$'))[loose + 1] AS BIGINT) ELSE -1 END AS "offset" FROM f""",
-    }
+    } | later()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import audit, distill, export, ledger, modality, planning, prune, structure
 from ..sources.tables import composed_books, conversation_books, document_books, spread, table
+from ..streaming import tasks as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Chunks of conversation books are planned at this size, so that chunking has something to do.
@@ -620,3 +622,23 @@ def source_fingerprints(spark, d):
     content = F.coalesce("text", F.lit("")).cast("binary")
     known = F.when(F.col("doc_id") % 4 == 0, "not a digest").when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.upper(F.sha2(F.col("doc_id").cast("string"), 256))))
     return docs.select("doc_id", ledger.fingerprint(known, content).alias("fingerprint"))
+
+
+# The event log as tasks' lives and as requests (the batch forms of the streams)
+
+
+@query
+def task_states(spark, d):
+    """Every user as a task, its events as what happened to it, with a lease of two days."""
+    kinds = "create claim stage done retry create claim error cancel recover claim delete".split()
+    kind = F.get(F.array(*[F.lit(k) for k in kinds]), F.pmod("event_id", F.lit(len(kinds))).cast("int"))
+    e = table(spark, d, "events", "event_id", "ts", "user_id", "event_type")
+    log = e.select(F.col("user_id").alias("task_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_type").alias("stage"))
+    return streams.states(log, timedelta(days=2)).withColumn("at", F.unix_micros("at"))
+
+
+@query
+def requests_once(spark, d):
+    """Events of one user and type, each within six hours of the one before, count once."""
+    e = table(spark, d, "events", "event_id", "ts", "user_id", "event_type").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.first_requests(e, ["user_id", "event_type"], "ts", timedelta(hours=6)).select("event_id", "user_id", "event_type")
