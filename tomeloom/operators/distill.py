@@ -47,35 +47,45 @@ def reusable(chunks: DataFrame, ledger: DataFrame, cache: DataFrame) -> DataFram
 def condense(chunks: DataFrame, model: Model = stub_model) -> DataFrame:
     """book_id, unit_ix, chunk_ix, unit_id, cache_key, output, attempts, error of the chunks that need a call.
 
-    A call is repeated, up to ATTEMPTS times, while the output's length doesn't suit. Persist
-    the result before using it: a model's answers are neither free nor repeatable.
+    A call is repeated, up to ATTEMPTS times, while the output's length doesn't suit. A unit's
+    chunks are worked through in order, by one task, and the first that fails ends the unit: no
+    call is made for those after it, and they get no row; other units go on. Persist the result
+    before using it: a model's answers are neither free nor repeatable.
     """
     due = chunks.select("book_id", "unit_ix", "chunk_ix", "unit_id", "cache_key", "title", "chunk_target", "chunk_text")
+    due = due.repartition("book_id", "unit_ix").sortWithinPartitions("book_id", "unit_ix", "chunk_ix")
+    names = ["book_id", "unit_ix", "chunk_ix", "unit_id", "cache_key"]
+
+    def answer(title: str, target: int, text: str) -> tuple[str, int, str]:
+        """Output, attempts and what is wrong with the last one."""
+        out, problem, n = "", "", 0
+        for n in range(1, ATTEMPTS + 1):  # noqa: B007
+            try:
+                out, problem = model(title, text, target), ""
+            except Exception as failed:  # the model is foreign code: its failure is the chunk's, not the job's
+                return "", n, str(failed) or type(failed).__name__
+            if len(out) > max(2 * target, target + 500):
+                problem = "long"
+            elif len(out) < 0.75 * target:
+                problem = "short"
+            else:
+                break
+        return out, n, problem
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ended = None  # the unit that a failure has ended, carried from batch to batch
         for batch in batches:
-            outputs, attempts, errors = [], [], []
-            for title, target, text in zip(*(batch.column(c).to_pylist() for c in ("title", "chunk_target", "chunk_text")), strict=True):
-                out, problem, n = "", "", 0
-                for n in range(1, ATTEMPTS + 1):  # noqa: B007
-                    try:
-                        out, problem = model(title, text, target), ""
-                    except Exception as failed:  # the model is foreign code: its failure is the chunk's, not the job's
-                        out, problem = "", str(failed)
-                        continue
-                    if len(out) > max(2 * target, target + 500):
-                        problem = "long"
-                    elif len(out) < 0.75 * target:
-                        problem = "short"
-                    else:
-                        break
-                outputs.append(out)
-                attempts.append(n)
-                errors.append(problem)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("book_id", "unit_ix", "chunk_ix", "unit_id", "cache_key")), pa.array(outputs, pa.string()), pa.array(attempts, pa.int32()), pa.array(errors, pa.string())],
-                ["book_id", "unit_ix", "chunk_ix", "unit_id", "cache_key", "output", "attempts", "error"],
-            )
+            asked, answers = [], []
+            for i, (book, unit, title, target, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("book_id", "unit_ix", "title", "chunk_target", "chunk_text")), strict=True)):
+                if (book, unit) == ended:
+                    continue
+                asked.append(i)
+                answers.append(answer(title, target, text))
+                if answers[-1][2]:
+                    ended = (book, unit)
+            kept = batch.take(pa.array(asked, pa.int64()))
+            columns = [pa.array([a[k] for a in answers], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), *columns], [*names, "output", "attempts", "error"])
 
     kind = due.schema["book_id"].dataType.simpleString()
     return due.mapInArrow(call, f"book_id {kind}, unit_ix int, chunk_ix int, unit_id string, cache_key string, output string, attempts int, error string")

@@ -151,6 +151,13 @@ def later() -> dict[str, str]:
     """SQL of the queries over logs and stored results."""
     return {
         "task_states": _task_states(),
+        "stored_prunes": PRUNED + """, kept_whole AS (SELECT *, book_id % 4 = 0 AS whole FROM pruned)
+          SELECT book_id, 'ok' AS answer, CAST(CASE WHEN book_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS run, CASE WHEN whole THEN 0 ELSE n_regions END AS n_regions, original_chars,
+            CASE WHEN whole THEN 0 ELSE removed_chars END AS removed_chars, md5(CASE WHEN whole THEN (SELECT text FROM books b WHERE b.book_id = k.book_id) ELSE pruned_text END) AS pruned_md5 FROM kept_whole k
+          UNION ALL SELECT -1, 'absent', NULL, NULL, NULL, NULL, NULL""",
+        "prune_sources": """SELECT coalesce(b.book_id, l.doc_id) AS book_id, CASE WHEN b.text IS NULL THEN 'absent' WHEN coalesce(l.quality, 0) <> 1 THEN 'unready' ELSE 'ok' END AS answer,
+            CASE WHEN b.text IS NOT NULL AND l.quality = 1 THEN 1 END AS level, CASE WHEN l.quality = 1 THEN length(b.text) END AS end_char
+          FROM (SELECT doc_id AS book_id, coalesce(text, '') AS text FROM documents WHERE doc_id % 7 <> 0) b FULL JOIN labels l ON l.doc_id = b.book_id""",
         "requests_once": """SELECT event_id, user_id, event_type FROM (
           SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS gap FROM events)
           WHERE gap IS NULL OR gap > 21600000000""",

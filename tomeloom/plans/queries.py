@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -9,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, distill, export, ledger, modality, planning, prune, structure
-from ..sources.tables import composed_books, conversation_books, document_books, spread, table
+from ..operators import audit, distill, export, ledger, modality, planning, prune, store, structure
+from ..sources.tables import composed_books, conversation_books, document_books, shared_folder, spread, table
 from ..streaming import tasks as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -642,3 +643,30 @@ def requests_once(spark, d):
     """Events of one user and type, each within six hours of the one before, count once."""
     e = table(spark, d, "events", "event_id", "ts", "user_id", "event_type").withColumn("ts", F.col("ts").cast("timestamp"))
     return streams.first_requests(e, ["user_id", "event_type"], "ts", timedelta(hours=6)).select("event_id", "user_id", "event_type")
+
+
+# Results that are stored and read again
+
+
+@query
+def stored_prunes(spark, d):
+    """A run over all documents, another over those of even number, in which every fourth is given back whole; what is stored then."""
+    books = document_books(spark, d)
+    meta = books.select("book_id", F.lit("ok").alias("extract_status"), F.array().cast(store.CHAPTERS).alias("chapters"))
+    runs = store.Runs(spark, f"{shared_folder(spark)}/prunes-{uuid.uuid4().hex}", "book_id")
+    store.run_prune(runs, store.sources(books, meta))
+    even = store.sources(books.where("book_id % 2 = 0"), meta.where("book_id % 2 = 0"))
+    whole = books.where("book_id % 4 = 0").select("book_id", F.array(F.array(F.lit(0), F.length("text")), F.array(F.lit(7))).alias("pairs"))
+    store.run_prune(runs, even, store.restore_pairs(whole))
+    out = store.last_results(runs, books.select("book_id").union(spark.range(1).select(F.lit(-1).cast("long"))))
+    return out.select("book_id", "answer", "run", F.size("regions").cast("long").alias("n_regions"), "original_chars", "removed_chars", F.md5(F.col("pruned_text").cast("binary")).alias("pruned_md5"))
+
+
+@query
+def prune_sources(spark, d):
+    """Documents with the labels' quality as their status; some have no text, some no metadata."""
+    docs = document_books(spark, d).where("book_id % 7 <> 0").select("book_id", "text")
+    one = F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("start_char"), F.lit(None).cast("long").alias("end_char"))
+    meta = table(spark, d, "labels", "doc_id", "quality").select(F.col("doc_id").alias("book_id"), F.when(F.col("quality") == 1, "ok").otherwise("error").alias("extract_status"), F.array(one).alias("chapters"))
+    out = store.sources(docs, meta)
+    return out.select("book_id", "answer", F.get("chapters", F.lit(0))["level"].alias("level"), F.get("chapters", F.lit(0))["end_char"].alias("end_char"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import re
+import tempfile
 import zipfile
 from collections.abc import Iterator
 
@@ -56,6 +58,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``, else the one that it checkpoints to.
+
+    Where there is neither, a session in one process gets a folder of this machine; on a cluster
+    there is no such folder that all executors see, so that is an error.
+    """
+    set_so = spark.sparkContext.getCheckpointDir()  # a folder of this application's own below the one that was set
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (set_so and set_so.rstrip("/").rpartition("/")[0])
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
 def document_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book_id, title, source_format, text, lang: every document as a plain-text book."""
     docs = spread(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
