@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# Window size and stride in characters (a window is two strides), windows kept.
+# The patterns of claims and quotes below, window size and stride in characters (a window is two strides), windows kept.
 SIZE, STRIDE, BEST = 1600, 800, 5
 
 
@@ -81,7 +83,7 @@ def evidence(text: Column, quote: Column) -> dict[str, Column]:
     An offset without white space is carried back by the lengths of the text's pieces between
     runs of white space: the runs before it are what it lacks.
     """
-    q = F.regexp_replace(T.strip(quote), "^[\"'`“”]+|[\"'`“”]+$", "")
+    q = F.regexp_replace(T.strip(quote), "^[\"'`“”‘’]+|[\"'`“”‘’]+$", "")
     exact = F.when(q == "", -1).otherwise(F.call_function("locate", q, text) - 1)
     loose = F.when(compact(q) == "", -1).otherwise(F.call_function("locate", compact(q), compact(text)) - 1)
 
@@ -149,3 +151,117 @@ def seeded_pick(candidates: DataFrame, seed: str, group: str, order: str) -> Dat
 def rollup(samples: DataFrame) -> DataFrame:
     """samples (supported boolean): all_pass, supported, total."""
     return samples.agg(F.coalesce(F.bool_and("supported"), F.lit(False)).alias("all_pass"), F.count_if("supported").alias("supported"), F.count("*").alias("total"))
+
+
+def located(units: DataFrame, books: DataFrame) -> DataFrame:
+    """book_id, unit_ix, start and error of units (book_id, unit_ix, segment), each at its place in its book's text.
+
+    A segment is sought from where the one before it ended, else from the text's start; one that
+    isn't there has start -1 and the error 'not found', and leaves the cursor where it was. Units of
+    a book without a text are not found.
+    """
+    listed = units.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct(F.col("unit_ix").cast("long").alias("unit_ix"), "segment"))).alias("_units"))
+    out = "array<struct<unit_ix:long,start:long>>"
+
+    def fold(found: Column) -> Column:
+        def step(acc: Column, u: Column) -> Column:
+            ahead = F.call_function("locate", u["segment"], F.col("text"), acc["cursor"] + 1)
+            at = T.bound(ahead, lambda a: F.when(a > 0, a).otherwise(F.call_function("locate", u["segment"], F.col("text"), F.lit(1))) - 1)
+
+            def placed(start: Column) -> Column:
+                cursor = F.when(start >= 0, start + F.length(u["segment"])).otherwise(acc["cursor"]).cast("int")
+                one = F.struct(u["unit_ix"].alias("unit_ix"), start.cast("long").alias("start"))
+                return F.struct(cursor.alias("cursor"), F.concat(acc["out"], F.array(one)).cast(out).alias("out"))
+
+            return T.bound(at, placed)
+
+        def block(acc: Column, some: Column) -> Column:  # units are added to a block's list, blocks' lists to the whole
+            first = F.struct(acc["cursor"].alias("cursor"), F.array().cast(out).alias("out"))
+            return F.aggregate(some, first, step, lambda r: F.struct(r["cursor"].alias("cursor"), F.concat(acc["out"], r["out"]).cast(out).alias("out")))
+
+        width = F.ceil(F.sqrt(F.size(found))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / width).cast("int")), lambda b: F.slice(found, b * width + 1, width))
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("cursor"), F.array().cast(out).alias("out")), block, lambda acc: acc["out"])
+
+    texts = books.select("book_id", "text")
+    both = listed.join(texts, "book_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = both.select("book_id", F.inline(T.bound(F.col("_units"), fold)))
+    return rows.withColumn("error", F.when(F.col("start") < 0, "not found").otherwise(""))
+
+
+#: The stages of an audit: mode and attempt. What 'plain' finds supported without evidence goes through the repairs,
+#: what it rejects through the adjudications.
+STAGES = [("plain", 1), *[("repair", k) for k in (1, 2, 3)], ("repair_window", 4), *[("adjudication", k) for k in (1, 2, 3)], ("adjudication_window", 4)]
+Judge = Callable[[DataFrame, str, int], DataFrame]
+_VERDICT = "struct<supported:boolean,conflict:boolean,evidence:string,offset:long,match:string>"
+
+
+def staged(samples: DataFrame, judge: Judge, folder: str) -> DataFrame:
+    """samples with the verdict that the stages of STAGES come to.
+
+    samples: sample_id, claim, source, source_start, windows (array<struct<start, text>>). judge takes
+    the samples that a stage has to judge, its mode and attempt, and gives sample_id, supported,
+    conflict, evidence and evidence_window (a place among the windows); samples that it leaves out
+    have no verdict. A stage only sees what the ones before it left open, and its outcome is written
+    below ``folder`` before the next one begins, so that no verdict is asked for twice; stages
+    without open samples are skipped. sample_id must be unique.
+
+    Adds judge_supported, supported (with evidence found), conflict, evidence_match, evidence_exact,
+    source_char_offset, claim_sha256, evidence_sha256, anchor_repair_attempts, adjudicated and
+    adjudication_attempts.
+    """
+    spark = samples.sparkSession
+    open_ = F.struct(F.lit(False).alias("supported"), F.lit(False).alias("conflict"), F.lit("").alias("evidence"), F.lit(-1).cast("long").alias("offset"), F.lit("none").alias("match"))
+    state = samples.select("*", open_.cast(_VERDICT).alias("_v"), F.lit("open").alias("_left"), F.lit(0).alias("anchor_repair_attempts"), F.lit(0).alias("adjudication_attempts"))
+    columns = state.columns
+    for number, (mode, attempt) in enumerate(STAGES):
+        kind = mode.removesuffix("_window")
+        wanted = F.col("_left") == ("open" if kind == "plain" else "unanchored" if kind == "repair" else "rejected")
+        asked = state.where(wanted)
+        if number and asked.isEmpty():
+            continue
+        answers = judge(asked.select(*samples.columns), mode, attempt).select("sample_id", F.coalesce("supported", F.lit(False)).alias("_s"), F.coalesce("conflict", F.lit(False)).alias("_c"), F.coalesce("evidence", F.lit("")).alias("_e"), F.col("evidence_window").alias("_w"))
+        both = state.join(answers, "sample_id", "left")
+        if mode.endswith("_window"):
+            window = F.get("windows", F.col("_w"))
+            verdict = F.struct(F.col("_s").alias("supported"), F.col("_c").alias("conflict"), window["text"].alias("evidence"), window["start"].cast("long").alias("offset"), F.lit("verified_window").alias("match"))
+            holds = F.col("_s") & F.coalesce(F.col("_w") >= 0, F.lit(False)) & window.isNotNull()
+        else:
+            found = evidence(F.col("source"), F.col("_e"))
+            verdict = F.struct(F.col("_s").alias("supported"), F.col("_c").alias("conflict"), F.col("_e").alias("evidence"), found["offset"].cast("long").alias("offset"), found["match"].alias("match"))
+            holds = F.col("_s") & (found["offset"] >= 0)
+        taken = wanted & F.col("_s").isNotNull() & (F.lit(True) if kind == "plain" else F.coalesce(holds, F.lit(False)))
+        both = both.withColumn("_v", F.when(taken, verdict.cast(_VERDICT)).otherwise(F.col("_v")))
+        if kind == "plain":
+            after = F.when(F.col("_v.supported") & (F.col("_v.offset") < 0), "unanchored").when(~F.col("_v.supported") & ~F.col("_v.conflict"), "rejected").otherwise("settled")
+            both = both.withColumn("_left", after)
+        else:
+            count = "anchor_repair_attempts" if kind == "repair" else "adjudication_attempts"
+            both = both.withColumn(count, F.when(taken, attempt).otherwise(F.col(count))).withColumn("_left", F.when(taken, "settled").otherwise(F.col("_left")))
+        both.select(*columns).write.mode("overwrite").parquet(f"{folder}/stage={number}")
+        state = spark.read.parquet(f"{folder}/stage={number}").select(*columns)
+    exact = F.col("_v.offset") >= 0
+    return state.select(
+        *samples.columns,
+        F.col("_v.supported").alias("judge_supported"),
+        (F.col("_v.supported") & exact).alias("supported"),
+        F.col("_v.conflict").alias("conflict"),
+        F.col("_v.match").alias("evidence_match"),
+        exact.alias("evidence_exact"),
+        F.when(exact, F.col("source_start") + F.col("_v.offset")).alias("source_char_offset"),
+        F.sha2(F.col("claim"), 256).alias("claim_sha256"),
+        F.when(exact, F.sha2(F.col("_v.evidence"), 256)).alias("evidence_sha256"),
+        "anchor_repair_attempts",
+        (F.col("adjudication_attempts") > 0).alias("adjudicated"),
+        "adjudication_attempts",
+    )
+
+
+def artifact(audited: DataFrame, key: str = "book_id") -> DataFrame:
+    """key, passed, supported and json of each audited book: hashes and offsets only, never a text.
+
+    Passed: every sample is supported and none is in conflict.
+    """
+    shown = F.struct("sample_id", "claim_sha256", "adjudicated", "adjudication_attempts", "anchor_repair_attempts", "judge_supported", "supported", "conflict", "evidence_exact", "evidence_match", "source_char_offset", "evidence_sha256")
+    rows = audited.groupBy(key).agg(F.bool_and(F.col("supported") & ~F.col("conflict")).alias("passed"), F.count_if("supported").alias("supported"), F.array_sort(F.collect_list(shown)).alias("samples"))
+    return rows.select(key, "passed", "supported", F.to_json(F.struct("passed", "supported", "samples")).alias("json"))

@@ -147,6 +147,41 @@ def _task_states() -> str:
     SELECT user_id AS task_id, s.t AS "at", s.status AS status, s.stage AS stage, s.cancel AS cancel_requested, s.del AS delete_requested FROM folded WHERE s.status <> 'absent'"""
 
 
+STAGED_AUDIT = r"""WITH d AS (SELECT doc_id AS book_id, coalesce(text, '') AS text, doc_id * 1000 AS source_start FROM documents),
+stages AS (SELECT unnest(range(9)) AS stage),
+given AS (
+  SELECT book_id, stage, (book_id + stage) % 4 <> 0 AS supported, stage = 0 AND book_id % 11 = 0 AS conflict,
+    CASE WHEN (book_id + 2 * stage) % 3 = 0 THEN substring(text, length(text) // 2, 40) ELSE 'nowhere #' || stage || '#' END AS raw,
+    CASE WHEN book_id % 5 = 0 THEN NULL ELSE book_id % 7 END AS window_ix, text
+  FROM d, stages WHERE (book_id + stage) % 13 <> 0),
+quoted AS (SELECT *, regexp_replace(regexp_replace(raw, '^\s+|\s+$', '', 'g'), '^["''`“”‘’]+|["''`“”‘’]+$', '', 'g') AS quote FROM given),
+compacted AS (SELECT *, regexp_replace(text, '\s+', '', 'g') AS loose_text, regexp_replace(quote, '\s+', '', 'g') AS loose_quote FROM quoted),
+found AS (SELECT *, CASE WHEN quote = '' THEN -1 ELSE instr(text, quote) - 1 END AS exact, CASE WHEN loose_quote = '' THEN -1 ELSE instr(loose_text, loose_quote) - 1 END AS loose FROM compacted),
+verdicts AS (
+  SELECT book_id, stage, supported, conflict, raw, window_ix,
+    CASE WHEN exact >= 0 THEN 'exact' WHEN loose >= 0 THEN 'whitespace_normalized' ELSE 'none' END AS match,
+    CASE WHEN exact >= 0 THEN exact WHEN loose >= 0 THEN CAST(list_filter(range(length(text)), lambda i: NOT regexp_matches(text[i + 1], '^\s$'))[loose + 1] AS BIGINT) ELSE -1 END AS place,
+    CASE WHEN window_ix < greatest(1, ceil((length(text) - 800) / 800.0)) AND length(text) > 0 THEN window_ix * 800 END AS window_at, substring(text, CAST(window_ix * 800 + 1 AS INT), 1600) AS window_text
+  FROM found),
+plain AS (SELECT d.*, coalesce(v.supported, false) AS s, coalesce(v.conflict, false) AS c, coalesce(v.raw, '') AS e, coalesce(v.place, -1) AS place, coalesce(v.match, 'none') AS m
+  FROM d LEFT JOIN verdicts v ON v.book_id = d.book_id AND v.stage = 0),
+sorted_out AS (SELECT *, CASE WHEN s AND place < 0 THEN 'unanchored' WHEN NOT s AND NOT c THEN 'rejected' ELSE 'settled' END AS course FROM plain),
+later_stage AS (
+  SELECT p.book_id, min(v.stage) AS stage FROM sorted_out p JOIN verdicts v USING (book_id)
+  WHERE v.supported AND (p.course = 'unanchored' AND v.stage BETWEEN 1 AND 4 OR p.course = 'rejected' AND v.stage BETWEEN 5 AND 8)
+    AND CASE WHEN v.stage IN (4, 8) THEN v.window_at IS NOT NULL ELSE v.place >= 0 END GROUP BY p.book_id),
+settled AS (
+  SELECT p.*, l.stage, v.supported AS ls, v.conflict AS lc, CASE WHEN l.stage IN (4, 8) THEN 'verified_window' ELSE v.match END AS lm,
+    CASE WHEN l.stage IN (4, 8) THEN v.window_at ELSE v.place END AS lat, CASE WHEN l.stage IN (4, 8) THEN v.window_text ELSE v.raw END AS le
+  FROM sorted_out p LEFT JOIN later_stage l USING (book_id) LEFT JOIN verdicts v ON v.book_id = p.book_id AND v.stage = l.stage),
+closed AS (SELECT *, CASE WHEN stage IS NULL THEN s ELSE ls END AS js, CASE WHEN stage IS NULL THEN c ELSE lc END AS jc, CASE WHEN stage IS NULL THEN m ELSE lm END AS jm,
+  CASE WHEN stage IS NULL THEN place ELSE lat END AS jat, CASE WHEN stage IS NULL THEN e ELSE le END AS je FROM settled)
+SELECT book_id AS sample_id, js AS judge_supported, js AND jat >= 0 AS supported, jc AS conflict, jm AS evidence_match, jat >= 0 AS evidence_exact,
+  CASE WHEN jat >= 0 THEN CAST(source_start + jat AS BIGINT) END AS source_char_offset, sha256(substring(text, 1, 30)) AS claim_sha256, CASE WHEN jat >= 0 THEN sha256(je) END AS evidence_sha256,
+  CASE WHEN stage BETWEEN 1 AND 4 THEN stage ELSE 0 END AS anchor_repair_attempts, coalesce(stage >= 5, false) AS adjudicated, CASE WHEN stage >= 5 THEN stage - 4 ELSE 0 END AS adjudication_attempts
+FROM closed"""
+
+
 def later() -> dict[str, str]:
     """SQL of the queries over logs and stored results."""
     return {
@@ -158,6 +193,19 @@ def later() -> dict[str, str]:
         "prune_sources": """SELECT coalesce(b.book_id, l.doc_id) AS book_id, CASE WHEN b.text IS NULL THEN 'absent' WHEN coalesce(l.quality, 0) <> 1 THEN 'unready' ELSE 'ok' END AS answer,
             CASE WHEN b.text IS NOT NULL AND l.quality = 1 THEN 1 END AS level, CASE WHEN l.quality = 1 THEN length(b.text) END AS end_char
           FROM (SELECT doc_id AS book_id, coalesce(text, '') AS text FROM documents WHERE doc_id % 7 <> 0) b FULL JOIN labels l ON l.doc_id = b.book_id""",
+        "staged_audit": STAGED_AUDIT,
+        "located_units": rf"""WITH RECURSIVE {BOOKS}, {LINES}, u AS (
+            SELECT book_id, CASE WHEN book_id % 2 = 0 THEN -line_no ELSE line_no END AS unit_ix, CASE WHEN book_id % 5 = 0 AND line_no % 3 = 0 THEN line || ' not there' ELSE line END AS segment
+            FROM lines WHERE line <> ''),
+          o AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY unit_ix) AS i FROM u),
+          f AS (
+            SELECT book_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS unit_ix, CAST(0 AS BIGINT) AS cursor, CAST(-2 AS BIGINT) AS start FROM books
+            UNION ALL
+            SELECT book_id, i, unit_ix, CASE WHEN place > 0 THEN place - 1 + size ELSE cursor END, place - 1 FROM (
+              SELECT o.book_id, o.i, CAST(o.unit_ix AS BIGINT) AS unit_ix, f.cursor, length(o.segment) AS size,
+                CASE WHEN instr(substring(b.text, CAST(f.cursor + 1 AS INT)), o.segment) > 0 THEN f.cursor + instr(substring(b.text, CAST(f.cursor + 1 AS INT)), o.segment) ELSE instr(b.text, o.segment) END AS place
+              FROM f JOIN o ON o.book_id = f.book_id AND o.i = f.i + 1 JOIN books b ON b.book_id = f.book_id))
+          SELECT book_id, unit_ix, start, CASE WHEN start < 0 THEN 'not found' ELSE '' END AS error FROM f WHERE i > 0""",
         "requests_once": """SELECT event_id, user_id, event_type FROM (
           SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS gap FROM events)
           WHERE gap IS NULL OR gap > 21600000000""",
@@ -295,7 +343,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT doc_id AS book_id, length(md) AS n_chars, md5(md) AS markdown_md5 FROM m""",
         "evidence_matches": r"""WITH d AS (SELECT doc_id AS book_id, coalesce(text, '') AS text FROM documents),
           p AS (SELECT *, substring(text, length(text) // 2, 60) AS part FROM d),
-          q AS (SELECT *, regexp_replace(regexp_replace(CASE WHEN book_id % 3 = 0 THEN replace(part, ' ', '  ') ELSE part END, '^\s+|\s+$', '', 'g'), '^["''`“”]+|["''`“”]+$', '', 'g') AS quote FROM p),
+          q AS (SELECT *, regexp_replace(regexp_replace(CASE WHEN book_id % 3 = 0 THEN replace(part, ' ', '  ') ELSE part END, '^\s+|\s+$', '', 'g'), '^["''`“”‘’]+|["''`“”‘’]+$', '', 'g') AS quote FROM p),
           c AS (SELECT *, regexp_replace(text, '\s+', '', 'g') AS loose_text, regexp_replace(quote, '\s+', '', 'g') AS loose_quote FROM q),
           f AS (SELECT *, CASE WHEN quote = '' THEN -1 ELSE instr(text, quote) - 1 END AS exact, CASE WHEN loose_quote = '' THEN -1 ELSE instr(loose_text, loose_quote) - 1 END AS loose FROM c)
           SELECT book_id, CASE WHEN exact >= 0 THEN 'exact' WHEN loose >= 0 THEN 'whitespace_normalized' ELSE 'none' END AS match,

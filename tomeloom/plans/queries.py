@@ -670,3 +670,34 @@ def prune_sources(spark, d):
     meta = table(spark, d, "labels", "doc_id", "quality").select(F.col("doc_id").alias("book_id"), F.when(F.col("quality") == 1, "ok").otherwise("error").alias("extract_status"), F.array(one).alias("chapters"))
     out = store.sources(docs, meta)
     return out.select("book_id", "answer", F.get("chapters", F.lit(0))["level"].alias("level"), F.get("chapters", F.lit(0))["end_char"].alias("end_char"))
+
+
+# Audits in stages
+
+
+@query
+def located_units(spark, d):
+    """Every document's lines as its units, in even books from the end, with some that aren't in the text."""
+    books = document_books(spark, d)
+    even, spoiled = F.col("book_id") % 2 == 0, (F.col("book_id") % 5 == 0) & (F.col("line_no") % 3 == 0)
+    lines = books.select("book_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where("line <> ''")
+    units = lines.select("book_id", F.when(even, -F.col("line_no")).otherwise(F.col("line_no")).cast("long").alias("unit_ix"), F.when(spoiled, F.concat("line", F.lit(" not there"))).otherwise(F.col("line")).alias("segment"))
+    return audit.located(units, books)
+
+
+@query
+def staged_audit(spark, d):
+    """A claim of every document against it, with given verdicts in place of a judge's: some supported without evidence, some rejected, some in conflict."""
+    books = document_books(spark, d)
+    windows = F.transform(audit.windows(F.col("text")), lambda w, k: F.struct((k * audit.STRIDE).cast("long").alias("start"), w.alias("text")))
+    samples = books.select(F.col("book_id").alias("sample_id"), F.substring("text", 1, 30).alias("claim"), F.col("text").alias("source"), (F.col("book_id") * 1000).alias("source_start"), windows.alias("windows"))
+
+    def judge(asked, mode, attempt):
+        stage = audit.STAGES.index((mode, attempt))
+        middle = F.substring(F.col("source"), F.floor(F.length("source") / 2).cast("int"), F.lit(40))
+        quote = F.when((F.col("sample_id") + 2 * stage) % 3 == 0, middle).otherwise(f"nowhere #{stage}#")
+        heard = asked.where((F.col("sample_id") + stage) % 13 != 0)
+        return heard.select("sample_id", ((F.col("sample_id") + stage) % 4 != 0).alias("supported"), (F.lit(stage == 0) & (F.col("sample_id") % 11 == 0)).alias("conflict"), quote.alias("evidence"), F.when(F.col("sample_id") % 5 != 0, (F.col("sample_id") % 7).cast("int")).alias("evidence_window"))
+
+    out = audit.staged(samples, judge, f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}")
+    return out.drop("claim", "source", "source_start", "windows")
