@@ -323,18 +323,33 @@ def test_main_text(spark):
     got = {r.page_id: r for r in mainhtml.extract(rows).collect()}
     assert got[1].text == expected and got[1].n_chars == len(expected)
     assert got[2].text == got[3].text == "" and got[4].text == "deep text"
-    def changed(h):
-        with pytest.MonkeyPatch.context() as m:
-            m.setattr(mainhtml, "article_of", lambda body: setattr(body, "marked", True) or 0.0)  # without the density step
-            return mainhtml.main_text(h)
+    for page in [r.html for r in base.read(spark, "/root/testdata/sf0.01", "pages", "html").collect()]:
+        assert mainhtml.main_text(page) == plain_article(page)
 
+
+def plain_article(page):
+    """The text of a given page's article, which holds but headings and paragraphs."""
+    out = []
+    for part in re.split(r"</?(?:p|h1)[^>]*>", re.search(r"<article>(.*?)</article>", page, re.S)[1]):
+        text = " ".join(entities.unescape(re.sub(r"<[^>]+>", "", part.replace("<br>", " "))).split())
+        out += [text] if text else []
+    return "\n".join(out)
+
+
+def without_density(page):
+    """The page with its named parts and menus dropped, but all else kept: names and link counts without the choice by density."""
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(mainhtml, "article_of", lambda body: setattr(body, "marked", True) or float("inf"))
+        return mainhtml.main_text(page)
+
+
+def test_density_alone_finds_articles_of_pages_without_names(spark):
+    """The given pages with every name taken away: menus, adverts and footers are divs like the article."""
     pages = [r.html for r in base.read(spark, "/root/testdata/sf0.01", "pages", "html").collect()]
-    for page in pages:  # read plainly: these articles hold but headings and paragraphs
-        out = []
-        for part in re.split(r"</?(?:p|h1)[^>]*>", re.search(r"<article>(.*?)</article>", page, re.S)[1]):
-            text = " ".join(entities.unescape(re.sub(r"<[^>]+>", "", part.replace("<br>", " "))).split())
-            out += [text] if text else []
-        assert mainhtml.main_text(page) == "\n".join(out) != changed(page)
+    bare = [re.sub(r"<(/?)(?:nav|footer|article)\b", r"<\1div", h.replace('<div class="ad">', "<div>")) for h in pages]
+    found = sum(mainhtml.main_text(b) == plain_article(h) for b, h in zip(bare, pages, strict=True))
+    lists = sum(without_density(b) == plain_article(h) for b, h in zip(bare, pages, strict=True))
+    assert found >= 0.9 * len(pages) and lists <= 0.01 * len(pages)
 
 
 LONG = "A paragraph of the article, long enough, with its commas and its stops. It goes on for another sentence, as such paragraphs do."
@@ -357,11 +372,37 @@ PLAIN_PAGES = [  # nothing here names its role: links and density alone tell the
 def test_main_text_of_pages_that_name_nothing():
     for page, expected in PLAIN_PAGES:
         assert mainhtml.main_text(page) == expected
+    short = "<div>Share this</div><div>Printed on paper</div>"
+    page = f"<body>{short}<div><h1>A title</h1><p>{LONG}</p><p>{LONG}</p></div><div>All rights kept by us</div></body>"
+    assert mainhtml.main_text(page) == f"A title\n{LONG}\n{LONG}" != without_density(page)
     named = f"<main><p>{LONG}</p><section class='reader-comments'><p>{LONG}</p><p>{LONG}</p></section><p>{LONG}</p><div id=promo>Buy</div></main>"
     assert mainhtml.main_text(named) == f"{LONG}\n{LONG}"
     assert mainhtml.main_text(f"<section class=section-header><h2>Heading</h2></section><article><header><h1>T</h1></header><p>{LONG}</p></article>") == f"T\n{LONG}"
 
 
+def test_named_parts_go_whatever_their_share():
+    many = "".join(f"<p>{LONG}</p>" for _ in range(12))
+    article = f"<div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div>"
+    expected = f"T\n{LONG}\n{LONG}"
+    for part in (f"<div class=comments>{many}</div>", f"<section id=reader-comments>{many}</section>", f"<div class='comment-list x'>{many}</div>", f"<aside>{many}</aside>", f"<div role=complementary>{many}</div>"):
+        assert mainhtml.main_text(f"<body>{article}{part}</body>") == expected
+        assert mainhtml.main_text(f"<body><article>{article}{part}</article></body>") == expected
+        assert mainhtml.main_text(f"<body><article>{article}</article>{part}</body>") == expected
+        assert mainhtml.main_text(f"<body>{part}</body>") == ""
+    assert mainhtml.main_text(f"<body><p>Short.</p><div class=comments>{many}</div></body>") == "Short."
+
+
+def test_names_hit_whole_classes_of_blocks():
+    assert mainhtml.main_text("<article><p><a href=x>Only a link</a></p></article>") == "Only a link"
+    code = f"<article><p>{LONG}</p><pre>x = 1 <span class=comment># a comment</span></pre></article>"
+    assert mainhtml.main_text(code) == f"{LONG}\nx = 1 # a comment"
+    periods = f"<article><p>{LONG}</p><section class='notice-periods'><p>Three months.</p></section></article>"
+    assert mainhtml.main_text(periods) == f"{LONG}\nThree months."
+    sections = f"<article><section><p>{LONG}</p><p>{LONG}</p></section><section><p>Brief.</p></section></article>"
+    assert mainhtml.main_text(sections) == f"{LONG}\n{LONG}\nBrief."
+    assert mainhtml.main_text("<body><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul></body>") == ""
+
+
 @pytest.mark.parametrize("unit", ["<div>x ", "<a ", "<div>y<p>", "<li>a<div>", "<b>x<p>", "<a '>t", "</p>", "<!-- ", "<", "<table><td><div>", "<p><span>s"])
 def test_main_text_of_long_broken_pages(unit):
     began = time.time()

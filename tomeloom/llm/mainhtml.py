@@ -3,15 +3,18 @@
 A page becomes a tree of elements. Every node gets its characters, tags, link characters and
 link tags; its composite density is characters per tag, scaled down by the share of links. What
 the page itself names a menu, header, footer, sidebar, notice, advert, form or comment, by element,
-role or class, counts as link text, so its density is next to nothing. A node's density sum adds up
-its children. The node of the largest sum is the article; the least density on the path from it
-to the body is the threshold; every subtree above the threshold that has the largest sum below its
-root is kept, less the blocks inside it that links hold below the threshold.
+role or class, has a thousandth of the density (a form, which may hold the whole page, a twentieth),
+and so has all that is in it; names drop nothing by themselves. A node's density sum adds up its children. The node of the largest sum is the article,
+together with the elements around it that are about as dense or that the page names its article;
+the least density on the path from it to below the body is the threshold. Subtrees outside it that
+reach the threshold are kept by their largest sum, all else goes; of what is inside, named parts
+and menus (blocks of several links) below the threshold go.
 
 Defined results: null and empty html give an empty text; broken markup is closed as browsers
-close it; a page of nothing but such parts gives an empty text; a part that holds an article or
-most of the page's text isn't one; repeated rows get equal results; an empty table gives an empty
-result. A page is one row and is handled by itself, however long, in time that grows with its length.
+close it; a page of nothing but named parts and menus gives an empty text, an article of nothing
+but a link its text; a part that holds an article isn't one; repeated rows get equal results; an
+empty table gives an empty result. A page is one row and is handled by itself, however long, in time
+that grows with its length.
 """
 
 from __future__ import annotations
@@ -39,10 +42,15 @@ PARTS = frozenset("nav menu header footer aside form fieldset label object dialo
 PART_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 PART_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner comment comments commentlist consent cookie cookies footer header masthead menu nav navbar navigation notice notices promo promotion replies sidebar sidebars sponsor sponsored".split())
 NEVER_PARTS = frozenset("html body article main".split())
+#: Words that may follow one of these in a class or id without changing what it names.
+PLAIN_WORDS = frozenset("area bar block body bottom box col column container content entry form group inner item left link links list main outer panel region right section site slot thread top unit widget wrap wrapper".split())
 #: Share of its characters that links hold in a block that is a menu, and its least number of links.
 MENU_SHARE, MENU_LINKS = 0.8, 3
-#: A part with more of the page's characters than this isn't one.
-MOST = 0.6
+#: What names take a density down to, those of elements that may hold a whole page, and the least share that links leave.
+NAMED, WRAPPED, LINKED = 0.001, 0.05, 0.02
+WRAPPERS = frozenset("form fieldset label object dialog".split())
+#: Elements around the article that reach this share of its density belong to it.
+AROUND = 0.5
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)", re.S)
@@ -51,13 +59,14 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "part", "parent", "children", "own", "chars", "tags", "link_chars", "link_tags", "links", "block", "density", "total", "best", "marked")
+    __slots__ = ("tag", "part", "parent", "children", "own", "chars", "tags", "link_chars", "link_tags", "links", "block", "weight", "density", "total", "best", "marked")
 
-    def __init__(self, tag: str, parent: Node | None, part: bool = False):
+    def __init__(self, tag: str, parent: Node | None, part: float = 0.0):
         self.tag, self.parent, self.part = tag, parent, part
         self.children: list[Node | str] = []
         self.own = self.chars = self.tags = self.link_chars = self.link_tags = self.links = 0
         self.block = tag not in INLINE
+        self.weight = 1.0
         self.density = self.total = 0.0
         self.best: Node = self
         self.marked = False
@@ -72,13 +81,23 @@ def _is_hidden(raw: str) -> bool:
     return any(n == "hidden" or n == "aria-hidden" and v.lower() == "true" or n == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I) for n, v in _attributes(raw))
 
 
-def _is_part(tag: str, raw: str, within_article: bool) -> bool:
-    """Whether the page names the element as one of the parts that are not the article."""
+def _names_part(name: str) -> bool:
+    """Whether a class or id names a part: by itself or its last word, or by its first with plain words after it."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    return bool(words) and (words[-1] in PART_WORDS or words[0] in PART_WORDS and all(w in PLAIN_WORDS or w.isdigit() for w in words[1:]))
+
+
+def _part(tag: str, raw: str, within_article: bool) -> float:
+    """What is left of the density of an element that the page names as one of the parts that are not the article, 0 for others.
+
+    Inline elements belong to their text, whatever their class.
+    """
     if tag in NEVER_PARTS:
-        return False
-    if tag in PARTS and not (tag == "header" and within_article):
-        return True
-    return any(n == "role" and v.lower() in PART_ROLES or n in ("class", "id") and any(w.lower() in PART_WORDS for w in _WORDS.findall(v)) for n, v in _attributes(raw))
+        return 0.0
+    classes = tag not in INLINE
+    if any(n == "role" and v.lower() in PART_ROLES or classes and n in ("class", "id") and any(map(_names_part, v.split())) for n, v in _attributes(raw)):
+        return NAMED
+    return WRAPPED if tag in WRAPPERS else NAMED if tag in PARTS and not (tag == "header" and within_article) else 0.0
 
 
 class _Path:
@@ -142,7 +161,7 @@ def parse(page: str) -> Node:
             while found := path.nearest(CLOSED_BY[tag], SCOPES[tag]):
                 path.close(found)
         attributes = m[3].strip()
-        child = Node(tag, path.node, _is_part(tag, attributes, path.within("article", "main")))
+        child = Node(tag, path.node, _part(tag, attributes, path.within("article", "main")))
         shown = not (tag in UNSHOWN or attributes and _is_hidden(attributes))
         path.node.children.append(child if shown else " ")  # opened and closed like any other, but hung nowhere
         if tag in VOID or attributes.endswith("/"):
@@ -165,27 +184,26 @@ def _preorder(root: Node) -> list[Node]:
 
 
 def _measure(order: list[Node]) -> None:
-    """Counts of each subtree; the text of parts counts as link text, that of a link once."""
+    """Counts of each subtree, the text of a link once, and the weights that names leave."""
     holds = {id(n) for n in order if n.tag in ("article", "main")}
     for node in reversed(order):
         node.chars += node.own
+        if node.tag == "a":
+            node.link_chars, node.link_tags = node.chars, max(node.link_tags, node.tags)
         if node.parent is not None:
             up = node.parent
             up.chars += node.chars
             up.tags += node.tags + 1
             up.block |= node.block  # marks around blocks are a block, too
-            if id(node) in holds:
-                holds.add(id(up))
-    most = MOST * order[0].chars
-    for node in reversed(order):
-        node.part = node.part and not (id(node) in holds or node.chars > most)
-        if node.tag == "a" or node.part:
-            node.link_chars, node.link_tags = node.chars, max(node.link_tags, node.tags)
-        if node.parent is not None:
-            up = node.parent
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags + (node.tag == "a")
             up.links += node.links + (node.tag == "a")
+            if id(node) in holds:
+                holds.add(id(up))
+    for node in order:
+        if id(node) in holds:
+            node.part = 0.0
+        node.weight = (1.0 if node.parent is None else node.parent.weight) * (node.part or 1.0)
 
 
 def _densities(order: list[Node], body: Node) -> None:
@@ -195,7 +213,8 @@ def _densities(order: list[Node], body: Node) -> None:
             plain = max(node.chars - node.link_chars, 1)
             base = math.log(node.chars / plain * node.link_chars + link_share * node.chars + math.e)
             odds = node.chars / max(node.link_chars, 1) * max(node.tags, 1) / max(node.link_tags, 1)
-            node.density = node.chars / max(node.tags, 1) * math.log(max(odds, 1.0)) / math.log(max(base, math.e))
+            left = math.log(max(odds, 1.0)) / math.log(max(base, math.e))
+            node.density = node.weight * node.chars / max(node.tags, 1) * max(left, LINKED)
         # A block of text is a leaf: marks such as <b> inside it don't make it a container.
         node.best, node.total = node, 0.0
         blocks = [c for c in node.children if isinstance(c, Node) and c.block]
@@ -206,12 +225,13 @@ def _densities(order: list[Node], body: Node) -> None:
                 node.best = c.best
 
 
+def _is_menu(node: Node) -> bool:
+    return node.links >= MENU_LINKS and node.tag not in INLINE and node.tag != "p" and node.link_chars >= MENU_SHARE * node.chars
+
+
 def _left_out(node: Node, threshold: float) -> bool:
-    """Whether links, or what counts as such, hold a block below the threshold: a named part, or a run of links."""
-    if node.part:
-        return node.density < threshold
-    many = node.links >= MENU_LINKS and node.tag not in INLINE and node.tag != "p"
-    return many and node.link_chars >= MENU_SHARE * node.chars and node.density < threshold
+    """Whether a block is below the threshold and is a named part or a menu."""
+    return node.density < threshold and (node.part > 0 or _is_menu(node))
 
 
 def _blocks(body: Node, threshold: float) -> list[str]:
@@ -250,19 +270,25 @@ def _blocks(body: Node, threshold: float) -> list[str]:
 
 
 def article_of(body: Node) -> float:
-    """Marks the subtrees that are kept and returns the threshold: the least density from the largest sum up to the body."""
-    article = body.best
+    """Marks the subtrees that are kept and returns the threshold."""
+    article = node = body.best
+    while node.parent is not None and node is not body:  # to the outermost element that belongs to it
+        node = node.parent
+        if node is not body and (node.tag in ("article", "main") or node.density >= AROUND * body.best.density):
+            article = node
     threshold, node = article.density, article
-    while node is not body:
+    while node is not body and node.parent is not body:
         node = node.parent
         threshold = min(threshold, node.density)
+    article.marked = True
     stack = [body]
     while stack:
         node = stack.pop()
-        if node.density >= threshold:
-            best = node.best
-            best.marked = True
-            stack.extend(c for c in node.children if isinstance(c, Node) and c is not best)
+        if node is article:
+            continue
+        if node is not body and node.density >= threshold:
+            node.best.marked = True
+        stack.extend(c for c in node.children if isinstance(c, Node) and c is not node.best)
     return threshold
 
 
@@ -278,9 +304,13 @@ def main_text(page: str | None) -> str:
     body.parent = None
     order = _preorder(body)
     _measure(order)
-    if body.link_chars >= body.chars:  # nothing at all, or nothing but parts and links
-        return ""
     _densities(order, body)
+    article, around = body.best, []
+    while article is not None:
+        around.append(article)
+        article = article.parent
+    if not body.chars or any(n.part == NAMED for n in around) or _is_menu(body.best) and not any(n.tag in ("article", "main") for n in around):
+        return ""  # nothing but named parts and menus
     return "\n".join(_blocks(body, article_of(body)))
 
 
