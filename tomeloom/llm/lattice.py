@@ -8,7 +8,8 @@ in a cell are candidates; cosine in double precision decides.
 
 Cells multiply with the vectors: the blocks of a table and the stretch of the last one follow from
 the size of the largest label, so that a vector meets about as many strangers in a large table as
-in a small one. No bucket is capped.
+in a small one. More blocks part near vectors more often, so tables and probes grow with them. No
+bucket is capped.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, those
 without a label and those without an id link with nothing and are their own component (null for a
@@ -29,9 +30,10 @@ from .base import cut, mix
 from .components import components
 
 COSINE = 0.98
-TABLES = 4
-#: Neighbouring cells that each vector probes in each table.
-PROBES = 8
+#: Tables for cells of one block, and how many more for each further block.
+TABLES, MORE_TABLES = 4, 2
+#: Neighbouring cells that each vector probes in each table for one block, and how many more for each further block.
+PROBES, MORE_PROBES = 8, 4
 #: Cells that unit vectors, projected to eight dimensions, fall into, about: one over the chance that two strangers share one.
 CELLS = 14_000
 #: Vectors of a label for which one block's cells are enough.
@@ -90,10 +92,16 @@ def stretches(vectors: int) -> list[float]:
     return out
 
 
-def cells(x: np.ndarray, blocks: list[float], probes: int = PROBES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def effort(blocks: int) -> tuple[int, int]:
+    """Tables, and probes in each, for cells of so many blocks."""
+    return TABLES + MORE_TABLES * (blocks - 1), PROBES + MORE_PROBES * (blocks - 1)
+
+
+def cells(x: np.ndarray, blocks: list[float]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each table: its number, home cells (n), probed cells (n, probes) of the unit rows of x."""
     neighbours, m = minimal_vectors(), len(blocks)
-    for t in range(TABLES):
+    tables, probes = effort(m)
+    for t in range(tables):
         homes, walls, steps = [], [], []
         for b, stretch in enumerate(blocks):
             rng = np.random.default_rng([1000 + t, b])
