@@ -114,22 +114,23 @@ kept AS (
   SELECT r, kind, v, start, name || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span
   FROM spans WHERE length(v) >= least),
 held AS (
-  SELECT kind, v, count(DISTINCT owner) > 2 AND count(DISTINCT (owner, repo)) > 3 AS copied
-  FROM kept JOIN docs USING (r) GROUP BY kind, v),
+  SELECT *, owners > 2 AND repos > 2 AS copied FROM (
+    SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repos FROM kept JOIN docs USING (r) GROUP BY v)),
 listed AS (
   SELECT r,
     count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
     string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
     string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3 OR NOT copied) AS spans,
     string_agg(span, ',' ORDER BY start, kind) FILTER (copied) AS copied_spans,
+    string_agg(owners || ':' || repos, ',' ORDER BY start, kind) FILTER (kind < 3 OR NOT copied) AS span_owners,
     count(*) FILTER (kind > 2 AND NOT copied) AS n_live, count(*) FILTER (kind > 2 AND copied) AS n_copied,
     count(*) FILTER (kind < 3 AND NOT copied) AS n_base_live, count(*) FILTER (kind < 3 AND copied) AS n_base_copied
-  FROM kept JOIN held USING (kind, v) GROUP BY r)
+  FROM kept JOIN held USING (v) GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
   coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
   coalesce(n_base_live, 0) AS n_base_live, coalesce(n_base_copied, 0) AS n_base_copied,
-  coalesce(copied_spans, '') AS copied_spans
+  coalesce(copied_spans, '') AS copied_spans, coalesce(span_owners, '') AS span_owners
 FROM docs LEFT JOIN listed USING (r)
 """
 

@@ -1,10 +1,11 @@
 """Secret scan with corpus-wide ownership frequency, in built-in expressions only.
 
-Each text is searched for credential shapes. The value of every match is hashed and counted over
-the whole corpus by distinct owners and repositories. A value that more than MAX_OWNERS owners
-hold in more than MAX_REPOS repositories is a widely copied example; any other looks live. The
-spans of the three base kinds (assign, access, hex) are always reported, with their verdicts
-counted beside them; those of the wider kinds are reported if they look live.
+Each text is searched for credential shapes. The value of every match, under whatever kinds it was
+found, is hashed and counted over the whole corpus by distinct owners and repositories. A value that
+more than MAX_OWNERS owners hold in more than MAX_REPOS repositories is a widely copied example; any
+other looks live. The spans of the three base kinds (assign, access, hex) are always reported, with
+their verdicts counted beside them; those of the wider kinds are reported if they look live. Each
+reported span has its value's owners and repositories with it.
 
 Defined results: a null text is the empty text and has no spans; a null owner counts as one
 owner named ''; repeated rows and rows with one id each get their own row back, and equal rows
@@ -38,11 +39,12 @@ KINDS = {**BASE_KINDS, **MORE_KINDS}
 #: A value that more owners than this hold, in more repositories than this, is a widely copied
 #: example: a key that one team keeps in two places, or in many repositories of its own, is not.
 MAX_OWNERS = 2
-MAX_REPOS = 3
+MAX_REPOS = 2
 #: Rows of one value are dealt over so many salts; a bit mask of those in use fits a long.
 SALTS = 64
 
 _SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
+_JUDGED = "array<struct<start:int,kind:int,stop:int,owners:long,repos:long>>"
 
 
 def _found(text: Column, kind: str) -> Column:
@@ -113,7 +115,7 @@ def scan_owned(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
     """Per row of docs (doc_id, text): its spans by verdict, and counts of both verdicts.
 
     Returns doc_id, base, live (base and the wider kinds' live spans) and copied (copied spans of
-    all kinds), arrays of spans; n_live and n_copied (long) count the wider kinds' spans of either
+    all kinds), arrays of spans, the latter two with owners and repos of each value; n_live and n_copied (long) count the wider kinds' spans of either
     verdict, n_base_live and n_base_copied those of the base kinds.
     """
     found = cut(
@@ -123,7 +125,7 @@ def scan_owned(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
     candidates = (
         found.where(F.size("spans") > 0)
         .select("row", "owner", "repo", F.explode("spans").alias("span"))
-        .withColumn("hash", F.sha2(F.concat_ws(":", F.col("span.kind").cast("string"), F.col("span.value")), 256))
+        .withColumn("hash", F.sha2(F.col("span.value"), 256))
         .withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     )
     values = ownership(candidates)
@@ -131,24 +133,25 @@ def scan_owned(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
     dealt = values.select("hash", "owners", "repos", F.explode(in_use).alias("salt"))
     wide = F.col("span.kind") >= len(BASE_KINDS)
     copied = (F.col("owners") > MAX_OWNERS) & (F.col("repos") > MAX_REPOS)
+    known = F.struct(*[F.col(f"span.{c}").alias(c) for c in ("start", "kind", "stop")], F.col("owners").cast("long").alias("owners"), F.col("repos").cast("long").alias("repos"))
     judged = (
         candidates.join(dealt, ["hash", "salt"])
         .groupBy("row")
         .agg(
-            F.collect_list(F.when(wide & ~copied, F.col("span"))).alias("live"),
-            F.collect_list(F.when(copied, F.col("span"))).alias("copied"),
+            F.collect_list(F.when(~wide | ~copied, known)).alias("live"),
+            F.collect_list(F.when(copied, known)).alias("copied"),
             F.count_if(wide & ~copied).alias("n_live"),
             F.count_if(wide & copied).alias("n_copied"),
             F.count_if(~wide & ~copied).alias("n_base_live"),
             F.count_if(~wide & copied).alias("n_base_copied"),
         )
     )
-    nothing = F.array().cast(_SPAN)
+    nothing = F.array().cast(_JUDGED)
     base = F.filter("spans", lambda s: s["kind"] < len(BASE_KINDS))
     return found.join(judged, "row", "left").select(
         "doc_id",
         base.alias("base"),
-        F.array_sort(F.concat(base, F.coalesce("live", nothing))).alias("live"),
+        F.array_sort(F.coalesce("live", nothing)).alias("live"),
         F.array_sort(F.coalesce("copied", nothing)).alias("copied"),
         *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("n_live", "n_copied", "n_base_live", "n_base_copied")],
     )
@@ -171,4 +174,5 @@ def digest(scanned: DataFrame) -> DataFrame:
         "n_base_live",
         "n_base_copied",
         _listed(F.col("copied")).alias("copied_spans"),
+        F.array_join(F.transform("live", lambda s: F.concat_ws(":", s["owners"].cast("string"), s["repos"].cast("string"))), ",").alias("span_owners"),
     )
