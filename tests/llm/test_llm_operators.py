@@ -84,6 +84,21 @@ def test_secret_ownership_judges_base_values(spark):
     assert got[90].spans == "bearer:15:52" and got[91].spans == "named:11:62"
 
 
+def test_a_value_counts_once_under_all_its_kinds(spark):
+    value = "deadbeef" * 4
+    rows = [(1, f"token={value}", "a", "r"), (2, f"plain {value} here", "b", "r"), (3, f"Authorization: Bearer {value}", "c", "r"), (4, f"pwd: {value}", "a", "r2"), (5, "token=" + "q" * 20, "a", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string")
+    got = {r.doc_id: r for r in secrets.digest(secrets.scan_owned(docs, F.col("owner"), F.concat_ws("/", "owner", "repo"))).collect()}
+    assert got[1].spans == "assign:0:38,hex:6:38" and got[1].span_owners == "3:4,3:4" and (got[1].n_base_copied, got[1].n_base_live) == (2, 0)
+    assert got[3].copied_spans == "bearer:15:54,hex:22:54" and got[3].spans == "hex:22:54" and (got[3].n_copied, got[3].n_live) == (1, 0)
+    assert got[4].span_owners == "3:4" and got[5].span_owners == "1:1" and got[5].copied_spans == ""
+
+
+def test_shared_values_of_the_given_table_are_told_from_the_rest(spark):
+    got = queries.queries()["op1_secrets"](spark, "/root/testdata/sf0.1").agg(F.sum("n_base_copied"), F.sum("n_base_live")).first()
+    assert got[0] > 0 and got[1] > 0
+
+
 def test_shards_equal_prefix_sums(spark):
     for docs in (read(spark, "documents"), odd(spark)):
         rows = sorted(((r.doc_id, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 1) for r in docs.collect()), key=lambda x: (x[1], x[2], x[0] is not None, x[0] or 0))
@@ -135,6 +150,43 @@ def test_language_on_held_out(spark):
     assert langid.predict(docs, None).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_prediction_equals_a_plain_convolution_over_whole_texts(spark):
+    """Windows of whole texts by plain loops, their logits weighed by bytes; and signs that are no letters."""
+    docs = read(spark, "documents", "doc_id", "text", "lang")
+    net = langid.train(langid.sample_pieces(docs))
+    rows = [(i, t) for i, t in enumerate(["été ", "²½①Ⅷ ", "a", None, "12 ⅓ _"])] + [(100 + r.doc_id, r.text) for r in docs.where("length(text) between 200 and 2500").limit(12).collect()]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), net).collect()}
+    for i, text in rows:
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        data, total = text.lower().encode(), 0
+        for at in range(0, len(data), langid.WINDOW):
+            piece = np.frombuffer(data[at : at + langid.WINDOW].ljust(langid.WINDOW, b"\0"), np.uint8)
+            e, pooled = net.embedding[piece], []
+            for w, bank, bias in zip(langid.WIDTHS, net.banks, net.biases, strict=True):
+                pooled.append(np.max([np.einsum("we,wef->f", e[k : k + w], bank) for k in range(langid.WINDOW - w + 1)], axis=0) + bias)
+            total = total + len(data[at : at + langid.WINDOW]) * (np.maximum(np.concatenate(pooled), 0) @ net.dense + net.offset)
+        p = np.exp(total / len(data) - np.max(total / len(data)))
+        p /= p.sum()
+        assert got[i].lang_pred == net.languages[int(p.argmax())] and got[i].score == pytest.approx(float(p.max()), abs=1e-4)
+
+
+def test_statistics_equal_a_plain_reading(spark):
+    texts = ["", "One two, three.", "A | B | C!!\nWHAT is $$ this ** 12 345?", "é😀 naïve", "x" * 3000, None, "a\n\nb  c\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", *[c.alias(n) for n, c in rules.statistics(F.col("text")).items()]).collect()
+    for r in rows:
+        t = texts[r.doc_id] or ""
+        lines = t.count("\n") + (1 if t else 0)
+        words = t.count(" ") + lines
+        share = lambda a, b: a / b if b else 0.0
+        expected = {
+            "log_chars": math.log1p(len(t)), "chars_per_word": share(len(t), words), "words_per_line": share(words, lines), "symbols": share(len(re.findall(r"[*%$&#@~^=<>_\\]{2,}", t)), words), "bars": share(t.count("|"), words), "shouts": share(t.count("!"), words),
+            "capital_runs": share(len(re.findall(r"[A-Z]{2,}", t)), words), "digit_runs": share(len(re.findall(r"[0-9]+", t)), words), "stops": share(t.count(".") + t.count("?"), words), "commas": share(t.count(","), words), "beyond_ascii": share(len(t.encode()) - len(t), len(t)),
+        }
+        assert set(expected) == set(rules.NAMES) and all(r[n] == pytest.approx(v) for n, v in expected.items()), (t, r)
+
+
 def test_folded_tables_equal_the_convolution():
     net = langid.ByteConvNet(["a", "b"])
     x = np.random.default_rng(1).integers(0, 256, (3, langid.WINDOW)).astype(np.uint8)
@@ -430,12 +482,14 @@ def test_quality_sample_is_the_same_at_each_run(spark):
 def test_a_cluster_without_a_shared_folder_is_an_error(spark):
     class Session:
         conf = spark.conf
-        sparkContext = type("Context", (), {"master": "spark://host:7077"})  # noqa: N815
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "getCheckpointDir": staticmethod(lambda: None)})  # noqa: N815
 
     if spark.conf.get("spark.checkpoint.dir", None) is None:
         assert base.shared_folder(spark).startswith("/")
         with pytest.raises(RuntimeError):
             base.shared_folder(Session)
+        Session.sparkContext.getCheckpointDir = staticmethod(lambda: "hdfs://store/checkpoints/0a1b")
+        assert base.shared_folder(Session) == "hdfs://store/checkpoints"
 
 
 def test_e8_decoding_and_minimal_vectors():
@@ -452,22 +506,35 @@ def test_cells_grow_with_the_vectors_and_still_meet():
     assert lattice.stretches(0) == lattice.stretches(lattice.ENOUGH) == [1.0]
     few, many = lattice.stretches(10 * lattice.ENOUGH), lattice.stretches(lattice.CELLS * 10 * lattice.ENOUGH)
     assert len(few) == 2 and 0 < few[1] < 1 and len(many) == 3 and many[1] == 1.0
+    strangers = {}
+    for blocks in ([1.0], few, [1.0, 1.0]):
+        recall, strangers[len(blocks), blocks[-1]] = met_at(blocks, 0.981)
+        assert recall >= 0.95
+    assert strangers[1, 1.0] > 2 * strangers[2, few[1]] and strangers[2, 1.0] <= strangers[2, few[1]]
+
+
+def met_at(blocks, cosine, dimensions=64, n=1500):
+    """Share of random pairs at a cosine that meet in a cell, and how many strangers meet in 39 others."""
     rng = np.random.default_rng(4)
-    a = rng.normal(size=(1500, 64))
+    a = rng.normal(size=(n, dimensions))
     a /= np.linalg.norm(a, axis=1)[:, None]
     off = rng.normal(size=a.shape)
     off -= (off * a).sum(1)[:, None] * a
-    b = 0.981 * a + math.sqrt(1 - 0.981**2) * off / np.linalg.norm(off, axis=1)[:, None]
-    strangers = {}
-    for blocks in ([1.0], few, [1.0, 1.0]):
-        met, others = np.zeros(len(a), bool), 0
-        for _, home, around in lattice.cells(np.concatenate([a, b]), blocks):
-            x, y, near = home[: len(a)], home[len(a) :], around[: len(a)]
-            met |= (x == y) | (near == y[:, None]).any(1) | (around[len(a) :] == x[:, None]).any(1)
-            others += sum((np.roll(y, k)[:, None] == near).sum() for k in range(1, 40))
-        strangers[len(blocks), blocks[-1]] = others
-        assert met.mean() >= 0.95
-    assert strangers[1, 1.0] > 2 * strangers[2, few[1]] and strangers[2, 1.0] <= strangers[2, few[1]]
+    b = cosine * a + math.sqrt(1 - cosine**2) * off / np.linalg.norm(off, axis=1)[:, None]
+    met, others = np.zeros(n, bool), 0
+    for _, home, around in lattice.cells(np.concatenate([a, b]), blocks):
+        x, y, near = home[:n], home[n:], around[:n]
+        met |= (x == y) | (near == y[:, None]).any(1) | (around[n:] == x[:, None]).any(1)
+        others += sum((np.roll(y, k)[:, None] == near).sum() for k in range(1, 40))
+    return met.mean(), others
+
+
+@pytest.mark.parametrize("vectors", [10_000, 1_000_000, 50_000_000, 100_000_000])
+def test_recall_at_the_cells_of_large_labels(vectors):
+    blocks = lattice.stretches(vectors)
+    recall = met_at(blocks, 0.9802)[0]
+    print(vectors, len(blocks), lattice.effort(len(blocks)), recall)
+    assert recall >= 0.97
 
 
 def test_near_vectors_equal_brute_force(spark):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder as shared_folder
 from ..sources.tables import spread as spread
 
 #: Bytes of text that one vectorised step takes at a time (a longer text is taken alone).
@@ -32,20 +31,6 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``.
-
-    Where it names none, a session in one process gets a folder of this machine; on a cluster
-    there is no such folder that all executors see, so that is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="spark-checkpoint-")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that lost executors don't undo it."""
     sc = df.sparkSession.sparkContext

@@ -13,7 +13,6 @@ repeated rows get equal results; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +33,6 @@ PIECES = 4
 #: Windows that are evaluated together.
 BATCH = 512
 
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 class ByteConvNet:
     """weights: embedding (256, E); per width w a filter bank (w, E, F) and bias; dense (3F, C) and bias."""
@@ -192,7 +189,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
                 p = np.exp(logits - logits.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 best[i:j], score[i:j] = p.argmax(1), p.max(1)
-            lettered = np.array([t is not None and _LETTER.search(t) is not None for t in column.to_pylist()], dtype=bool)
+            lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in column.to_pylist()], dtype=bool)  # Unicode's letters, not its other numbers
             best[~lettered], score[~lettered] = len(names) - 1, 0.0
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names[best], pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
