@@ -142,24 +142,30 @@ def with_text(files: DataFrame) -> DataFrame:
     return utf8.unionByName(other).withColumn("text", F.regexp_replace(F.regexp_replace("text", "^\ufeff", ""), r"\r\n?", "\n"))
 
 
-def _epub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """path, title, author and html of the documents in spine order, navigation left out."""
+def epub_parts(content: bytes) -> tuple[str, str, list[str]]:
+    """Title, author and HTML documents of an EPUB file in spine order, navigation left out."""
     import posixpath
     from xml.etree import ElementTree
 
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        opf = next(e.get("full-path") for e in ElementTree.fromstring(z.read("META-INF/container.xml")).iter() if e.tag.endswith("rootfile"))
+        package = ElementTree.fromstring(z.read(opf))
+        items = {e.get("id"): e for e in package.iter() if e.tag.endswith("}item")}
+        spine = [items[e.get("idref")] for e in package.iter() if e.tag.endswith("}itemref") and e.get("idref") in items]
+        chosen = [e for e in spine if "nav" not in (e.get("properties") or "")] or [e for e in items.values() if "html" in (e.get("media-type") or "")]
+        find = lambda name: next((e.text or "" for e in package.iter() if e.tag.endswith("}" + name)), "")
+        return find("title"), find("creator"), [z.read(posixpath.normpath(posixpath.join(posixpath.dirname(opf), e.get("href")))).decode("utf-8", "replace") for e in chosen]
+
+
+def _epub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path, title, author and html of EPUB files, or their error."""
+    from xml.etree import ElementTree
+
     for batch in batches:
         rows: list[tuple] = []
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
             try:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    opf = next(e.get("full-path") for e in ElementTree.fromstring(z.read("META-INF/container.xml")).iter() if e.tag.endswith("rootfile"))
-                    package = ElementTree.fromstring(z.read(opf))
-                    items = {e.get("id"): e for e in package.iter() if e.tag.endswith("}item")}
-                    spine = [items[e.get("idref")] for e in package.iter() if e.tag.endswith("}itemref") and e.get("idref") in items]
-                    chosen = [e for e in spine if "nav" not in (e.get("properties") or "")] or [e for e in items.values() if "html" in (e.get("media-type") or "")]
-                    find = lambda name: next((e.text or "" for e in package.iter() if e.tag.endswith("}" + name)), "")
-                    parts = [z.read(posixpath.normpath(posixpath.join(posixpath.dirname(opf), e.get("href")))).decode("utf-8", "replace") for e in chosen]
-                    rows.append((path, find("title"), find("creator"), parts, ""))
+                rows.append((path, *epub_parts(content), ""))
             except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError) as bad:
                 rows.append((path, "", "", [], f"EPUB: {bad}"))
         names = ["path", "title", "author", "html", "error"]
