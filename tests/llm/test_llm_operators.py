@@ -641,6 +641,23 @@ def test_decontamination_counts_ids_once_at_any_block_size(spark, monkeypatch):
         assert (len(built) == 1) == (size > 20) and sum(built) == 6
 
 
+def test_only_windows_of_the_shards_words_are_searched(monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 3000, int(rng.integers(3, 40)))) for _ in range(400)]
+    block = fmindex.Phrases([str(i) for i in range(len(texts))], pa.array(texts))
+    asked = []
+    whole = fmindex.FMIndex.search
+    monkeypatch.setattr(fmindex.FMIndex, "search", lambda self, p, n: (asked.append(len(p)), whole(self, p, n))[1])
+    for symbols in (rng.integers(0, 60, 500), block.symbols[5][block.symbols[5] > 0], np.concatenate([block.symbols[k][block.symbols[k] > 0] for k in (3, 9, 200)])):
+        symbols, asked[:] = symbols.astype(np.int32), []
+        place, window = fmindex.occurrences(symbols, np.zeros(len(symbols), np.int64), block)
+        rows = [r[r > 0] for r in block.symbols]
+        expected = [(k, w) for w, r in enumerate(rows) for k in range(len(symbols) - len(r) + 1) if (symbols[k : k + len(r)] == r).all()]
+        assert sorted(zip(place, window, strict=True)) == sorted(expected)
+        present = set(symbols.tolist())
+        assert sum(asked) in (0, sum(set(r.tolist()) <= present for r in rows)) and sum(asked) < len(rows) / 10
+
+
 def test_fm_index_counts_and_locates():
     rng = np.random.default_rng(5)
     symbols = rng.integers(1, 4, 3000).astype(np.int32)

@@ -7,8 +7,9 @@ backward search, all windows at once; occurrences are located by walking to samp
 positions; their spans are merged per text and can be cut out of it.
 
 Only runs of benchmark words long enough to hold the shortest window enter the index, since no
-occurrence can reach outside them; a separator stands for all that lies between. This leaves
-nothing out, and texts of other words cost little more than their tokens.
+occurrence can reach outside them; a separator stands for all that lies between. Of the windows
+only those are searched of which the shard has every word. This leaves nothing out, and texts of
+other words cost little more than their tokens, however large the benchmark is.
 
 Defined results: null texts and items have no words; an item of fewer words than a window is
 one window; an item without words never occurs; rows of one id are one item, however the blocks
@@ -62,6 +63,21 @@ class Phrases:
         self.item_start = np.concatenate([[0], np.cumsum([len(v) for v in owners.values()])]).astype(np.int64)
         self.items = np.array([i for v in owners.values() for i in sorted(v)], dtype=np.int64)
         self.shortest = int(self.lengths.min()) if len(owners) else 0
+        # Each window is filed under the word of it that the fewest windows hold.
+        held = np.bincount(self.symbols.ravel(), minlength=len(self.vocabulary) + 1)
+        held[0] = len(self.symbols) * window + 1
+        key = self.symbols[np.arange(len(self.symbols)), held[self.symbols].argmin(axis=1)] if len(owners) else np.zeros(0, dtype=np.int64)
+        self.filed = np.argsort(key, kind="stable")
+        self.files = np.searchsorted(key[self.filed], np.arange(len(self.vocabulary) + 2))
+
+    def possible(self, symbols: np.ndarray) -> np.ndarray:
+        """The windows of which every word is among the symbols; others aren't even looked at, but for those filed under one of them."""
+        distinct = np.unique(symbols)
+        present = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+        present[distinct] = True
+        present[0] = True  # the padding of short windows
+        near = self.filed[ranges(self.files[distinct], self.files[distinct + 1] - self.files[distinct])]
+        return np.sort(near[present[self.symbols[near]].all(axis=1)])
 
 
 class WaveletMatrix:
@@ -209,10 +225,13 @@ def occurrences(symbols: np.ndarray, docs: np.ndarray, phrases: Phrases) -> tupl
     enough = lengths >= phrases.shortest
     if not enough.any():
         return none, none
-    index = FMIndex(symbols, starts[enough], lengths[enough], len(phrases.vocabulary))
-    low, high = index.search(phrases.symbols, phrases.lengths)
-    window = np.repeat(np.arange(len(low)), high - low)
-    return index.locate(ranges(low, high - low)), window
+    starts, lengths = starts[enough], lengths[enough]
+    asked = phrases.possible(symbols[ranges(starts, lengths)])
+    if not len(asked):
+        return none, none
+    index = FMIndex(symbols, starts, lengths, len(phrases.vocabulary))
+    low, high = index.search(phrases.symbols[asked], phrases.lengths[asked])
+    return index.locate(ranges(low, high - low)), np.repeat(asked, high - low)
 
 
 def blocks(benchmark: DataFrame, text_column: str = "text") -> list[DataFrame]:
