@@ -41,14 +41,30 @@ def queued(tasks: DataFrame) -> DataFrame:
     return tasks.orderBy("queue_order", "created_at")
 
 
+def placed(tasks: DataFrame) -> DataFrame:
+    """tasks with ``place`` from 1, their order in the whole queue: by queue order, then age."""
+    return numbered(tasks, F.floor(F.col("queue_order") / RUN), "queue_order", "created_at", "task_id").withColumnRenamed("_n", "place")
+
+
+def looked_up(tasks: DataFrame, asked: DataFrame) -> DataFrame:
+    """The tasks of asked (task_id, distinct) with ``found``, false for those that aren't there."""
+    return asked.select("task_id").join(tasks.withColumn("_there", F.lit(True)), "task_id", "left").withColumn("found", F.coalesce("_there", F.lit(False))).drop("_there")
+
+
 def eligible(tasks: DataFrame) -> DataFrame:
     return tasks.where("status = 'pending' and not cancel_requested and not delete_requested")
 
 
 def claimed(tasks: DataFrame, task_id) -> DataFrame:
     """The task moves to running if it is still eligible; the caller compares before and after."""
-    may = (F.col("task_id") == F.lit(task_id)) & (F.col("status") == "pending") & ~F.col("cancel_requested") & ~F.col("delete_requested")
-    return tasks.withColumn("status", F.when(may, "running").otherwise(F.col("status")))
+    return claims(tasks, tasks.where(F.col("task_id") == F.lit(task_id)))
+
+
+def claims(tasks: DataFrame, asked: DataFrame) -> DataFrame:
+    """The tasks of asked (task_id) that are still eligible move to running; who claims compares before and after."""
+    rows = tasks.join(asked.select("task_id", F.lit(True).alias("_asked")).distinct(), "task_id", "left")
+    may = F.coalesce("_asked", F.lit(False)) & (F.col("status") == "pending") & ~F.col("cancel_requested") & ~F.col("delete_requested")
+    return rows.withColumn("stage", F.when(may, "prune").otherwise(F.col("stage"))).withColumn("status", F.when(may, "running").otherwise(F.col("status"))).drop("_asked")
 
 
 def cancelled(tasks: DataFrame, asked: DataFrame) -> DataFrame:

@@ -194,6 +194,12 @@ def later() -> dict[str, str]:
             CASE WHEN b.text IS NOT NULL AND l.quality = 1 THEN 1 END AS level, CASE WHEN l.quality = 1 THEN length(b.text) END AS end_char
           FROM (SELECT doc_id AS book_id, coalesce(text, '') AS text FROM documents WHERE doc_id % 7 <> 0) b FULL JOIN labels l ON l.doc_id = b.book_id""",
         "staged_audit": STAGED_AUDIT,
+        "claims_compared": f"""WITH {TASKS}, c AS (SELECT *, status = 'pending' AND NOT cancel_requested AND NOT delete_requested AS won FROM tasks WHERE task_id % 3 = 0)
+          SELECT task_id, won, CASE WHEN won THEN 'running' ELSE status END AS after, CASE WHEN won THEN 'prune' ELSE stage END AS stage FROM c""",
+        "queue_listing": f"""WITH {TASKS} SELECT task_id, CASE WHEN task_id % 11 = 0 THEN 'error' ELSE status END AS status, cancel_requested, delete_requested,
+          row_number() OVER (ORDER BY queue_order, created_at, task_id) AS place FROM tasks""",
+        "task_lookups": f"""WITH {TASKS}, asked AS (SELECT DISTINCT l_orderkey + 50 AS task_id FROM lineitem)
+          SELECT a.task_id, t.task_id IS NOT NULL AS found, coalesce(t.status, '') AS status FROM asked a LEFT JOIN tasks t ON t.task_id = a.task_id""",
         "located_units": rf"""WITH RECURSIVE {BOOKS}, {LINES}, u AS (
             SELECT book_id, CASE WHEN book_id % 2 = 0 THEN -line_no ELSE line_no END AS unit_ix, CASE WHEN book_id % 5 = 0 AND line_no % 3 = 0 THEN line || ' not there' ELSE line END AS segment
             FROM lines WHERE line <> ''),

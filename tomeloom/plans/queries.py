@@ -330,10 +330,32 @@ def claimable(spark, d):
 
 @query
 def claim_first(spark, d):
+    """The first eligible task of the queue is claimed."""
     t = _tasks(spark, d)
-    first = ledger.eligible(t).agg(F.min_by("task_id", "queue_order").alias("id"))
-    may = F.col("task_id") == F.col("id")
-    return t.join(F.broadcast(first)).withColumn("status", F.when(may, "running").otherwise(F.col("status"))).groupBy("status").agg(F.count("*").alias("n"))
+    first = ledger.eligible(t).agg(F.min_by("task_id", "queue_order").alias("task_id"))
+    return ledger.claims(t, first).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query
+def claims_compared(spark, d):
+    """Claims of every third task, eligible or not, with what came of them."""
+    t = _tasks(spark, d)
+    after = ledger.claims(t, t.where("task_id % 3 = 0").select("task_id")).select("task_id", F.col("status").alias("after"), F.col("stage").alias("stage"))
+    return t.where("task_id % 3 = 0").select("task_id", "status").join(after, "task_id").select("task_id", (F.col("status") != F.col("after")).alias("won"), "after", "stage")
+
+
+@query
+def queue_listing(spark, d):
+    """All tasks by queue order and age, with their shown status and both marks; places tell the order."""
+    t = ledger.shown_status(_tasks(spark, d).withColumn("status", F.when(F.expr("task_id % 11 = 0"), "quality_failed").otherwise(F.col("status"))))
+    return ledger.placed(t).select("task_id", "status", "cancel_requested", "delete_requested", "place")
+
+
+@query
+def task_lookups(spark, d):
+    """Tasks looked up by id, with those that aren't there."""
+    asked = table(spark, d, "lineitem", "l_orderkey").select((F.col("l_orderkey") + 50).alias("task_id")).distinct()
+    return ledger.looked_up(_tasks(spark, d), asked).select("task_id", "found", F.coalesce("status", F.lit("")).alias("status"))
 
 
 @query
