@@ -87,6 +87,21 @@ def test_removal_equals_slices(spark, monkeypatch, size):
         assert r.left == plain + r.text[at:]
 
 
+def test_chapters_move_inside_a_row_as_they_do_by_join(spark):
+    rng = random.Random(8)
+    rows, chapters = [], []
+    for i in range(100):
+        size = rng.randint(1, 80)
+        cuts = sorted(rng.sample(range(size + 1), min(size + 1, 2 * rng.randint(0, 4)) // 2 * 2))
+        mine = [("t", 1, a := rng.randint(0, size), a + rng.randint(0, 30)) for _ in range(rng.randint(0, 6))]
+        rows.append((i, mine, [(a, b, 0, "r", "") for a, b in zip(cuts[::2], cuts[1::2], strict=True)], size, sum(b - a for a, b in zip(cuts[::2], cuts[1::2], strict=True))))
+        chapters += [(i, k, *c) for k, c in enumerate(mine)]
+    found = spark.createDataFrame(rows, f"book_id long, chapters array<struct<title:string,level:int,start_char:long,end_char:long>>, regions {prune.REGION}, original_chars long, removed_chars long")
+    joined = prune.remapped(spark.createDataFrame(chapters, "book_id long, chapter_ix int, title string, level int, start_char long, end_char long"), found)
+    inside = found.select("book_id", F.explode(prune.moved(F.col("chapters"), F.col("regions"), F.col("original_chars"), F.col("removed_chars"))).alias("c"))
+    assert sorted((r.book_id, r.c.start_char, r.c.end_char) for r in inside.collect()) == sorted((r.book_id, r.start_char, r.end_char) for r in joined.collect())
+
+
 def test_tens_of_thousands_of_regions_in_one_text(spark):
     line = "a line that comes back"
     many = "".join(f"{line}\nx{i}\n" for i in range(40_000))

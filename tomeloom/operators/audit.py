@@ -212,16 +212,17 @@ def staged(samples: DataFrame, judge: Judge, folder: str) -> DataFrame:
     """
     spark = samples.sparkSession
     open_ = F.struct(F.lit(False).alias("supported"), F.lit(False).alias("conflict"), F.lit("").alias("evidence"), F.lit(-1).cast("long").alias("offset"), F.lit("none").alias("match"))
-    state = samples.select("*", open_.cast(_VERDICT).alias("_v"), F.lit("open").alias("_left"), F.lit(0).alias("anchor_repair_attempts"), F.lit(0).alias("adjudication_attempts"))
+    # Sources stay where they are: only ids and verdicts go from stage to stage.
+    state = samples.select("sample_id", open_.cast(_VERDICT).alias("_v"), F.lit("open").alias("_left"), F.lit(0).alias("anchor_repair_attempts"), F.lit(0).alias("adjudication_attempts"))
     columns = state.columns
     for number, (mode, attempt) in enumerate(STAGES):
         kind = mode.removesuffix("_window")
         wanted = F.col("_left") == ("open" if kind == "plain" else "unanchored" if kind == "repair" else "rejected")
-        asked = state.where(wanted)
-        if number and asked.isEmpty():
+        if number and state.where(wanted).isEmpty():
             continue
+        asked = samples if kind == "plain" else samples.join(state.where(wanted).select("sample_id"), "sample_id", "left_semi")
         answers = judge(asked.select(*samples.columns), mode, attempt).select("sample_id", F.coalesce("supported", F.lit(False)).alias("_s"), F.coalesce("conflict", F.lit(False)).alias("_c"), F.coalesce("evidence", F.lit("")).alias("_e"), F.col("evidence_window").alias("_w"))
-        both = state.join(answers, "sample_id", "left")
+        heard = asked.select("sample_id", "source", "windows").join(answers, "sample_id")
         if mode.endswith("_window"):
             window = F.get("windows", F.col("_w"))
             verdict = F.struct(F.col("_s").alias("supported"), F.col("_c").alias("conflict"), window["text"].alias("evidence"), window["start"].cast("long").alias("offset"), F.lit("verified_window").alias("match"))
@@ -230,8 +231,10 @@ def staged(samples: DataFrame, judge: Judge, folder: str) -> DataFrame:
             found = evidence(F.col("source"), F.col("_e"))
             verdict = F.struct(F.col("_s").alias("supported"), F.col("_c").alias("conflict"), F.col("_e").alias("evidence"), found["offset"].cast("long").alias("offset"), found["match"].alias("match"))
             holds = F.col("_s") & (found["offset"] >= 0)
-        taken = wanted & F.col("_s").isNotNull() & (F.lit(True) if kind == "plain" else F.coalesce(holds, F.lit(False)))
-        both = both.withColumn("_v", F.when(taken, verdict.cast(_VERDICT)).otherwise(F.col("_v")))
+        judged = heard.select("sample_id", verdict.cast(_VERDICT).alias("_new"), (F.lit(True) if kind == "plain" else F.coalesce(holds, F.lit(False))).alias("_holds"))
+        both = state.join(judged, "sample_id", "left")
+        taken = F.coalesce("_holds", F.lit(False))
+        both = both.withColumn("_v", F.when(taken, F.col("_new")).otherwise(F.col("_v")))
         if kind == "plain":
             after = F.when(F.col("_v.supported") & (F.col("_v.offset") < 0), "unanchored").when(~F.col("_v.supported") & ~F.col("_v.conflict"), "rejected").otherwise("settled")
             both = both.withColumn("_left", after)
@@ -241,7 +244,7 @@ def staged(samples: DataFrame, judge: Judge, folder: str) -> DataFrame:
         both.select(*columns).write.mode("overwrite").parquet(f"{folder}/stage={number}")
         state = spark.read.parquet(f"{folder}/stage={number}").select(*columns)
     exact = F.col("_v.offset") >= 0
-    return state.select(
+    return samples.join(state, "sample_id").select(
         *samples.columns,
         F.col("_v.supported").alias("judge_supported"),
         (F.col("_v.supported") & exact).alias("supported"),

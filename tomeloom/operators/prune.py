@@ -296,6 +296,23 @@ def pruned(books: DataFrame, chapters: DataFrame | None = None, restores: DataFr
     return out.withColumn("kept_ratio", F.when(size > 0, F.round((size - F.col("removed_chars")).cast("double") / size, 4)).otherwise(0.0))
 
 
+def moved(chapters: Column, found: Column, size: Column, removed: Column) -> Column:
+    """A book's chapters (array of title, level, start_char, end_char) at their places after removal, inside its row.
+
+    Those that begin in a region or lose half or more of themselves go.
+    """
+    zero = F.lit(0).cast("long")
+
+    def place(c: Column) -> Column:
+        s, e = c["start_char"], F.least(c["end_char"], size)
+        inside = F.exists(found, lambda r: (r["start"] <= s) & (s < r["stop"]))
+        lost = F.aggregate(found, zero, lambda acc, r: acc + F.greatest(zero, F.least(r["stop"], e) - F.greatest(r["start"], s)))
+        gone = inside | ((e > s) & (lost * 2 >= e - s))
+        return F.struct(c["title"].alias("title"), c["level"].alias("level"), F.when(~gone, mapped_offset(found, s)).alias("start_char"), mapped_offset(found, e).alias("end_char"))
+
+    return F.filter(F.transform(chapters, place), lambda c: (c["start_char"] < c["end_char"]) & (c["start_char"] < size - removed))
+
+
 def remapped(chapters: DataFrame, found: DataFrame) -> DataFrame:
     """Chapters at their places after removal; those that begin in a region or lose half or more of themselves go.
 

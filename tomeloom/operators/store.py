@@ -77,10 +77,9 @@ def run_prune(store: Runs, asked: DataFrame, restores: DataFrame | None = None)
     """
     books = asked.where("answer = 'ok'")
     chapters = books.select("book_id", F.posexplode("chapters").alias("chapter_ix", "c")).select("book_id", "chapter_ix", "c.*")
-    done = prune.pruned(books.select("book_id", "text"), chapters, restores)
-    moved = prune.remapped(chapters, done).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("chapter_ix", "title", "level", "start_char", "end_char"))).alias("_m"))
-    left = F.transform("_m", lambda c: F.struct(c["title"].alias("title"), c["level"].alias("level"), c["start_char"].alias("start_char"), c["end_char"].alias("end_char")))
-    rows = done.join(moved, "book_id", "left").withColumn("pruned_chapters", F.coalesce(left.cast(CHAPTERS), F.array().cast(CHAPTERS)))
+    rows = prune.pruned(books.select("book_id", "text", "chapters"), chapters, restores)
+    moved = prune.moved(F.col("chapters"), F.col("regions"), F.col("original_chars"), F.col("removed_chars"))
+    rows = rows.withColumn("pruned_chapters", moved.cast(CHAPTERS))
     return store.write(rows.select("book_id", "pruned_text", "regions", "original_chars", "removed_chars", "kept_ratio", "pruned_chapters"))
 
 
