@@ -29,6 +29,24 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def running(sizes: Column) -> Column:
+    """array<long>: the sums of sizes up to each place, by sums of blocks, so that n of them cost n * sqrt(n)."""
+    zero = F.lit(0).cast("long")
+    total = lambda some: F.aggregate(some, zero, lambda acc, x: acc + x)
+
+    def sums(x: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x))).cast("int"))
+
+        def with_blocks(blocks: Column) -> Column:
+            before = F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b)))
+            return bound(before, lambda o: F.transform(x, lambda _, i: F.get(o, F.floor(i / width).cast("int")) + total(F.slice(x, F.floor(i / width).cast("int") * width + 1, i % width + 1))))
+
+        some = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / width).cast("int")), lambda b: total(F.slice(x, b * width + 1, width)))
+        return F.when(F.size(x) > 0, bound(some, with_blocks)).otherwise(F.array().cast("array<long>"))
+
+    return bound(sizes, sums)
+
+
 #: The characters of the Unicode property White_Space, as the class \s of the patterns has them.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 

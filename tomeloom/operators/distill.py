@@ -20,14 +20,16 @@ def stub_model(title: str, text: str, target: int) -> str:
     return out + " ·" * max(0, (target * 4 // 5 - len(out) + 1) // 2)
 
 
-def inputs(books: DataFrame, chapters: DataFrame, pruned: DataFrame, moved: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(books, chapters) to condense: the pruned text (book_id, pruned_text) where there is one, with the chapters
-    as they stand after pruning if any is left, else the plain text; a book without pruned text keeps its own chapters."""
-    stored = pruned.select("book_id", F.col("pruned_text").alias("_pruned"))
-    texts = books.join(stored, "book_id", "left").withColumn("text", F.coalesce("_pruned", "text")).drop("_pruned")
-    left = moved.select("book_id").distinct()
-    own = chapters.join(left, "book_id", "left_anti")
-    return texts, moved.unionByName(own.select(*moved.columns))
+def inputs(books: DataFrame, pruned: DataFrame) -> DataFrame:
+    """books (book_id, text, chapters) as they are condensed: with the pruned text where there is one, and with the chapters
+    as they stand after pruning if any is left; a book without pruned text keeps its own.
+
+    pruned: book_id, pruned_text, pruned_chapters. Chapters travel in their books' rows, so one join does.
+    """
+    stored = pruned.select("book_id", F.col("pruned_text").alias("_text"), F.col("pruned_chapters").alias("_chapters"))
+    both = books.join(stored, "book_id", "left")
+    chapters = F.when(F.size("_chapters") > 0, F.col("_chapters")).otherwise(F.col("chapters"))
+    return both.withColumn("text", F.coalesce("_text", "text")).withColumn("chapters", chapters).drop("_text", "_chapters")
 
 
 def reusable(chunks: DataFrame, ledger: DataFrame, cache: DataFrame) -> DataFrame:

@@ -16,31 +16,40 @@ REGION = "array<struct<start:long,stop:long,seq:long,reason:string,label:string>
 HEAD = 5000
 
 
-def placed(books: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+def placed(books: DataFrame, chapters: DataFrame | Column | None = None) -> DataFrame:
     """books with main_start (null if unknown) and head_end.
 
     The first title is found where the text is read: what stands before the pattern's first match
-    in the text is as long as the title's offset. Only chapters, where given, are joined.
+    in the text is as long as the title's offset. chapters: rows by book, which are joined, or an
+    array of each book's own row, in order, which is not.
     """
     line = T.MAIN_TITLE.removeprefix("(?U)^").replace(r"\s", r"[^\S\n]")
     before = F.split("text", rf"(?Umd)^[^\S\n]*#*[^\S\n]*{line}", 2)
     title = T.bound(before, lambda p: F.when(F.size(p) == 2, F.length(F.get(p, F.lit(0))).cast("long")))
     out, found = books, title
+    if isinstance(chapters, DataFrame):
+        out, chapters = _with_chapters(books, chapters), F.col("_chapters")
     if chapters is not None:
-        first = chapters.where("level <= 2 and start_char > 0").groupBy("book_id").agg(F.min_by("start_char", "chapter_ix").cast("long").alias("_chapter"))
-        out = books.join(first, "book_id", "left")
-        found = F.coalesce("_chapter", title)
+        first = F.get(F.filter(chapters, lambda c: (c["level"] <= 2) & (c["start_char"] > 0)), F.lit(0))
+        found = F.coalesce(first["start_char"].cast("long"), title)
     out = out.withColumn("main_start", found)
     return out.withColumn("head_end", F.coalesce("main_start", F.least(F.length("text"), F.lit(HEAD)).cast("long"))).select(*books.columns, "main_start", "head_end")
 
 
-def main_start(books: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+def _with_chapters(books: DataFrame, chapters: DataFrame) -> DataFrame:
+    """books with ``_chapters``, their chapters as an array in order (null: none)."""
+    of = chapters.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("chapter_ix", "level", "start_char"))).alias("_chapters"))
+    return books.join(of, "book_id", "left")
+
+
+def main_start(books: DataFrame, chapters: DataFrame | Column | None = None) -> DataFrame:
     """book_id, main_start (null if unknown) and head_end of every book."""
     return placed(books, chapters).select("book_id", "main_start", "head_end")
 
 
 #: What the rules bring up, in this order; a region's seq begins at its rule's number of thousand millions.
 RULES = ("frontmatter", "head", "backmatter", "duplicate")
+CHAPTER = len(RULES)  # the number of chapters among the items; they are no regions
 _ITEM = "array<struct<rule:int,part:string,k:int,before:int,size:int,label:string,n:int,a:boolean,b:boolean,c:boolean>>"
 
 _BARE = r"(?Umd)^[^\S\n]*#*[^\S\n]*"
@@ -51,7 +60,7 @@ _BLANK = r"(?md)^[ \t]*\n"
 def _items(rule: str, part, k, before, size, label, n=0, a=False, b=False, c=False) -> Column:
     """An item of a text: where it stands among those of its rule and part, the characters before and in it, and what the rule asks of it."""
     values = dict(part=part, k=k, before=before, size=size, label=label, n=n, a=a, b=b, c=c)
-    return F.struct(F.lit(RULES.index(rule)).alias("rule"), *[(F.lit(v) if not isinstance(v, Column) else v).alias(name) for name, v in values.items()])
+    return F.struct(F.lit((*RULES, "chapter").index(rule)).alias("rule"), *[(F.lit(v) if not isinstance(v, Column) else v).alias(name) for name, v in values.items()])
 
 
 def _front(text: Column) -> Column:
@@ -92,6 +101,12 @@ def _back(text: Column) -> Column:
     return F.when(text.rlike(_BARE + _BACK), F.transform(both, one))
 
 
+def _starts(chapters: Column) -> Column:
+    """Where the chapters begin."""
+    one = lambda c, k: _items("chapter", "", k, c["start_char"].cast("int"), 0, "")
+    return F.transform(chapters, one)
+
+
 def _duplicates(text: Column) -> Column:
     """Every non-overlapping occurrence of each repeated line, also inside longer lines; n: the first line that it is."""
 
@@ -104,42 +119,41 @@ def _duplicates(text: Column) -> Column:
     return F.flatten(F.transform(_repeated(text), occurrences))
 
 
-def _next_chapter(rows: DataFrame, chapters: DataFrame) -> DataFrame:
-    """rows (back matter: book_id, start, n) with ``_chapter``, the next chapter's start beyond the heading: one sorted union, one window."""
-    headings = rows.withColumn("_key", (F.col("start") + F.col("n")) * 2 + 1).withColumn("_at", F.lit(None).cast("long"))
-    starts = chapters.select("book_id", (F.col("start_char") * 2).cast("long").alias("_key"), F.col("start_char").cast("long").alias("_at"))
-    ahead = Window.partitionBy("book_id").orderBy(F.col("_key").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    both = headings.unionByName(starts, allowMissingColumns=True).withColumn("_chapter", F.min("_at").over(ahead))
-    return both.where("rule is not null").drop("_key", "_at")
-
-
-def regions(books: DataFrame, chapters: DataFrame | None = None, rules: tuple[str, ...] = RULES) -> DataFrame:
+def regions(books: DataFrame, chapters: DataFrame | Column | None = None, rules: tuple[str, ...] = RULES) -> DataFrame:
     """book_id, seq, start, stop, reason and label of what the rules find in books (book_id, text).
 
     Each text is read once, and its items are listed inside the row; only their sizes go on. One
     shuffle by book serves the running sums that give the offsets, the boundaries (the next
-    structural heading by a running minimum from the end) and what follows by book.
+    structural heading by a running minimum from the end) and what follows by book. Chapters
+    (:func:`placed`) go along as items, so that the next one beyond a heading is a running minimum too.
     """
     text = F.col("text")
     makers = {"frontmatter": lambda: _front(text), "head": lambda: _head(text, F.col("head_end")), "backmatter": lambda: _back(text), "duplicate": lambda: _duplicates(text)}
-    ready = placed(books.select("book_id", "text"), chapters)
+    given = books.select("book_id", "text")
+    if chapters is not None:
+        given = _with_chapters(given, chapters) if isinstance(chapters, DataFrame) else books.select("book_id", "text", chapters.alias("_chapters"))
+    ready = placed(given, None if chapters is None else F.col("_chapters"))
     nothing = F.array().cast(_ITEM)
     listed = F.concat(*[F.coalesce(makers[r]().cast(_ITEM), nothing) for r in RULES if r in rules])
-    sized = ready.select("book_id", "text", "main_start", "head_end", F.length("text").cast("long").alias("_size"))  # beneath the generator, so once a text
+    if chapters is not None and "backmatter" in rules:
+        listed = F.concat(listed, F.coalesce(_starts(F.col("_chapters")).cast(_ITEM), nothing))
+    sized = ready.select("*", F.length("text").cast("long").alias("_size"))  # beneath the generator, so once a text
     rows = sized.select("book_id", "main_start", "_size", F.inline(listed)).repartition("book_id")
     of = Window.partitionBy("book_id", "rule", "part")
     up, down = of.orderBy("k"), of.orderBy(F.col("k").desc())
     so_far = up.rowsBetween(Window.unboundedPreceding, 0)
     earlier, later = up.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", (F.sum(F.col("before") + F.col("size")).over(so_far) - F.col("size")).cast("long"))
+    is_start = F.col("rule") == CHAPTER  # stands at its own offset
+    rows = rows.withColumn("start", F.when(is_start, F.col("before")).otherwise(F.sum(F.col("before") + F.col("size")).over(so_far) - F.col("size")).cast("long"))
     rows = rows.withColumn("_following", F.sum("n").over(of) - F.sum("n").over(so_far))
     rows = rows.withColumn("_listing", F.coalesce(F.max(F.col("c") & (F.col("_following") >= 4)).over(earlier), F.lit(False)))
     rows = rows.withColumn("_structural", F.min(F.when(F.col("b"), F.col("start"))).over(later))
     is_head, is_back = F.col("rule") == RULES.index("head"), F.col("rule") == RULES.index("backmatter")
     bound = F.coalesce("_structural", "_size")
     if chapters is not None:
-        heading = is_back & F.col("a")
-        rows = rows.where(~heading).withColumn("_chapter", F.lit(None).cast("long")).unionByName(_next_chapter(rows.where(heading), chapters))
+        place = F.when(is_start, F.col("start") * 2).otherwise((F.col("start") + F.col("n")) * 2 + 1)
+        ahead = Window.partitionBy("book_id").orderBy(place.desc()).rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("_chapter", F.min(F.when(is_start, F.col("start"))).over(ahead))
         bound = F.coalesce("_chapter", "_structural", "_size")
     toc = F.col("_listing") | F.col("b") | ((F.col("size") < 3000) & (F.col("n") >= 4))
     head_reason = F.when(F.col("label") == "", None).when(F.col("a"), "copyright").when(toc, "toc")
@@ -156,12 +170,12 @@ def frontmatter_regions(books: DataFrame) -> DataFrame:
     return regions(books, rules=("frontmatter",))
 
 
-def head_regions(books: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+def head_regions(books: DataFrame, chapters: DataFrame | Column | None = None) -> DataFrame:
     """Copyright pages and tables of contents among the blocks before the main text."""
     return regions(books, chapters, ("head",))
 
 
-def backmatter_regions(books: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+def backmatter_regions(books: DataFrame, chapters: DataFrame | Column | None = None) -> DataFrame:
     """From each back-matter heading to the next chapter, structural heading or the end."""
     return regions(books, chapters, ("backmatter",))
 
@@ -285,7 +299,7 @@ def restored(found: DataFrame, restores: DataFrame) -> DataFrame:
     return found.join(asked, "book_id", "left").select("book_id", F.explode(left).alias("r")).select("book_id", "r.seq", "r.start", "r.stop", "r.reason", "r.label")
 
 
-def pruned(books: DataFrame, chapters: DataFrame | None = None, restores: DataFrame | None = None) -> DataFrame:
+def pruned(books: DataFrame, chapters: DataFrame | Column | None = None, restores: DataFrame | None = None) -> DataFrame:
     """books with regions, pruned_text, original_chars, removed_chars and kept_ratio."""
     found = regions(books, chapters)
     if restores is not None:

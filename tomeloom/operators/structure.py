@@ -52,9 +52,32 @@ def markdown_chapters(books: DataFrame, lines: DataFrame | None = None) -> DataF
     return _closed(books, marked.select("book_id", T.strip(F.regexp_extract("line", r"^#{1,6}\s+(.*)$", 1)).alias("title"), level.alias("level"), F.col("start").alias("start_char")))
 
 
+def chapters_of(text: Column) -> Column:
+    """array<struct<title, level, start_char, end_char>> of plain text: lines that match the chapter pattern, level 1.
+
+    They are found in the text, inside its row: what stands before and in each match gives its offset.
+    """
+    line = T.CHAPTER.removeprefix("(?U)^").replace(r"\s", r"[^\S\n]")
+    pattern = rf"(?Umd)^{line}[^\n]*"
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("line"))
+
+    def placed(found: Column) -> Column:
+        ends = T.running(F.transform(found, lambda x: F.length(x["before"]) + F.length(x["line"])))
+
+        def closed(e: Column) -> Column:
+            start = lambda i: F.get(e, i) - F.length(F.get(found, i)["line"])
+            end = lambda i: F.coalesce(start(i + 1), F.length(text).cast("long"))
+            return F.transform(found, lambda x, i: F.struct(T.strip(x["line"]).alias("title"), F.lit(1).alias("level"), start(i).alias("start_char"), end(i).alias("end_char")))
+
+        return T.bound(ends, closed)
+
+    return T.bound(F.filter(pairs, lambda x: x["line"].isNotNull()), placed)
+
+
 def plain_chapters(books: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """Chapters of plain text: lines that match the chapter pattern, level 1."""
-    lines = line_spans(books) if lines is None else lines
+    """Chapters of plain text: lines that match the chapter pattern, level 1; without given lines nothing is shuffled."""
+    if lines is None:
+        return books.select("book_id", F.posexplode(chapters_of(F.col("text"))).alias("chapter_ix", "c")).select("book_id", "chapter_ix", "c.*")
     return _closed(books, lines.where(F.col("line").rlike(T.CHAPTER)).select("book_id", T.strip(F.col("line")).alias("title"), F.lit(1).alias("level"), F.col("start").alias("start_char")))
 
 

@@ -563,12 +563,12 @@ def composed_chapters(spark, d):
 @query
 def distill_inputs(spark, d):
     """Books of even number have a pruned text and its chapters, the others their own."""
-    books = composed_books(spark, d)
-    chapters = structure.plain_chapters(books)
-    done = prune.pruned(books.where("book_id % 2 = 0"), chapters)
-    texts, chosen = distill.inputs(books, chapters, done, prune.remapped(chapters, done))
-    n = chosen.groupBy("book_id").agg(F.count("*").alias("n_chapters"), F.min("start_char").cast("long").alias("first_char"))
-    return texts.join(n, "book_id", "left").select("book_id", F.length("text").cast("long").alias("n_chars"), F.coalesce("n_chapters", F.lit(0)).alias("n_chapters"), "first_char")
+    books = composed_books(spark, d).withColumn("chapters", structure.chapters_of(F.col("text")))
+    done = prune.pruned(books.where("book_id % 2 = 0"), F.col("chapters"))
+    moved = prune.moved(F.col("chapters"), F.col("regions"), F.col("original_chars"), F.col("removed_chars"))
+    out = distill.inputs(books, done.withColumn("pruned_chapters", moved))
+    first = F.array_min(F.transform("chapters", lambda c: c["start_char"]))
+    return out.select("book_id", F.length("text").cast("long").alias("n_chars"), F.size("chapters").cast("long").alias("n_chapters"), first.alias("first_char"))
 
 
 @query
