@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from tomeloom.functions import text as T
-from tomeloom.operators import distill, prune, structure
+from tomeloom.operators import distill, prune, store, structure
 
 
 def plan(df):
@@ -54,3 +54,24 @@ def test_inputs_take_what_is_left_of_the_chapters(spark):
     pruned = spark.createDataFrame([(1, "abc", [("a", 1, 0, 3)]), (2, "ab", []), (3, "", [])], f"book_id long, pruned_text string, pruned_chapters {kind}")
     got = sorted((r.book_id, r.text, [tuple(c) for c in r.chapters]) for r in distill.inputs(books, pruned).collect())
     assert got == [(1, "abc", [("a", 1, 0, 3)]), (2, "ab", [("b", 1, 0, 6)]), (3, "", []), (4, "abcd", [("d", 1, 1, 4)])]
+
+
+def test_prune_sources_stay_dealt_by_book(spark):
+    books = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (None, "n")], "book_id long, text string")
+    meta = spark.createDataFrame([(1, "ok", []), (2, "error", []), (3, "ok", []), (4, "ok", []), (None, "ok", [])], f"book_id long, extract_status string, chapters {store.CHAPTERS}")
+    out = store.sources(books, meta)
+    assert sorted((r.book_id or 0, r.answer, r.text) for r in out.collect()) == [(0, "absent", None), (0, "unready", None), (1, "ok", "a"), (2, "unready", None), (3, "absent", None), (4, "absent", None)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = out.where("answer = 'ok'").groupBy("book_id").agg(F.max("text"))
+        assert plan(asked).count("Exchange hashpartitioning") == 2  # books and metadata, and no more for what follows by book
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_heads_that_hold_no_mark_are_passed_over_and_no_others(spark):
+    heads = ["CONTENT\u017f\n", "## tABLE OF contents\n", "\u76ee \u5f55\n", "x\n\nA \u00b7\u00b7 1\nB .. 2\nC  .3\nD \u3000 \u0664\n", "a CIP b\n", "iSbN\n", "\u5b9a\u4ef7\uff1a9\n", "\u76ee\n\u5f55\n", "A .. 1\nB .. 2\nC .. 3\n", "\u5b9a\u4ef7 9\n", "\u5370\u5237"]
+    books = spark.createDataFrame([(i, f"{h}\nbody") for i, h in enumerate(heads)], "book_id long, text string")
+    got = sorted((r.book_id, r.reason) for r in prune.head_regions(books).collect())
+    assert got == [(0, "toc"), (1, "toc"), (2, "toc"), (3, "toc"), (4, "copyright"), (5, "copyright"), (6, "copyright"), (10, "copyright")]

@@ -6,6 +6,9 @@ the order in which rules and positions brought them up.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +55,9 @@ RULES = ("frontmatter", "head", "backmatter", "duplicate")
 CHAPTER = len(RULES)  # the number of chapters among the items; they are no regions
 _ITEM = "array<struct<rule:int,part:string,k:int,before:int,size:int,label:string,n:int,a:boolean,b:boolean,c:boolean>>"
 
+#: In lower case, what stands in every match of the copyright pattern and in every contents heading of Latin letters (a last s may be a long one).
+MARKS = ("版权", "isbn", "copyright", "all rights reserved", "出版发行", "印刷", "版次", "cip", "翻印必究", "定价", "content")
+
 _BARE = r"(?Umd)^[^\S\n]*#*[^\S\n]*"
 _BACK = rf"(?-U:(?i:{T.BACK_MATTER.removeprefix('(?i)^').removesuffix('$')}))[^\S\n]*$"
 _BLANK = r"(?md)^[ \t]*\n"
@@ -73,7 +79,12 @@ def _head(text: Column, head_end: Column) -> Column:
     """Blocks between blank lines before the main text, of heads in which a rule can fire; n: contents entries,
     a: names a copyright, b: begins with a contents heading, c: holds one."""
     is_toc = lambda line: T.heading_text(line).rlike(T.TOC_HEADING)
-    marks = T.COPYRIGHT + "|" + r"(?imU)^[\s#]*(?:目录|目\s*录|CONTENTS|Table of Contents)\s*$"
+
+    def may_fire(head: Column) -> Column:
+        """Whether a rule can fire: words that every heading and every copyright holds, sought plainly, and lines that end like contents entries."""
+        held = T.bound(F.lower(head), lambda low: functools.reduce(operator.or_, [F.contains(low, F.lit(w)) for w in MARKS]))
+        entries = head.rlike(r"(?mU)\d(?<=[.．·•\s]{2}\d)\d{0,3}\s*$") & (S.toc_entries(head) >= 4)
+        return held | (F.contains(head, F.lit("目")) & F.contains(head, F.lit("录"))) | entries
 
     def blocks(head: Column) -> Column:
         def block(x: Column, k: Column) -> Column:
@@ -82,8 +93,7 @@ def _head(text: Column, head_end: Column) -> Column:
             return _items("head", "", k, before, F.length(b), T.summary(b), S.toc_entries(b), b.rlike(T.COPYRIGHT), is_toc(F.get(lines, F.lit(0))), F.exists(lines, is_toc))
 
         gaps = F.concat(F.array(F.lit("")), F.regexp_extract_all(head, F.lit(_BLANK), F.lit(0)))
-        fires = head.rlike(marks) | (head.rlike(r"(?mU)[.．·•\s]{2}\d{1,4}\s*$") & (S.toc_entries(head) >= 4))
-        return F.when(fires, F.transform(F.arrays_zip(F.split(head, _BLANK, -1).alias("b"), gaps.alias("gap")), block))
+        return F.when(may_fire(head), F.transform(F.arrays_zip(F.split(head, _BLANK, -1).alias("b"), gaps.alias("gap")), block))
 
     return T.bound(F.substring(text, F.lit(1), head_end.cast("int")), blocks)
 

@@ -37,19 +37,21 @@ class Runs:
         rows.write.mode("overwrite").parquet(f"{self.path}/run={number}")
         return number
 
-    def last(self) -> DataFrame:
-        """The row of each key's newest run, with ``run``.
+    def last(self, asked: DataFrame | None = None) -> DataFrame:
+        """The row of each key's newest run, with ``run``; of the keys asked for, if given, with nulls where there is none.
 
-        Which run is a key's newest is told by keys alone; the rows are joined to that.
+        Which run is a key's newest is told by keys alone; the rows are joined to that, once.
         """
         numbers = self.numbers()
         if not numbers:
             raise FileNotFoundError(f"no run at {self.path}")
         rows = self.spark.read.option("basePath", self.path).parquet(*[f"{self.path}/run={n}" for n in numbers]).withColumn("run", F.col("run").cast("long"))
         if len(numbers) == 1:
-            return rows
+            return rows if asked is None else asked.join(rows, [*self.keys], "left")
         newest = rows.groupBy(*self.keys).agg(F.max("run").alias("run"))
-        return rows.join(newest, [*self.keys, "run"])
+        if asked is None:
+            return rows.join(newest, [*self.keys, "run"])
+        return asked.join(newest, [*self.keys], "left").join(rows, [*self.keys, "run"], "left")
 
 
 def sources(books: DataFrame, meta: DataFrame) -> DataFrame:
@@ -60,7 +62,10 @@ def sources(books: DataFrame, meta: DataFrame) -> DataFrame:
     status isn't ok or there is no metadata, else 'ok', with the chapters' gaps filled in: no title,
     level 1, from the text's start, to its end.
     """
-    both = meta.select("book_id", "extract_status", F.col("chapters").cast(CHAPTERS).alias("_c")).join(books.select("book_id", "text"), "book_id", "full")
+    known = meta.select("book_id", "extract_status", F.col("chapters").cast(CHAPTERS).alias("_c"))
+    # A full join's rows count as dealt by nothing, and texts would be shuffled again by whoever asks for them by book.
+    missing = known.join(books.select("book_id"), "book_id", "left_anti").withColumn("text", F.lit(None).cast("string"))
+    both = books.select("book_id", "text").join(known, "book_id", "left").unionByName(missing)
     answer = F.when(F.col("text").isNull(), "absent").when(F.coalesce("extract_status", F.lit("")) != "ok", "unready").otherwise("ok")
     size = F.length("text").cast("long")
     filled = lambda c: F.struct(F.coalesce(c["title"], F.lit("")).alias("title"), F.coalesce(c["level"], F.lit(1)).alias("level"), F.coalesce(c["start_char"], F.lit(0)).cast("long").alias("start_char"), F.coalesce(c["end_char"], size).alias("end_char"))
@@ -76,8 +81,7 @@ def run_prune(store: Runs, asked: DataFrame, restores: DataFrame | None = None)
     pruned_chapters, the chapters at their places after removal.
     """
     books = asked.where("answer = 'ok'")
-    chapters = books.select("book_id", F.posexplode("chapters").alias("chapter_ix", "c")).select("book_id", "chapter_ix", "c.*")
-    rows = prune.pruned(books.select("book_id", "text", "chapters"), chapters, restores)
+    rows = prune.pruned(books.select("book_id", "text", "chapters"), F.col("chapters"), restores)
     moved = prune.moved(F.col("chapters"), F.col("regions"), F.col("original_chars"), F.col("removed_chars"))
     rows = rows.withColumn("pruned_chapters", moved.cast(CHAPTERS))
     return store.write(rows.select("book_id", "pruned_text", "regions", "original_chars", "removed_chars", "kept_ratio", "pruned_chapters"))
@@ -85,8 +89,8 @@ def run_prune(store: Runs, asked: DataFrame, restores: DataFrame | None = None)
 
 def last_results(store: Runs, asked: DataFrame) -> DataFrame:
     """The stored result of each book asked for (book_id), as a preview shows it, without chapters; ``answer`` is 'absent' if it was never pruned."""
-    rows = store.last().drop("pruned_chapters").withColumn("_there", F.lit(True))
-    return asked.select("book_id").distinct().join(rows, "book_id", "left").withColumn("answer", F.when(F.col("_there"), "ok").otherwise("absent")).drop("_there")
+    rows = store.last(asked.select("book_id").distinct()).drop("pruned_chapters")
+    return rows.withColumn("answer", F.when(F.col("run").isNotNull(), "ok").otherwise("absent"))
 
 
 def restore_pairs(given: DataFrame) -> DataFrame:
