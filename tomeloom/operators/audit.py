@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from ..functions import text as T
 
 # The patterns of claims and quotes below, window size and stride in characters (a window is two strides), windows kept.
 SIZE, STRIDE, BEST = 1600, 800, 5
+#: What ends a sentence.
+MARKS = "。！？!?；;"
 
 
 def _parts(df: DataFrame) -> int:
@@ -23,7 +29,8 @@ def claims_of(text: Column) -> Column:
     bare = lambda x: F.regexp_replace(T.strip(F.regexp_replace(x, r"(?U)^[#>*+\-\d.\s]+", "")), r"[*_`]+", "")
 
     def sentences(line: Column, i: Column) -> Column:
-        said = F.transform(F.split(line, r"(?<=[。！？!?；;])", -1), lambda x, k: F.struct(i.alias("line_no"), k.alias("sentence_no"), T.strip(x).alias("claim")))
+        ended = functools.reduce(lambda x, mark: F.replace(x, F.lit(mark), F.lit(mark + "\n")), MARKS, line)  # a line holds no line break
+        said = F.transform(F.split(ended, "\n", -1), lambda x, k: F.struct(i.alias("line_no"), k.alias("sentence_no"), T.strip(x).alias("claim")))
         return F.filter(said, lambda s: F.length(s["claim"]).between(18, 220))
 
     def of_line(line: Column, i: Column) -> Column:
@@ -62,17 +69,117 @@ def windows(text: Column) -> Column:
     return F.when(text != "", T.bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRIDE}}}"), F.lit(0)), joined))
 
 
+#: Claims of one source that are held against its text together; windows, and characters of texts, that are looked at together.
+TOGETHER, WINDOWS, CHARS = 64, 1024, 1 << 20
+_WHITE = np.zeros(ord(max(T.WHITE)) + 2, bool)
+_WHITE[[ord(c) for c in T.WHITE]] = True
+
+
+def _pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of neighbouring characters of texts, white space left out: which text, the pair as a number, where its characters stand."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    at = np.flatnonzero(~_WHITE[np.minimum(points, len(_WHITE) - 1)])
+    of = np.repeat(np.arange(len(texts)), sizes)[at]
+    at, points = at - (np.cumsum(sizes) - sizes)[of], points[at].astype(np.int64)
+    same = np.flatnonzero(of[:-1] == of[1:])
+    return of[same], points[same] << 21 | points[same + 1], at[same], at[same + 1]
+
+
+def _shared(texts: list[str], asked: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text: how many distinct bigrams of each of its claims each of its windows holds (claims x windows), and how many each claim has.
+
+    A text's windows and its claims' bigrams span a table of what occurs where; a pair of the text
+    marks the windows that hold both its characters.
+    """
+    owner = np.repeat(np.arange(len(asked)), [len(x) for x in asked])
+    claim, gram, _, _ = _pairs([x for some in asked for x in some])
+    every, gram = np.unique(gram, return_inverse=True)
+    n = max(len(every), 1)
+    wanted = np.unique(owner[claim] * n + gram)  # text and bigram, in order
+    first_gram = np.searchsorted(wanted, np.arange(len(texts) + 1) * n)
+    windows = np.array([max(-(-len(x) // STRIDE) - 1, 1) for x in texts])
+    width = np.diff(first_gram)
+    table = np.cumsum(windows * width) - windows * width
+    seen = np.zeros(int((windows * width).sum()), bool)
+    of, pair, left, right = _pairs(texts)
+    if len(every):
+        place = np.minimum(np.searchsorted(every, pair), n - 1)
+        key = np.flatnonzero(every[place] == pair)
+        mine = of[key] * n + place[key]
+        local = np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)
+        hit = np.flatnonzero(wanted[local] == mine)
+        key, local = key[hit], local[hit]
+        of, left, right = of[key], left[key] // STRIDE, right[key] // STRIDE
+        # Window w holds strides w and w + 1, so the last that holds the left one is w = left, the first that holds the right one w = right - 1.
+        low, high = np.maximum(right - 1, 0), np.minimum(left, windows[of] - 1)
+        column = table[of] + local - first_gram[of]
+        for w in (low, high):
+            held = low <= high
+            seen[(column + w * width[of])[held]] = True
+    each = np.unique(claim * n + gram)  # claim and bigram
+    claim, gram = each // n, each % n
+    column = np.searchsorted(wanted, owner[claim] * n + gram) - first_gram[owner[claim]]
+    count = np.bincount(claim, minlength=len(owner))
+    claims = np.searchsorted(owner, np.arange(len(texts) + 1))
+    ends = np.searchsorted(claim, claims)
+    out = []
+    for t in range(len(texts)):
+        some = slice(ends[t], ends[t + 1])
+        asks = np.zeros((claims[t + 1] - claims[t], width[t]), np.float32)
+        asks[claim[some] - claims[t], column[some]] = 1
+        held = seen[table[t] : table[t] + windows[t] * width[t]].reshape(windows[t], width[t])
+        out.append((asks @ held.T.astype(np.float32), count[claims[t] : claims[t + 1]]))
+    return out
+
+
 def best_windows(asked: DataFrame, sources: DataFrame, best: int = BEST) -> DataFrame:
     """asked (claim_id, claim, source_id) with the windows of that source that share most bigrams, best first.
 
-    Texts are shuffled once; windows are cut where the texts meet their claims, so a source that
-    nothing asks for costs nothing, and only scores go on from there. A window's own bigrams are
-    never listed: a bigram of the claim is among them if the window, bare of white space, holds it.
+    Texts are shuffled once and meet their claims, TOGETHER of them at a time, so a source that
+    nothing asks for costs nothing; a text's characters are passed once for all of these, WINDOWS of
+    its windows at a time, and only the best windows of each claim go on.
     """
-    met = asked.withColumn("_q", bigrams(F.col("claim"))).join(sources.select("source_id", "text").repartition(_parts(sources), "source_id"), "source_id")
-    cut = met.select("claim_id", "source_id", "_q", F.posexplode(windows(F.col("text"))).alias("_k", "_window"))
-    shared = T.bound(compact(F.col("_window")), lambda w: F.size(F.filter("_q", lambda g: F.contains(w, g))))
-    scored = cut.select("claim_id", "source_id", (F.col("_k") * STRIDE).alias("start"), (shared / F.greatest(F.lit(1), F.size("_q"))).alias("score"))
+    number = F.row_number().over(Window.partitionBy("source_id").orderBy("claim_id")) - 1
+    blocks = asked.withColumn("_block", F.floor(number / TOGETHER)).groupBy("source_id", "_block").agg(F.collect_list(F.struct("claim_id", F.coalesce("claim", F.lit("")).alias("claim"))).alias("_asked"))
+    met = blocks.join(sources.where("text <> ''").select("source_id", "text").repartition(_parts(sources), "source_id"), "source_id").select("source_id", "text", "_asked")
+    names = ["claim_id", "source_id", "start", "score"]
+
+    def some_texts(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int, str, list[str]]]]:
+        """Rows of a batch, or parts of long ones, with about CHARS characters: the first claim's place, the first window, text, claims."""
+        lists, some, chars, place = batch.column("_asked"), [], 0, 0
+        words = lists.flatten().field("claim").to_pylist()
+        for row, size in enumerate(pc.list_value_length(lists).to_pylist()):
+            text, mine = batch.column("text")[row].as_py(), words[place : place + size]
+            for w in range(0, max(-(-len(text) // STRIDE) - 1, 1), WINDOWS):
+                part = text[w * STRIDE : (w + WINDOWS + 1) * STRIDE]
+                some.append((place, w, part, mine))
+                chars += len(part)
+                if chars >= CHARS:
+                    yield some
+                    some, chars = [], 0
+            place += size
+        if some:
+            yield some
+
+    def of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, starts, scores = [], [], []
+            for some in some_texts(batch):
+                for (place, w, _, mine), (shared, sizes) in zip(some, _shared([x[2] for x in some], [x[3] for x in some]), strict=True):
+                    score = shared.astype(np.float64) / np.maximum(sizes, 1)[:, None]
+                    top = np.argsort(-score, axis=1, kind="stable")[:, :best]
+                    which.append(np.repeat(np.arange(place, place + len(mine)), top.shape[1]))
+                    starts.append(((top + w) * STRIDE).ravel())
+                    scores.append(np.take_along_axis(score, top, 1).ravel())
+            if not which:
+                continue
+            lists, of = batch.column("_asked"), pa.array(np.concatenate(which))
+            columns = [lists.flatten().field("claim_id").take(of), batch.column("source_id").take(pc.list_parent_indices(lists).take(of)), pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(scores))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in asked.schema}
+    scored = met.mapInArrow(of_batch, f"claim_id {kinds['claim_id']}, source_id {kinds['source_id']}, start int, score double")
     rank = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.col("score").desc(), "start"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= best).select("claim_id", "source_id", "rank", "start", "score")
 
@@ -117,10 +224,12 @@ def picked(chapters: DataFrame, seed: str, samples: int = 5) -> DataFrame:
     """
     # Dealt by book before the claims are cut out, so that this shuffle also serves the windows.
     dealt = chapters.repartition(_parts(chapters), "book_id")
-    listed = dealt.select("book_id", "chapter_index", claims_of(F.col("text")).alias("_claims")).where(F.size("_claims") > 0)
+    listed = dealt.select("book_id", "chapter_index", claims_of(F.col("text")).alias("_claims"))
     of_book = Window.partitionBy("book_id")
-    place, usable = F.row_number().over(of_book.orderBy("chapter_index")) - 1, F.count("*").over(of_book)
-    mine = lambda k: F.floor(k * F.col("_usable") / samples) == F.col("_place")
+    # Chapters without claims are told by a count, not by a filter, which would be moved before the shuffle and list all claims a second time.
+    has = (F.size("_claims") > 0).cast("int")
+    place, usable = F.sum(has).over(of_book.orderBy("chapter_index").rowsBetween(Window.unboundedPreceding, 0)) - 1, F.sum(has).over(of_book)
+    mine = lambda k: (F.floor(k * F.col("_usable") / samples) == F.col("_place")) & (F.size("_claims") > 0)
     wanted = listed.withColumn("_place", place).withColumn("_usable", usable).withColumn("_samples", F.filter(F.sequence(F.lit(0), F.lit(samples - 1)), mine)).where(F.size("_samples") > 0)
     taken = "array<struct<k:int,line_no:int,claim:string>>"
 
